@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetcut.llm.bpe import encode_documents
 from fleetcut.llm.exact_dedup import exact_groups
+from fleetcut.llm.minhash import near_groups
 from fleetcut.llm.packing import pack_documents
+from fleetcut.llm.quality import quality_filter
 from fleetcut.llm.sharding import assign_shards, grid, grown
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +25,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), size=2)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_50k.json")
     return pack_documents(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
@@ -39,7 +49,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op7_packing, op9_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_bpe, op6_quality, op7_packing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
