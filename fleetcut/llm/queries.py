@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetcut.llm.bpe import encode_documents
 from fleetcut.llm.exact_dedup import exact_groups
+from fleetcut.llm.html_text import extract_main_text
+from fleetcut.llm.language import identify_languages
 from fleetcut.llm.minhash import near_groups
 from fleetcut.llm.packing import pack_documents
+from fleetcut.llm.passages import repeated_passages
 from fleetcut.llm.quality import quality_filter
+from fleetcut.llm.secrets import scan_secrets
 from fleetcut.llm.sharding import assign_shards, grid, grown
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +39,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), path=F.col("source"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,13 +56,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = grid(40)
     return assign_shards(table(spark, sf_dir, "documents"), tree, grown(tree, 40))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_bpe, op6_quality, op7_packing, op9_sharding)}
+    ops = (
+        op1_exact_dedup, op2_minhash, op3_bpe, op4_secrets, op5_language, op6_quality, op7_packing, op8_html, op9_sharding, op10_substring,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
