@@ -116,9 +116,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     Documents with equal shingle sets are one vertex. Each bucket of 40 bands links its members with its smallest one
     only, so candidate edges are at most 40 a vertex. Edges are confirmed on the full sets, the likeliest of each vertex
-    first, and the rest only between components that are still apart. A bucket that still holds several
-    components gets further centres, 2 ** t in round t and half of what is left each time, until all its members that are
-    apart have met: no link is lost to the star shape.
+    first, and the rest only between components that are still apart. In a bucket that still holds several
+    components further centres follow, until all its members that are apart have met: no link is lost to the star shape.
 
     Null or blank text has no shingles and links with nothing; a null id links with nothing (its component is null). Rows
     that share an id are one document. An empty table gives no rows.
@@ -130,7 +129,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     members = C.lookup(some.select("doc_id", "set_key"), classes, "set_key", "members", signed.count()).select("doc_id", "rep")
     same = C.stage(members.distinct(), "members")
     reps = same.filter("doc_id = rep").select("doc_id")
-    spread = some.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("m"), "n", F.explode("bands").alias("key"))
+    one_each = C.stage(some.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
+    spread = one_each.select(F.col("doc_id").alias("m"), "n", F.explode("bands").alias("key"))
     spread = C.stage(spread, "buckets")
     sizes = spread.groupBy("key").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     sizes = C.stage(sizes, "centres")
@@ -152,7 +152,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         apart = _with_comp(_with_comp(star, labels, "c", "kc"), labels, "m", "km").filter("kc <> km")
         rest = apart.join(best, ["c", "m"], "left_anti").select(F.col("c").alias("a"), F.col("m").alias("b"))
         labels = _relabel(labels, _similar(rest, sets, percent))
-        labels = _finish(full.filter("k > 2"), labels, sets, percent)
+        labels = _finish(full.filter("k > 2"), one_each.select(F.col("doc_id").alias("m"), "bands"), labels, sets, percent)
     out = same if labels is None else _with_comp(same, labels, "rep", "comp")
     comp = out.select("doc_id", F.col("rep" if labels is None else "comp").alias("component_id"))
     comp = comp.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -160,32 +160,34 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Further centres for buckets (key, m, n, c, k) that hold more than one component.
+def _finish(full: DataFrame, bands: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Further centres for buckets (key, m, n, c, k) that hold more than one component; bands: (m, bands).
 
     A member's level is the number of leading zeros of its hash in the bucket, so about half the members have
-    level 0, a quarter level 1, and so on. Round by round, from the top level that the bucket's size allows, members of a level
-    meet all members of lower levels (and of their own with a greater id) that are in other components.
+    level 0, a quarter level 1, and so on. First the members of the top levels (about four) meet all others of the bucket, which
+    merges most of what one centre could not; then, in buckets that are still mixed, the rest meet. Only members of different components and of
+    compatible sizes meet, and only in the first band that they share.
     """
     level = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("key", "m").bitwiseAND(F.lit((1 << 40) - 1))), 40, "0"), "^0*", 0))
-    top = F.ceil(F.log2("k")).cast("int")
-    full = full.select("key", "m", "n", "c", F.least(level, top).alias("level"), top.alias("top"))
-    done = 0
-    while True:
-        with_comp = _with_comp(full, labels, "m", "comp")
-        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("top").alias("t")).filter(F.col("x") != F.col("y"))
-        open_ = C.stage(with_comp.join(mixed.filter(F.col("t") >= done).select("key"), "key", "left_semi"), "open")
+    top = F.ceil(F.log2("k")).cast("int") - 2
+    full = full.filter("m <> c").select("key", "m", "n", "c", level.alias("level"), top.alias("top"))
+    for last in (False, True):
+        with_comp = _with_comp(_with_comp(full, labels, "m", "comp"), labels, "c", "centre")
+        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y"))
+        open_ = C.stage(with_comp.join(mixed.select("key"), "key", "left_semi").join(bands, "m"), "open")
         if open_.isEmpty():
             return labels
-        at = F.col("level") == F.col("top") - done
-        one = open_.filter(at & (F.col("m") != F.col("c"))).select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ka"), F.col("level").alias("la"))
-        two = open_.filter(F.col("m") != F.col("c")).select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"), F.col("level").alias("lb"))
+        early = F.col("level") >= F.col("top")
+        one = open_.filter(~early if last else early).select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ka"), F.col("level").alias("la"), F.col("bands").alias("ba"))
+        two = open_.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"), F.col("level").alias("lb"), F.col("bands").alias("bb"))
         near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
         later = (F.col("lb") < F.col("la")) | ((F.col("lb") == F.col("la")) & (F.col("a") < F.col("b")))
-        pairs = one.join(two, "key").filter((F.col("ka") != F.col("kb")) & near & later).select("a", "b").distinct()
-        pairs = C.stage(pairs, "pairs")
+        before = F.array_position("ba", F.col("key")).cast("int") - 1
+        first = ~F.arrays_overlap(F.slice("ba", F.lit(1), before), F.col("bb"))
+        pairs = one.withColumnRenamed("key", "k1").join(two, (F.col("k1") == F.col("key")) & (F.col("ka") != F.col("kb")) & near & later & first)
+        pairs = C.stage(pairs.select("a", "b").distinct(), "pairs")
         if not pairs.isEmpty():
             labels = _relabel(labels, _similar(pairs, sets, percent))
         C.unstage(pairs)
         C.unstage(open_)
-        done += 1
+    return labels
