@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from fleetcut.plans.register import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = ("timeline_queries", "speech_queries", "text_queries", "report_queries", "gate_queries", "source_queries")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"fleetcut.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
