@@ -29,8 +29,10 @@ def read_json(spark: SparkSession, glob: str, schema: str, required: tuple[str,
     bad = F.col("_corrupt_record").isNotNull()
     for c in required:
         bad = bad | F.col(c).isNull()
-    fail = F.when(bad, F.raise_error(F.concat(F.lit("document of the wrong shape in project "), F.col(PID)))).otherwise(F.col(PID))
-    return df.withColumn(PID, fail.cast("string")).drop("_corrupt_record")
+    fail = F.raise_error(F.concat(F.lit("document of the wrong shape in project "), F.col(PID)))
+    # the check is part of each column that is read, so that no filter on one can pass a bad row by
+    checked = {c: F.when(bad, fail.cast(fields[c].dataType)).otherwise(F.col(c)) for c in required or (fields.fieldNames()[0],)}
+    return df.withColumns(checked).drop("_corrupt_record")
 
 
 _STAGE = "struct<done_at:timestamp,params_sha256:string,tool_versions:map<string,string>>"
