@@ -23,8 +23,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     a, b, c = flat[:-2], flat[1:-1], flat[2:]
     code = ((a << np.uint32(16) | b << np.uint32(8) | c) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     ends = np.cumsum([len(p) for p in parts])
-    real = b != 32  # a space in the middle says nothing; so does a trigram over the end of a text
-    real &= ~((a == 32) & (c == 32))
+    real = b != 32  # a space in the middle says nothing; texts end with two, so none spans two texts
     kept = np.cumsum(np.r_[0, real])
     starts = kept[np.r_[0, ends[:-1]].astype(np.int64)] if parts else np.empty(0, np.int64)
     return code[real], starts
@@ -54,7 +53,7 @@ def _train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                     total[name] = total.get(name, 0) + np.bincount(codes, minlength=GRAMS)
         for name, c in total.items():
             used = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used, pa.int32()), pa.array(c[used], pa.int64())], ["declared", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(c[used], pa.int64())], ["declared", "gram", "n"])
 
     grams = sample.mapInArrow(run, "declared string, gram int, n long").groupBy("declared", "gram").agg(F.sum("n").alias("n"))
     names = sorted(lang for lang, _ in langs)

@@ -1,0 +1,190 @@
+"""Language ID, quality rules, secret scans, HTML extraction, sharding and the pipeline."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from fleetcut.llm import html_text as H
+from fleetcut.llm import language as L
+from fleetcut.llm import quality as Q
+from fleetcut.llm import secrets as X
+from fleetcut.llm.queries import oracle_sql, queries
+from fleetcut.llm.sharding import assign_shards, grid, grown
+
+
+def table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def test_language_on_held_out_texts(spark, small):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    hidden = F.col("doc_id") % 3 == 0
+    out = L.identify_languages(docs, declared=F.when(~hidden, F.col("lang")), host=F.col("source"))
+    both = out.join(docs.select("doc_id", "lang"), "doc_id").filter(hidden)
+    assert both.filter("language = lang").count() >= 0.99 * both.count()
+    assert out.filter("not kept").count() <= 0.01 * docs.count()
+
+
+def test_language_evidence(spark):
+    rows = [(i, "the and of that with this " * 5, "https://a.example.com/en/1", "en") for i in range(30)] + [(100 + i, "les des une dans avec pour " * 5, "https://a.example.fr/fr/1", "fr") for i in range(30)]
+    rows += [(200, "x", "https://b.example.fr/fr/9", "fr-FR"), (201, None, None, None), (202, "12 34 ###", None, "en"), (203, "the and of", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, tag string")
+    got = {r.doc_id: r for r in L.identify_languages(df, declared=F.col("tag"), url=F.col("url")).collect()}
+    assert len(got) == len(rows)
+    assert got[200].language == "fr" and got[203].language == "en"
+    assert not got[201].kept and got[201].reason == "no text" and not got[202].kept
+    assert all(got[i].language == "en" and got[i].kept for i in range(30))
+    none = L.identify_languages(df.filter("doc_id > 200"), url=F.col("url"))
+    assert none.filter("kept").count() == 0 and L.identify_languages(df.limit(0), declared=F.col("tag")).count() == 0
+    page = spark.createDataFrame([('<!DOCTYPE html><html class="x" lang="de-AT"><p lang="fr">', "https://u@m.example.de:80/a?b")], "h string, u string")
+    assert tuple(page.select(L.markup_language(F.col("h")), L.suffix_of(F.col("u")), L.host_of(F.col("u"))).first()) == ("de-AT", ".de", "m.example.de")
+
+
+def test_binomial_bounds():
+    for n, k, a in ((20, 0, 0.05), (50, 3, 0.01), (400, 10, 0.001)):
+        p = Q.upper_bound(k, n, a)
+        assert abs(Q.binomial_cdf(k, n, p) - a) < 1e-6
+    assert abs(Q.upper_bound(0, 20, 0.05) - (1 - 0.05 ** (1 / 20))) < 1e-9
+    assert Q.upper_bound(5, 5, 0.05) == 1.0 and Q.upper_bound(0, 0, 0.05) == 1.0
+
+
+def test_quality_counts_and_guarantee(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    out = Q.quality_filter(docs, labels).join(labels, "doc_id")
+    for r in out.join(docs.select("doc_id", "lang"), "doc_id").filter("quality = 1").groupBy("lang").agg(F.avg((F.size("broken_rules") > 0).cast("double")).alias("rate")).collect():
+        assert r.rate <= 0.05
+    bad = out.filter("quality = 0").agg(F.avg((~F.col("kept")).cast("double"))).first()[0]
+    assert bad > 0.6
+
+
+def test_quality_edges(docs_of, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(1, None), (2, ""), (3, "a b c d e f g h i j"), (4, "a b c d e " * 3), (5, "x\nx\n \n \nx y z # $ w v u t s r"), (None, "q " * 30_000), (3, "a")]
+    out = Q.quality_filter(docs_of(rows), labels).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.doc_id == 3:
+            continue
+        t = dict(rows)[r.doc_id] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        cov = {i + j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cov))
+        assert r.base_failed == (len(w) < 10 or 100 * len(cov) > 20 * len(w)) and r.kept == (not r.base_failed)
+    assert Q.quality_filter(docs_of([]), labels).count() == 0
+
+
+SECRET = "5f2b8c1d9e0a4b7c6d3e5f2b8c1d9e0a4b7c6d3e"
+
+
+def test_secrets_are_found_and_masked(spark):
+    random.seed(2)
+    hexes = ["".join(random.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    rows = [(i, f'some words token = "{h}" and more', "src1") for i, h in enumerate(hexes)]
+    rows += [(100 + i, f"write to ann.lee{i}@mail{i}.example.com about order {10**15 + i}", "src2") for i in range(40)]
+    rows += [(300, "key AKIA" + "Z" * 8 + "12345678 here", "src3"), (301, None, None), (302, "", "x"), (303, "nothing", None), (None, f"password={SECRET}", "y"), (304, "é " * 30_000 + f"secret: {SECRET}", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = X.scan_secrets(df, path=F.col("source")).collect()
+    hit = {(r.doc_id, r.value_sha256) for r in out if r.is_secret}
+    want = {(i, hashlib.sha256(h.encode()).hexdigest()) for i, h in enumerate(hexes)} | {(i, hashlib.sha256(SECRET.encode()).hexdigest()) for i in (None, 304)}
+    assert want <= hit and not {d for d, _ in hit if d is not None and 100 <= d < 200}
+    judged = spark.createDataFrame([(r.value_sha256, int(r.doc_id is not None and r.doc_id < 40)) for r in out], "value_sha256 string, label int")
+    again = X.scan_secrets(df, judged, path=F.col("source"))
+    assert again.filter("is_secret and doc_id < 40").count() == 40
+    keyed = df.withColumn("k", F.sha2(F.coalesce("text", F.lit("")), 256))
+    masked = X.redact(keyed, X.scan_secrets(keyed, path=F.col("source"), id_col="k"), id_col="k").collect()
+    assert len(masked) == len(rows) and not any(SECRET in (r.text or "") or any(h in (r.text or "") for h in hexes) for r in masked)
+    assert {r.text for r in masked if r.doc_id == 303} == {"nothing"} and 'token = "<secret>" and more' in next(r.text for r in masked if r.doc_id == 0)
+    assert X.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_min_cut_is_optimal():
+    random.seed(1)
+    for _ in range(200):
+        n = random.randint(1, 9)
+        scores = [random.uniform(-2, 2) for _ in range(n)]
+        edges = [(i - 1, i, 0.8) for i in range(1, n)] + [e for e in ((random.randrange(n), random.randrange(n), 0.6) for _ in range(n)) if e[0] != e[1]]
+        cost = lambda l: sum(max(0, s) if not k else max(0, -s) for s, k in zip(scores, l)) + sum(c for a, b, c in edges if l[a] != l[b])  # noqa: B023, E731, E741
+        assert cost(H.min_cut(scores, edges)) <= min(map(cost, itertools.product([0, 1], repeat=n))) + 1e-6
+
+
+PAGE = """<html><head><title>T</title><style>x{}</style></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>
+<div class="cookie-notice">We use cookies.</div><div id="content"><h1>Head &amp; tail</h1><p>One <b>t</b>wo&nbsp;three<br>four<p>Five <script>var a="</p>";</script>six
+<!-- <p>no</p> --><div class="comments"><p>nice post</p></div></div><aside>Also</aside><form><input>Search</form><footer>&copy; x</footer>"""
+
+
+def test_html(spark, small):
+    assert H.main_text(PAGE, {}) == "Head & tail One two three four Five six"
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain text"), (4, "u", "plain text"), (5, "u", "<p>" * 3000 + "<div class='"), (None, "u", "<article>" + "<p>word</p>" * 5000)]
+    out = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
+    assert next(r.text for r in out if r.page_id is None) == " ".join(["word"] * 5000)
+    pages = table(spark, small, "pages")
+    got = {r.page_id: r.text for r in H.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
+        import html
+
+        assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+    assert H.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_sharding_moves_rows_only_into_the_new_shard(docs_of, spark, small):
+    rows = [(i, "t" * (i % 7)) for i in range(4000)] + [(None, None), (None, None), (5, "again")]
+    out = assign_shards(docs_of(rows), grid(40), grown(grid(40), 40)).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r.slot)
+        assert r.grown_shard in (r.shard, 40)
+        if r.doc_id not in (None, 5):
+            t = "t" * (r.doc_id % 7)
+            assert (r.size, r.text_crc32) == (len(t) + 16, zlib.crc32(t.encode()))
+    assert set(by) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert 0.4 * 100 < min(map(len, by.values())) and max(map(len, by.values())) < 1.7 * 100
+    assert 30 < sum(r.grown_shard == 40 for r in out) < 200
+    assert len({r.shard for r in out if r.doc_id == 5}) == 1 and assign_shards(docs_of([]), grid(40)).count() == 0
+
+
+def test_weights_move_rows_only_within_their_subtree(spark):
+    from fleetcut.llm.sharding import with_shard
+
+    df = spark.range(0, 3000).select(F.col("id").cast("string").alias("key"))
+    tree = grid(16)
+    lighter = {**tree, "region0": {**tree["region0"], "rack0": {0: 1.0, 1: 3.0}, "rack1": {2: 0.0001, 3: 0.9999}}}
+    a = {r.key: r.s for r in with_shard(df, "key", tree, "s").collect()}
+    b = {r.key: r.s for r in with_shard(df, "key", lighter, "s").collect()}
+    moved = {(a[k], b[k]) for k in a if a[k] != b[k]}
+    assert moved and all(y in range(8) for _, y in moved)
+
+
+def test_registered_queries(spark, small):
+    names = list(queries())
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert set(oracle_sql()) <= set(names)
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline as P
+
+    docs = table(spark, small, "documents")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, kept, small)
+        assert sorted(out.columns) == sorted(docs.columns), name
+        kept = spark.createDataFrame(out.collect(), out.schema)
+    assert 0.5 * docs.count() < kept.count() <= docs.count()
+    texts = [" ".join(r.text.split()) for r in kept.collect()]
+    assert len(texts) == len(set(texts)) or len(texts) - len(set(texts)) < 3
+    packed = P.run(spark, small)
+    assert packed.select("doc_id").distinct().count() == kept.count()
+    bare = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the of and", "en", "s", 3), (2, "the of and", "en", "s", 3)], docs.schema)
+    for _, stage in P.STAGES[:-1]:
+        bare = spark.createDataFrame(stage(spark, bare, small).collect(), docs.schema)
+    assert [r.doc_id for r in bare.collect()] == [2]
