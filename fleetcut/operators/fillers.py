@@ -111,6 +111,7 @@ def filler_spans(segments: DataFrame, regions: DataFrame, projects: DataFrame, w
         one(trail_ok, "trailing", F.col("last_start_ms") - F.least(F.lit(pad_post).cast("bigint"), back), right, F.col("trailing.word"), 2),
     ))
     out = s.select(PID, "segment_id", F.col("ord").alias("seg_ord"), "tier", F.explode(found).alias("c")).filter("c.hi > c.lo")
+    # The notes that reviewers see.
     said = F.when(F.col("c.placement") == "whole", "segment is only the filler 「").when(F.col("c.placement") == "leading", "segment opens with the filler 「").otherwise("segment ends with the filler 「")
     note = F.concat(said, F.col("c.word"), F.lit("」, cut to the VAD boundary"))
     return out.select(PID, "segment_id", "seg_ord", F.col("c.rank").alias("rank"), F.col("c.placement").alias("placement"), F.col("c.lo").alias("start_ms"), F.col("c.hi").alias("end_ms"), filler_confidence(F.col("c.placement"), F.col("tier")).alias("confidence"), note.alias("note"))
