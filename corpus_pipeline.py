@@ -23,8 +23,8 @@ def _only(docs: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
     words = C.filter_words(ids.count())
     bloom = C.stage(C.bloom_of(ids.select(F.xxhash64("__id").alias("h")), "h", words), "bloom")
     marked = C.probe(docs, F.xxhash64(F.col(key)), bloom, words, "__maybe")
-    some = marked.filter("__maybe").join(ids, F.col(key) == F.col("__id"), "left_semi" if keep else "left_anti").select(*docs.columns)
-    return some if keep else marked.filter(~F.col("__maybe")).select(*docs.columns).unionByName(some)
+    some = marked.filter("__maybe").join(ids, F.col(key) == F.col("__id"), "left_semi" if keep else "left_anti").select(*C.columns_of(docs))
+    return some if keep else marked.filter(~F.col("__maybe")).select(*C.columns_of(docs)).unionByName(some)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     key = F.sha2(F.concat_ws("\u0000", F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))), 256)
     keyed = docs.withColumn("__key", key)
     out = identify_languages(keyed, declared=F.col("lang"), host=F.col("source"), id_col="__key")
-    return _only(keyed, out.filter("not kept").select("doc_id"), "__key", False).select(*docs.columns)
+    return _only(keyed, out.filter("not kept").select("doc_id"), "__key", False).select(*C.columns_of(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with its secrets replaced by a marker; n_chars follows the new text."""
     keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    out = redact(keyed, scan_secrets(keyed, path=F.col("source"), id_col="__key"), id_col="__key").select(*docs.columns)
+    out = redact(keyed, scan_secrets(keyed, path=F.col("source"), id_col="__key"), id_col="__key").select(*C.columns_of(docs))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

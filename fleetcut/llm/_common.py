@@ -25,22 +25,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """Its columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fleetcut_path = path
     return out
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/fleetcut-{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all that this application has staged. Call it when no result of an operator will be read any more."""
+    _remove(spark, _session_dir(spark))
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "_fleetcut_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _remove(df.sparkSession, path)
 
 
 def _word(h: Column, words: int) -> Column:
@@ -95,13 +112,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
     """Join rows to a table unique by key. count: its column with the rows that each key has. Keys with over a
     thousandth of all rows (so fewer than HOT_KEYS) come by broadcast, where they do not shuffle; the rest by a shuffle."""
     limit = max(1000, total // HOT_KEYS)
-    hot = F.broadcast(table.filter(F.col(count) > limit))
-    cold = table.filter(F.col(count) <= limit)
-    marked = rows.join(F.broadcast(table.filter(F.col(count) > limit).select(F.col(key).alias("__k"))), F.col(key) == F.col("__k"), "left")
-    return (
-        rows.join(hot, key)
-        .unionByName(marked.filter(F.col("__k").isNull()).drop("__k").join(cold, key, how))
-    )
+    mine = [c for c in table.columns if c != key]
+    hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__hot_{c}") for c in mine])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
+    known = marked.filter(F.col("__k").isNotNull()).select(key, *[c for c in rows.columns if c != key], *[F.col(f"__hot_{c}").alias(c) for c in mine])
+    rest = marked.filter(F.col("__k").isNull()).select(*rows.columns)
+    return known.unionByName(rest.join(table.filter(F.col(count) <= limit), key, how))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -53,7 +53,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = docs.count()
     words = C.filter_words(total)
     bloom = C.stage(C.bloom_of_repeated(docs.select(h.alias("h")), "h", words), "bloom")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    row = F.struct(*C.columns_of(docs)).alias("__row")
     packed = docs.select(row, sha.alias("__sha"), F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("d")).alias("__order"))
     marked = C.probe(packed, F.xxhash64("__sha"), bloom, words, "__maybe")
     alone = marked.filter(~F.col("__maybe")).select("__row")

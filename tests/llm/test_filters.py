@@ -188,3 +188,6 @@ def test_pipeline(spark, small):
     for _, stage in P.STAGES[:-1]:
         bare = spark.createDataFrame(stage(spark, bare, small).collect(), docs.schema)
     assert [r.doc_id for r in bare.collect()] == [2]
+    odd = docs.limit(20).withColumn("a.b", F.lit(1)).withColumn("kept", F.lit("x"))
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, odd, small).columns == odd.columns, name
