@@ -55,11 +55,18 @@ def _train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             used = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(c[used], pa.int64())], ["declared", "gram", "n"])
 
+    def pack(table):
+        import pyarrow as pa
+
+        dense = np.zeros(GRAMS, "<i8")
+        dense[table.column("gram").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"declared": table.column("declared").slice(0, 1), "counts": pa.array([dense.tobytes()], pa.binary())})
+
     grams = sample.mapInArrow(run, "declared string, gram int, n long").groupBy("declared", "gram").agg(F.sum("n").alias("n"))
     names = sorted(lang for lang, _ in langs)
     table = np.full((len(names), GRAMS), 0.5)
-    for pdf in [grams.toPandas()]:  # at most LANGUAGES * GRAMS rows
-        table[[names.index(x) for x in pdf["declared"]], pdf["gram"]] += pdf["n"]
+    for r in grams.groupBy("declared").applyInArrow(pack, "declared string, counts binary").collect():  # LANGUAGES rows of 512 KiB at most
+        table[names.index(r["declared"])] += np.frombuffer(r["counts"], "<i8")
     return names, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
