@@ -53,6 +53,19 @@ def sweep(spark: SparkSession) -> None:
     _remove(spark, _session_dir(spark))
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back at the end of a task; workers live on and share an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "_fleetcut_path", None)

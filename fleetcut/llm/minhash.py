@@ -15,6 +15,8 @@ from fleetcut.llm.words import WordHashes, mix, shingles
 #: Bands of rows each: sets of similarity 0.8 share no bucket with chance (1 - 0.8 ** 6) ** 40 = 5e-6.
 BANDS, ROWS = 40, 6
 _TRIES = 1024
+#: Documents of a block and of a chunk of a bucket, about.
+BLOCK, CHUNK = 128, 128
 
 
 @lru_cache(4)
@@ -79,6 +81,8 @@ def _map_sets(docs: DataFrame, size: int, with_set: bool) -> DataFrame:
                 cols = [part.column(0), pa.array(n, pa.int64())]
                 cols += [pa.array(sets, pa.list_(pa.int64()))] if with_set else [pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
+        hashes.clear()
+        C.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -152,7 +156,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         apart = _with_comp(_with_comp(star, labels, "c", "kc"), labels, "m", "km").filter("kc <> km")
         rest = apart.join(best, ["c", "m"], "left_anti").select(F.col("c").alias("a"), F.col("m").alias("b"))
         labels = _relabel(labels, _similar(rest, sets, percent))
-        labels = _finish(full.filter("k > 2"), one_each.select(F.col("doc_id").alias("m"), "bands"), labels, sets, percent)
+        labels = _finish(full.filter("k > 2"), labels, sets, percent)
     out = same if labels is None else _with_comp(same, labels, "rep", "comp")
     comp = out.select("doc_id", F.col("rep" if labels is None else "comp").alias("component_id"))
     comp = comp.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -160,34 +164,79 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _finish(full: DataFrame, bands: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Further centres for buckets (key, m, n, c, k) that hold more than one component; bands: (m, bands).
+def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with theirs."""
+    with_comp = _with_comp(full, labels, "m", "comp")
+    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y"))
+    return C.stage(with_comp.join(mixed.select("key"), "key", "left_semi"), "open")
 
-    A member's level is the number of leading zeros of its hash in the bucket, so about half the members have
-    level 0, a quarter level 1, and so on. First the members of the top levels (about four) meet all others of the bucket, which
-    merges most of what one centre could not; then, in buckets that are still mixed, the rest meet. Only members of different components and of
-    compatible sizes meet, and only in the first band that they share.
+
+def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that the stars of buckets (key, m, n, c, k) cannot show.
+
+    First a few more centres: the members with the most leading zeros in their hash, about four a bucket, meet all others. In
+    buckets that are still mixed, the members outside the largest component then meet all of the bucket in blocks, so that every two
+    members of different components have met.
+    """
+    zeros = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("key", "m").bitwiseAND(F.lit((1 << 40) - 1))), 40, "0"), "^0*", 0))
+    full = full.select("key", "m", "n", (zeros >= F.ceil(F.log2("k")).cast("int") - 2).alias("centre"))
+    open_ = _open(full, labels)
+    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    one = open_.filter("centre").select(F.col("key").alias("k1"), F.col("m").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ka"))
+    two = open_.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"), F.col("centre").alias("cb"))
+    met = (F.col("k1") == F.col("key")) & (F.col("ka") != F.col("kb")) & near & (~F.col("cb") | (F.col("a") < F.col("b")))
+    pairs = C.stage(one.join(two, met).select("a", "b").distinct(), "pairs")
+    if not pairs.isEmpty():
+        labels = _relabel(labels, _similar(pairs, sets, percent))
+    C.unstage(open_)
+    open_ = _open(full, labels)
+    return labels if open_.isEmpty() else _relabel(labels, _meet_in_blocks(open_, sets, percent))
+
+
+def _meet_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members outside their bucket's largest component with members of other components.
+
+    A bucket's outsiders are dealt into blocks of about BLOCK, its members into chunks of about CHUNK; each block meets each chunk as one
+    bounded group, in which the members' sets are looked up in the sorted items of the block. Of several links
+    of an outsider with one component, one is returned.
     """
-    level = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("key", "m").bitwiseAND(F.lit((1 << 40) - 1))), 40, "0"), "^0*", 0))
-    top = F.ceil(F.log2("k")).cast("int") - 2
-    full = full.filter("m <> c").select("key", "m", "n", "c", level.alias("level"), top.alias("top"))
-    for last in (False, True):
-        with_comp = _with_comp(_with_comp(full, labels, "m", "comp"), labels, "c", "centre")
-        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y"))
-        open_ = C.stage(with_comp.join(mixed.select("key"), "key", "left_semi").join(bands, "m"), "open")
-        if open_.isEmpty():
-            return labels
-        early = F.col("level") >= F.col("top")
-        one = open_.filter(~early if last else early).select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ka"), F.col("level").alias("la"), F.col("bands").alias("ba"))
-        two = open_.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"), F.col("level").alias("lb"), F.col("bands").alias("bb"))
-        near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-        later = (F.col("lb") < F.col("la")) | ((F.col("lb") == F.col("la")) & (F.col("a") < F.col("b")))
-        before = F.array_position("ba", F.col("key")).cast("int") - 1
-        first = ~F.arrays_overlap(F.slice("ba", F.lit(1), before), F.col("bb"))
-        pairs = one.withColumnRenamed("key", "k1").join(two, (F.col("k1") == F.col("key")) & (F.col("ka") != F.col("kb")) & near & later & first)
-        pairs = C.stage(pairs.select("a", "b").distinct(), "pairs")
-        if not pairs.isEmpty():
-            labels = _relabel(labels, _similar(pairs, sets, percent))
-        C.unstage(pairs)
-        C.unstage(open_)
-    return labels
+    import pyarrow as pa
+
+    per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"))
+    blocks, chunks = F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("total") / CHUNK).cast("int")
+    rows = open_.select("key", "m", "comp").join(main.select("key", "main", blocks.alias("blocks"), chunks.alias("chunks")), "key")
+    rows = rows.join(sets.select(F.col("doc_id").alias("m"), "items"), "m")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, salt: F.pmod(F.xxhash64("m", F.lit(salt)), F.col(n)).cast("int")
+    members = rows.withColumn("chunk", deal("chunks", "c")).withColumn("block", each("blocks")).select("key", "block", "chunk", "m", "comp", "items")
+    outside = rows.filter(F.col("comp") != F.col("main")).withColumn("block", deal("blocks", "b")).withColumn("chunk", each("chunks"))
+    outside = outside.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "block", "chunk", "m", "comp", "items")])
+    kind = dict(open_.dtypes)["m"]
+
+    def meet(left, right):
+        a, b = left.combine_chunks(), right.combine_chunks()
+        ids_a, ids_b, src, got = a.column("m"), b.column("o_m"), [], []
+        if len(a) and len(b):
+            comp_a, comp_b = a.column("comp").to_pylist(), b.column("o_comp").to_pylist()
+            items = [np.asarray(x.values) for x in b.column("o_items")]
+            size = np.array([len(x) for x in items])
+            flat, owner = np.concatenate(items), np.repeat(np.arange(len(items)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            seen = set()
+            for i, x in enumerate(a.column("items")):
+                mine = np.asarray(x.values)
+                lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(items))
+                for j in np.flatnonzero(100 * shared >= percent * (len(mine) + size - shared)).tolist():
+                    if comp_a[i] != comp_b[j] and (comp_a[i], j) not in seen:
+                        seen.add((comp_a[i], j))
+                        src.append(i), got.append(j)
+        take = lambda col, at: col.take(pa.array(at, pa.int64()))
+        return pa.table({"a": take(ids_a, src), "b": take(ids_b, got)})
+
+    keys = ("key", "block", "chunk")
+    return members.groupBy(*keys).cogroup(outside.groupBy(*[f"o_{k}" for k in keys])).applyInArrow(meet, f"a {kind}, b {kind}")
