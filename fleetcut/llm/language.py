@@ -174,6 +174,7 @@ def identify_languages(
                         fit[full, i] = np.add.reduceat(table[i][codes], starts[full], dtype=np.float64) / n[full]
                 cols = [part.column(i) for i in (0, 2, 3, 4)] + [pa.array(n, pa.int64()), pa.array(list(fit), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
+        C.trim()
 
     fitted = rows.select("doc_id", "text", "declared", "suffix", "host").mapInArrow(run, schema)
     guess = F.when(F.col("n") > 0, F.array_position("fit", F.array_max("fit")).cast("int") - 1).otherwise(-1)
