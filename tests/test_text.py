@@ -169,3 +169,36 @@ def test_flatten_and_compare_runs(spark):
 def test_choose_breaks_ties_by_time(spark):
     b = spark.createDataFrame([("a", 0.050, 30.0, False), ("b", 0.060, 20.0, False), ("c", 0.0601, 1.0, False), ("d", 0.01, 1.0, True), ("e", None, 1.0, False)], "candidate string, cer double, wall_seconds double, unavailable boolean")
     assert R.choose(b).collect()[0].candidate == "b"
+
+
+def test_registered_queries_read_whole_texts(spark):
+    """Hunks, readings and edit counts reach the end of long texts; runs are compared with brute force."""
+    from fleetcut.plans import text_queries as Q
+
+    random.seed(21)
+    texts = {1: "".join(random.choice("abcdef ") for _ in range(433)), 2: "abc" * 20, 3: "", 4: None, 5: "é" * 5 + "xy" * 45}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    class Tables:
+        def table(self, name):
+            return docs
+
+    want = {}
+    for d, t in texts.items():
+        t = "".join(c for c in t or "" if c.isascii())
+        for r in range(max(1, -(-len(t) // 60) - 1)):
+            a, b = (t[60 * k : 60 * k + 60].replace(" ", "") for k in (r, r + 1))
+            want[d, r] = levenshtein(a, b)
+    got = {(r.doc_id, r.run): r.substitutions + r.deletions + r.insertions for r in Q.h12_edit_counts(Tables()).collect()}
+    assert got == want and max(r for _, r in got) == 6
+    assert {r.doc_id: len(r.reading or "") for r in Q.h03_normalise_reading(Tables()).collect()}[1] == sum(c in "abcdef" for c in texts[1])
+
+
+def test_heard_texts_are_whole(spark, monkeypatch):
+    from fleetcut.plans import text_queries as Q
+
+    said = "".join(random.Random(5).choice("abcdefghij") for _ in range(2500)) + "x"
+    rows = spark.createDataFrame([(1, "s0001", 0, said)], "project_id long, segment_id string, offset long, said string")
+    monkeypatch.setattr(Q, "expected", lambda f: rows)
+    r = Q.heard(None).collect()[0]
+    assert r.expected == said and r.actual == said[:40] + said[45:-1] + "k"
