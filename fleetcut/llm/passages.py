@@ -56,19 +56,48 @@ class Fenwick:
         return out
 
 
+class Fenwick2:
+    """Largest value, with who set it, over any prefix of two coordinates: a Fenwick tree of sparse ones."""
+
+    def __init__(self, n: int, m: int):
+        self.n, self.m = n, m
+        self.best: dict[tuple[int, int], tuple[float, int]] = {}
+
+    def update(self, i: int, j: int, value: float, who: int) -> None:
+        i += 1
+        while i <= self.n:
+            k = j + 1
+            while k <= self.m:
+                if value > self.best.get((i, k), (float("-inf"), -1))[0]:
+                    self.best[i, k] = (value, who)
+                k += k & -k
+            i += i & -i
+
+    def prefix(self, i: int, j: int) -> tuple[float, int]:
+        out = (float("-inf"), -1)
+        while i > 0:
+            k = j
+            while k > 0:
+                out = max(out, self.best.get((i, k), out))
+                k -= k & -k
+            i -= i & -i
+        return out
+
+
 def chains(segments: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """Disjoint chains of segments (place here, place there, length) that ascend on both sides, best first.
 
     A chain scores its words less GAP for each word skipped on either side and SHIFT for each word that the diagonals
-    differ. The first part is a prefix maximum once both places are added to the score, so one Fenwick tree over places
-    there serves each side of the diagonal: with i = here, j = there, the cost of a step is GAP * (di + dj) +
-    SHIFT * |di - dj|, and |x| is x for the tree of smaller diagonals and -x for that of larger ones.
+    differ. With i = here, j = there, the cost of a step is GAP * (di + dj) + SHIFT * |di - dj|, so once both places are
+    added to the score the best predecessor is a prefix maximum on each side of the diagonal i - j. Segments come by their
+    start here and enter once they end before it. On a diagonal no smaller, ending before here implies ending before
+    there, so one Fenwick tree over diagonals serves; on a smaller one the end there is a second coordinate.
     """
     segs = sorted(segments)
     n = len(segs)
     ends = sorted({s[1] + s[2] for s in segs})
-    # two trees by diagonal sign, each over end places there; diagonal order is enforced by taking the dearer of both
-    up, down = Fenwick(len(ends)), Fenwick(len(ends))
+    diagonals = sorted({s[0] - s[1] for s in segs})
+    up, down = Fenwick2(len(diagonals), len(ends)), Fenwick(len(diagonals))
     score, before = [0.0] * n, [-1] * n
     pending = sorted(range(n), key=lambda k: segs[k][0] + segs[k][2])
     p = 0
@@ -77,14 +106,13 @@ def chains(segments: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
         while p < n and segs[pending[p]][0] + segs[pending[p]][2] <= i:
             q = pending[p]
             ei, ej = segs[q][0] + segs[q][2], segs[q][1] + segs[q][2]
-            at = bisect_left(ends, ej)
-            up.update(at, score[q] + GAP * (ei + ej) + SHIFT * (ei - ej), q)
-            down.update(at, score[q] + GAP * (ei + ej) - SHIFT * (ei - ej), q)
+            d = bisect_left(diagonals, ei - ej)
+            up.update(d, bisect_left(ends, ej), score[q] + GAP * (ei + ej) + SHIFT * (ei - ej), q)
+            down.update(len(diagonals) - 1 - d, score[q] + GAP * (ei + ej) - SHIFT * (ei - ej), q)
             p += 1
-        upto = bisect_left(ends, j + 1)
+        d = bisect_left(diagonals, i - j)
         best, who = 0.0, -1
-        for tree in (up, down):
-            q = tree.prefix(upto)[1]
+        for q in (up.prefix(d + 1, bisect_left(ends, j + 1))[1], down.prefix(len(diagonals) - d)[1]):
             if q >= 0:
                 di, dj = i - segs[q][0] - segs[q][2], j - segs[q][1] - segs[q][2]
                 gain = score[q] - GAP * (di + dj) - SHIFT * abs(di - dj)
@@ -120,16 +148,18 @@ def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Equal words in a best alignment of two short gaps; of long ones, those equal after one shared shift."""
+    """Equal words in a best alignment of two gaps of any length, by bit-parallel dynamic programming (one bit a word of b)."""
     if not len(a) or not len(b):
         return 0
-    if len(a) * len(b) > 4096:
-        n = min(len(a), len(b))
-        return max(int(np.count_nonzero(a[:n] == b[:n])), int(np.count_nonzero(a[-n:] == b[-n:])))
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return int(row[-1])
+    places: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        if at := row & places.get(x, 0):
+            row = (row + at | row - at) & full
+    return len(b) - row.bit_count()
 
 
 def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, least: int) -> list[tuple[int, int, int, int, int]]:

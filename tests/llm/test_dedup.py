@@ -147,6 +147,47 @@ def test_fenwick_and_chains():
     assert chain == [(0, 0, 20), (25, 24, 20), (60, 60, 30)]
 
 
+def test_chains_equal_the_quadratic_recurrence():
+    from fleetcut.llm import passages as P
+
+    gain = lambda s, q, k: s - P.GAP * (k[0] - q[0] - q[2] + k[1] - q[1] - q[2]) - P.SHIFT * abs(k[0] - k[1] - q[0] + q[1])
+
+    def best(segs):
+        """Score of the best chain by trying every predecessor."""
+        score = []
+        for k in sorted(segs):
+            before = [gain(s, q, k) for s, q in score if q[0] + q[2] <= k[0] and q[1] + q[2] <= k[1]]
+            score.append((k[2] + max([0.0, *before]), k))
+        return max(s for s, _ in score)
+
+    def value(chain):
+        out = 0.0
+        for at, k in enumerate(chain):
+            out = k[2] + (max(0.0, gain(out, chain[at - 1], k)) if at else 0.0)
+        return out
+
+    random.seed(15)
+    assert chains([(200, 0, 40), (0, 200, 40), (245, 245, 30), (280, 282, 30)])[0] == [(245, 245, 30), (280, 282, 30)]
+    for _ in range(300):
+        reach = random.choice((30, 100, 400))
+        segs = list({(random.randrange(reach), random.randrange(reach), random.randint(5, 40)) for _ in range(random.randint(1, 40))})
+        got = chains(segs)
+        assert sorted(s for c in got for s in c) == sorted(segs)
+        assert abs(value(got[0]) - best(segs)) < 1e-9
+
+
+def test_long_gaps_align_exactly():
+    from fleetcut.llm.passages import _lcs
+
+    rng = np.random.default_rng(4)
+    for n in (5, 60, 300):
+        a, b = rng.integers(0, 40, n).astype(np.uint32), rng.integers(0, 40, n + 7).astype(np.uint32)
+        row = np.zeros(len(b) + 1, np.int64)
+        for x in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+        assert _lcs(a, b) == row[-1]
+
+
 def test_alignment_bridges_edits():
     random.seed(6)
     words = np.array([random.getrandbits(31) for _ in range(300)], np.uint32)
