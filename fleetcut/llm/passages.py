@@ -227,13 +227,87 @@ def _map_words(docs: DataFrame, what: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def open_windows(n: int, least: int, places: np.ndarray, hashes: np.ndarray, earlier: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Start, and place of the first own seed, of each window of `least` of n words that an earlier document may hold and
+    that no span covers. A window's own seeds are those that its words alone choose: they lie from the smallest of its
+    first WINDOW seeds to the smallest of its last, every copy of the window has them, and all must be earlier ones."""
+    wide = least - K + 1
+    if n < least or wide < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    dense = np.full(n - K + 1, ~np.uint64(0))
+    dense[places] = hashes
+    size = min(WINDOW, wide)
+    smallest = np.lib.stride_tricks.sliding_window_view(dense, size).argmin(1) + np.arange(len(dense) - size + 1)
+    start = np.arange(n - least + 1)
+    first, last = smallest[start], smallest[start + wide - size]
+    chosen, known = np.zeros(len(dense) + 1, np.int64), np.zeros(len(dense) + 1, np.int64)
+    chosen[places + 1], known[places + 1] = 1, earlier
+    chosen, known = chosen.cumsum(), known.cumsum()
+    seen = chosen[last + 1] - chosen[first]
+    ok = (chosen[first + 1] > chosen[first]) & (seen > 0) & (known[last + 1] - known[first] == seen)
+    for lo, hi in spans:
+        ok[lo : max(lo, hi - least + 1)] = False
+    return start[ok], first[ok]
+
+
+def _open_windows(seeds: DataFrame, known: DataFrame, texts: DataFrame, found: DataFrame, least: int, id_type: str) -> DataFrame:
+    """Rows (doc_id, start, seed, ahead): windows that no row of `found` covers though an earlier document may hold them.
+    seed: the window's first own seed, `ahead` words behind its start."""
+    import pyarrow as pa
+
+    told = known.filter("source_id < doc_id").select("doc_id", "seed", "place", F.lit(True).alias("earlier"))
+    some = seeds.join(told.select("doc_id").distinct(), "doc_id", "left_semi").join(told, ["doc_id", "seed", "place"], "left")
+    mine = some.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "seed", F.coalesce("earlier", F.lit(False)).alias("earlier")))).alias("seeds"))
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    sizes = texts.select("doc_id", (F.length("words") / 4).cast("int").alias("n"))
+    rows = mine.join(sizes, "doc_id").join(spans, "doc_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                seeds_, spans_ = part.column("seeds")[0].values, part.column("spans")[0].values
+                places, hashes = seeds_.field("place").to_numpy().astype(np.int64), seeds_.field("seed").to_numpy().view(np.uint64)
+                earlier = seeds_.field("earlier").to_numpy(zero_copy_only=False)
+                covered = [] if spans_ is None else list(zip(spans_.field("start_word").to_pylist(), spans_.field("end_word").to_pylist(), strict=True))
+                start, place = open_windows(part.column("n")[0].as_py(), least, places, hashes, earlier, covered)
+                seed = hashes[np.searchsorted(places, place)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(np.zeros(len(start), np.int64))), pa.array(start), pa.array(seed), pa.array((place - start).astype(np.int32))],
+                    ["doc_id", "start", "seed", "ahead"],
+                )
+
+    return rows.select("doc_id", "seeds", "spans", "n").mapInArrow(run, f"doc_id {id_type}, start long, seed long, ahead int")
+
+
+def _window_keys(places: DataFrame, texts: DataFrame, least: int, id_type: str) -> DataFrame:
+    """Rows (doc_id, start, window): a hash of the `least` words from each start."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                words = np.frombuffer(part.column("words")[0].as_buffer(), "<u4").astype(np.uint64)
+                starts = part.column("starts")[0].values.to_numpy()
+                starts = starts[(starts >= 0) & (starts + least <= len(words))]
+                keys = shingles(words, least)[starts].view(np.int64) if len(starts) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([0] * len(starts), pa.int64())), pa.array(starts, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "start", "window"])
+
+    rows = places.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).join(texts, "doc_id")
+    return rows.select("doc_id", "starts", "words").mapInArrow(run, f"doc_id {id_type}, start long, window long")
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least `least` words that a document shares with an earlier one, exactly or nearly.
 
     Rows: doc_id, start_word, end_word, source_id, source_start, source_end, n_equal. Words are lower-cased (A-Z). Texts
     with equal words are one class: its smallest id takes part, and each other member gets one row for its whole text if it is
     long enough. Each seed points to its smallest document only, a star, so anchors grow with the text and not
-    with the pairs of documents that share a passage. A document is compared with the sources its own seeds name.
+    with the pairs of documents that share a passage. A document is compared with the sources its own seeds name. Windows
+    of `least` words that no such passage covers, though an earlier document may hold them, are then looked up whole and
+    point to the smallest document that holds the window, so every window that an earlier document shares is covered
+    (if it has K + WINDOW - 1 words or more).
 
     Null or short texts and null ids have no passages; rows that share an id are one document if their texts are equal,
     else each is compared; an empty table gives no rows.
@@ -256,7 +330,6 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     words = C.filter_words(shared.count())
     bloom = C.stage(C.bloom_of(shared.select("seed"), "seed", words), "bloom")
     maybe = C.stage(C.probe(seeds, F.col("seed"), bloom, words, "maybe").filter("maybe").drop("maybe"), "maybe")
-    C.unstage(seeds)
     known = C.stage(C.lookup(maybe, shared, "seed", "n", maybe.count()).drop("n"), "known")
     # a source's own places of a seed: a few, or as many as the text repeats it; the first and the last stand for them
     there = known.filter("doc_id = source_id").groupBy("seed").agg(F.min("place").alias("one"), F.max("place").alias("two"), F.count(F.lit(1)).alias("k"))
@@ -299,7 +372,24 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 )
 
     schema = f"doc_id {id_type}, start_word long, end_word long, source_id {id_type}, source_start long, source_end long, n_equal long"
-    fuzzy = joined.select("doc_id", "source_id", "anchors", "words", "source_words").mapInArrow(run, schema)
+    cols = ["doc_id", "source_id", "anchors", "words", "source_words"]
+    star = C.stage(joined.select(*cols).mapInArrow(run, schema), "star")
+    # a window shared with an earlier document has its first seed there at the same distance from its start
+    gaps = C.stage(_open_windows(seeds, known, texts, star, least, id_type), "open")
+    C.unstage(seeds)
+    asked = C.stage(gaps.groupBy("seed").agg(F.collect_set("ahead").alias("aheads")), "asked")
+    words = C.filter_words(asked.count())
+    bloom = C.stage(C.bloom_of(asked.select("seed"), "seed", words), "bloom")
+    holders = C.probe(known, F.col("seed"), bloom, words, "maybe").filter("maybe").join(asked, "seed")
+    starts = holders.select("doc_id", F.explode(F.transform("aheads", lambda x: (F.col("place") - x).cast("bigint"))).alias("start")).distinct()
+    windows = C.stage(_window_keys(starts, texts, least, id_type), "windows")
+    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("f"))
+    wanted = windows.join(gaps.select("doc_id", "start").distinct(), ["doc_id", "start"], "left_semi").join(first, "window").filter("f.doc_id < doc_id")
+    steps = F.array(*[F.lit(k) for k in sorted({*range(0, least - K + 1, K), max(0, least - K)})])
+    at = F.explode(F.transform(steps, lambda k: F.struct((F.col("start") + k).cast("int").alias("place"), (F.col("f.start") + k).cast("int").alias("there"))))
+    further = wanted.select("doc_id", F.col("f.doc_id").alias("source_id"), at.alias("a")).groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("a")).alias("anchors"))
+    further = further.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id")
+    fuzzy = star.unionByName(further.select(*cols).mapInArrow(run, schema)).distinct()
     n = F.size(F.split(F.trim(normalised(F.col("text"))), " ")).cast("long")
     lengths = C.probe(base, F.xxhash64("doc_id"), C.stage(C.bloom_of(copies.select(F.xxhash64("rep").alias("h")), "h", C.filter_words(copies.count())), "bloom"), C.filter_words(copies.count()), "maybe")
     lengths = lengths.filter("maybe").select(F.col("doc_id").alias("rep"), n.alias("n")).groupBy("rep").agg(F.max("n").alias("n"))

@@ -226,3 +226,24 @@ def test_repeated_passages_cover_every_shared_window(docs_of):
     clean = {d for d, w in words.items() if d % 3 and d % 5 and d < 100}
     assert not clean & set(got)
     assert repeated_passages(docs_of([])).count() == 0
+
+
+def test_mosaics_and_repeats_keep_their_passages(docs_of):
+    """Pieces of a passage that also stand in earlier documents, or often in the source, do not hide the passage."""
+    random.seed(31)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows, want = [], {}
+    for i in range(0, 400, 10):
+        x, y = some(26), some(26)
+        rows += [(i, some(9) + x + some(9)), (i + 1, some(9) + y + some(9)), (i + 2, some(20) + x + y + some(5)), (i + 3, some(7) + x + y + some(30))]
+        want[i + 3] = set(range(7, 59))
+    # each half stands first, in the middle and last in the source, but joined only in the middle
+    x, y = some(26), some(26)
+    rows += [(500, y + some(60) + x + some(60) + x + y + some(60) + y + some(60) + x), (501, some(11) + x + y + some(11))]
+    want[501] = set(range(11, 63))
+    got = defaultdict(set)
+    for r in repeated_passages(docs_of([(i, " ".join(w)) for i, w in rows])).collect():
+        assert r.source_id < r.doc_id and r.end_word - r.start_word >= 50
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert set(got) == set(want) and all(want[d] <= got[d] for d in want)
