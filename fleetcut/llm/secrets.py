@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,9 @@ KEYWORDS = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "cr
 
 _ISSUED = re.compile("|".join(ISSUED))
 _LONG = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
-_ASSIGNED = re.compile(r"[=:]\s?[\"']?([^\s\"'<>]{6,})")
+_ASSIGNED = re.compile(r"[=:](?=(\s?[\"']?))")
+_VALUE = re.compile(r"[^\s\"'<>]*")
+_NEXT = re.compile(r"[&;,?{][A-Za-z][A-Za-z0-9_.\-]*[=:]")
 _KEYWORD = re.compile(r"(?i)(?:" + "|".join(KEYWORDS) + r")[A-Za-z0-9_.\-]*[\"']?\s?$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTERS = re.compile(r"[A-Za-z]{2,}")
@@ -39,25 +42,59 @@ NUMERIC = ("length", "transitions", "entropy", "digits", "uppers", "others", "co
 PATH_SLOTS, WORD_SLOTS = 8, 16
 
 
+def _assigned(text: str) -> list[tuple[int, int]]:
+    """Values of six or more characters assigned to a credential word, each up to the next assignment of its run."""
+    found: list[tuple[int, int, int]] = []
+    end = 0
+    for m in _ASSIGNED.finditer(text):
+        if _KEYWORD.search(text, max(0, m.start() - 40), m.start()):
+            lo = m.end(1)
+            if lo >= end:
+                end = _VALUE.match(text, lo).end()
+            found.append((lo, end, m.end()))
+    out = []
+    for k, (lo, hi, _) in enumerate(found):
+        # a nested credential begins behind its own sign; this value ends before the name that is assigned there, if a
+        # delimiter tells where that name begins, else with the sign
+        hi = min(hi, found[k + 1][0]) if k + 1 < len(found) else hi
+        if cut := _NEXT.search(text, lo, hi):
+            hi = cut.start()
+        if hi - lo >= 6:
+            out.append((lo, hi))
+    return out
+
+
+def _without(span: tuple[int, int], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted spans apart from each other leave of a span."""
+    lo, hi = span
+    out = []
+    for a, b in taken[max(0, bisect_left(taken, span) - 1) :]:
+        if a >= hi:
+            break
+        if b > lo:
+            out.append((lo, a))
+            lo = b
+    return [(a, b) for a, b in [*out, (lo, hi)] if a < b]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Code-point spans that may hold a secret, apart from each other, in order: issued formats, values assigned to a
-    credential word, and runs of 16 or more token characters with a letter and a digit."""
+    credential word, and runs of 16 or more token characters with a letter and a digit. Where they overlap, the longer
+    run is split around issued formats, then around assigned values; what is left must be long enough by itself."""
     spans = [m.span() for m in _ISSUED.finditer(text)]
     if "=" in text or ":" in text:
-        for m in _ASSIGNED.finditer(text):
-            if _KEYWORD.search(text, max(0, m.start() - 40), m.start()):
-                spans.append((m.start(1), m.end(1)))
+        spans = sorted(spans + [p for s in _assigned(text) for p in _without(s, spans) if p[1] - p[0] >= 6])
+    rest = []
     for m in _LONG.finditer(text):
         run = m.group()
         cut = run.find("=") + 1 if "=" in run[:-2] else 0
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            spans.append((m.start() + (cut if len(run) - cut >= 6 else 0), m.end()))
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if out and lo < out[-1][1]:
-            continue
-        out.append((lo, hi))
-    return out
+        pieces = _without((m.start() + (cut if len(run) - cut >= 6 else 0), m.end()), spans)
+        whole = len(pieces) == 1 and pieces[0][1] - pieces[0][0] >= len(run) - cut
+        for lo, hi in pieces:
+            value = run if whole else text[lo:hi]
+            if (whole or hi - lo >= 16) and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                rest.append((lo, hi))
+    return sorted(spans + rest)
 
 
 def _classes(s: str) -> list[int]:

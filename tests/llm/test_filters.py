@@ -104,6 +104,25 @@ def test_secrets_are_found_and_masked(spark):
     assert X.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_nested_and_overlapping_secrets_are_candidates():
+    key = "AKIA" + "Z" * 8 + "12345678"
+    found = lambda t: [t[a:b] for a, b in X.candidates(t)]
+    assert found("user=alice&pwd=hunter2x") == ["hunter2x"] and found("see https://h/x?pwd=hunter2x now") == ["hunter2x"]
+    assert found("{user:robert1,password:swordfish}") == ["swordfish}"]
+    assert found("password=abcdefgh&token=ijklmnop&user=bob") == ["abcdefgh", "ijklmnop"]
+    assert found("key=token=abcdefgh") == ["token=", "abcdefgh"] and found("pwd=swordfish.key=abcdefgh") == ["swordfish.key=", "abcdefgh"] and found('secret: "a=b:c=d=e" x') == ["a=b:c=d=e"]
+    assert found("token=dG9rZW5fMQ==") == ["dG9rZW5fMQ=="]
+    assert key in found(f"host/v1/{key}") and key in found(f"token=abc1234/{key}") and found(f"key={key}") == [key]
+    assert found(f"0123456789abcdefgh/{key}/0123456789abcdefgh") == ["0123456789abcdefgh/", key, "/0123456789abcdefgh"]
+    assert found("token = 5f2b8c1d9e0a4b7c6d3e, id=5f2b8c1d9e0a4b7c") == ["5f2b8c1d9e0a4b7c6d3e,", "5f2b8c1d9e0a4b7c"]
+    random.seed(3)
+    for _ in range(500):
+        t = "".join(random.choice(["pwd", "=", ":", "&", " ", "key=", key, "abc123", "/", "'", "x9" * 9]) for _ in range(12))
+        spans = X.candidates(t)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(any(a <= m.start() and m.end() <= b for a, b in spans) for m in X._ISSUED.finditer(t))
+    assert len(X.candidates("key=" * 50_000)) < 2
+
+
 def test_min_cut_is_optimal():
     random.seed(1)
     for _ in range(200):
