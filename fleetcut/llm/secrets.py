@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from fleetcut.llm import _common as C
 
-#: Labelled findings of each class that train the forest, at most; texts whose words make the dictionary, at most; its words.
-TRAIN_FINDINGS, DICTIONARY_TEXTS, DICTIONARY_WORDS = 4000, 2000, 5000
+#: Labelled findings of each class that train the forest, at most; words of the dictionary.
+TRAIN_FINDINGS, DICTIONARY_WORDS = 4000, 5000
 
 # Published formats of issued credentials.
 ISSUED = (
@@ -155,12 +155,11 @@ def seed_label(text: str, lo: int, hi: int) -> int | None:
     return 0 if re.fullmatch(r"[A-Za-z]+\d{0,2}[.,]?", value) else None
 
 
-def _dictionary(rows: DataFrame, total: int) -> frozenset[str]:
-    """The commonest words of three or more letters in a bounded sample of whole texts."""
-    few = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, DICTIONARY_TEXTS / max(1, total)))))
-    words = few.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("w")).filter(F.length("w") <= 12)
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
-    return frozenset(r["w"] for r in top.collect())
+def _dictionary(rows: DataFrame) -> frozenset[str]:
+    """The words of 3 to 12 letters that most documents hold, counted over all documents; counts combine before they shuffle."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))
+    counts = rows.select(F.explode(words).alias("w")).filter(F.length("w") <= 12).groupBy("w").count()
+    return frozenset(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect())
 
 
 def find_candidates(docs: DataFrame, dictionary: frozenset[str]) -> DataFrame:
@@ -216,7 +215,7 @@ def scan_secrets(
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (path if path is not None else F.lit("")).cast("string").alias("path"))
-    found = C.stage(find_candidates(rows, _dictionary(rows, rows.count())), "candidates")
+    found = C.stage(find_candidates(rows, _dictionary(rows)), "candidates")
     if labelled is None:
         known = found.filter("seed is not null").select("value_sha256", "start", "features", F.col("seed").alias("label"))
     else:

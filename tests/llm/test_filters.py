@@ -123,6 +123,15 @@ def test_nested_and_overlapping_secrets_are_candidates():
     assert len(X.candidates("key=" * 50_000)) < 2
 
 
+def test_dictionary_counts_all_documents(spark):
+    word = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(f"{word(i)} " * (1 + i % 3),) for i in range(4400)] + [("copied text " * 50,)] * 2000 + [("", )]
+    got = X._dictionary(spark.createDataFrame(rows, "text string"))
+    assert got == {word(i) for i in range(4400)} | {"copied", "text"}
+    many = [(word(i),) for i in range(6000)] + [("zzzz",)] * 2
+    assert len(few := X._dictionary(spark.createDataFrame(many, "text string"))) == X.DICTIONARY_WORDS and "zzzz" in few
+
+
 def test_min_cut_is_optimal():
     random.seed(1)
     for _ in range(200):
