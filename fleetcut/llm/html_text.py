@@ -27,6 +27,8 @@ INLINE = frozenset(
 )
 HEAD = frozenset("head title meta link base".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button menu dialog".split())
+#: Boilerplate tags that no page is wrapped in.
+NEVER_WRAPS = frozenset("nav footer aside button menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal "
@@ -48,13 +50,45 @@ class Block(NamedTuple):
     tags: frozenset[str]
     words: frozenset[str]
     linked: int
+    says: int
+
+
+def _says(name: str, names: list[str]) -> int:
+    """What an element says of its text by its tag and its whole class, id and role names (of one part, or of parts that all say
+    the same): 1 content, -1 boilerplate, 0 nothing, or both at once."""
+    if name in ("html", "body"):
+        return 0
+    parts = [_PART.findall(x) for x in names]
+    content, other = (any(p and all(w in words for w in p) for p in parts) for words in (CONTENT_WORDS, BOILERPLATE_WORDS))
+    if name in BOILERPLATE_TAGS:
+        return -1
+    if name in CONTENT_TAGS:
+        return 0 if other and not content else 1
+    return content - other
+
+
+def _nearest(found: list[tuple[Block, list[tuple[str, frozenset[str], int, int]]]]) -> list[Block]:
+    """The blocks with what the nearest ancestor that says something says. An element is a wrapper of the page, and its
+    boilerplate names say nothing, if it holds most of the text and no text outside it is said to be content."""
+    size: dict[int, int] = {}
+    content: dict[int, int] = {}
+    total = told = 0
+    for b, stack in found:
+        n = len(b.text)
+        inside = n if any(said > 0 for _, _, _, said in stack) else 0
+        total, told = total + n, told + inside
+        for _, _, i, said in stack:
+            if said < 0:
+                size[i], content[i] = size.get(i, 0) + n, content.get(i, 0) + inside
+    wraps = {i for i, n in size.items() if 2 * n > total and content[i] == told}
+    return [b._replace(says=next((said for name, _, i, said in reversed(stack) if said > 0 or (said < 0 and (i not in wraps or name in NEVER_WRAPS))), 0)) for b, stack in found]
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Raw elements, comments and the head have none; a line break is white space;
     unclosed and stray tags are taken as browsers do, roughly: a block element ends an open paragraph."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], int]] = []
+    out: list[tuple[Block, list[tuple[str, frozenset[str], int, int]]]] = []
+    stack: list[tuple[str, frozenset[str], int, int]] = []
     parts: list[str] = []
     linked, links, serial, at = 0, 0, 0, 0
 
@@ -62,10 +96,11 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(t in HEAD for t, _, _ in stack):
-                tags = frozenset(t for t, _, _ in stack)
-                words = frozenset(w for _, ws, _ in stack for w in ws)
-                out.append(Block(text, stack[-1][0] if stack else "", tuple(i for _, _, i in stack), tags, words, min(linked, len(text))))
+            if text and not any(t in HEAD for t, _, _, _ in stack):
+                tags = frozenset(t for t, _, _, _ in stack)
+                words = frozenset(w for _, ws, _, _ in stack for w in ws)
+                telling = [x for x in stack if x[3]]
+                out.append((Block(text, stack[-1][0] if stack else "", tuple(i for _, _, i, _ in stack), tags, words, min(linked, len(text)), 0), telling))
             parts.clear()
         linked = 0
 
@@ -111,18 +146,16 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if name not in VOID:
             serial += 1
-            said = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(attrs)) if "=" in attrs else ""
-            stack.append((name, frozenset(_PART.findall(said.lower())) if said else frozenset(), serial))
+            said = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(attrs)).lower() if "=" in attrs else ""
+            stack.append((name, frozenset(_PART.findall(said)) if said else frozenset(), serial, _says(name, said.split())))
     say(page[at:])
     flush()
-    return out
+    return _nearest(out)
 
 
 def hint(b: Block) -> int:
-    """1 inside an article, -1 inside anything that is not its text, 0 if neither is said."""
-    if b.tags & BOILERPLATE_TAGS or b.words & BOILERPLATE_WORDS:
-        return -1
-    return 1 if b.tags & CONTENT_TAGS or b.words & CONTENT_WORDS else 0
+    """1 inside an article, -1 inside anything that is not its text, 0 if neither is said: by the nearest ancestor that says it."""
+    return b.says
 
 
 def features(b: Block) -> list[str]:

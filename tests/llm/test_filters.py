@@ -163,6 +163,25 @@ def test_html(spark, small):
     assert H.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_do_not_hide_the_article(spark):
+    text = "<h1>Head</h1><p>One two three.</p><p>Four five six.</p>"
+    want = "Head One two three. Four five six."
+    around = "<nav>Home</nav><div class='content'>%s</div><div class='comments'><p>Nice post.</p></div><footer>End</footer>"
+    for page in (
+        f'<body class="single has-sidebar comments-open"><nav>Home</nav><article>{text}</article><footer>End</footer>',
+        f'<body class="search"><nav>Home</nav><article class="post social">{text}</article><aside>Also</aside>',
+        f'<form><div id="comment"><nav>Home</nav><main>{text}</main><footer>End</footer></div></form>',
+        f'<body><div class="with-sidebar">{around % text}</div>',
+        f'<div class="widget"><div class="header-image">{around % text}</div></div>',
+        f"<article>{text}<section class='comments'>{'<article class=comment><p>Long talk of readers.</p></article>' * 40}</section></article>",
+    ):
+        assert H.main_text(page, {}) == want, page
+    assert H.main_text("<div class='comments'><p>a b c d e f</p></div><article>g</article>", {}) == "g"
+    wrapped = [(i, "u", f'<body class="single comments-open"><form><nav>Home {i}</nav><article class="post social">{text}</article><footer>End</footer></form>') for i in range(30)]
+    out = H.extract_main_text(spark.createDataFrame(wrapped, "page_id long, url string, html string"))
+    assert {r.text for r in out.collect()} == {want}
+
+
 def test_sharding_moves_rows_only_into_the_new_shard(docs_of, spark, small):
     rows = [(i, "t" * (i % 7)) for i in range(4000)] + [(None, None), (None, None), (5, "again")]
     out = assign_shards(docs_of(rows), grid(40), grown(grid(40), 40)).collect()
