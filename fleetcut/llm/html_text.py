@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import deque
 from typing import NamedTuple
@@ -14,10 +13,19 @@ from pyspark.sql import types as T
 
 from fleetcut.llm import _common as C
 
-#: Pages that train the block classifier, at most; features that it keeps, at most.
-TRAIN_PAGES, FEATURES = 3000, 20_000
-#: Capacities of the edges between neighbours in page order and between blocks of one parent.
-NEXT, SIBLING = 0.8, 0.6
+#: Pages that train the block classifier, at most.
+TRAIN_PAGES = 3000
+#: Smoothness: capacity between neighbours in page order that share a parent (halved for each further step apart in the DOM), and
+#: between consecutive blocks of one parent with others between them.
+NEXT, SIBLING = 0.6, 0.4
+#: What one block's markup weighs, and how fast it is tied to the element that says so: names of boilerplate lie less often.
+SAYS = {1: (1.2, 1.5), -1: (2.8, 3.2)}
+#: The text costs of a block lie between these; text without links is weak evidence against a block.
+LOWEST, LOWEST_UNLINKED, HIGHEST = -2.5, -1.0, 1.6
+#: Prior log odds of each feature's bins, to which learned ones are shrunk: words (0, 1, 2-3, 4-7, ...), share of linked text, ends of
+#: sentences a word, last character, share of the page's text that stands before.
+PRIOR = ((-0.6, -0.4, -0.3, -0.1, 0.2, 0.6, 1.0, 1.3), (0.8, -1.0, -2.5), (-0.2, 0.2, 0.3), (-0.1, 0.2), (-0.1, 0.0, 0.0, -0.1))
+SHRINK = 20.0
 
 # Element names of the HTML standard by role, and words that sites use in classes and ids.
 RAW = frozenset("script style template noscript iframe svg textarea select object canvas".split())
@@ -35,6 +43,7 @@ BOILERPLATE_WORDS = frozenset(
     "comment comments disqus respond reply replies share sharing social related breadcrumb breadcrumbs pagination pager newsletter subscribe subscription login signup search form widget".split()
 )
 CONTENT_WORDS = frozenset("article main content post entry story body text".split())
+NEUTRAL_WORDS = frozenset("area bar block box bottom center col column container global group holder inner item items left list outer page panel primary right row secondary section site top wrap wrapper".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
@@ -45,50 +54,53 @@ _PART = re.compile(r"[a-z]+")
 
 class Block(NamedTuple):
     text: str
-    tag: str
     path: tuple[int, ...]
-    tags: frozenset[str]
-    words: frozenset[str]
     linked: int
     says: int
+    by: int
 
 
-def _says(name: str, names: list[str]) -> int:
-    """What an element says of its text by its tag and its whole class, id and role names (of one part, or of parts that all say
-    the same): 1 content, -1 boilerplate, 0 nothing, or both at once."""
+def _says(name: str, names: list[str], inside: bool) -> int:
+    """What an element says of its text by its tag and its class, id and role names: 1 content, -1 boilerplate, 0 nothing. A name counts
+    if all its parts are known words; one part of boilerplate decides it. The header of an article says nothing."""
     if name in ("html", "body"):
         return 0
-    parts = [_PART.findall(x) for x in names]
-    content, other = (any(p and all(w in words for w in p) for p in parts) for words in (CONTENT_WORDS, BOILERPLATE_WORDS))
+    known = [set(p) for p in map(_PART.findall, names) if p and all(w in CONTENT_WORDS or w in BOILERPLATE_WORDS or w in NEUTRAL_WORDS for w in p)]
+    other = any(p & BOILERPLATE_WORDS for p in known)
+    content = any(p & CONTENT_WORDS and not p & BOILERPLATE_WORDS for p in known)
     if name in BOILERPLATE_TAGS:
-        return -1
+        return 0 if name == "header" and inside and not other else -1
     if name in CONTENT_TAGS:
         return 0 if other and not content else 1
     return content - other
 
 
-def _nearest(found: list[tuple[Block, list[tuple[str, frozenset[str], int, int]]]]) -> list[Block]:
-    """The blocks with what the nearest ancestor that says something says. An element is a wrapper of the page, and its
+def _nearest(found: list[tuple[Block, list[tuple[str, int, int]]]]) -> list[Block]:
+    """The blocks with the nearest ancestor that says something, and what. An element is a wrapper of the page, and its
     boilerplate names say nothing, if it holds most of the text and no text outside it is said to be content."""
     size: dict[int, int] = {}
     content: dict[int, int] = {}
     total = told = 0
     for b, stack in found:
         n = len(b.text)
-        inside = n if any(said > 0 for _, _, _, said in stack) else 0
+        inside = n if any(said > 0 for _, _, said in stack) else 0
         total, told = total + n, told + inside
-        for _, _, i, said in stack:
+        for _, i, said in stack:
             if said < 0:
                 size[i], content[i] = size.get(i, 0) + n, content.get(i, 0) + inside
     wraps = {i for i, n in size.items() if 2 * n > total and content[i] == told}
-    return [b._replace(says=next((said for name, _, i, said in reversed(stack) if said > 0 or (said < 0 and (i not in wraps or name in NEVER_WRAPS))), 0)) for b, stack in found]
+    out = []
+    for b, stack in found:
+        by, says = next(((i, said) for name, i, said in reversed(stack) if said > 0 or (said < 0 and (i not in wraps or name in NEVER_WRAPS))), (0, 0))
+        out.append(b._replace(by=by, says=says))
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Raw elements, comments and the head have none; a line break is white space;
     unclosed and stray tags are taken as browsers do, roughly: a block element ends an open paragraph."""
-    out: list[tuple[Block, list[tuple[str, frozenset[str], int, int]]]] = []
-    stack: list[tuple[str, frozenset[str], int, int]] = []
+    out: list[tuple[Block, list[tuple[str, int, int]]]] = []
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked, links, serial, at = 0, 0, 0, 0
 
@@ -96,11 +108,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(t in HEAD for t, _, _, _ in stack):
-                tags = frozenset(t for t, _, _, _ in stack)
-                words = frozenset(w for _, ws, _, _ in stack for w in ws)
-                telling = [x for x in stack if x[3]]
-                out.append((Block(text, stack[-1][0] if stack else "", tuple(i for _, _, i, _ in stack), tags, words, min(linked, len(text)), 0), telling))
+            if text and not any(t in HEAD for t, _, _ in stack):
+                out.append((Block(text, tuple(i for _, i, _ in stack), min(linked, len(text)), 0, 0), [x for x in stack if x[2]]))
             parts.clear()
         linked = 0
 
@@ -147,26 +156,53 @@ def blocks(page: str) -> list[Block]:
         if name not in VOID:
             serial += 1
             said = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(attrs)).lower() if "=" in attrs else ""
-            stack.append((name, frozenset(_PART.findall(said)) if said else frozenset(), serial, _says(name, said.split())))
+            stack.append((name, serial, _says(name, said.split(), any(t in CONTENT_TAGS for t, _, _ in stack))))
     say(page[at:])
     flush()
     return _nearest(out)
 
 
-def hint(b: Block) -> int:
-    """1 inside an article, -1 inside anything that is not its text, 0 if neither is said: by the nearest ancestor that says it."""
-    return b.says
-
-
-def features(b: Block) -> list[str]:
-    n = len(b.text)
-    own = [f"tag:{b.tag}", f"size:{n.bit_length()}", f"links:{4 * b.linked // n}", f"stops:{min(4, sum(map(b.text.count, '.!?')))}"]
-    return own + [f"in:{t}" for t in b.tags] + [f"word:{w}" for w in b.words]
-
-
-def score(b: Block, odds: dict[str, float]) -> float:
-    """Log odds of being content: hints of the markup and what the classifier has learned of each feature."""
-    return 3.0 * hint(b) + 0.4 * sum(odds.get(f, 0.0) for f in features(b))
+def features(found: list[Block]) -> list[tuple[int, ...]]:
+    """Bins of what each block's text, its links and its place on the page say; no markup names."""
+    total, before, out = sum(len(b.text) for b in found), 0, []
+    for b in found:
+        n, words = len(b.text), b.text.count(" ") + 1
+        stops = sum(map(b.text.count, ".!?"))
+        out.append((
+            min(7, words.bit_length()), 0 if 4 * b.linked < n else 1 if 4 * b.linked < 3 * n else 2, 0 if not stops else 1 if 20 * stops < words else 2,
+            int(b.text[-1] in ".!?:;\"'"), min(3, 4 * before // max(1, total)),
+        ))
+        before += n
+    return out
+
+
+def costs(found: list[Block], weights: tuple[tuple[float, ...], ...]) -> list[float]:
+    """Log odds of being content that the classifier gives each block for its text."""
+    out = []
+    for f in features(found):
+        s = sum(w[i] for w, i in zip(weights, f, strict=True))
+        out.append(min(HIGHEST, max(LOWEST if f[1] else LOWEST_UNLINKED, s)))
+    return out
+
+
+def fit(patterns: dict[tuple[int, ...], tuple[int, int]], rounds: int = 25) -> tuple[tuple[float, ...], ...]:
+    """Logistic regression on bins with a Gaussian prior around PRIOR, by Newton steps. patterns: (content, not content) blocks of each
+    combination of bins; there are at most as many as the bins' product."""
+    import numpy as np
+
+    sizes = [len(p) for p in PRIOR]
+    prior = np.concatenate([np.array(p) for p in PRIOR])
+    keys = sorted(patterns)
+    x = np.zeros((len(keys), sum(sizes)))
+    for at, i in zip(np.cumsum([0, *sizes[:-1]]), range(len(sizes)), strict=True):
+        x[np.arange(len(keys)), [at + k[i] for k in keys]] = 1
+    yes, n = np.array([patterns[k][0] for k in keys], float), np.array([sum(patterns[k]) for k in keys], float)
+    w = prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        slope = x.T @ (yes - n * p) - SHRINK * (w - prior)
+        w += np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + SHRINK * np.eye(len(w)), slope)
+    return tuple(tuple(x.tolist()) for x in np.split(w, np.cumsum(sizes)[:-1]))
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -247,62 +283,84 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     return label
 
 
-def main_text(page: str, odds: dict[str, float]) -> str:
-    found = blocks(page)
-    scores = [score(b, odds) for b in found]
-    edges = [(i - 1, i, NEXT) for i in range(1, len(found))]
-    last: dict[tuple[int, ...], int] = {}
+def network(found: list[Block], scores: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Nodes and edges of the cut: the blocks with their text costs, then the elements whose names say what they hold, each with the
+    weight of its blocks. A block is tied to that element, to its neighbour in page order and to the block before it of one parent."""
+    scores, edges, element, last = list(scores), [], {}, {}
     for i, b in enumerate(found):
+        if i:
+            one, two = found[i - 1].path, b.path
+            same = next((k for k, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
+            edges.append((i - 1, i, NEXT * 0.5 ** max(0, len(one) + len(two) - 2 * same - 2)))
         parent = b.path[:-1]
-        if parent in last:
+        if last.get(parent, i - 1) < i - 1:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    return " ".join(b.text for b, keep in zip(found, min_cut(scores, edges), strict=True) if keep)
+        if b.says:
+            weight, tie = SAYS[b.says]
+            node = element.setdefault(b.by, len(found) + len(element))
+            if node == len(scores):
+                scores.append(0.0)
+            scores[node] += weight * b.says
+            edges.append((i, node, tie))
+    return scores, edges
+
+
+def labels(found: list[Block], weights: tuple[tuple[float, ...], ...] = PRIOR) -> list[bool]:
+    """Which blocks the minimum cut leaves on the side of the content."""
+    return min_cut(*network(found, costs(found, weights)))[: len(found)]
+
+
+def main_text(page: str, weights: tuple[tuple[float, ...], ...] = PRIOR) -> str:
+    found = blocks(page)
+    return " ".join(b.text for b, keep in zip(found, labels(found, weights), strict=True) if keep)
 
 
-def learn_odds(pages: DataFrame, total: int) -> dict[str, float]:
-    """Clipped log odds of block features, from the blocks of a bounded sample of pages whose markup says what they are."""
-    few = pages.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, TRAIN_PAGES / max(1, total)))))
+def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> tuple[tuple[float, ...], ...]:
+    """The classifier's weights, from the blocks of a bounded sample of pages whose markup says what they are; its names are
+    labels here, not features. The driver gets a count for each combination of bins. Without such blocks: PRIOR."""
+    total = pages.count()
+    few = pages.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, train_pages / max(1, total)))))
 
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[tuple[str, int], int] = {}
+        seen: dict[tuple[tuple[int, ...], int], int] = {}
         for batch in batches:
-            for page in batch.column(0).to_pylist():
-                for b in blocks(page or ""):
-                    if h := hint(b):
-                        for f in ["", *features(b)]:
-                            seen[f, h] = seen.get((f, h), 0) + 1
+            for page in batch.column(0):
+                found = blocks(page.as_py() or "")
+                for f, b in zip(features(found), found, strict=True):
+                    if b.says:
+                        seen[f, b.says] = seen.get((f, b.says), 0) + 1
         keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["f", "h", "n"])
+        cols = [pa.array([list(k[0]) for k in keys], pa.list_(pa.int32())), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["f", "h", "n"])
+        C.trim()
 
-    yes, no = F.sum(F.when(F.col("h") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("h") == -1, F.col("n")).otherwise(0))
-    counts = few.select("html").mapInArrow(run, "f string, h int, n long").groupBy("f").agg(yes.alias("yes"), no.alias("no"))
-    rows = counts.orderBy(F.desc(F.col("yes") + F.col("no")), "f").limit(FEATURES).collect()
-    all_ = next(((r["yes"], r["no"]) for r in rows if r["f"] == ""), (0, 0))
-    if not min(all_):
-        return {}
-    return {r["f"]: max(-2.0, min(2.0, math.log((r["yes"] + 1) / (all_[0] + 2)) - math.log((r["no"] + 1) / (all_[1] + 2)))) for r in rows if r["f"]}
+    side = lambda h: F.sum(F.when(F.col("h") == h, F.col("n")).otherwise(0))
+    counts = few.select("html").mapInArrow(run, "f array<int>, h int, n long").groupBy("f").agg(side(1).alias("yes"), side(-1).alias("no"))
+    return fit({tuple(r["f"]): (r["yes"], r["no"]) for r in counts.collect()})
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Every page is cut whole. Null or empty HTML, and a page without content, give empty text. Repeated rows give a row each; an
-    empty table none. Only the classifier's training reads a bounded sample (TRAIN_PAGES pages, FEATURES features).
+    Every page is cut whole; ties of the cut are not content. Null or empty HTML, and a page without content, give empty text.
+    Repeated rows give a row each; an empty table none; other columns are ignored. Only the classifier's training reads a bounded
+    sample (train_pages pages).
     """
     import pyarrow as pa
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    odds = rows.sparkSession.sparkContext.broadcast(learn_odds(rows, rows.count()))
+    weights = learn(rows, train_pages)
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [main_text(p or "", odds.value) for p in part.column(2).to_pylist()]
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [main_text(p.as_py() or "", weights) for p in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.fieldNames())
+        C.trim()
 
     return rows.mapInArrow(run, schema)

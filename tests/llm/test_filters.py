@@ -148,7 +148,7 @@ PAGE = """<html><head><title>T</title><style>x{}</style></head><body><header>Sit
 
 
 def test_html(spark, small):
-    assert H.main_text(PAGE, {}) == "Head & tail One two three four Five six"
+    assert H.main_text(PAGE) == "Head & tail One two three four Five six"
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain text"), (4, "u", "plain text"), (5, "u", "<p>" * 3000 + "<div class='"), (None, "u", "<article>" + "<p>word</p>" * 5000)]
     out = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
@@ -175,13 +175,56 @@ def test_html_wrappers_do_not_hide_the_article(spark):
         f'<div class="widget"><div class="header-image">{around % text}</div></div>',
         f"<article>{text}<section class='comments'>{'<article class=comment><p>Long talk of readers.</p></article>' * 40}</section></article>",
     ):
-        assert H.main_text(page, {}) == want, page
-    assert H.main_text("<div class='comments'><p>a b c d e f</p></div><article>g</article>", {}) == "g"
+        assert H.main_text(page) == want, page
+    assert H.main_text("<div class='comments'><p>a b c d e f</p></div><article>g</article>") == "g"
     wrapped = [(i, "u", f'<body class="single comments-open"><form><nav>Home {i}</nav><article class="post social">{text}</article><footer>End</footer></form>') for i in range(30)]
     out = H.extract_main_text(spark.createDataFrame(wrapped, "page_id long, url string, html string"))
     assert {r.text for r in out.collect()} == {want}
 
 
+def test_html_names_of_several_words():
+    says = lambda tag, name="", inside=False: H._says(tag, name.split(), inside)
+    assert says("div", "post-comments") == says("div", "comment-body") == says("div", "site-header") == says("section", "comments-area") == -1
+    assert says("div", "post-content") == says("div", "main") == says("article") == 1
+    assert says("section", "related-work") == says("div", "has-sidebar") == says("body", "sidebar") == says("div", "wrapper") == 0
+    assert says("header") == -1 and says("header", "", True) == 0
+    text = "<p>Some text stands here.</p>"
+    for page in (
+        f'<body class="has-sidebar"><article>{text}</article>', f"<form><div id=content>{text}</div></form>",
+        f'<section class="related-work">{text}</section>', f'<article>{text}</article><div class="post-comments"><p>{"I liked this a lot, really. " * 9}</p></div>',
+    ):
+        assert H.main_text(page) == "Some text stands here.", page
+    assert H.main_text(f"<article><header><h1>The title</h1></header>{text}</article>") == "The title Some text stands here."
+    assert H.main_text("<nav><a href=x>Home</a></nav><article><p>Hi</p><p>a b</p></article>") == "Hi a b"
+
+
+def test_html_cut_overrules_the_classifier(spark, small):
+    """Text costs come without markup names; the cut changes labels for the better; without any telling name most of the text is still found."""
+    import html
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    weights = H.learn(pages)
+    assert len(weights) == len(H.PRIOR) and weights != H.PRIOR and H.learn(pages.limit(0)) == H.PRIOR
+    masked = lambda p: re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main)\b", r"<\1div", p))
+
+    def measure(change):
+        flips, shared, got, want = 0, [0, 0], [0, 0], 0
+        for r in pages.select("html").collect():
+            found = H.blocks(change(r.html))
+            costs, kept = H.costs(found, weights), H.labels(found, weights)
+            flips += sum((c > 0) != k for c, k in zip(costs, kept))
+            body = Counter(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S).group(1))).split())
+            want += sum(body.values())
+            for i, keep in enumerate(([c > 0 for c in costs], kept)):
+                words = Counter(" ".join(b.text for b, k in zip(found, keep) if k).split())
+                shared[i], got[i] = shared[i] + sum((words & body).values()), got[i] + sum(words.values())
+        return flips, [2 * s / (g + want) for s, g in zip(shared, got)]
+
+    flips, (alone, cut) = measure(lambda p: p)
+    assert flips > 200 and cut == 1.0 > alone
+    assert measure(masked)[1][1] > 0.95
+
+
 def test_sharding_moves_rows_only_into_the_new_shard(docs_of, spark, small):
     rows = [(i, "t" * (i % 7)) for i in range(4000)] + [(None, None), (None, None), (5, "again")]
     out = assign_shards(docs_of(rows), grid(40), grown(grid(40), 40)).collect()
