@@ -7,7 +7,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from typing import Any
 
 import regex
@@ -16,54 +16,36 @@ from pyspark.sql import types as T
 
 from fleetcut.llm import _common as C
 
-#: Cached words and pieces of a Python worker; two generations of it bound memory to about 200 MB.
-CACHE = 300_000
-#: Code points of a leaf of the text tree, bytes of a leaf of a piece's tree.
-TEXT_LEAF, PIECE_LEAF = 8192, 64
+#: Cached words, pieces, subtrees and pairs of a Python worker, of each; two generations of it bound memory to about 200 MB.
+CACHE = 200_000
+#: Code points of a leaf of the text tree, ids of a leaf of the decoding tree. A leaf of a piece's tree is one byte.
+TEXT_LEAF, DECODE_LEAF = 256, 64
+#: Subtrees of a piece of so many bytes at most are remembered.
+MEMO = 16
 
 _SAFE = regex.compile(r"(?<=\S)[ \n]")
 _DOUBLE = re.compile(r"\s\s")
+#: Marks the first word of a text, which has no space before it; no text holds a lone surrogate.
+_FIRST = "\ud800"
 
 
 class PieceEncoder:
     """BPE of one piece (a match of the split pattern), given ranks of byte strings.
 
-    A token sequence is the encoding of its bytes if and only if each pair of neighbours is the encoding of theirs.
-    So when two encoded halves meet, only a window at the boundary is encoded again, and it grows until the pairs at
-    its edges are encodings of themselves; nothing outside can change then.
+    The leaves are single bytes. A token sequence is the encoding of its bytes if and only if each pair of neighbours is the
+    encoding of theirs. So when two encoded halves meet, only a window at the boundary is encoded again, and it grows
+    until the pairs at its edges are encodings of themselves; nothing outside can change then.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: b for b, r in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.joins = 0
+        self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self._known: dict[bytes, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge the neighbours of lowest rank, leftmost first, until none can merge."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) > PIECE_LEAF:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = 1 << 60
-        costs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-        while costs:
-            low = min(costs)
-            if low == none:
-                break
-            i = costs.index(low)
-            parts[i] += parts.pop(i + 1)
-            costs.pop(i)
-            if i < len(costs):
-                costs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same with a heap and links, for windows that have grown long."""
         n, ranks = len(piece), self.ranks
         end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; 0 once it is merged away
         prev = list(range(-1, n - 1))
@@ -88,105 +70,52 @@ class PieceEncoder:
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
-        return out
-
-    @cached_property
-    def _tables(self):
-        """Rank of each pair of bytes; sorted keys and ranks of all pairs of tokens that can merge."""
-        import numpy as np
-
-        single = np.array([self.ranks[bytes([c])] for c in range(256)], np.int64)
-        keys = {}
-        for b, r in self.ranks.items():
-            for i in range(1, len(b)):
-                x, y = self.ranks.get(b[:i]), self.ranks.get(b[i:])
-                if x is not None and y is not None:
-                    keys[x << 32 | y] = r
-        k = np.array(sorted(keys), np.int64)
-        return single, k, np.array([keys[x] for x in k.tolist()], np.int64)
-
-    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """merge() of many leaves at once: each round merges one pair, of lowest rank and leftmost, in every row."""
-        import numpy as np
-
-        single, keys, ranks = self._tables
-        none = np.int64(1 << 40)
-        out: list[bytes] = [b""] * len(pieces)
-
-        def rank(a, b):
-            key = np.where((a < 0) | (b < 0), -1, a << 32 | b)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where(keys[at] == key, ranks[at], none)
-
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for lo in range(0, len(order), 8192):
-            rows = [i for i in order[lo : lo + 8192] if pieces[i]]
-            for i in [i for i in rows if pieces[i] in self.ranks]:
-                out[i] = array("I", [self.ranks[pieces[i]]]).tobytes()
-            rows = np.array([i for i in rows if not out[i]], np.int64)
-            if not len(rows):
-                continue
-            n = np.array([len(pieces[i]) for i in rows])
-            width = int(n.max())
-            cols = np.arange(width)
-            flat = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
-            tok = np.where(cols < n[:, None], single[flat], -1)
-            cost = np.full((len(rows), width), none)
-            cost[:, :-1] = rank(tok[:, :-1], tok[:, 1:])
-            while len(rows):
-                at = cost.argmin(1)
-                r = np.arange(len(rows))
-                best = cost[r, at]
-                over = best == none
-                if over.any():
-                    done = tok[over]
-                    packed, ends = done.astype("<u4").tobytes(), (4 * (done >= 0).sum(1)).tolist()
-                    for j, (i, n4) in enumerate(zip(rows[over].tolist(), ends, strict=True)):
-                        out[i] = packed[4 * width * j : 4 * width * j + n4]
-                    go = ~over
-                    rows, tok, cost, at, best = rows[go], tok[go], cost[go], at[go], best[go]
-                    if not len(rows):
-                        break
-                    r = np.arange(len(rows))
-                src = np.minimum(cols + (cols > at[:, None]), width - 1)
-                tok, cost = np.take_along_axis(tok, src, 1), np.take_along_axis(cost, src, 1)
-                tok[:, -1], cost[:, -1] = -1, none
-                tok[r, at] = best
-                nxt = np.where(at + 1 < width, tok[r, np.minimum(at + 1, width - 1)], -1)
-                cost[r, at] = rank(best, nxt)
-                left = at > 0
-                cost[r[left], at[left] - 1] = rank(tok[r[left], at[left] - 1], best[left])
-        return out
+        return tuple(out)
 
-    def stable(self, a: int, b: int) -> bool:
-        """Is the pair the encoding of its own bytes?"""
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two tokens' bytes; they are stable side by side if it is (a, b)."""
         known = self._pairs.get((a, b))
         if known is None:
             if len(self._pairs) > CACHE:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b])
         return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of two neighbours' bytes from theirs: the monoid's operation, with () as its unit."""
         if not left or not right:
             return left or right
+        self.joins += 1
         i, j = len(left) - 1, 1
+        window = self.pair(left[i], right[0])
         while True:
-            window = self.merge(b"".join(self.tokens[t] for t in left[i:] + right[:j]))
-            left_ok = i == 0 or self.stable(left[i - 1], window[0])
-            right_ok = j == len(right) or self.stable(window[-1], right[j])
+            left_ok = i == 0 or self.pair(left[i - 1], window[0]) == (left[i - 1], window[0])
+            right_ok = j == len(right) or self.pair(window[-1], right[j]) == (window[-1], right[j])
             if left_ok and right_ok:
                 return left[:i] + window + right[j:]
             if not left_ok:
                 i = max(0, 2 * i - len(left))
             if not right_ok:
                 j = min(len(right), 2 * j)
+            window = self.merge(b"".join([self.tokens[t] for t in left[i:] + right[:j]]))
 
-    def encode(self, piece: bytes) -> list[int]:
-        if len(piece) <= PIECE_LEAF:
-            return self.merge(piece)
-        half = len(piece) // 2
-        return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
+    def tree(self, piece: bytes) -> tuple[int, ...]:
+        if len(piece) < 2:
+            return (self.ranks[piece],) if piece else ()
+        known = self._known.get(piece)
+        if known is None:
+            half = len(piece) // 2
+            known = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+            if len(piece) <= MEMO:
+                if len(self._known) > CACHE:
+                    self._known.clear()
+                self._known[piece] = known
+        return known
+
+    def encode(self, piece: bytes) -> tuple[int, ...]:
+        """A piece that is a token is that token, whatever its merges would give."""
+        whole = self.ranks.get(piece)
+        return self.tree(piece) if whole is None else (whole,)
 
 
 class Generations:
@@ -215,8 +144,8 @@ class WordCache:
     """Ids (little-endian unsigned 32-bit) of texts that stand alone, from their space- and line-separated words.
 
     A match of the split pattern never has white space after other characters, so before a lone space or newline a text
-    can be cut, whatever stands around it. Texts with two white-space characters in a row are split whole. Words are made
-    of pieces, and many_pieces(list of str) encodes the unseen pieces of a batch together.
+    can be cut, whatever stands around it. Leaves with two white-space characters in a row are split whole. Words are made
+    of pieces, which many_pieces(list of str) encodes.
     """
 
     def __init__(self, split, many_pieces):
@@ -232,31 +161,25 @@ class WordCache:
     @staticmethod
     def _words(text: str) -> list[str]:
         words = text.replace("\n", " \n").split(" ")
-        words[0] = "\0" + words[0]  # the first word has no space before it
+        words[0] = _FIRST + words[0]
         return words
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Encode the unseen words of texts; returns the words of each (none of a text that has to be split whole)."""
-        lists = [[] if _DOUBLE.search(t) else self._words(t) for t in texts]
-        unseen = self.words.missing({w for x in lists for w in x})
+    def learn(self, texts: list[str]) -> None:
+        """Encode the unseen words of texts. Leaves of a text with white space in a row are split whole instead."""
+        unseen = self.words.missing({w for t in texts for w in self._words(t)})
         if unseen:
-            bare = {"\n": "", "\0": ""}
-            split = [self.split(w[1:] if w[:1] == "\0" else bare.get(w[:1], " ") + w) for w in unseen]
+            split = [self.split(w[1:] if w[:1] == _FIRST else w if w[:1] == "\n" else " " + w) for w in unseen]
             self.words.young.update(zip(unseen, self._lists(split), strict=True))
-        return lists
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        lists = self.learn(texts)
-        known = self.words.young.__getitem__
-        out = [b"".join(map(known, words)) for words in lists]
-        whole = [i for i, words in enumerate(lists) if not words]
-        if whole:
-            for i, ids in zip(whole, self._lists([self.split(texts[i]) for i in whole]), strict=True):
-                out[i] = ids
-        return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0] if text else b""
+        if _DOUBLE.search(text):
+            return self._lists([self.split(text)])[0]
+        words = self._words(text)
+        try:
+            return b"".join(map(self.words.young.__getitem__, words))
+        except KeyError:
+            self.learn([text])
+            return b"".join(map(self.words.young.__getitem__, words))
 
 
 class TextEncoder:
@@ -266,33 +189,28 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = PieceEncoder(ranks)
         self.cache = WordCache(regex.compile(pattern).findall, self._many)
+        self.joins = 0
 
     def _many(self, pieces: list[str]) -> list[bytes]:
-        raw = [p.encode("utf-8", "replace") for p in pieces]
-        short = [i for i, p in enumerate(raw) if len(p) <= PIECE_LEAF]
-        out = dict(zip(short, self.pieces.merge_many([raw[i] for i in short]), strict=True))
-        return [out[i] if i in out else array("I", self.pieces.encode(p)).tobytes() for i, p in enumerate(raw)]
+        return [array("I", self.pieces.encode(p.encode("utf-8", "replace"))).tobytes() for p in pieces]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Texts of a leaf at most go together; longer ones each up their tree, in which their words are known already."""
-        short = [i for i, t in enumerate(texts) if len(t) <= TEXT_LEAF]
-        out = dict(zip(short, self.cache.encode_many([texts[i] for i in short]), strict=True))
-        rest = [i for i in range(len(texts)) if i not in out]
-        self.cache.learn([texts[i] for i in rest])
-        return [out[i] if i in out else self.encode(t) for i, t in enumerate(texts)]
+        """Each text up its tree; the words of a batch are learned together."""
+        self.cache.learn(texts)
+        return [self.encode(t) for t in texts]
 
     def _leaf(self, text: str) -> tuple[str, bytes, str] | str:
         first = _SAFE.search(text)
         if not first:
             return text
-        last = first.start()
-        for at in range(len(text) - 1, last, -1):
-            if text[at] in " \n" and _SAFE.match(text, at):
-                last = at
-                break
-        return text[: first.start()], self.cache.encode(text[first.start() : last]), text[last:]
+        at = first.start()
+        last = max(text.rfind(" "), text.rfind("\n"))
+        while last > at and text[last - 1].isspace():
+            last = max(text.rfind(" ", 0, last), text.rfind("\n", 0, last))
+        return text[:at], self.cache.encode(text[at:last]) if last > at else b"", text[max(last, at) :]
 
     def join(self, a: Any, b: Any) -> Any:
+        self.joins += 1
         if isinstance(a, str) and isinstance(b, str):
             return self._leaf(a + b)
         if isinstance(a, str):
@@ -310,16 +228,14 @@ class TextEncoder:
         return self.join(self._tree(text[:half]), self._tree(text[half:]))
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= TEXT_LEAF:
-            return self.cache.encode(text)
         node = self._tree(text)
         if isinstance(node, str):
-            return self.cache.encode(node)
+            return self.cache.encode(node) if node else b""
         return self.cache.encode(node[0]) + node[1] + self.cache.encode(node[2])
 
     def decode(self, ids: bytes) -> bytes:
         """Concatenate the tokens' bytes up a tree of halves."""
-        if len(ids) <= 4 << 16:
+        if len(ids) <= 4 * DECODE_LEAF:
             return b"".join(map(self.pieces.tokens.__getitem__, array("I", ids)))
         half = len(ids) // 8 * 4
         return self.decode(ids[:half]) + self.decode(ids[half:])
@@ -354,8 +270,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 counts, hashes, decoded, ids = [], [], [], []
                 for packed in enc.encode_many([x or "" for x in part.column(1).to_pylist()]):
                     counts.append(len(packed) // 4)
@@ -369,5 +285,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        C.trim()
 
     return C.clean(docs, id_col, text_col).mapInArrow(run, T.StructType(fields))

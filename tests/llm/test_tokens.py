@@ -34,24 +34,38 @@ def test_texts_encode_as_the_library_does(text):
 
 def test_small_leaves_join_right(monkeypatch):
     monkeypatch.setattr(bpe, "TEXT_LEAF", 7)
-    monkeypatch.setattr(bpe, "PIECE_LEAF", 5)
+    monkeypatch.setattr(bpe, "DECODE_LEAF", 3)
     encoder = bpe.TextEncoder(RANKS, P.PATTERN)
     random.seed(1)
     for k in range(3000):
         text = "".join(random.choice("aab th'sé\n 12" if k % 2 else "ab") for _ in range(random.randint(0, 60)))
         assert ids(encoder.encode(text)) == REFERENCE.encode_ordinary(text), text
+        assert encoder.decode(encoder.encode(text)) == text.encode()
 
 
 def test_long_runs():
     text = "a" * 30_000 + "é" * 2_000 + " " * 999 + "xyz" * 3_000 + " \n \n" + "日本" * 500
     assert ids(ENCODER.encode(text)) == REFERENCE.encode_ordinary(text)
+    assert ids(ENCODER.encode("x \0abc \0")) == REFERENCE.encode_ordinary("x \0abc \0")
 
 
-def test_merge_many_equals_merge():
+def test_pieces_come_from_joins_of_bytes():
+    """The tree's leaves are bytes, so that even ordinary words are made by joins; any two halves join to the whole."""
     random.seed(2)
-    pieces = [bytes(random.choice(b"abcdeth ") for _ in range(random.randint(1, 40))) for _ in range(500)]
-    assert [ids(x) for x in ENCODER.pieces.merge_many(pieces)] == [ENCODER.pieces.merge(p) for p in pieces]
-    assert [ENCODER.pieces._merge_long(p) for p in pieces if p not in RANKS] == [ENCODER.pieces.merge(p) for p in pieces if p not in RANKS]
+    pieces = bpe.PieceEncoder(RANKS)
+    for n in range(500):
+        piece = bytes(random.choice(b"abcdeth ") for _ in range(random.randint(2, 40)))
+        cut = random.randint(0, len(piece))
+        assert pieces.tree(piece) == pieces.merge(piece) == pieces.join(pieces.merge(piece[:cut]), pieces.merge(piece[cut:]))
+    assert all(pieces.tree(token) == (rank,) for token, rank in list(RANKS.items())[::50])
+
+
+def test_ordinary_texts_go_through_the_tree(spark):
+    encoder = bpe.TextEncoder(RANKS, P.PATTERN)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text, packed in zip(texts, encoder.encode_many([t or "" for t in texts])):
+        assert ids(packed) == REFERENCE.encode_ordinary(text or "")
+    assert encoder.joins > len(texts) and encoder.pieces.joins > 1000
 
 
 def test_caches_keep_what_is_in_use():
