@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 
 from fleetcut.llm import _common as C
 
-#: Rows that one window group numbers, about.
-GROUP = 100_000
+#: Rows that one window group numbers, at least, and groups for each shuffle partition, about.
+GROUP, GROUPS = 500, 20
 
 
 @lru_cache(2)
-def _tokenizer(path: str, pattern: str):
-    """The byte-level BPE of a tokenizers JSON file, run by tiktoken's core, which gives the same ids several times as fast.
+def _tokenizer(path: str, pattern: str, added_tokens: bool):
+    """Encoding function of the byte-level BPE of a tokenizers JSON file, run by tiktoken's core, which gives the same ids several times
+    as fast. A text that holds the string of an added token gets that token's id, as the library does unless its
+    encode_special_tokens is set (added_tokens false: such strings are ordinary text).
 
     In the file each byte is a printable character: itself if it is printable in Latin-1, else one counted from U+0100.
     """
@@ -28,12 +30,17 @@ def _tokenizer(path: str, pattern: str):
     byte_of = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
     with open(path, encoding="utf-8") as f:
         doc = json.load(f)
-    special = {t["id"] for t in doc.get("added_tokens", ()) if t.get("special")}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in doc["model"]["vocab"].items() if i not in special}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in doc.get("added_tokens", ())}
+    if any(t.get(flag) for t in doc.get("added_tokens", ()) for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take their surroundings along are not supported")
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in doc["model"]["vocab"].items() if token not in added}
+    encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return (lambda text: encoding.encode(text, allowed_special="all")) if added_tokens and added else encoding.encode_ordinary
 
 
-def cut_documents(docs: DataFrame, vocab_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(
+    docs: DataFrame, vocab_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True,
+) -> DataFrame:
     """Token pieces (doc_id, piece, start, length, ids_crc32): a document's ids, then end_id. Only a document of more than
     `capacity` ids is cut, and its first piece takes the remainder."""
     import pyarrow as pa
@@ -47,13 +54,13 @@ def cut_documents(docs: DataFrame, vocab_path: str, pattern: str, capacity: int
     def run(batches):
         import numpy as np
 
-        enc = _tokenizer(vocab_path, pattern)
+        encode = _tokenizer(vocab_path, pattern, added_tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 src, piece, start, length, crc = [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.array(enc.encode_ordinary(text or "") + [end_id], "<u4")
+                for row, text in enumerate(part.column(1)):
+                    ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                     first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
                     lo, hi, k = 0, first, 0
                     while lo < len(ids):
@@ -63,6 +70,7 @@ def cut_documents(docs: DataFrame, vocab_path: str, pattern: str, capacity: int
                     [part.column(0).take(pa.array(src, pa.int32())), pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)],
                     schema.fieldNames(),
                 )
+        C.trim()
 
     return C.clean(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -159,24 +167,27 @@ def plan(count: list[int], capacity: int) -> list[tuple[int, int, int, int, int]
     return runs
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocab_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True,
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The driver sees only the histogram of lengths (`capacity` numbers at most) and plans how many sequences of each
-    content there are. Pieces get a rank within their length, counted in hashed groups of about 100,000 rows, so that a length
-    that a third of all pieces share is spread; a rank picks its place in the plan. Null text is a document of end_id
-    alone. Repeated rows are packed each; an empty table gives no rows.
+    content there are. Pieces get a rank within their length, counted in hashed groups; a length is dealt into as many groups as its own
+    count asks for, so that one that a third of all pieces share is spread. A rank picks its place in the plan. Null text is a document of end_id
+    alone; the string of an added token is that token (see _tokenizer). Repeated rows are packed each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = C.stage(cut_documents(docs, vocab_path, pattern, capacity, end_id, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    pieces = C.stage(cut_documents(docs, vocab_path, pattern, capacity, end_id, id_col, text_col, added_tokens).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     count = [0] * (capacity + 1)
     for r in pieces.groupBy("length").count().collect():
         count[r["length"]] = r["count"]
-    groups = max(1, sum(count) // GROUP)
-    part = F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("part")
+    rows = max(GROUP, sum(count) // (GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    deals = spark.createDataFrame([(w, -(-n // rows)) for w, n in enumerate(count) if n], "length long, deals long")
+    pieces = pieces.join(F.broadcast(deals), "length").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("deals"))).drop("deals")
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("rid"))
-    ranked = pieces.withColumn("part", part).withColumn("rank", rank)
-    sizes = pieces.groupBy("length", part).agg(F.count(F.lit(1)).alias("n"))
+    ranked = pieces.withColumn("rank", rank)
+    sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     placed = ranked.join(starts, ["length", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))

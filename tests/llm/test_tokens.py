@@ -147,7 +147,6 @@ def test_pack_documents(docs_of, spark, capacity):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = [(i, "the of and " * (i % 9) + "<|endoftext|>" * (i % 2)) for i in range(60)] + [(100, None), (101, ""), (102, "word " * 5000), (103, "x"), (103, "x"), (None, "n")]
     out = pack_documents(docs_of(rows), P.path("byte_bpe_50k.json"), P.PATTERN, capacity).collect()
     seqs = {}
@@ -166,3 +165,15 @@ def test_pack_documents(docs_of, spark, capacity):
         assert zlib.crc32(whole[r.start : r.start + r.length].tobytes()) == r.ids_crc32
         assert r.piece == 0 or r.length == capacity
     assert pack_documents(docs_of([]), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+    plain = pack_documents(docs_of([(1, "a<|endoftext|>b")]), P.path("byte_bpe_50k.json"), P.PATTERN, capacity, added_tokens=False).collect()
+    tok.encode_special_tokens = True
+    assert sum(r.length for r in plain) == len(tok.encode("a<|endoftext|>b", add_special_tokens=False).ids) + 1 == 10
+
+
+def test_a_common_length_is_spread(docs_of, spark, monkeypatch):
+    from fleetcut.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 5)
+    out = pack_documents(docs_of([(i, "x" if i % 3 else "the of") for i in range(300)]), P.path("byte_bpe_50k.json"), P.PATTERN, 64).collect()
+    assert len(out) == 300 and len({(r.sequence_id, r.offset) for r in out}) == 300
+    assert len({r.sequence_id for r in out}) == -(-sum(r.length for r in out) // 64)
