@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast of hot keys can have at most: every key in it holds over a thousandth of the rows.
-HOT_KEYS = 1000
+#: Rows that a broadcast of hot keys can have at most; a key of more rows than HOT_ROWS is hot unless that makes too many.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000_000
 #: 64-bit words of a broadcast Bloom filter at most (32 MiB); a fuller filter only lets more rows through.
 MAX_WORDS = 1 << 22
 _CHUNK = 1024
@@ -53,6 +53,29 @@ def sweep(spark: SparkSession) -> None:
     _remove(spark, _session_dir(spark))
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch to a Python worker, besides its rows: long texts would make batches of any size, of which the JVM
+    and the worker each hold several. A lower limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > limit:
+        spark.conf.set(key, str(limit))
+
+
+def slices(batch, text: int = 1, rows: int = 512, limit: int = 1 << 20):
+    """An Arrow batch in slices of at most `rows` rows and `limit` bytes of text (column number `text`), or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + limit, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def trim() -> None:
     """Give a Python worker's freed memory back at the end of a task; workers live on and share an executor's memory."""
     import ctypes
@@ -121,10 +144,15 @@ def probe(df: DataFrame, h: Column, bloom: DataFrame, words: int, flag: str) ->
     return keyed.join(bits, "__chunk", "left").withColumn(flag, hit).drop("__chunk", "__bits", "__h")
 
 
+def hot_limit(total: int) -> int:
+    """Rows beyond which a key is hot: a thousandth of all, a million at most, but never so few that more than HOT_KEYS keys are hot."""
+    return max(1000, min(total // 1000, HOT_ROWS), total // HOT_KEYS)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """Join rows to a table unique by key. count: its column with the rows that each key has. Keys with over a
-    thousandth of all rows (so fewer than HOT_KEYS) come by broadcast, where they do not shuffle; the rest by a shuffle."""
-    limit = max(1000, total // HOT_KEYS)
+    """Join rows to a table unique by key. count: its column with the rows that each key has. Keys with over hot_limit(total)
+    rows (HOT_KEYS at most) come by broadcast, where they do not shuffle; the rest by a shuffle."""
+    limit = hot_limit(total)
     mine = [c for c in table.columns if c != key]
     hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__hot_{c}") for c in mine])
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")

@@ -54,32 +54,29 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _map_sets(docs: DataFrame, size: int, with_set: bool) -> DataFrame:
-    """(doc_id, n, set_key, bands) or (doc_id, n, items) of each document with a word."""
+    """(doc_id, n, set_key, bands) or (doc_id, n, set_key, items) of each document with a word."""
     import pyarrow as pa
 
+    C.small_batches(docs.sparkSession)
+
     id_type = docs.schema["doc_id"].dataType
     longs = T.ArrayType(T.LongType(), False)
-    head = [T.StructField("doc_id", id_type), T.StructField("n", T.LongType())]
-    schema = T.StructType(head + ([T.StructField("items", longs)] if with_set else [T.StructField("set_key", T.BinaryType()), T.StructField("bands", longs)]))
+    head = [T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType())]
+    schema = T.StructType([*head, T.StructField("items" if with_set else "bands", longs)])
 
     def run(batches):
         import xxhash
 
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, sets, keys, bands = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    items = np.unique(shingles(hashes.of(text), size))
+            for part in C.slices(batch):
+                n, keys, lists = [], [], []
+                for text in part.column(1):
+                    items = np.unique(shingles(hashes.of(text.as_py()), size))
                     n.append(len(items))
-                    if with_set:
-                        sets.append(items.view(np.int64))
-                    else:
-                        keys.append(xxhash.xxh3_128_digest(items.tobytes()))
-                        bands.append(band_keys(signature(items, BANDS * ROWS), BANDS, ROWS) if len(items) else None)
-                cols = [part.column(0), pa.array(n, pa.int64())]
-                cols += [pa.array(sets, pa.list_(pa.int64()))] if with_set else [pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                    keys.append(xxhash.xxh3_128_digest(items.tobytes()))
+                    lists.append(items.view(np.int64) if with_set else band_keys(signature(items, BANDS * ROWS), BANDS, ROWS) if len(items) else None)
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
         hashes.clear()
         C.trim()
@@ -121,21 +118,22 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     Documents with equal shingle sets are one vertex. Each bucket of 40 bands links its members with its smallest one
     only, so candidate edges are at most 40 a vertex. Edges are confirmed on the full sets, the likeliest of each vertex
     first, and the rest only between components that are still apart. In a bucket that still holds several
-    components further centres follow, until all its members that are apart have met: no link is lost to the star shape.
+    components further centres follow, then an exact join of its members by their rarest shingles: no link is lost to the star shape.
 
     Null or blank text has no shingles and links with nothing; a null id links with nothing (its component is null). Rows
-    that share an id are one document. An empty table gives no rows.
+    that share an id are one document: it links with whatever one of its texts is like, and so links these with each other.
+    Ties need no rule: a component's id is its smallest. Other columns are ignored. An empty table gives no rows.
     """
     base = C.clean(docs, id_col, text_col)
     signed = C.stage(_map_sets(base, size, False), "signed")
     some = signed.filter("n > 0 and doc_id is not null")
     classes = C.stage(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    members = C.lookup(some.select("doc_id", "set_key"), classes, "set_key", "members", signed.count()).select("doc_id", "rep")
-    same = C.stage(members.distinct(), "members")
-    reps = same.filter("doc_id = rep").select("doc_id")
-    one_each = C.stage(some.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
-    spread = one_each.select(F.col("doc_id").alias("m"), "n", F.explode("bands").alias("key"))
-    spread = C.stage(spread, "buckets")
+    members = C.lookup(some.select("doc_id", "set_key"), classes, "set_key", "members", signed.count()).select("doc_id", "rep", "set_key")
+    members = C.stage(members.distinct(), "members")
+    same = members.select("doc_id", "rep").distinct()
+    reps = members.filter("doc_id = rep").select("doc_id", "set_key")
+    one_each = some.join(reps, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    spread = C.stage(one_each.select(F.col("doc_id").alias("m"), "n", F.explode("bands").alias("key")), "buckets")
     sizes = spread.groupBy("key").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     sizes = C.stage(sizes, "centres")
     n_keys = sizes.count()
@@ -143,20 +141,28 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     if n_keys:
         words = C.filter_words(n_keys)
         bloom = C.stage(C.bloom_of(sizes.select("key"), "key", words), "bloom")
-        full = C.stage(C.probe(spread, F.col("key"), bloom, words, "maybe").filter("maybe").drop("maybe").join(sizes, "key"), "full")
+        probed = C.probe(spread, F.col("key"), bloom, words, "maybe").filter("maybe").drop("maybe")
+        full = C.stage(C.lookup(probed, sizes, "key", "k", spread.count()), "full")
+        C.unstage(spread)
         star = C.stage(full.filter("m <> c").groupBy("c", "m").agg(F.count(F.lit(1)).alias("bands")), "stars")
         ends = C.stage(full.select(F.col("m").alias("doc_id")).distinct(), "ends")
         words = C.filter_words(ends.count())
         ids = C.stage(C.bloom_of(ends.select(F.xxhash64("doc_id").alias("h")), "h", words), "bloom")
         texts = C.probe(base.filter("doc_id is not null"), F.xxhash64("doc_id"), ids, words, "maybe").filter("maybe").select("doc_id", "text")
         sets = _map_sets(texts, size, True).filter("n > 0").join(ends, "doc_id", "left_semi")
-        sets = C.stage(sets.dropDuplicates(["doc_id"]), "sets")
+        sets = C.stage(sets.dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "sets")
         best = C.stage(star.groupBy("m").agg(F.max_by("c", F.struct("bands", "c")).alias("c")), "best")
         labels = _relabel(None, _similar(best.select(F.col("c").alias("a"), F.col("m").alias("b")), sets, percent))
         apart = _with_comp(_with_comp(star, labels, "c", "kc"), labels, "m", "km").filter("kc <> km")
         rest = apart.join(best, ["c", "m"], "left_anti").select(F.col("c").alias("a"), F.col("m").alias("b"))
         labels = _relabel(labels, _similar(rest, sets, percent))
         labels = _finish(full.filter("k > 2"), labels, sets, percent)
+        for table in (full, star, sets, best):
+            C.unstage(table)
+    several = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
+    edges = C.stage(same.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")), "several")
+    if not edges.isEmpty():
+        labels = _relabel(labels, edges)
     out = same if labels is None else _with_comp(same, labels, "rep", "comp")
     comp = out.select("doc_id", F.col("rep" if labels is None else "comp").alias("component_id"))
     comp = comp.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -166,17 +172,18 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component, with theirs."""
-    with_comp = _with_comp(full, labels, "m", "comp")
-    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y"))
-    return C.stage(with_comp.join(mixed.select("key"), "key", "left_semi"), "open")
+    with_comp = C.stage(_with_comp(full, labels, "m", "comp"), "with_comp")
+    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).filter(F.col("x") != F.col("y"))
+    out = C.stage(C.lookup(with_comp, C.stage(mixed.select("key", "k"), "mixed"), "key", "k", with_comp.count()).drop("k"), "open")
+    C.unstage(with_comp)
+    return out
 
 
 def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the stars of buckets (key, m, n, c, k) cannot show.
 
-    First a few more centres: the members with the most leading zeros in their hash, about four a bucket, meet all others. In
-    buckets that are still mixed, the members outside the largest component then meet all of the bucket in blocks, so that every two
-    members of different components have met.
+    First a few more centres: the members with the most leading zeros in their hash, about four a bucket, meet all others. The
+    members of buckets that are still mixed are then joined exactly, by prefixes of their rarest shingles.
     """
     zeros = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("key", "m").bitwiseAND(F.lit((1 << 40) - 1))), 40, "0"), "^0*", 0))
     full = full.select("key", "m", "n", (zeros >= F.ceil(F.log2("k")).cast("int") - 2).alias("centre"))
@@ -190,29 +197,54 @@ def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
         labels = _relabel(labels, _similar(pairs, sets, percent))
     C.unstage(open_)
     open_ = _open(full, labels)
-    return labels if open_.isEmpty() else _relabel(labels, _meet_in_blocks(open_, sets, percent))
+    if open_.isEmpty():
+        return labels
+    members = C.stage(open_.select("m", "comp").distinct().join(sets.select(F.col("doc_id").alias("m"), "n", "items"), "m"), "apart")
+    prefixes = C.stage(_prefixes(members, percent), "prefixes")
+    return _relabel(labels, _meet_in_blocks(prefixes, members, percent))
+
+
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """(key, m): the shingles of each member's prefix that other members hold too.
+
+    With shingles in one order, rarest first, two sets of n and n' shingles can only have the similarity if the first
+    n - ceil(n * percent / 100) + 1 of the one and likewise of the other share a shingle. Shingles of one member alone come first and match
+    nothing, so a member whose own text fills its prefix is through.
+    """
+    items = members.select("m", "n", F.explode("items").alias("key"))
+    counts = C.stage(items.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "repeated")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    known = C.lookup(items, counts, "key", "f", total)
+    mine = known.groupBy("m", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("known"))
+    left = (F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("known"))).cast("int")
+    return mine.withColumn("left", left).filter("left > 0").select("m", F.explode(F.slice("known", F.lit(1), F.col("left"))).alias("s")).select(F.col("s.key").alias("key"), "m")
 
 
-def _meet_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of members outside their bucket's largest component with members of other components.
+def _meet_in_blocks(prefixes: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members that share a prefix shingle (the key) and lie in different components.
 
-    A bucket's outsiders are dealt into blocks of about BLOCK, its members into chunks of about CHUNK; each block meets each chunk as one
-    bounded group, in which the members' sets are looked up in the sorted items of the block. Of several links
-    of an outsider with one component, one is returned.
+    Of a key's members, those outside its largest component are dealt into blocks of about BLOCK, all into chunks of about CHUNK, within classes
+    of lengths of which only neighbours can be similar. Each block meets each chunk as one bounded group, in which the members' sets are
+    looked up in the sorted items of the block. Of several links of an outsider with one component, one is returned.
     """
     import pyarrow as pa
 
-    per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"))
+    C.small_batches(prefixes.sparkSession)
+    step = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    named = prefixes.join(vertices.select("m", "comp", step.alias("step")).distinct(), "m")
+    per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most")).filter("total > most")
     blocks, chunks = F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("total") / CHUNK).cast("int")
-    rows = open_.select("key", "m", "comp").join(main.select("key", "main", blocks.alias("blocks"), chunks.alias("chunks")), "key")
-    rows = rows.join(sets.select(F.col("doc_id").alias("m"), "items"), "m")
+    sized = C.stage(main.select("key", "main", "total", blocks.alias("blocks"), chunks.alias("chunks")), "sized")
+    rows = C.lookup(named, sized, "key", "total", prefixes.count())
+    rows = rows.join(vertices.select("m", "items"), "m")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, salt: F.pmod(F.xxhash64("m", F.lit(salt)), F.col(n)).cast("int")
-    members = rows.withColumn("chunk", deal("chunks", "c")).withColumn("block", each("blocks")).select("key", "block", "chunk", "m", "comp", "items")
+    members = rows.withColumn("chunk", deal("chunks", "c")).withColumn("block", each("blocks")).withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
+    members = members.select("key", "step", "block", "chunk", "m", "comp", "items")
     outside = rows.filter(F.col("comp") != F.col("main")).withColumn("block", deal("blocks", "b")).withColumn("chunk", each("chunks"))
-    outside = outside.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "block", "chunk", "m", "comp", "items")])
-    kind = dict(open_.dtypes)["m"]
+    outside = outside.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "step", "block", "chunk", "m", "comp", "items")])
+    kind = dict(vertices.dtypes)["m"]
 
     def meet(left, right):
         a, b = left.combine_chunks(), right.combine_chunks()
@@ -238,5 +270,5 @@ def _meet_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFram
         take = lambda col, at: col.take(pa.array(at, pa.int64()))
         return pa.table({"a": take(ids_a, src), "b": take(ids_b, got)})
 
-    keys = ("key", "block", "chunk")
+    keys = ("key", "step", "block", "chunk")
     return members.groupBy(*keys).cogroup(outside.groupBy(*[f"o_{k}" for k in keys])).applyInArrow(meet, f"a {kind}, b {kind}")
