@@ -7,7 +7,7 @@ import re
 from collections import deque
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +50,12 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
+_HEADING = re.compile("h[1-6]$")
 
 
 class Block(NamedTuple):
     text: str
+    tag: str
     path: tuple[int, ...]
     linked: int
     says: int
@@ -109,7 +111,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text and not any(t in HEAD for t, _, _ in stack):
-                out.append((Block(text, tuple(i for _, i, _ in stack), min(linked, len(text)), 0, 0), [x for x in stack if x[2]]))
+                out.append((Block(text, stack[-1][0] if stack else "", tuple(i for _, i, _ in stack), min(linked, len(text)), 0, 0), [x for x in stack if x[2]]))
             parts.clear()
         linked = 0
 
@@ -311,14 +313,15 @@ def labels(found: list[Block], weights: tuple[tuple[float, ...], ...] = PRIOR) -
     return min_cut(*network(found, costs(found, weights)))[: len(found)]
 
 
-def main_text(page: str, weights: tuple[tuple[float, ...], ...] = PRIOR) -> str:
+def main_text(page: str, weights: tuple[tuple[float, ...], ...] = PRIOR, headings: bool = True) -> str:
     found = blocks(page)
-    return " ".join(b.text for b, keep in zip(found, labels(found, weights), strict=True) if keep)
+    return " ".join(b.text for b, keep in zip(found, labels(found, weights), strict=True) if keep and (headings or not _HEADING.match(b.tag)))
 
 
 def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> tuple[tuple[float, ...], ...]:
     """The classifier's weights, from the blocks of a bounded sample of pages whose markup says what they are; its names are
     labels here, not features. The driver gets a count for each combination of bins. Without such blocks: PRIOR."""
+    C.small_batches(pages.sparkSession)
     total = pages.count()
     few = pages.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, train_pages / max(1, total)))))
 
@@ -342,25 +345,30 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> tuple[tuple[float
     return fit({tuple(r["f"]): (r["yes"], r["no"]) for r in counts.collect()})
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points).
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = TRAIN_PAGES, headings: bool = True,
+    keep: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars (code points), and further columns to keep, by their names.
 
-    Every page is cut whole; ties of the cut are not content. Null or empty HTML, and a page without content, give empty text.
-    Repeated rows give a row each; an empty table none; other columns are ignored. Only the classifier's training reads a bounded
-    sample (train_pages pages).
+    Every page is cut whole; ties of the cut are not content; headings are left out if asked. Null or empty HTML, and a page without
+    content, give empty text. Repeated rows give a row each; an empty table none; other columns are ignored. Only the
+    classifier's training reads a bounded sample (train_pages pages).
     """
     import pyarrow as pa
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    C.small_batches(pages.sparkSession)
+    more = [c.alias(name) for name, c in (keep or {}).items()]
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), *more)
     weights = learn(rows, train_pages)
-    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), *rows.schema.fields[3:]])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [main_text(p.as_py() or "", weights) for p in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.fieldNames())
+            for part in C.slices(batch, 2, 64):
+                texts = [main_text(p.as_py() or "", weights, headings) for p in part.column(2)]
+                cols = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
         C.trim()
 
     return rows.mapInArrow(run, schema)

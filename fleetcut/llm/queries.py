@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetcut.llm.bpe import encode_documents
 from fleetcut.llm.exact_dedup import exact_groups
 from fleetcut.llm.html_text import extract_main_text
-from fleetcut.llm.language import identify_languages
+from fleetcut.llm.language import identify_languages, with_pages
 from fleetcut.llm.minhash import near_groups
 from fleetcut.llm.packing import pack_documents
 from fleetcut.llm.passages import repeated_passages
@@ -44,7 +44,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+    """Documents whose text stands on a page take the page's markup language and address as evidence, all others only their own columns."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return identify_languages(
+        with_pages(docs, pages), declared=F.coalesce("markup", "lang"), url=F.col("url"), host=F.col("source"), label=F.col("lang"),
+    )
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
