@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +15,6 @@ from fleetcut.llm import _common as C
 GROUP, GROUPS = 500, 20
 
 
-@lru_cache(2)
 def _tokenizer(path: str, pattern: str, added_tokens: bool):
     """Encoding function of the byte-level BPE of a tokenizers JSON file, run by tiktoken's core, which gives the same ids several times
     as fast. A text that holds the string of an added token gets that token's id, as the library does unless its
@@ -45,6 +43,7 @@ def cut_documents(
     `capacity` ids is cut, and its first piece takes the remainder."""
     import pyarrow as pa
 
+    C.small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType())]
@@ -56,8 +55,7 @@ def cut_documents(
 
         encode = _tokenizer(vocab_path, pattern, added_tokens)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in C.slices(batch):
                 src, piece, start, length, crc = [], [], [], [], []
                 for row, text in enumerate(part.column(1)):
                     ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
@@ -70,6 +68,7 @@ def cut_documents(
                     [part.column(0).take(pa.array(src, pa.int32())), pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)],
                     schema.fieldNames(),
                 )
+        del encode  # about 35 MB, which an idle worker would keep
         C.trim()
 
     return C.clean(docs, id_col, text_col).mapInArrow(run, schema)

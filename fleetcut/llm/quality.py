@@ -74,12 +74,14 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rows = [measure(t or "", hashes) for t in part.column(1).to_pylist()]
+            for part in C.slices(batch):
+                rows = [measure(t.as_py() or "", hashes) for t in part.column(1)]
                 cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(2 + i) for i in range(len(keep))], *cols], schema.fieldNames())
+        hashes.clear()
+        C.trim()
 
+    C.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
