@@ -149,16 +149,17 @@ def hot_limit(total: int) -> int:
     return max(1000, min(total // 1000, HOT_ROWS), total // HOT_KEYS)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner", most: int = HOT_KEYS, small: Column | None = None) -> DataFrame:
     """Join rows to a table unique by key. count: its column with the rows that each key has. Keys with over hot_limit(total)
-    rows (HOT_KEYS at most) come by broadcast, where they do not shuffle; the rest by a shuffle."""
-    limit = hot_limit(total)
+    rows (`most` at most) come by broadcast, where they do not shuffle; the rest, and those that are not small, by a shuffle."""
+    limit = max(hot_limit(total), total // most)
+    is_hot = F.coalesce((F.col(count) > limit) & (small if small is not None else F.lit(True)), F.lit(False))
     mine = [c for c in table.columns if c != key]
-    hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__hot_{c}") for c in mine])
+    hot = table.filter(is_hot).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__hot_{c}") for c in mine])
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
     known = marked.filter(F.col("__k").isNotNull()).select(key, *[c for c in rows.columns if c != key], *[F.col(f"__hot_{c}").alias(c) for c in mine])
     rest = marked.filter(F.col("__k").isNull()).select(*rows.columns)
-    return known.unionByName(rest.join(table.filter(F.col(count) <= limit), key, how))
+    return known.unionByName(rest.join(table.filter(~is_hot), key, how))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,8 +14,13 @@ from fleetcut.llm import _common as C
 from fleetcut.llm.exact_dedup import normalised
 from fleetcut.llm.words import WordHashes, shingles
 
-#: Words of a seed; one seed at least is taken from any WINDOW seeds in a row, so any K + WINDOW - 1 equal words share one.
-K, WINDOW = 10, 16
+#: Words of a seed. Seeds whose hash is a multiple of SAMPLE are taken wherever they stand, and the smallest of any WINDOW seeds in a
+#: row, so any K + WINDOW - 1 equal words share one, and edited passages share a SAMPLE-th of their equal runs' seeds.
+K, WINDOW, SAMPLE = 5, 24, 5
+#: Seeds that a document must share with a source to be aligned with it; seeds over which equal runs are told apart.
+ANCHORS, AHEAD = 3, 256
+#: A source that is broadcast to its users has so many words at most, and there are so many of them at most: 32 MiB.
+HOT_WORDS, HOT_SOURCES = 1 << 14, 500
 #: A gap between two seeds costs so many words for each word of it, and for each word that the two sides differ in length.
 GAP, SHIFT = 0.05, 0.5
 #: Words that differ in a row end an extension; the least share of equal words in a passage.
@@ -22,16 +28,65 @@ STOP, IDENTITY = 8, 0.8
 
 
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the smallest seed of every window of WINDOW seeds (the first on ties), each place once."""
+    """Hash and place of the sampled seeds and of the smallest seed of every window of WINDOW seeds (the first on ties), in order."""
     if len(words) < K:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     seeds = shingles(words, K)
+    taken = seeds % np.uint64(SAMPLE) == 0
     if len(seeds) <= WINDOW:
-        at = np.array([int(seeds.argmin())])
+        taken[seeds.argmin()] = True
     else:
         view = np.lib.stride_tricks.sliding_window_view(seeds, WINDOW)
-        at = np.unique(view.argmin(1) + np.arange(len(view)))
-    return seeds[at], at.astype(np.int64)
+        taken[view.argmin(1) + np.arange(len(view))] = True
+    at = np.flatnonzero(taken)
+    return seeds[at], at
+
+
+class Places:
+    """Where each run of K words stands in a text."""
+
+    def __init__(self, words: np.ndarray):
+        self.runs = shingles(words.astype(np.uint64), K) if len(words) >= K else np.empty(0, np.uint64)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.runs, kind="stable")
+
+    @cached_property
+    def sorted(self) -> np.ndarray:
+        return self.runs[self.order]
+
+
+def anchor(places: np.ndarray, here: Places, there: Places) -> np.ndarray:
+    """Anchors (place here, place there) of the seeds at places. A seed that stands often there is anchored where most of the seeds
+    behind it go on (told over AHEAD seeds; of those, nearest to the last anchor's diagonal), so repeats cost no product of places."""
+    keys = here.runs[places]
+    lo, hi = np.searchsorted(there.sorted, keys), np.searchsorted(there.sorted, keys, "right")
+    if (hi - lo <= 1).all():
+        one = hi > lo
+        return np.column_stack([places[one], there.order[lo[one]]])
+    out, i, n, last = [], 0, len(places), None
+    while i < n:
+        if hi[i] == lo[i]:
+            i += 1
+            continue
+        x, ys, j = int(places[i]), there.order[lo[i] : hi[i]], i + 1
+        while len(ys) > 1 and j < min(n, i + AHEAD):
+            ahead = ys + (int(places[j]) - x)
+            inside = ahead < len(there.runs)
+            going = ys[inside][there.runs[ahead[inside]] == keys[j]]
+            if not len(going):
+                break
+            ys, j = going, j + 1
+        y = int(ys[0] if last is None else ys[np.abs(x - ys - last).argmin()])
+        last = x - y
+        while i < n:
+            at = int(places[i]) - last
+            if not 0 <= at < len(there.runs) or there.runs[at] != keys[i]:
+                break
+            out.append((int(places[i]), at))
+            i += 1
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 class Fenwick:
@@ -308,11 +363,22 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     point to the smallest document that holds the window, so every window that an earlier document shares is covered
     (if it has K + WINDOW - 1 words or more).
 
-    Null or short texts and null ids have no passages; rows that share an id are one document if their texts are equal,
-    else each is compared; an empty table gives no rows.
+    Null or short texts and null ids have no passages; equal rows are one document, and of an id with different texts that of the smallest
+    digest takes part; of ties the smallest id or place is the source. Long texts are compared whole; other columns are ignored; an empty
+    table gives no rows.
     """
+    C.small_batches(docs.sparkSession)
     base = C.clean(docs, id_col, text_col).filter("doc_id is not null and text is not null")
-    keyed = C.stage(base.select("doc_id", F.sha2(F.trim(normalised(F.col("text"))).cast("binary"), 256).alias("key")), "keys")
+    digest = F.sha2(F.trim(normalised(F.col("text"))).cast("binary"), 256)
+    keyed = C.stage(base.select("doc_id", digest.alias("key")), "keys")
+    several = C.stage(keyed.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("z")).filter("first <> z").drop("z"), "several")
+    if not several.isEmpty():
+        words = C.filter_words(several.count())
+        bloom = C.stage(C.bloom_of(several.select(F.xxhash64("doc_id").alias("h")), "h", words), "bloom")
+        marked = C.probe(base, F.xxhash64("doc_id"), bloom, words, "maybe")
+        firsts = marked.filter("maybe").select("doc_id", "text").join(several, "doc_id", "left").filter(F.col("first").isNull() | (F.col("first") == digest))
+        base = marked.filter("not maybe").select("doc_id", "text").unionByName(firsts.select("doc_id", "text"))
+        keyed = C.stage(base.select("doc_id", digest.alias("key")), "keys")
     total = keyed.count()
     classes = C.stage(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     copies = C.lookup(keyed, classes.filter("members > 1"), "key", "members", total).filter("doc_id <> rep").select("doc_id", "rep").distinct()
@@ -330,14 +396,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     bloom = C.stage(C.bloom_of(shared.select("seed"), "seed", words), "bloom")
     maybe = C.stage(C.probe(seeds, F.col("seed"), bloom, words, "maybe").filter("maybe").drop("maybe"), "maybe")
     known = C.stage(C.lookup(maybe, shared, "seed", "n", maybe.count()).drop("n"), "known")
-    # a source's own places of a seed: a few, or as many as the text repeats it; the first and the last stand for them
-    there = known.filter("doc_id = source_id").groupBy("seed").agg(F.min("place").alias("one"), F.max("place").alias("two"), F.count(F.lit(1)).alias("k"))
-    uses = known.filter("doc_id <> source_id").select("seed", "doc_id", "source_id", "place")
-    sizes = uses.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    there = C.stage(there.join(sizes, "seed"), "there")
-    anchors = C.lookup(uses, there, "seed", "n", maybe.count())
-    both = F.array_distinct(F.array(F.struct("place", F.col("one").alias("there")), F.struct("place", F.col("two").alias("there"))))
-    pairs = anchors.select("doc_id", "source_id", F.explode(both).alias("a")).groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_list("a")).alias("anchors"))
+    uses = known.filter("doc_id <> source_id").groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    pairs = uses.filter(F.size("places") >= ANCHORS)
     pairs = C.stage(pairs, "pairs")
 
     ends = pairs.select("doc_id").unionByName(pairs.select(F.col("source_id").alias("doc_id"))).distinct()
@@ -346,32 +406,37 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     bloom = C.stage(C.bloom_of(ends.select(F.xxhash64("doc_id").alias("h")), "h", words), "bloom")
     some = C.probe(reps, F.xxhash64("doc_id"), bloom, words, "maybe").filter("maybe").select("doc_id", "text")
     texts = C.stage(_map_words(some, "words").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "words")
-    joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id")
+    by_source = pairs.groupBy("source_id").agg(F.count(F.lit(1)).alias("uses"))
+    sources = C.stage(by_source.join(texts.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id"), "sources")
+    small = F.length("source_words") <= 4 * HOT_WORDS
+    joined = C.lookup(pairs.join(texts, "doc_id"), sources, "source_id", "uses", pairs.count(), most=HOT_SOURCES, small=small)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
+        source, there = None, None
+        for batch in batches:
+            for part in C.slices(batch, 3, 256):
                 src, got = [], []
-                places = zip(batch.column("anchors"), batch.column("words"), batch.column("source_words"), strict=True)
-                for row, (anchors, a, b) in enumerate(places):
-                    pairs_at = anchors.values
-                    at = np.column_stack([pairs_at.field(0).to_numpy(), pairs_at.field(1).to_numpy()]).astype(np.int64)
-                    for p in align(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4"), at, least):
+                for row, (places, one, two) in enumerate(zip(part.column(2), part.column(3), part.column(4), strict=True)):
+                    a, b = np.frombuffer(one.as_buffer(), "<u4"), np.frombuffer(two.as_buffer(), "<u4")
+                    if source is None or not np.array_equal(source, b):
+                        source, there = b.copy(), Places(b)
+                    at = anchor(places.values.to_numpy().astype(np.int64), Places(a), there)
+                    for p in align(a, b, at, least) if len(at) else ():
                         src.append(row)
                         got.append(p)
                 take = pa.array(src, pa.int64())
                 cols = [pa.array([p[i] for p in got], pa.int64()) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), cols[0], cols[1], batch.column("source_id").take(take), *cols[2:]],
+                    [part.column(0).take(take), cols[0], cols[1], part.column(1).take(take), *cols[2:]],
                     ["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "n_equal"],
                 )
+        C.trim()
 
     schema = f"doc_id {id_type}, start_word long, end_word long, source_id {id_type}, source_start long, source_end long, n_equal long"
-    cols = ["doc_id", "source_id", "anchors", "words", "source_words"]
+    cols = ["doc_id", "source_id", "places", "words", "source_words"]
     star = C.stage(joined.select(*cols).mapInArrow(run, schema), "star")
     # a window shared with an earlier document has its first seed there at the same distance from its start
     gaps = C.stage(_open_windows(seeds, known, texts, star, least, id_type), "open")
@@ -385,8 +450,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("f"))
     wanted = windows.join(gaps.select("doc_id", "start").distinct(), ["doc_id", "start"], "left_semi").join(first, "window").filter("f.doc_id < doc_id")
     steps = F.array(*[F.lit(k) for k in sorted({*range(0, least - K + 1, K), max(0, least - K)})])
-    at = F.explode(F.transform(steps, lambda k: F.struct((F.col("start") + k).cast("int").alias("place"), (F.col("f.start") + k).cast("int").alias("there"))))
-    further = wanted.select("doc_id", F.col("f.doc_id").alias("source_id"), at.alias("a")).groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("a")).alias("anchors"))
+    at = F.explode(F.transform(steps, lambda k: (F.col("start") + k).cast("int"))).alias("place")
+    further = wanted.select("doc_id", F.col("f.doc_id").alias("source_id"), at).groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     further = further.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id")
     fuzzy = star.unionByName(further.select(*cols).mapInArrow(run, schema)).distinct()
     n = F.size(F.split(F.trim(normalised(F.col("text"))), " ")).cast("long")

@@ -168,7 +168,7 @@ def test_chains_equal_the_quadratic_recurrence():
 
     random.seed(15)
     assert chains([(200, 0, 40), (0, 200, 40), (245, 245, 30), (280, 282, 30)])[0] == [(245, 245, 30), (280, 282, 30)]
-    for _ in range(300):
+    for _ in range(1000):
         reach = random.choice((30, 100, 400))
         segs = list({(random.randrange(reach), random.randrange(reach), random.randint(5, 40)) for _ in range(random.randint(1, 40))})
         got = chains(segs)
@@ -247,3 +247,112 @@ def test_mosaics_and_repeats_keep_their_passages(docs_of):
         assert r.source_id < r.doc_id and r.end_word - r.start_word >= 50
         got[r.doc_id].update(range(r.start_word, r.end_word))
     assert set(got) == set(want) and all(want[d] <= got[d] for d in want)
+
+
+def edited(words, rate, word):
+    """Words with a share `rate` of them replaced, dropped or doubled with new ones, at random places."""
+    out = []
+    for i, w in enumerate(words):
+        draw = random.random()
+        if draw >= rate or i < 2 or i >= len(words) - 2:
+            out.append(w)
+        elif draw < 0.7 * rate:
+            out.append(word())
+        elif draw < 0.85 * rate:
+            out += [w, word()]
+    return out
+
+
+def test_edited_passages_are_found(docs_of):
+    """Recall on passages of 60 to 150 words that are equal by 0.8 to 0.9 with their source."""
+    from fleetcut.llm.passages import _lcs
+
+    random.seed(77)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    rows, want = [], {}
+    code = lambda words: np.array([hash(w) & 0xFFFFFFFF for w in words], np.uint32)
+    for i in range(0, 600, 2):
+        passage = some(random.randint(60, 150))
+        rows.append((i, some(random.randint(0, 80)) + passage + some(20)))
+        before = some(random.randint(0, 60))
+        other = edited(passage, random.uniform(0.1, 0.2), word)
+        rows.append((i + 1, before + other + some(random.randint(0, 60))))
+        want[i + 1] = (i, len(before), len(before) + len(other), _lcs(code(passage), code(other)) >= 0.8 * max(len(passage), len(other)))
+    got = defaultdict(int)
+    for r in repeated_passages(docs_of([(i, " ".join(w)) for i, w in rows])).collect():
+        assert r.doc_id in want and r.source_id == want[r.doc_id][0], "clean documents are left alone"
+        lo, hi = want[r.doc_id][1:3]
+        got[r.doc_id] += max(0, min(hi, r.end_word) - max(lo, r.start_word))
+    caught = [got[d] >= 0.5 * (hi - lo) for d, (_, lo, hi, alike) in want.items() if alike]
+    assert len(caught) > 200 and sum(caught) >= 0.9 * len(caught)
+
+
+def test_seeds_that_a_source_repeats(docs_of):
+    """An edited passage is found in the middle of a source that repeats each of its seeds, and constant text costs no product of places."""
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    passage = some(80)
+    parts = [passage[k : k + 16] for k in range(0, 80, 16)]
+    source = [w for p in reversed(parts) for w in p + some(3)] + some(40) + passage + some(40) + [w for p in reversed(parts) for w in p + some(3)]
+    rows = [(1, source), (2, some(10) + passage[:40] + [word()] + passage[41:] + some(10)), (3, ["word"] * 30_000), (4, ["word"] * 29_000 + some(5))]
+    out = repeated_passages(docs_of([(i, " ".join(w)) for i, w in rows])).collect()
+    assert any(r.doc_id == 2 and r.start_word <= 10 and r.end_word >= 90 and r.source_id == 1 for r in out)
+    assert any(r.doc_id == 4 and r.start_word == 0 and r.end_word >= 29_000 for r in out) and all(r.doc_id in (2, 4) for r in out)
+
+
+def test_passages_of_odd_tables(docs_of, spark):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    text = " ".join(word() for _ in range(70))
+    rows = [(None, text), (1, text), (2, text.upper()), (3, None), (4, text), (4, text), (5, text + " x"), (5, "a b c"), (6, " ")]
+    df = docs_of(rows).withColumn("words", F.lit("clash")).withColumn("seed", F.lit(1)).withColumn("place", F.lit(2))
+    out = repeated_passages(df).collect()
+    assert {(r.doc_id, r.source_id, r.start_word, r.end_word) for r in out if r.doc_id != 5} == {(2, 1, 0, 70), (4, 1, 0, 70)}
+    assert {(r.source_id, r.end_word) for r in out if r.doc_id == 5} in ({(1, 70)}, set())
+    assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_near_groups_lose_few_links(docs_of):
+    """Recall of links of similarity 0.8 to 0.85 for sets of 4 to 400 shingles."""
+    random.seed(41)
+    rows, pairs = [], []
+    for i in range(0, 800, 2):
+        n = random.choice((4, 9, 20, 60, 150, 400))
+        a = [f"w{i}x{k}" for k in range(n + 1)]
+        shared = -(-8 * n // 9)  # of two sets of n shingles that share s, the similarity is s / (2 n - s)
+        b = a[: shared + 1] + [f"v{i}x{k}" for k in range(n - shared)]
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        pairs.append((i, i + 1))
+    comp = {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 2).collect()}
+    linked = sum(comp[a] == comp[b] == a for a, b in pairs)
+    assert linked == len(pairs)
+    assert len({comp[a] for a, _ in pairs}) == len(pairs)
+
+
+def test_near_groups_of_ids_with_several_texts(docs_of):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, b + " more"), (7, a + " x"), (7, b), (9, "else"), (9, None)]
+    df = docs_of(rows).withColumn("n", F.lit(0)).withColumn("key", F.lit("clash")).withColumn("bands", F.lit(1))
+    got = {(r.doc_id, r.component_id) for r in near_groups(df, 2).collect()}
+    assert got == {(1, 1), (2, 1), (7, 1), (9, 9)}
+
+
+def test_mixed_buckets_meet_by_rare_shingles(spark):
+    """Many documents of one template under the threshold, a few of them alike: the exact join finds these and no others."""
+    from fleetcut.llm import minhash as M
+
+    random.seed(6)
+    members = []
+    for i in range(120):
+        own = set(random.sample(range(10**6), 30))
+        members.append((i, i, sorted(set(range(70)) | own)))
+    alike = members[3][2][:96] + [-5, -6, -7, -8]
+    members.append((500, 500, sorted(alike)))
+    rows = spark.createDataFrame([(m, c, len(s), s) for m, c, s in members], "m long, comp long, n long, items array<bigint>")
+    assert {r.m for r in M._may_link(rows, 80).collect()} == {3, 500}
+    bucket = rows.select(F.lit(1).alias("key"), "m", "comp")
+    got = {tuple(sorted((r.a, r.b))) for r in M._meet_in_blocks(bucket, rows, 80).collect()}
+    want = {(a[0], b[0]) for a in members for b in members if a[0] < b[0] and 100 * len(set(a[2]) & set(b[2])) >= 80 * len(set(a[2]) | set(b[2]))}
+    assert got == want == {(3, 500)}
