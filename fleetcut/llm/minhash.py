@@ -182,8 +182,8 @@ def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
 def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the stars of buckets (key, m, n, c, k) cannot show.
 
-    First a few more centres: the members with the most leading zeros in their hash, about four a bucket, meet all others. The
-    members of buckets that are still mixed are then joined exactly, by prefixes of their rarest shingles.
+    First a few more centres: the members with the most leading zeros in their hash, about four a bucket, meet all others. In
+    buckets that are still mixed, members that may have a link by their rarest shingles then meet in blocks.
     """
     zeros = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("key", "m").bitwiseAND(F.lit((1 << 40) - 1))), 40, "0"), "^0*", 0))
     full = full.select("key", "m", "n", (zeros >= F.ceil(F.log2("k")).cast("int") - 2).alias("centre"))
@@ -200,12 +200,12 @@ def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     if open_.isEmpty():
         return labels
     members = C.stage(open_.select("m", "comp").distinct().join(sets.select(F.col("doc_id").alias("m"), "n", "items"), "m"), "apart")
-    prefixes = C.stage(_prefixes(members, percent), "prefixes")
-    return _relabel(labels, _meet_in_blocks(prefixes, members, percent))
+    keep = C.stage(_may_link(members, percent), "keep")
+    return _relabel(labels, _meet_in_blocks(open_.select("key", "m", "comp").join(keep, "m", "left_semi"), members, percent))
 
 
-def _prefixes(members: DataFrame, percent: int) -> DataFrame:
-    """(key, m): the shingles of each member's prefix that other members hold too.
+def _may_link(members: DataFrame, percent: int) -> DataFrame:
+    """The members (m, comp, n, items) that share a shingle of their prefix with a member of another component; no other can have a link.
 
     With shingles in one order, rarest first, two sets of n and n' shingles can only have the similarity if the first
     n - ceil(n * percent / 100) + 1 of the one and likewise of the other share a shingle. Shingles of one member alone come first and match
@@ -214,35 +214,36 @@ def _prefixes(members: DataFrame, percent: int) -> DataFrame:
     items = members.select("m", "n", F.explode("items").alias("key"))
     counts = C.stage(items.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "repeated")
     total = members.agg(F.sum("n")).first()[0] or 0
-    known = C.lookup(items, counts, "key", "f", total)
-    mine = known.groupBy("m", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("known"))
+    mine = C.lookup(items, counts, "key", "f", total).groupBy("m", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("known"))
     left = (F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("known"))).cast("int")
-    return mine.withColumn("left", left).filter("left > 0").select("m", F.explode(F.slice("known", F.lit(1), F.col("left"))).alias("s")).select(F.col("s.key").alias("key"), "m")
+    first = mine.withColumn("left", left).filter("left > 0").select("m", F.explode(F.slice("known", F.lit(1), F.col("left"))).alias("s"))
+    first = C.stage(first.select(F.col("s.key").alias("key"), "m").join(members.select("m", "comp").distinct(), "m"), "prefixes")
+    met = first.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).filter(F.col("x") != F.col("y"))
+    return C.lookup(first, C.stage(met.select("key", "k"), "met"), "key", "k", first.count()).select("m").distinct()
 
 
-def _meet_in_blocks(prefixes: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of members that share a prefix shingle (the key) and lie in different components.
+def _meet_in_blocks(open_: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members outside their bucket's largest component with members of other components.
 
-    Of a key's members, those outside its largest component are dealt into blocks of about BLOCK, all into chunks of about CHUNK, within classes
-    of lengths of which only neighbours can be similar. Each block meets each chunk as one bounded group, in which the members' sets are
-    looked up in the sorted items of the block. Of several links of an outsider with one component, one is returned.
+    A bucket's outsiders are dealt into blocks of about BLOCK, its members into chunks of about CHUNK, within classes of lengths of which only
+    neighbours can be similar; each block meets each chunk as one bounded group, in which the members' sets are looked up in the
+    sorted items of the block. Of several links of an outsider with one component, one is returned.
     """
     import pyarrow as pa
 
-    C.small_batches(prefixes.sparkSession)
+    C.small_batches(open_.sparkSession)
     step = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
-    named = prefixes.join(vertices.select("m", "comp", step.alias("step")).distinct(), "m")
-    per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most")).filter("total > most")
     blocks, chunks = F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("total") / CHUNK).cast("int")
     sized = C.stage(main.select("key", "main", "total", blocks.alias("blocks"), chunks.alias("chunks")), "sized")
-    rows = C.lookup(named, sized, "key", "total", prefixes.count())
-    rows = rows.join(vertices.select("m", "items"), "m")
+    rows = C.lookup(open_, sized, "key", "total", open_.count())
+    rows = rows.join(vertices.select("m", step.alias("step"), "items"), "m")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, salt: F.pmod(F.xxhash64("m", F.lit(salt)), F.col(n)).cast("int")
-    members = rows.withColumn("chunk", deal("chunks", "c")).withColumn("block", each("blocks")).withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
-    members = members.select("key", "step", "block", "chunk", "m", "comp", "items")
+    members = rows.withColumn("chunk", deal("chunks", "c")).withColumn("block", each("blocks")).select("key", "step", "block", "chunk", "m", "comp", "items")
     outside = rows.filter(F.col("comp") != F.col("main")).withColumn("block", deal("blocks", "b")).withColumn("chunk", each("chunks"))
+    outside = outside.withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
     outside = outside.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "step", "block", "chunk", "m", "comp", "items")])
     kind = dict(vertices.dtypes)["m"]
 
