@@ -16,9 +16,14 @@ def silence_candidates(spans: DataFrame) -> DataFrame:
     return spans.select(PID, ordered.cast("bigint").alias("ord"), "start_ms", "end_ms", F.lit("silence").alias("reason"), F.lit(0.95).alias("confidence"), F.lit("approved").alias("status"), F.lit(None).cast("string").alias("note"))
 
 
+def four_digits(prefix: str, n: Column) -> Column:
+    """The prefix and at least four digits; larger numbers keep all of theirs."""
+    return F.format_string(f"{prefix}%04d", n.cast("bigint"))
+
+
 def number_rows(df: DataFrame, prefix: str, order: list[str], start: int = 1) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(PID).orderBy(*order)) + (start - 1)
-    return df.withColumn("row_id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 4, "0")))
+    return df.withColumn("row_id", four_digits(prefix, n))
 
 
 def longest_piece(pieces: DataFrame, *keys: str) -> DataFrame:
@@ -60,23 +65,24 @@ def pair_up(existing: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def merge_cuts(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """Upsert: a matched cut takes the candidate's interval and confidence and keeps its id, status and note; an unmatched
-    one stays if it was judged or made by hand; new candidates get ids above every id in use. `origin` says which."""
-    pairs = pair_up(existing, candidates)
-    e = existing.select(PID, "cut_id", F.col("status").alias("e_status"), F.col("note").alias("e_note"))
-    hit = candidates.join(pairs, [PID, "ord"], "left").join(e, [PID, "cut_id"], "left")
-    top = existing.groupBy(PID).agg(F.max(F.substring("cut_id", 2, 9).cast("bigint")).alias("top"))
+    one stays if it was judged or made by hand; new candidates get ids above every id in use. `origin` says which.
+
+    Ids above 9,999 keep their digits; gate G21 refuses to publish a project that has one.
+    """
+    named = candidates.join(pair_up(existing, candidates), [PID, "ord"], "left")
     fresh = F.col("cut_id").isNull()
+    top = existing.groupBy(PID).agg(F.max(F.substring("cut_id", 2, 9).cast("bigint")).alias("top"))
     rank = F.sum(fresh.cast("bigint")).over(Window.partitionBy(PID).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    number = F.coalesce("top", F.lit(0)) + F.col("rank")
-    named = hit.withColumn("rank", rank).join(top, PID, "left").withColumn("new_id", F.concat(F.lit("c"), F.lpad(number.cast("string"), 4, "0")))
-    taken = named.select(
-        PID, F.coalesce("cut_id", "new_id").alias("cut_id"), "start_ms", "end_ms", "reason", "confidence",
-        F.when(fresh, F.col("status")).otherwise(F.col("e_status")).alias("status"), F.when(fresh, F.col("note")).otherwise(F.col("e_note")).alias("note"),
-        F.when(fresh, "added").otherwise("matched").alias("origin"),
+    named = named.withColumn("rank", rank).join(top, PID, "left")
+    carried = ("start_ms", "end_ms", "reason", "confidence", "status", "note")
+    e = existing.select(PID, "cut_id", F.struct(*carried).alias("e"))
+    both = named.select(PID, "cut_id", (F.coalesce("top", F.lit(0)) + F.col("rank")).alias("number"), F.struct(*carried).alias("c")).join(e, [PID, "cut_id"], "full")
+    origin = F.when(F.col("c").isNull(), "kept").when(F.col("e").isNull(), "added").otherwise("matched")
+    both = both.withColumn("origin", origin).filter("origin <> 'kept' or e.status in ('approved', 'rejected') or e.reason = 'manual'")
+    of = lambda name, first, then: F.when(F.col(first).isNull(), F.col(f"{then}.{name}")).otherwise(F.col(f"{first}.{name}")).alias(name)
+    return both.select(
+        PID, F.coalesce("cut_id", four_digits("c", F.col("number"))).alias("cut_id"), *[of(x, "c", "e") for x in carried[:4]], *[of(x, "e", "c") for x in carried[4:]], "origin",
     )
-    rest = existing.join(pairs.select(PID, "cut_id"), [PID, "cut_id"], "left_anti")
-    kept = rest.filter("status in ('approved', 'rejected') or reason = 'manual'").select(PID, "cut_id", "start_ms", "end_ms", "reason", "confidence", "status", "note", F.lit("kept").alias("origin"))
-    return taken.unionByName(kept)
 
 
 def merge_counts(existing: DataFrame, candidates: DataFrame, merged: DataFrame) -> DataFrame:
@@ -130,12 +136,19 @@ def segments_over_silence(segments: DataFrame, cuts: DataFrame, spoken: DataFram
 
 
 def detect_summary(existing: DataFrame, candidates: DataFrame, merged: DataFrame, resolved: DataFrame, spoken: DataFrame) -> DataFrame:
+    """Per project: what was found, in all and by reason, what became of it, the range of ids in use and the next one, and the most speech that a
+    silence cut takes."""
     counts = merge_counts(existing, candidates, merged)
     found = candidates.groupBy(PID).agg(F.count(F.lit(1)).alias("detected"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("detected_ms"))
-    ids = merged.filter("origin = 'added'").groupBy(PID).agg(F.min("cut_id").alias("first_id"), F.max("cut_id").alias("last_id"))
+    number = F.substring("cut_id", 2, 9).cast("bigint")
+    ids = merged.groupBy(PID).agg(
+        F.min_by("cut_id", number).alias("first_id"), F.max_by("cut_id", number).alias("last_id"), (F.max(number) + 1).alias("next_id"), F.count(F.lit(1)).alias("cuts_total"),
+    )
+    by = candidates.groupBy(PID).agg(*[x for r in ("silence", "filler") for x in (
+        F.count_if(F.col("reason") == r).alias(f"{r}_detected"), F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("end_ms") - F.col("start_ms"))), F.lit(0)).cast("bigint").alias(f"{r}_ms"))])
     down = resolved.groupBy(PID).agg(F.count_if("demoted").alias("demoted"))
     worst = speech_overlaps(resolved, spoken).groupBy(PID).agg(F.max("speech_ms").alias("max_speech_ms"))
     out = counts
-    for x in (found, ids, down, worst):
+    for x in (found, by, ids, down, worst):
         out = out.join(x, PID, "left")
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcut.operators.intervals import PID
@@ -13,11 +13,11 @@ from fleetcut.operators.intervals import PID
 MAX_RUN = 8
 
 
-def apply_surface(segments: DataFrame, entries: list[tuple[str, list[str], str]]) -> DataFrame:
+def apply_surface(segments: DataFrame, entries: list[tuple[str, list[str], str]], keep_pieces: bool = False) -> DataFrame:
     """Replace misrecognised surfaces: (correct, misrecognised, confidence) in dictionary order, a short list.
 
     Leftmost, longest, earlier entries first on ties. `always` is replaced; `context` is only reported; a correct form that is already
-    there is consumed without a hit. Adds new_text and hits (matched, correct, applied).
+    there is consumed without a hit. Adds new_text and hits (matched, correct, applied), and pieces (was, now) if asked.
     """
     first: dict[str, tuple[str, bool]] = {}
     for correct, wrong, confidence in entries:
@@ -30,7 +30,10 @@ def apply_surface(segments: DataFrame, entries: list[tuple[str, list[str], str]]
     named = F.create_map(*[F.lit(x) for w, (c, _) in first.items() if w != c for x in (w, c)])
     always = F.array(*[F.lit(w) for w, (c, a) in first.items() if a and w != c]).cast("array<string>")
     df = segments.withColumn("__p", pieces)
-    new = F.array_join(F.transform("__p", lambda p: F.coalesce(F.try_element_at(swap, p), p) if swap is not None else p), "")
+    now = lambda p: F.coalesce(F.try_element_at(swap, p), p) if swap is not None else p
+    new = F.array_join(F.transform("__p", now), "")
+    if keep_pieces:
+        df = df.withColumn("pieces", F.transform("__p", lambda p: F.struct(p.alias("was"), now(p).alias("now"))))
     found = F.transform(F.filter("__p", lambda p: F.map_contains_key(named, p)), lambda p: F.struct(p.alias("matched"), F.element_at(named, p).alias("correct"), F.array_contains(always, p).alias("applied")))
     return df.withColumn("new_text", new).withColumn("hits", found).drop("__p")
 
@@ -78,13 +81,43 @@ def pending_hits(df: DataFrame, text: str = "new_text") -> DataFrame:
     return df.withColumn("hits", F.filter("hits", lambda h: h["applied"] | F.contains(F.col(text), h["matched"])))
 
 
+def _moved(tokens: DataFrame, surfaced: DataFrame, readings: DataFrame) -> DataFrame:
+    """The tokens of the texts as the surface pass leaves them: those outside its edits move along, those that an edit touches give
+    way to one token of the edit, with the reading that the dictionary has for its form."""
+    size, none = F.length, F.expr("cast(array() as array<struct<b:int,e:int,to:string,at:int>>)")
+    piece = F.struct(F.lit(0).alias("b"), F.lit(0).alias("at"), none.alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        edit = F.struct(acc["b"].alias("b"), (acc["b"] + size(p["was"])).alias("e"), p["now"].alias("to"), acc["at"].alias("at"))
+        out = F.when(p["was"] == p["now"], acc["out"]).otherwise(F.array_append(acc["out"], edit))
+        return F.struct((acc["b"] + size(p["was"])).alias("b"), (acc["at"] + size(p["now"])).alias("at"), out.alias("out"))
+
+    edits = surfaced.select(PID, "segment_id", F.aggregate("pieces", piece, step, lambda acc: acc["out"]).alias("edits"))
+    t = tokens.join(edits, [PID, "segment_id"])
+    shift = F.aggregate(F.filter("edits", lambda e: e["e"] <= F.col("begin")), F.lit(0), lambda acc, e: acc + size(e["to"]) - (e["e"] - e["b"]))
+    kept = t.filter(~F.exists("edits", lambda e: (e["b"] < F.col("end")) & (e["e"] > F.col("begin"))))
+    kept = kept.select(PID, "segment_id", (F.col("begin") + shift).cast("int").alias("begin"), (F.col("end") + shift).cast("int").alias("end"), "surface", "reading")
+    known = F.broadcast(readings.groupBy(F.col("correct").alias("surface")).agg(F.min_by("reading", "rank").alias("reading")))
+    fresh = edits.select(PID, "segment_id", F.explode("edits").alias("x")).select(PID, "segment_id", F.col("x.at").alias("begin"), (F.col("x.at") + size(F.col("x.to"))).cast("int").alias("end"), F.col("x.to").alias("surface"))
+    both = kept.unionByName(fresh.join(known, "surface", "left").select(*kept.columns))
+    return both.withColumn("ord", F.row_number().over(Window.partitionBy(PID, "segment_id").orderBy("begin", "end")).cast("bigint"))
+
+
 def correct_segments(segments: DataFrame, entries: list[tuple[str, list[str], str]], tokens: DataFrame, readings: DataFrame) -> DataFrame:
-    """By surface, then by reading where the surface pass changed nothing (tokens are those of the given text)."""
-    surfaced = apply_surface(segments, entries)
-    read = replace_runs(segments, apply_readings(tokens, readings)).select(PID, "segment_id", F.col("new_text").alias("read_text"))
-    both = surfaced.join(read, [PID, "segment_id"])
-    out = both.withColumn("new_text", F.when(F.col("new_text") != F.col("text"), F.col("new_text")).otherwise(F.col("read_text"))).drop("read_text")
-    return pending_hits(out)
+    """By surface, then by reading over the texts that the surface pass leaves; tokens are those of the given texts.
+
+    hits: the surface pass's, then the reading pass's, each in order; a run that already has the correct form is none.
+    """
+    surfaced = apply_surface(segments, entries, keep_pieces=True)
+    runs = apply_readings(_moved(tokens, surfaced, readings), readings)
+    texts = surfaced.drop("pieces").withColumnRenamed("new_text", "surface_text")
+    found = runs.join(texts.select(PID, "segment_id", "surface_text"), [PID, "segment_id"])
+    matched = F.expr("substring(surface_text, begin + 1, end - begin)")
+    found = found.withColumn("matched", matched).filter("matched <> correct")
+    more = found.groupBy(PID, "segment_id").agg(F.array_sort(F.collect_list(F.struct("begin", "matched", "correct"))).alias("more"))
+    read = replace_runs(texts, found.select(PID, "segment_id", "begin", "end", "correct"), "surface_text").join(more, [PID, "segment_id"], "left")
+    hit = F.transform("more", lambda h: F.struct(h["matched"].alias("matched"), h["correct"].alias("correct"), F.lit(True).alias("applied")))
+    return pending_hits(read.withColumn("hits", F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.concat("hits", hit))).drop("more", "surface_text"))
 
 
 def correction_summary(corrected: DataFrame) -> DataFrame:
@@ -99,7 +132,7 @@ def check_patches(edits: DataFrame, segments: DataFrame) -> DataFrame:
     return unknown.select(PID, "segment_id", F.lit("unknown id").alias("problem")).unionByName(twice.select(PID, "segment_id", F.lit("repeated id").alias("problem")))
 
 
-def apply_patches(segments: DataFrame, edits: DataFrame, at: str = "2024-01-01T00:00:00Z", tool: str = "llm") -> DataFrame:
+def apply_patches(segments: DataFrame, edits: DataFrame, at: str, tool: str = "llm") -> DataFrame:
     """Texts replaced where they differ, with what was before in `before`; a project with any problem is left as it is."""
     bad = check_patches(edits, segments).select(PID).distinct()
     good = edits.join(bad, PID, "left_anti").select(PID, "segment_id", F.col("text").alias("patch"))

@@ -10,8 +10,16 @@ from fleetcut.functions.time import round_half_even
 from fleetcut.operators.intervals import PID
 
 REASONS, STATUSES = ("silence", "filler", "manual"), ("approved", "proposed", "rejected")
-#: stage -> the stages it reads, and the profile sections that drive each.
-UPSTREAM = {"transcribe": ("audio",), "correct": ("transcribe",), "detect": ("transcribe", "correct"), "render": ("audio", "correct", "detect"), "report": ("detect", "render")}
+# Fixed values of the data model: the stages whose output a stage consumes, and the profile sections that change a stage's output.
+UPSTREAM = {
+    "audio_fix": (),
+    "transcribe": ("audio_fix",),
+    "correct": ("transcribe",),
+    "detect": ("audio_fix", "transcribe"),
+    "render": ("audio_fix", "transcribe", "detect"),
+    "report": ("detect", "render"),
+}
+SECTIONS = {"audio_fix": ("audio",), "transcribe": ("asr",), "correct": (), "detect": ("silence", "filler"), "render": ("render", "subtitle"), "report": ()}
 
 
 def cuts_by_reason(cuts: DataFrame, projects: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def archive_labels(requests: DataFrame, used: DataFrame) -> DataFrame:
     top = base.groupBy("label").agg(F.max("k").alias("top"))
     n = F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("label").orderBy("ord"))
     out = requests.join(top, "label", "left").withColumn("k", n)
-    return out.select("label", "ord", F.when(F.col("k") == 1, F.col("label")).otherwise(F.concat("label", F.lit("-"), F.lpad(F.col("k").cast("string"), 2, "0"))).alias("name"))
+    return out.select("label", "ord", F.when(F.col("k") == 1, F.col("label")).otherwise(F.format_string("%s-%02d", F.col("label"), F.col("k"))).alias("name"))
 
 
 # Benchmarks of recognisers

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcut.operators.intervals import PID, covered_ms, merge_spans, range_join
+from fleetcut.operators.intervals import PID, asof, covered_ms, merge_spans, range_join
 
 #: How far outside a region a start still counts as spoken; the share of a segment that speech has to cover.
 START_TOLERANCE_MS, MIN_COVERAGE = 100, 0.5
@@ -29,7 +29,7 @@ def build_segments(raw: DataFrame, projects: DataFrame, order: list[str]) -> Dat
     text = F.regexp_replace(F.col("text"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     out = out.withColumn("text", text).withColumn("end_ms", F.least("end_ms", "duration_ms")).filter("text <> '' and start_ms < end_ms").drop("duration_ms")
     number = F.row_number().over(Window.partitionBy(PID).orderBy(*order))
-    return out.withColumn("segment_id", F.concat(F.lit("s"), F.lpad(number.cast("string"), 4, "0")))
+    return out.withColumn("segment_id", F.format_string("s%04d", number))
 
 
 def min_duration(spans: DataFrame, least_ms: int) -> DataFrame:
@@ -111,11 +111,11 @@ def quiet(segments: DataFrame, regions: DataFrame, projects: DataFrame) -> DataF
     """quiet_before_ms and quiet_after_ms of each segment, bounded by its neighbours and by speech."""
     by = Window.partitionBy(PID).orderBy("ord")
     s = segments.withColumn("prev_end", F.lag("end_ms", 1, 0).over(by)).withColumn("next_start", F.lead("start_ms").over(by))
-    r = regions.select(F.col(PID).alias("r_pid"), F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1"))
-    near = s.join(r, F.col(PID) == F.col("r_pid"), "left").groupBy(*s.columns).agg(
-        F.max(F.when(F.col("r1") <= F.col("start_ms"), F.col("r1"))).alias("last_end"), F.min(F.when(F.col("r0") >= F.col("end_ms"), F.col("r0"))).alias("first_start")
-    )
-    out = near.join(projects.select(PID, "duration_ms"), PID)
+    ends = regions.select(PID, F.col("end_ms").alias("last_end"))
+    starts = regions.select(PID, F.col("start_ms").alias("first_start"), (-F.col("start_ms")).alias("back"))
+    near = asof(s, ends, "start_ms", "last_end", ["last_end"]).withColumnRenamed("mark_last_end", "last_end")
+    near = asof(near.withColumn("back_end", -F.col("end_ms")), starts, "back_end", "back", ["first_start"]).withColumnRenamed("mark_first_start", "first_start")
+    out = near.drop("back_end").join(projects.select(PID, "duration_ms"), PID)
     zero = F.lit(0).cast("bigint")
     before = F.greatest(zero, F.col("start_ms") - F.greatest(F.col("prev_end"), F.coalesce("last_end", zero)))
     after = F.greatest(zero, F.least(F.coalesce("next_start", "duration_ms"), F.coalesce("first_start", F.coalesce("next_start", "duration_ms"))) - F.col("end_ms"))
@@ -132,9 +132,10 @@ def regions_in(segments: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def noise_floor(frames: DataFrame, silences: DataFrame) -> DataFrame:
-    """Level in dB of the frames (project_id, t_ms, power) inside guarded silences; null without frames or power."""
+def noise_floor(frames: DataFrame, silences: DataFrame, projects: DataFrame) -> DataFrame:
+    """Level in dB of the frames (project_id, t_ms, power) inside guarded silences, of every project; null without frames or power."""
     s = silences.select(F.col(PID).alias("q_pid"), F.col("start_ms").alias("q0"), F.col("end_ms").alias("q1"))
     inside = frames.join(s, (F.col(PID) == F.col("q_pid")) & (F.col("t_ms") >= F.col("q0")) & (F.col("t_ms") < F.col("q1")), "left_semi")
     mean = F.avg("power")
-    return inside.groupBy(PID).agg(F.when(mean > 0, 10 * F.log10(mean)).alias("level_db"), F.count(F.lit(1)).alias("n_frames"))
+    levels = inside.groupBy(PID).agg(F.when(mean > 0, 10 * F.log10(mean)).alias("level_db"), F.count(F.lit(1)).alias("n_frames"))
+    return projects.select(PID).join(levels, PID, "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0).cast("bigint")))

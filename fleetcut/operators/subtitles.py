@@ -45,20 +45,25 @@ def subtitle_section(projects: DataFrame, entries: DataFrame, dropped: DataFrame
     return out.select(PID, F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("dropped", "min_display", "max_cps")])
 
 
-def merge_styles(packaged: DataFrame, own: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Field by field the project's preset wins over the packaged one, and that over the defaults (preset, fields map)."""
-    base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>")
-    none = F.expr("cast(map() as map<string,string>)")
-    both = packaged.withColumnRenamed("fields", "p").join(own.withColumnRenamed("fields", "o"), "preset", "full")
-    parts = [F.map_entries(x) for x in (base, F.coalesce("p", none), F.coalesce("o", none))]
-    last = F.aggregate(F.concat(*parts), none, lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, v: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
-    return both.select("preset", last.alias("fields"))
+def merge_styles(packaged: dict[str, dict[str, str]], own: DataFrame, projects: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Each project's presets (project_id, preset, fields): field by field its own (project_id, preset, fields map) win over the
+    packaged ones, a short fixed list, and these over the defaults."""
+    text = "map<string,string>"
+    as_map = lambda fields: F.create_map(*[F.lit(x) for kv in fields.items() for x in kv]).cast(text)
+    shipped = F.explode(F.create_map(*[x for name, fields in packaged.items() for x in (F.lit(name), as_map(fields))])).alias("preset", "p")
+    none = F.expr(f"cast(map() as {text})")
+    both = projects.select(PID, shipped).join(own.withColumnRenamed("fields", "o"), [PID, "preset"], "full")
+    win = lambda low, high: F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+    return both.select(PID, "preset", win(win(as_map(defaults), F.coalesce("p", none)), F.coalesce("o", none)).alias("fields"))
 
 
 def resolve_telops(telops: DataFrame, mapped: DataFrame, segments: DataFrame, presets: DataFrame, merged: DataFrame, projects: DataFrame) -> DataFrame:
-    """Telops on the cut timeline: by segment if one is named (it wins), else by start and duration. `problem` says why one is not shown."""
-    on = F.broadcast(presets.select(F.col("preset").alias("style_preset"), F.lit(True).alias("styled")))
-    t = telops.join(on, "style_preset", "left").join(segments.select(PID, "segment_id", F.lit(True).alias("known")), [PID, "segment_id"], "left")
+    """Telops on the cut timeline: by segment if one is named (it wins), else by start and duration. `problem` says why one is not shown.
+
+    presets: each project's own (merge_styles).
+    """
+    on = presets.select(PID, F.col("preset").alias("style_preset"), F.lit(True).alias("styled"))
+    t = telops.join(on, [PID, "style_preset"], "left").join(segments.select(PID, "segment_id", F.lit(True).alias("known")), [PID, "segment_id"], "left")
     t = t.join(mapped.select(PID, "segment_id", F.col("start_ms").alias("m0"), F.col("end_ms").alias("m1")), [PID, "segment_id"], "left")
     placed = forward(t.filter("segment_id is null and start_ms is not null"), merged, "start_ms", "f0")
     t = t.filter("segment_id is not null or start_ms is null").withColumn("f0", F.lit(None).cast("bigint")).unionByName(placed)
@@ -75,7 +80,7 @@ def resolve_telops(telops: DataFrame, mapped: DataFrame, segments: DataFrame, pr
 
 def clock(ms: Column, fraction: str = ",") -> Column:
     """HH:MM:SS and the milliseconds."""
-    two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
+    two = lambda c: F.format_string("%02d", c.cast("bigint"))
     return F.concat(two(F.floor(ms / 3600000)), F.lit(":"), two(F.floor(ms / 60000) % 60), F.lit(":"), two(F.floor(ms / 1000) % 60), F.lit(fraction), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
@@ -112,12 +117,30 @@ def ass_colour(literal: Column) -> Column:
     return F.struct(byte(3).alias("alpha"), byte(9).alias("red"), byte(7).alias("green"), byte(5).alias("blue"))
 
 
+# The fields of an ASS file's style and event lines, in their order, and what a style's omitted fields are.
+STYLE_FIELDS = {
+    "Fontname": "Sans", "Fontsize": "48", "PrimaryColour": "&H00FFFFFF", "SecondaryColour": "&H000000FF", "OutlineColour": "&H00000000", "BackColour": "&H00000000",
+    "Bold": "0", "Italic": "0", "Underline": "0", "StrikeOut": "0", "ScaleX": "100", "ScaleY": "100", "Spacing": "0", "Angle": "0", "BorderStyle": "1",
+    "Outline": "2", "Shadow": "0", "Alignment": "2", "MarginL": "10", "MarginR": "10", "MarginV": "10", "Encoding": "1",
+}
+EVENT_FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
+
+
+def style_lines(presets: DataFrame) -> DataFrame:
+    """(project_id, preset, line): an ASS style line of each preset, from its fields map by the names of STYLE_FIELDS."""
+    fields = [F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(default)) for name, default in STYLE_FIELDS.items()]
+    return presets.select(PID, "preset", F.concat(F.lit("Style: "), F.concat_ws(",", "preset", *fields)).alias("line"))
+
+
 def ass_documents(events: DataFrame, presets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One ASS document per project: every preset (preset, style line) declared, one event per telop, layer = its place in the file."""
-    styles = presets.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("styles"))
-    time = lambda c: F.concat(F.floor(F.col(c) / 3600000).cast("string"), F.substring(clock(F.col(c), "."), 3, 9))
+    """One ASS document per project: its presets (project_id, preset, fields) declared, one event per telop, layer = its place in the file."""
+    listed = lambda df, item, out: df.groupBy(PID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["l"]), "\n").alias(out))
+    styles = listed(style_lines(presets), F.struct("preset", F.col("line").alias("l")), "styles")
+    time = lambda c: F.concat(F.floor(F.col(c) / 3600000).cast("string"), F.substring(F.regexp_extract(clock(F.col(c), "."), r"(:.*)$", 1), 1, 9))
     line = F.concat_ws(",", F.concat(F.lit("Dialogue: "), F.col("idx").cast("string")), time("show_ms"), time("hide_ms"), "style_preset", F.lit(""), F.lit("0"), F.lit("0"), F.lit("0"), F.lit(""), "text")
-    lines = events.groupBy(PID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
-    out = sizes.join(lines, PID, "left").join(F.broadcast(styles))
-    head = F.concat(F.lit("[Script Info]\nPlayResX: "), F.col("width").cast("string"), F.lit("\nPlayResY: "), F.col("height").cast("string"))
-    return out.select(PID, F.concat_ws("\n", head, F.lit("\n[V4+ Styles]"), "styles", F.lit("\n[Events]"), F.coalesce("lines", F.lit(""))).alias("document"))
+    out = sizes.join(listed(events, F.struct("idx", line.alias("l")), "lines"), PID, "left").join(styles, PID, "left")
+    head = F.concat(F.lit("[Script Info]\nScriptType: v4.00+\nPlayResX: "), F.col("width").cast("string"), F.lit("\nPlayResY: "), F.col("height").cast("string"))
+    return out.select(PID, F.concat_ws(
+        "\n", head, F.lit("\n[V4+ Styles]"), F.lit("Format: Name, " + ", ".join(STYLE_FIELDS)), F.coalesce("styles", F.lit("")),
+        F.lit("\n[Events]"), F.lit("Format: " + ", ".join(EVENT_FIELDS)), F.coalesce("lines", F.lit("")),
+    ).alias("document"))

@@ -51,10 +51,10 @@ def swallowed(segments: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def covering_cut(segments: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(project_id, segment_id, cut_id): the first approved cut, in file order, that contains the segment; null if only a union does."""
-    c = approved(cuts).select(F.col(PID).alias("c_pid"), "cut_id", F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1"))
+    """(project_id, segment_id, cut_id): the first approved cut, in file order (ord), that contains the segment; null if only a union does."""
+    c = approved(cuts).select(F.col(PID).alias("c_pid"), "cut_id", F.col("ord").alias("c_ord"), F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1"))
     on = (F.col(PID) == F.col("c_pid")) & (F.col("c0") <= F.col("start_ms")) & (F.col("c1") >= F.col("end_ms"))
-    return segments.join(c, on, "left").groupBy(PID, "segment_id").agg(F.min("cut_id").alias("cut_id"))
+    return segments.join(c, on, "left").groupBy(PID, "segment_id").agg(F.min_by("cut_id", "c_ord").alias("cut_id"))
 
 
 def clip_ends(segments: DataFrame, merged: DataFrame) -> DataFrame:
@@ -73,13 +73,15 @@ def separate(entries: DataFrame) -> DataFrame:
 
 
 def _images(segments: DataFrame, merged: DataFrame) -> DataFrame:
-    """Both ends less the length of the cuts' parts before them (cuts are exact in milliseconds): one join, no clipping."""
-    m = merged.select(F.col(PID).alias("m_pid"), F.col("start_ms").alias("m0"), F.col("end_ms").alias("m1"))
-    joined = segments.join(m, (F.col(PID) == F.col("m_pid")) & (F.col("m0") < F.col("end_ms")), "left")
-    part = lambda t: F.coalesce(F.sum(F.greatest(F.lit(0), F.least(F.col("m1"), F.col(t)) - F.col("m0"))), F.lit(0))
-    whole = F.coalesce(F.max((F.col("m0") <= F.col("start_ms")) & (F.col("m1") >= F.col("end_ms"))), F.lit(False))
-    sums = joined.groupBy(PID, "segment_id", "ord", "start_ms", "end_ms").agg(part("start_ms").alias("a"), part("end_ms").alias("b"), whole.alias("dropped"))
-    return sums.select(PID, "segment_id", "ord", (F.col("start_ms") - F.col("a")).cast("bigint").alias("start_ms"), (F.col("end_ms") - F.col("b")).cast("bigint").alias("end_ms"), "dropped")
+    """Both ends less what is removed before them, from the cuts' running sum; a start and an end inside one cut are dropped with it."""
+    marks = removed_prefix(merged)
+    s = segments
+    for end in ("start_ms", "end_ms"):
+        found = asof(s, marks, end, "start_ms", ["start_ms", "end_ms", "removed_before"])
+        gone = F.coalesce(F.col("mark_removed_before") + F.least(F.col("mark_end_ms"), F.col(end)) - F.col("mark_start_ms"), F.lit(0))
+        s = found.select(*s.columns, (F.col(end) - gone).cast("bigint").alias(f"i_{end}"), F.col("mark_end_ms").alias(f"c_{end}"))
+    dropped = F.coalesce(F.col("c_start_ms") >= F.col("end_ms"), F.lit(False))
+    return s.select(PID, "segment_id", "ord", F.col("i_start_ms").alias("start_ms"), F.col("i_end_ms").alias("end_ms"), dropped.alias("dropped"))
 
 
 def map_segments(segments: DataFrame, cuts: DataFrame, min_display_ms: int = MIN_DISPLAY_MS) -> tuple[DataFrame, DataFrame]:
@@ -121,17 +123,47 @@ def cut_edges(cuts: DataFrame) -> DataFrame:
 
 
 def review_context(cuts: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per cut: the ids of the segments it removes, the last kept segment that starts before it and the first kept one that ends after it."""
-    c = cuts.select(PID, "cut_id", F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1"))
-    s = segments.select(F.col(PID).alias("s_pid"), "segment_id", "start_ms", "end_ms")
-    inside = (F.col("start_ms") >= F.col("c0")) & (F.col("end_ms") <= F.col("c1"))
+    """Per cut: the segments it removes (removed_ids, an array in timeline order), the last kept segment that starts before it and the first
+    kept one that ends after it, in the order (start, end, id)."""
+    c = cuts.select(PID, "cut_id", "start_ms", "end_ms", (-F.col("end_ms")).alias("back"))
     order = F.struct("start_ms", "end_ms", "segment_id")
-    pairs = c.join(s, F.col(PID) == F.col("s_pid"), "left")
-    return pairs.groupBy(PID, "cut_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, order))), lambda x: x["segment_id"]), ",").alias("removed_ids"),
-        F.max(F.when(~inside & (F.col("start_ms") < F.col("c0")), order))["segment_id"].alias("before_id"),
-        F.min(F.when(~inside & (F.col("end_ms") > F.col("c1")), order))["segment_id"].alias("after_id"),
-    )
+    starts = segments.groupBy(PID, "start_ms").agg(F.max(order)["segment_id"].alias("before_id"))
+    # of all segments that end at or behind a moment the first: a running minimum from the last end backwards
+    behind = Window.partitionBy(PID).orderBy(F.desc("end_ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = segments.select(PID, (-F.col("end_ms")).alias("back_ms"), F.min(order).over(behind)["segment_id"].alias("after_id")).distinct()
+    out = asof(c, starts, "start_ms", "start_ms", ["before_id"], inclusive=False)
+    out = asof(out.withColumnRenamed("mark_before_id", "before_id"), ends, "back", "back_ms", ["after_id"], inclusive=False)
+    inside = range_join(c.select(PID, "cut_id", "start_ms", "end_ms"), segments.select(PID, "segment_id", "start_ms", "end_ms")).filter("b_start_ms >= start_ms and b_end_ms <= end_ms")
+    item = F.struct("b_start_ms", "b_end_ms", F.col("b_segment_id").alias("id"))
+    removed = inside.groupBy(PID, "cut_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias("removed_ids"))
+    out = out.join(removed, [PID, "cut_id"], "left")
+    return out.select(PID, "cut_id", F.coalesce("removed_ids", F.expr("cast(array() as array<string>)")).alias("removed_ids"), "before_id", F.col("mark_after_id").alias("after_id"))
+
+
+def review_rows(cuts: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """The review listing: one row per cut (project_id, place, cut_id, payload), in the order (start, end, id), payload its JSON. Without
+    a transcript what a cut removes and stands between is null, with one it is a list, maybe empty."""
+    second = lambda ms: F.round(F.col(ms) / 1000.0, 3)
+    seg = "struct<id:string,start:double,end:double,text:string>"
+    if segments is None:
+        rows = cuts.withColumn("removed", F.lit(None).cast(f"array<{seg}>")).withColumn("before", F.lit(None).cast(seg)).withColumn("after", F.lit(None).cast(seg))
+    else:
+        told = segments.select(PID, "segment_id", F.struct(F.col("segment_id").alias("id"), second("start_ms").alias("start"), second("end_ms").alias("end"), "text").alias("s"))
+        context = review_context(cuts, segments)
+        each = context.select(PID, "cut_id", F.posexplode("removed_ids").alias("k", "segment_id")).join(told, [PID, "segment_id"])
+        removed = each.groupBy(PID, "cut_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("removed"))
+        side = lambda df, key, out: df.join(told.select(PID, F.col("segment_id").alias(key), F.col("s").alias(out)), [PID, key], "left")
+        rows = cuts.join(side(side(context, "before_id", "before"), "after_id", "after"), [PID, "cut_id"], "left").join(removed, [PID, "cut_id"], "left")
+        rows = rows.withColumn("removed", F.coalesce("removed", F.expr(f"cast(array() as array<{seg}>)")))
+    length = F.round((F.col("end_ms") - F.col("start_ms")) / 1000.0, 3)
+    fields = [F.col("cut_id").alias("id"), second("start_ms").alias("start"), second("end_ms").alias("end"), length.alias("duration"), "reason", "status", "confidence", "note", "removed", "before", "after"]
+    place = F.row_number().over(Window.partitionBy(PID).orderBy("start_ms", "end_ms", "cut_id")).cast("bigint")
+    return rows.select(PID, place.alias("place"), "cut_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def timeline_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows with their place in a project's timeline: by start, end and the tie columns."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(PID).orderBy("start_ms", "end_ms", *ties)).cast("bigint"))
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:

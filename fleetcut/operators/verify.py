@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetcut.functions.text import align_texts, cer_rate, edit_counts, normalise
 from fleetcut.functions.time import round_half_even
 from fleetcut.operators.fillers import scan
-from fleetcut.operators.intervals import PID, range_join
+from fleetcut.operators.intervals import PID, asof, range_join
 from fleetcut.operators.timeline import MIN_DISPLAY_MS, approved, cut_edges, inverse, map_segments, removed_duration
 
 WINDOW_MS = 2000
@@ -77,12 +77,11 @@ def alignment_cer(texts: DataFrame) -> DataFrame:
 
 def locate(hunks: DataFrame, expected: DataFrame) -> DataFrame:
     """Hunks with the segment and the moment of the cut timeline at their first character, by an even pace within a segment."""
-    e = expected.select(F.col(PID).alias("e_pid"), "segment_id", "offset", "start_ms", "end_ms", F.length("said").alias("n"))
-    pairs = hunks.join(e, (F.col(PID) == F.col("e_pid")) & (F.col("offset") <= F.col("index")))
-    found = pairs.groupBy(*hunks.columns).agg(F.max_by(F.struct("segment_id", "offset", "start_ms", "end_ms", "n"), "offset").alias("s"))
-    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("index") - F.col("s.offset")) / F.col("s.n")))
-    at = F.col("s.start_ms") + ratio * (F.col("s.end_ms") - F.col("s.start_ms"))
-    return found.select(*hunks.columns, F.col("s.segment_id").alias("segment_id"), at.alias("at_ms"))
+    e = expected.withColumn("n", F.length("said"))
+    found = asof(hunks, e, "index", "offset", ["segment_id", "offset", "start_ms", "end_ms", "n"]).filter("mark_segment_id is not null")
+    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("index") - F.col("mark_offset")) / F.col("mark_n")))
+    at = F.col("mark_start_ms") + ratio * (F.col("mark_end_ms") - F.col("mark_start_ms"))
+    return found.select(*hunks.columns, F.col("mark_segment_id").alias("segment_id"), at.alias("at_ms"))
 
 
 def flag_boundaries(located: DataFrame, cuts: DataFrame, merged: DataFrame, projects: DataFrame) -> DataFrame:

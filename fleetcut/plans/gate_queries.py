@@ -83,7 +83,7 @@ def g11_shape(f: Fleet) -> DataFrame:
     return keys(G.g11_shape(K.shape_diff(segments(f), shifted(f))))
 
 
-@query("SELECT project_id, CAST(idx AS VARCHAR) AS item_id FROM telops WHERE style_preset = 'missing'")
+@query("SELECT project_id, CAST(idx AS VARCHAR) AS item_id FROM telops WHERE style_preset = 'missing' AND project_id % 4 <> 0")
 def g12_telop_names(f: Fleet) -> DataFrame:
     mapped, _ = T.map_segments(segments(f), T.approved(f.cuts))
     shown = U.resolve_telops(f.telops, mapped, f.segments, presets(f), merged(f), f.projects)

@@ -104,7 +104,7 @@ def a17_render_summary(f: Fleet) -> DataFrame:
     return R.render_summary(renders(f).withColumn("expected_s", F.col("source_s")), f.cuts, f.segments.filter("end_ms - start_ms < 800"))
 
 
-_STAGES = ["audio", "transcribe", "correct", "detect", "render", "report"]
+_STAGES = ["audio_fix", "transcribe", "correct", "detect", "render", "report"]
 
 
 def stages(f: Fleet) -> DataFrame:
@@ -114,7 +114,7 @@ def stages(f: Fleet) -> DataFrame:
     return s.withColumn("error", F.when((F.col("project_id") + F.col("ord")) % 9 == 5, "broken"))
 
 
-_STAGE_ROWS = "(SELECT p.project_id, s.ord, s.stage, (p.project_id * 3 + s.ord) % 4 AS warnings, (p.project_id + s.ord) % 9 = 5 AS failed, (p.project_id + s.ord * 5) % 7 <> 3 AS ran FROM projects p CROSS JOIN (VALUES (0, 'audio'), (1, 'transcribe'), (2, 'correct'), (3, 'detect'), (4, 'render'), (5, 'report')) s(ord, stage))"
+_STAGE_ROWS = "(SELECT p.project_id, s.ord, s.stage, (p.project_id * 3 + s.ord) % 4 AS warnings, (p.project_id + s.ord) % 9 = 5 AS failed, (p.project_id + s.ord * 5) % 7 <> 3 AS ran FROM projects p CROSS JOIN (VALUES (0, 'audio_fix'), (1, 'transcribe'), (2, 'correct'), (3, 'detect'), (4, 'render'), (5, 'report')) s(ord, stage))"
 
 
 @query(f"SELECT project_id, string_agg(stage, ',' ORDER BY ord) FILTER (WHERE ran) AS ran, coalesce(string_agg(stage, ',' ORDER BY ord) FILTER (WHERE NOT ran), '') AS skipped, CAST(sum(warnings) FILTER (WHERE ran) AS BIGINT) AS warnings, min_by(stage, ord) FILTER (WHERE ran AND failed) AS first_failed FROM {_STAGE_ROWS} z GROUP BY project_id")
@@ -136,10 +136,10 @@ def records(f: Fleet) -> tuple[DataFrame, DataFrame]:
     return base.filter("(project_id * 2 + ord) % 5 <> 4").select("project_id", "stage", F.sha2(old, 256).alias("params_sha256")), current
 
 
-_DAG = "(VALUES ('transcribe', 'audio'), ('correct', 'transcribe'), ('detect', 'transcribe'), ('detect', 'correct'), ('render', 'audio'), ('render', 'correct'), ('render', 'detect'), ('report', 'detect'), ('report', 'render'))"
+_DAG = "(VALUES ('transcribe', 'audio_fix'), ('correct', 'transcribe'), ('detect', 'audio_fix'), ('detect', 'transcribe'), ('render', 'audio_fix'), ('render', 'transcribe'), ('render', 'detect'), ('report', 'detect'), ('report', 'render'))"
 
 
-@query(f"""+ st AS (SELECT p.project_id, s.ord, s.stage FROM projects p CROSS JOIN (VALUES (0, 'audio'), (1, 'transcribe'), (2, 'correct'), (3, 'detect'), (4, 'render'), (5, 'report')) s(ord, stage) WHERE (p.project_id * 2 + s.ord) % 5 <> 4)
+@query(f"""+ st AS (SELECT p.project_id, s.ord, s.stage FROM projects p CROSS JOIN (VALUES (0, 'audio_fix'), (1, 'transcribe'), (2, 'correct'), (3, 'detect'), (4, 'render'), (5, 'report')) s(ord, stage) WHERE (p.project_id * 2 + s.ord) % 5 <> 4)
  SELECT a.project_id, a.stage, d.upstream FROM st a JOIN {_DAG} d(stage, upstream) ON d.stage = a.stage JOIN st b ON b.project_id = a.project_id AND b.stage = d.upstream WHERE (b.project_id + b.ord) % 3 = 0""")
 def j37_stale(f: Fleet) -> DataFrame:
     return R.stale(*records(f))
@@ -204,8 +204,8 @@ def k05_archive_labels(f: Fleet) -> DataFrame:
 
 @query()
 def k07_review_rows(f: Fleet) -> DataFrame:
-    c = T.review_context(f.cuts, f.segments)
-    return c.select("project_id", "cut_id", F.to_json(F.struct("before_id", "removed_ids", "after_id"), {"ignoreNullFields": "false"}).alias("payload"))
+    noted = f.cuts.withColumn("confidence", F.lit(0.5)).withColumn("note", F.when(F.col("project_id") % 2 == 0, F.concat(F.lit("note "), "cut_id")))
+    return T.review_rows(noted, f.segments)
 
 
 # Recogniser benchmarks: four candidates with two runs each, measured from the events of groups of users

@@ -96,12 +96,12 @@ def j26_regions_in(f: Fleet) -> DataFrame:
 _FRAMES = "(SELECT user_id AS project_id, CAST(floor((epoch_us(ts) - 1704067200000000) / 1000) AS BIGINT) % 40000 AS t_ms, abs(value) / 1000.0 AS power FROM events)"
 
 
-@query(_SILENCES + f""" SELECT f.project_id, round(CASE WHEN avg(power) > 0 THEN 10 * log10(avg(power)) END, 6) AS level_db, count(*) AS n_frames FROM {_FRAMES} f
- WHERE EXISTS (SELECT 1 FROM gaps g WHERE g.project_id = f.project_id AND g.end_ms - g.start_ms > 200 AND f.t_ms >= g.start_ms + 100 AND f.t_ms < g.end_ms - 100) GROUP BY f.project_id""")
+@query(_SILENCES + f""" SELECT p.project_id, l.level_db, coalesce(l.n_frames, 0) AS n_frames FROM projects p LEFT JOIN (SELECT f.project_id, round(CASE WHEN avg(power) > 0 THEN 10 * log10(avg(power)) END, 6) AS level_db, count(*) AS n_frames FROM {_FRAMES} f
+ WHERE EXISTS (SELECT 1 FROM gaps g WHERE g.project_id = f.project_id AND g.end_ms - g.start_ms > 200 AND f.t_ms >= g.start_ms + 100 AND f.t_ms < g.end_ms - 100) GROUP BY f.project_id) l ON l.project_id = p.project_id""")
 def a08_noise_floor(f: Fleet) -> DataFrame:
     ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000).cast("bigint") % 40000
     frames = f.table("events").select(F.col("user_id").alias("project_id"), ms.alias("t_ms"), (F.abs("value") / 1000.0).alias("power"))
-    out = S.noise_floor(frames, S.floor_intervals(I.complement(f.regions, f.projects)))
+    out = S.noise_floor(frames, S.floor_intervals(I.complement(f.regions, f.projects)), f.projects)
     return out.withColumn("level_db", F.round("level_db", 6))
 
 

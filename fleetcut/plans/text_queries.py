@@ -13,7 +13,7 @@ from fleetcut.operators import verify as V
 from fleetcut.plans.fixtures import Fleet
 from fleetcut.plans.register import query
 from fleetcut.plans.speech_queries import words
-from fleetcut.plans.timeline_queries import MAPPED, MERGED, merged, segments
+from fleetcut.plans.timeline_queries import FILED, MAPPED, MERGED, filed, merged, segments
 
 _ASCII = "regexp_replace(text, '[^a-zA-Z ]', '', 'g')"
 
@@ -161,7 +161,7 @@ _PATCHED = """+ bad AS (SELECT project_id FROM patches a WHERE NOT EXISTS (SELEC
 
 @query(_PATCHED + " SELECT s.project_id, s.segment_id, coalesce(g.text, s.text) AS text, coalesce(g.text <> s.text, false) AS changed FROM segments s LEFT JOIN good g ON g.project_id = s.project_id AND g.segment_id = s.segment_id")
 def j39_apply_patches(f: Fleet) -> DataFrame:
-    return K.apply_patches(f.segments, f.patches).select("project_id", "segment_id", "text", "changed")
+    return K.apply_patches(f.segments, f.patches, "2024-01-01T00:00:00Z").select("project_id", "segment_id", "text", "changed")
 
 
 def shifted(f: Fleet) -> DataFrame:
@@ -186,7 +186,7 @@ def a05_warning_counts(f: Fleet) -> DataFrame:
     return U.warning_counts(U.readability(entries(f)), ["max_cps", "max_chars"])
 
 
-@query(_ENTRIES + """, d AS (SELECT i.project_id, i.segment_id, (SELECT min(c.cut_id) FROM cuts c JOIN segments s ON s.project_id = c.project_id WHERE c.project_id = i.project_id AND s.segment_id = i.segment_id AND c.status = 'approved' AND c.start_ms <= s.start_ms AND c.end_ms >= s.end_ms) AS cut_id FROM img i WHERE i.dropped)
+@query(_ENTRIES + f""", d AS (SELECT i.project_id, i.segment_id, (SELECT min_by(c.cut_id, c.ord) FROM {FILED} c JOIN segments s ON s.project_id = c.project_id WHERE c.project_id = i.project_id AND s.segment_id = i.segment_id AND c.status = 'approved' AND c.start_ms <= s.start_ms AND c.end_ms >= s.end_ms) AS cut_id FROM img i WHERE i.dropped)
  SELECT p.project_id, (SELECT count(*) FROM ent e WHERE e.project_id = p.project_id) AS entries,
  coalesce((SELECT string_agg(segment_id || '/' || coalesce(cut_id, '-'), ',' ORDER BY segment_id) FROM d WHERE d.project_id = p.project_id), '') AS dropped,
  coalesce((SELECT string_agg(segment_id, ',' ORDER BY segment_id) FROM ent e WHERE e.project_id = p.project_id AND end_ms - start_ms < 800), '') AS min_display,
@@ -194,7 +194,7 @@ def a05_warning_counts(f: Fleet) -> DataFrame:
 def a06_subtitle_section(f: Fleet) -> DataFrame:
     e = entries(f)
     warnings = T.map_segments(segments(f), T.approved(f.cuts))[1]
-    dropped = warnings.filter("kind = 'dropped_by_cut'").join(T.covering_cut(f.segments, f.cuts), ["project_id", "segment_id"])
+    dropped = warnings.filter("kind = 'dropped_by_cut'").join(T.covering_cut(f.segments, filed(f)), ["project_id", "segment_id"])
     fast = e.filter(X.cps(F.length("text").cast("double"), F.col("start_ms"), F.col("end_ms")) > 8.0)
     return U.subtitle_section(f.projects, e, dropped, warnings.filter("kind = 'min_display'"), fast)
 
@@ -224,12 +224,19 @@ def s20_srt_entries(f: Fleet) -> DataFrame:
 _PRESETS = {"default": {"font": "Sans", "size": "48"}, "emphasis": {"size": "64", "bold": "-1"}, "chapter": {"alignment": "8"}}
 
 
+_DEFAULTS = {"font": "Serif", "size": "40", "bold": "0"}
+#: What projects say of their own styles: every third changes a packaged preset, every fourth adds one of its own, which telops name.
+_OWN = """SELECT project_id, 'default' AS preset, 'size' AS field, CAST(20 + project_id % 40 AS STRING) AS value FROM {projects} WHERE project_id % 3 = 1
+ UNION ALL SELECT project_id, 'missing', 'font', concat('Own', CAST(project_id AS STRING)) FROM {projects} WHERE project_id % 4 = 0"""
+
+
 def presets(f: Fleet) -> DataFrame:
-    return f.spark.createDataFrame(list(_PRESETS.items()), "preset string, fields map<string,string>")
+    own = f.sql(_OWN, projects=f.projects).select("project_id", "preset", F.create_map("field", "value").alias("fields"))
+    return U.merge_styles(_PRESETS, own, f.projects, _DEFAULTS)
 
 
-@query(MAPPED + """, ok(preset) AS (VALUES ('default'), ('emphasis'), ('chapter')), tot AS (SELECT p.project_id, p.duration_ms - coalesce(sum(m.end_ms - m.start_ms), 0) AS cd FROM projects p LEFT JOIN merged m ON m.project_id = p.project_id GROUP BY p.project_id, p.duration_ms),
- r AS (SELECT t.project_id, t.idx, t.segment_id, t.style_preset IN (SELECT preset FROM ok) AS styled, e.start_ms AS m0, e.end_ms AS m1, tot.cd, t.duration_ms,
+@query(MAPPED + """, ok AS (SELECT project_id, v.preset FROM projects, (VALUES ('default'), ('emphasis'), ('chapter')) v(preset) UNION SELECT project_id, 'missing' FROM projects WHERE project_id % 4 = 0), tot AS (SELECT p.project_id, p.duration_ms - coalesce(sum(m.end_ms - m.start_ms), 0) AS cd FROM projects p LEFT JOIN merged m ON m.project_id = p.project_id GROUP BY p.project_id, p.duration_ms),
+ r AS (SELECT t.project_id, t.idx, t.segment_id, EXISTS (SELECT 1 FROM ok WHERE ok.project_id = t.project_id AND ok.preset = t.style_preset) AS styled, e.start_ms AS m0, e.end_ms AS m1, tot.cd, t.duration_ms,
  t.start_ms - coalesce((SELECT sum(greatest(0, least(m.end_ms, t.start_ms) - m.start_ms)) FROM merged m WHERE m.project_id = t.project_id AND m.start_ms < t.start_ms), 0) AS f0
  FROM telops t JOIN tot ON tot.project_id = t.project_id LEFT JOIN entries e ON e.project_id = t.project_id AND e.segment_id = t.segment_id)
  SELECT project_id, idx, CAST(CASE WHEN segment_id IS NOT NULL THEN m0 ELSE f0 END AS BIGINT) AS show_ms, CAST(CASE WHEN segment_id IS NOT NULL THEN m1 ELSE least(f0 + duration_ms, cd) END AS BIGINT) AS hide_ms,
@@ -239,24 +246,23 @@ def j35_resolve_telops(f: Fleet) -> DataFrame:
     return U.resolve_telops(f.telops, mapped, f.segments, presets(f), merged(f), f.projects).select("project_id", "idx", "show_ms", "hide_ms", "problem")
 
 
-def merged_styles(f: Fleet) -> DataFrame:
-    """Packaged presets overridden by what a project's language says of itself, here from the nation table's names."""
-    own = f.table("nation").filter("n_nationkey < 6").select(F.when(F.col("n_nationkey") == 0, "default").otherwise(F.col("n_name")).alias("preset"), F.create_map(F.lit("size"), F.col("n_regionkey").cast("string")).alias("fields"))
-    return U.merge_styles(presets(f), own, {"font": "Serif", "size": "40", "bold": "0"})
+@query("""+ own AS (""" + _OWN.format(projects="projects") + """), p AS (SELECT project_id, v.* FROM projects, (VALUES ('default', '48', 'Sans', NULL), ('emphasis', '64', NULL, '-1'), ('chapter', NULL, NULL, NULL)) v(preset, size, font, bold))
+ SELECT coalesce(p.project_id, o.project_id) AS project_id, coalesce(p.preset, o.preset) AS preset, coalesce(CASE WHEN o.field = 'size' THEN o.value END, p.size, '40') AS size,
+ coalesce(CASE WHEN o.field = 'font' THEN o.value END, p.font, 'Serif') AS font, coalesce(p.bold, '0') AS bold FROM p FULL JOIN own o ON o.project_id = p.project_id AND o.preset = p.preset""")
+def j36_merge_styles(f: Fleet) -> DataFrame:
+    return presets(f).select("project_id", "preset", *[F.col("fields")[k].alias(k) for k in ("size", "font", "bold")])
 
 
-@query("""SELECT preset, coalesce(os, ps, '40') AS size, coalesce(pf, 'Serif') AS font, coalesce(pb, '0') AS bold FROM (SELECT coalesce(p.preset, o.preset) AS preset, p.size AS ps, p.font AS pf, p.bold AS pb, o.size AS os
- FROM (VALUES ('default', '48', 'Sans', NULL), ('emphasis', '64', NULL, '-1'), ('chapter', NULL, NULL, NULL)) p(preset, size, font, bold) FULL JOIN (SELECT CASE WHEN n_nationkey = 0 THEN 'default' ELSE n_name END AS preset, CAST(n_regionkey AS VARCHAR) AS size FROM nation WHERE n_nationkey < 6) o ON o.preset = p.preset) z""")
-def j36_merge_styles(f: Fleet) -> DataFrame:
-    return merged_styles(f).select("preset", *[F.col("fields")[k].alias(k) for k in ("size", "font", "bold")])
+def ass_styles(f: Fleet) -> DataFrame:
+    names = {"font": "Fontname", "size": "Fontsize", "bold": "Bold"}
+    return presets(f).withColumn("fields", F.map_from_arrays(F.array(*map(F.lit, names.values())), F.array(*[F.col("fields")[k] for k in names])))
 
 
 @query()
 def k03_ass_documents(f: Fleet) -> DataFrame:
     mapped, _ = T.map_segments(segments(f), T.approved(f.cuts))
     shown = U.resolve_telops(f.telops, mapped, f.segments, presets(f), merged(f), f.projects).filter("problem is null")
-    lines = presets(f).select(F.concat(F.lit("Style: "), "preset", F.lit(","), F.coalesce(F.col("fields")["size"], F.lit("40"))).alias("line"))
-    return U.ass_documents(shown, lines, f.projects.select("project_id", F.lit(1920).alias("width"), F.lit(1080).alias("height")))
+    return U.ass_documents(shown, ass_styles(f), f.projects.select("project_id", F.lit(1920).alias("width"), F.lit(1080).alias("height")))
 
 
 # The re-transcription check

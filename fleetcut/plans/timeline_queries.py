@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcut.functions.time import iou, overlap, to_ms
@@ -113,9 +113,17 @@ def j16_swallowed(f: Fleet) -> DataFrame:
     return T.swallowed(f.segments, merged(f)).select("project_id", "segment_id")
 
 
-@query("SELECT s.project_id, s.segment_id, min(c.cut_id) AS cut_id FROM segments s LEFT JOIN cuts c ON c.project_id = s.project_id AND c.status = 'approved' AND c.start_ms <= s.start_ms AND c.end_ms >= s.end_ms GROUP BY s.project_id, s.segment_id")
+#: The cuts as a file lists them: in half of the projects from the last to the first.
+FILED = "(SELECT *, CAST(substr(cut_id, 2) AS BIGINT) * CASE WHEN project_id % 2 = 0 THEN 1 ELSE -1 END AS ord FROM cuts)"
+
+
+def filed(f: Fleet) -> DataFrame:
+    return f.sql(f"SELECT * FROM {FILED.replace('FROM cuts', 'FROM {cuts}')}", cuts=f.cuts)
+
+
+@query(f"SELECT s.project_id, s.segment_id, min_by(c.cut_id, c.ord) AS cut_id FROM segments s LEFT JOIN {FILED} c ON c.project_id = s.project_id AND c.status = 'approved' AND c.start_ms <= s.start_ms AND c.end_ms >= s.end_ms GROUP BY s.project_id, s.segment_id")
 def j17_covering_cut(f: Fleet) -> DataFrame:
-    return T.covering_cut(f.segments, f.cuts)
+    return T.covering_cut(f.segments, filed(f))
 
 
 @query(MERGED + """ SELECT s.project_id, s.segment_id, coalesce((SELECT max(m.end_ms) FROM merged m WHERE m.project_id = s.project_id AND m.start_ms <= s.start_ms AND s.start_ms < m.end_ms), s.start_ms) AS clip_start_ms,
@@ -145,7 +153,7 @@ def j31_cut_edges(f: Fleet) -> DataFrame:
  SELECT project_id, cut_id, coalesce(string_agg(segment_id, ',' ORDER BY start_ms, end_ms, segment_id) FILTER (WHERE inside), '') AS removed_ids,
  max_by(segment_id, start_ms) FILTER (WHERE NOT inside AND bef) AS before_id, min_by(segment_id, start_ms) FILTER (WHERE NOT inside AND aft) AS after_id FROM p GROUP BY project_id, cut_id""")
 def j30_review_context(f: Fleet) -> DataFrame:
-    return T.review_context(f.cuts, f.segments)
+    return T.review_context(f.cuts, f.segments).withColumn("removed_ids", F.array_join("removed_ids", ","))
 
 
 @query(MERGED + """ SELECT p.project_id, CAST(coalesce(sum(m.end_ms - m.start_ms), 0) AS BIGINT) AS removed_ms, CAST(p.duration_ms - coalesce(sum(m.end_ms - m.start_ms), 0) AS BIGINT) AS cut_duration_ms
@@ -261,8 +269,7 @@ def w07_number_rows(f: Fleet) -> DataFrame:
 
 @query("SELECT project_id, cut_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY start_ms, end_ms, cut_id) AS BIGINT) AS place FROM cuts")
 def t01_timeline_order(f: Fleet) -> DataFrame:
-    by = Window.partitionBy("project_id").orderBy("start_ms", "end_ms", "cut_id")
-    return f.cuts.select("project_id", "cut_id", F.row_number().over(by).cast("bigint").alias("place"))
+    return T.timeline_order(f.cuts, "cut_id").select("project_id", "cut_id", "place")
 
 
 @query("""SELECT project_id, segment_id, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY project_id, segment_id ORDER BY end_ms - start_ms DESC, start_ms) AS k FROM (

@@ -1,22 +1,59 @@
-"""Writers: gated tables, subtitle files and documents, archived runs."""
+"""Writers: gated tables in versions, subtitle files and documents, archived runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcut.operators.gates import assert_gates
 from fleetcut.operators.intervals import PID
 
+_CURRENT = "_current"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that readers of a published table see; null before the first."""
+    fs, at = _fs(spark, path)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at(path))) if fs.exists(at(path)) else []
+    done = [n for n in names if n.startswith(_CURRENT)]
+    return done[-1].split(".", 2)[2] if done else None
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")
+
 
 def publish(df: DataFrame, path: str, *gates: DataFrame, partition_by: str | None = None, mode: str = "gate") -> None:
-    """Write a table only if its gates are empty; the committer moves files into place at the end, so readers see a whole version."""
+    """Write a table only if its gates are empty, as a new version beside the old one, then switch to it.
+
+    The switch is one empty file, _current.<number>.<version>, made when all data are in place: readers take the highest number, so they see
+    the old version whole or the new one whole, also if a job fails half-way. Versions before the last two are removed.
+    """
     if gates:
         assert_gates(*gates, mode=mode)
-    writer = df.write.mode("overwrite")
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
-    writer.parquet(path)
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(f"{path}/{version}")
+    fs, at = _fs(spark, path)
+    marks = sorted(x.getPath().getName() for x in fs.listStatus(at(path)) if x.getPath().getName().startswith(_CURRENT))
+    number = int(marks[-1].split(".", 2)[1]) + 1 if marks else 1
+    fs.create(at(f"{path}/{_CURRENT}.{number:010d}.{version}"), False).close()
+    for old in marks[:-1]:
+        fs.delete(at(f"{path}/{old}"), False)
+        fs.delete(at(f"{path}/{old.split('.', 2)[2]}"), True)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -25,5 +62,13 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def archive_run(documents: DataFrame, path: str) -> None:
-    """Append documents (run, project_id, document) under run=...; earlier runs stay."""
+    """Add documents (run, project_id, document) under run=...; a run that is there already is refused, so two never mix."""
+    spark = documents.sparkSession
+    fs, at = _fs(spark, path)
+    runs = [r["run"] for r in documents.select("run").distinct().limit(1001).collect()]
+    if len(runs) > 1000:
+        raise ValueError("more than 1,000 runs at once")
+    for run in runs:
+        if fs.exists(at(f"{path}/run={run}")):
+            raise FileExistsError(f"{path}/run={run}")
     documents.write.mode("append").partitionBy("run").parquet(path)

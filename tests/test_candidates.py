@@ -119,7 +119,66 @@ def test_faults_are_refused_for_the_right_reason(spark):
 def test_noise_floor_without_power_is_null(spark):
     frames = spark.createDataFrame([(1, 500, 0.0), (2, 500, 0.01)], "project_id long, t_ms long, power double")
     silences = spark.createDataFrame([(1, 0, 1000), (2, 0, 1000)], "project_id long, start_ms long, end_ms long")
-    assert {r.project_id: r.level_db for r in S.noise_floor(frames, silences).collect()} == {1: None, 2: -20.0}
+    projects = spark.createDataFrame([(1,), (2,), (3,)], "project_id long")
+    assert {r.project_id: (r.level_db, r.n_frames) for r in S.noise_floor(frames, silences, projects).collect()} == {1: (None, 1), 2: (-20.0, 1), 3: (None, 0)}
+
+
+def test_ids_keep_all_their_digits(spark):
+    cut = "project_id long, cut_id string, start_ms long, end_ms long, reason string, confidence double, status string, note string"
+    cand = "project_id long, ord long, start_ms long, end_ms long, reason string, confidence double, status string, note string"
+    existing = spark.createDataFrame([(1, "c9999", 0, 100, "manual", 1.0, "approved", None)], cut)
+    new = spark.createDataFrame([(1, k, 1000 * (k + 1), 1000 * (k + 1) + 500, "silence", 0.9, "approved", None) for k in range(2)], cand)
+    merged = C.merge_cuts(existing, new)
+    assert sorted(r.cut_id for r in merged.collect()) == ["c10000", "c10001", "c9999"]
+    with pytest.raises(G.GateError, match="G21"):
+        G.assert_gates(G.g21_id_space(merged))
+    summary = C.detect_summary(existing, new, merged, C.resolve_overlaps(merged), merged.limit(0).select("project_id", "start_ms", "end_ms")).first()
+    assert (summary.first_id, summary.last_id, summary.next_id, summary.cuts_total, summary.silence_detected, summary.silence_ms) == ("c9999", "c10001", 10002, 3, 2, 1000)
+    many = spark.range(1, 10_003).selectExpr("1L as project_id", "id as start_ms", "id + 1 as end_ms", "'x' as text")
+    numbered = S.build_segments(many, spark.createDataFrame([(1, 10**6)], "project_id long, duration_ms long"), ["start_ms"])
+    assert numbered.select("segment_id").distinct().count() == 10_002 and numbered.filter("segment_id = 's10002'").count() == 1
+
+
+def test_the_first_cut_of_the_file_covers(spark):
+    from fleetcut.operators import timeline as T
+
+    cuts = spark.createDataFrame([(1, "c0009", 0, 0, 1000, "approved"), (1, "c0002", 1, 0, 2000, "approved")], "project_id long, cut_id string, ord long, start_ms long, end_ms long, status string")
+    segments = spark.createDataFrame([(1, "s0001", 100, 900), (1, "s0002", 100, 1900), (1, "s0003", 5000, 6000)], "project_id long, segment_id string, start_ms long, end_ms long")
+    assert {r.segment_id: r.cut_id for r in T.covering_cut(segments, cuts).collect()} == {"s0001": "c0009", "s0002": "c0002", "s0003": None}
+
+
+def test_a_talk_at_the_id_limit(spark):
+    """9,999 cuts and as many segments of one talk, within a minute each."""
+    import time
+
+    from fleetcut.operators import timeline as T
+
+    base = spark.range(9999)
+    cuts = base.selectExpr("1L as project_id", "format_string('c%04d', id + 1) as cut_id", "id as ord", "id * 1000 as start_ms", "id * 1000 + 300 as end_ms", "'silence' as reason", "'approved' as status")
+    segments = base.selectExpr("1L as project_id", "format_string('s%04d', id + 1) as segment_id", "id as ord", "id * 1000 + 200 as start_ms", "id * 1000 + 900 as end_ms", "'x' as text")
+    regions, projects = segments.select("project_id", "start_ms", "end_ms"), spark.createDataFrame([(1, 10**7)], "project_id long, duration_ms long")
+    for run in (
+        lambda: T.map_segments(segments, cuts)[0], lambda: T.review_context(cuts, segments), lambda: S.quiet(segments, regions, projects),
+        lambda: T.forward(segments.select("project_id", F.col("start_ms").alias("t_ms")), cuts), lambda: C.resolve_overlaps(cuts),
+    ):
+        start = time.time()
+        assert run().count() == 9999
+        assert time.time() - start < 60
+
+
+def test_review_context_by_brute_force(spark):
+    from fleetcut.operators import timeline as T
+
+    random.seed(23)
+    segs = [(p, f"s{k:04d}", a, a + random.randint(1, 60)) for p in (1, 2) for k in range(40) for a in (random.randint(0, 300),)]
+    cuts = [(p, f"c{k:04d}", a, a + random.randint(1, 80)) for p in (1, 2, 3) for k in range(20) for a in (random.randint(0, 300),)]
+    got = T.review_context(spark.createDataFrame(cuts, "project_id long, cut_id string, start_ms long, end_ms long"), spark.createDataFrame(segs, "project_id long, segment_id string, start_ms long, end_ms long"))
+    for r in got.collect():
+        c0, c1 = next((a, b) for p, i, a, b in cuts if (p, i) == (r.project_id, r.cut_id))
+        mine = sorted((a, b, i) for p, i, a, b in segs if p == r.project_id)
+        kept = [s for s in mine if not (s[0] >= c0 and s[1] <= c1)]
+        assert r.removed_ids == [i for a, b, i in mine if a >= c0 and b <= c1]
+        assert r.before_id == max((s for s in kept if s[0] < c0), default=(0, 0, None))[2] and r.after_id == min((s for s in kept if s[1] > c1), default=(0, 0, None))[2]
 
 
 def test_number_rows_and_longest_piece(spark):

@@ -106,12 +106,27 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     sinks.publish(good, path, G.g04_approved_overlap(good))
     with pytest.raises(G.GateError):
         sinks.publish(bad, path, G.g04_approved_overlap(bad))
-    assert spark.read.parquet(path).count() == 1
+    assert sinks.published(spark, path).count() == 1
+
+    def breaks(batches):
+        yield from ()
+        raise RuntimeError("half-way")
+
+    with pytest.raises(Exception, match="half-way"):
+        sinks.publish(good.mapInPandas(breaks, cuts), path)
+    assert sinks.published(spark, path).collect() == good.collect()
     sinks.publish(bad, path, G.g04_approved_overlap(bad), mode="advisory")
-    assert spark.read.parquet(path).count() == 2
+    assert sinks.published(spark, path).count() == 2
+    for _ in range(3):
+        sinks.publish(good, path, partition_by="project_id")
+    assert sinks.published(spark, path).count() == 1 and len([p for p in (tmp_path / "cuts").iterdir() if p.name.startswith("_current")]) == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, str(tmp_path / "none"))
     docs = U.srt_documents(spark.createDataFrame([(7, "s1", 0, 1000, "x")], "project_id long, segment_id string, start_ms long, end_ms long, text string"))
     sinks.write_documents(docs, str(tmp_path / "srt"))
     assert "00:00:00,000" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "srt")).collect())
     sinks.archive_run(docs.withColumn("run", F.lit("a")), str(tmp_path / "runs"))
     sinks.archive_run(docs.withColumn("run", F.lit("b")), str(tmp_path / "runs"))
+    with pytest.raises(FileExistsError):
+        sinks.archive_run(docs.withColumn("run", F.lit("a")), str(tmp_path / "runs"))
     assert spark.read.parquet(str(tmp_path / "runs")).select("run").distinct().count() == 2

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -91,10 +92,41 @@ def test_reading_runs_are_longest_from_the_left(spark):
     assert K.replace_runs(seg, runs).collect()[0].new_text == "CCをC"
 
 
+def test_readings_follow_the_surface_pass(spark):
+    """The reading pass works on what the surface pass leaves, moved by its edits, and its hits are reported."""
+    text = "thea in the house of the inthe"
+    rows, at = [], 0
+    for i, w in enumerate(re.findall(r"\S+|\s+", text)):
+        rows.append((1, "s1", i, at, at + len(w), w, w if w.strip() else None))
+        at += len(w)
+    t = spark.createDataFrame(rows, "project_id long, segment_id string, ord int, begin int, end int, surface string, reading string")
+    d = spark.createDataFrame([("inthe", "IN-THE", 0), ("ofthe", "OF-THE", 1)], "reading string, correct string, rank int")
+    r = K.correct_segments(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), [("THE END", ["thea"], "always"), ("HOUSE", ["house"], "context")], t, d).first()
+    assert r.new_text == "THE END IN-THE house OF-THE IN-THE"
+    assert [(h.matched, h.correct, h.applied) for h in r.hits] == [("thea", "THE END", True), ("house", "HOUSE", False), ("in the", "IN-THE", True), ("of the", "OF-THE", True), ("inthe", "IN-THE", True)]
+    plain = K.correct_segments(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), [("x", ["y"], "always")], t, d).first()
+    assert plain.new_text == "thea IN-THE house OF-THE IN-THE" and len(plain.hits) == 3
+
+
+def test_styles_and_documents_are_each_project_s_own(spark):
+    projects = spark.createDataFrame([(1,), (2,)], "project_id long")
+    own = spark.createDataFrame([(1, "default", {"Fontsize": "20"}), (2, "default", {"Fontsize": "30", "Bold": "-1"}), (2, "mine", {"Fontname": "M"})], "project_id long, preset string, fields map<string,string>")
+    styles = U.merge_styles({"default": {"Fontsize": "48", "Italic": "-1"}, "chapter": {}}, own, projects, {"Fontname": "Sans"})
+    got = {(r.project_id, r.preset): r.fields for r in styles.collect()}
+    assert got == {
+        (1, "default"): {"Fontname": "Sans", "Fontsize": "20", "Italic": "-1"}, (2, "default"): {"Fontname": "Sans", "Fontsize": "30", "Italic": "-1", "Bold": "-1"},
+        (1, "chapter"): {"Fontname": "Sans"}, (2, "chapter"): {"Fontname": "Sans"}, (2, "mine"): {"Fontname": "M"},
+    }
+    events = spark.createDataFrame([(2, 0, 3_600_000 * 12 + 1500, 3_600_000 * 12 + 2000, "mine", "hello, you")], "project_id long, idx long, show_ms long, hide_ms long, style_preset string, text string")
+    docs = {r.project_id: r.document for r in U.ass_documents(events, styles, projects.selectExpr("project_id", "640 as width", "480 as height")).collect()}
+    assert "Style: mine,M,48" in docs[2] and "mine" not in docs[1] and "Dialogue: 0,12:00:01.50,12:00:02.00,mine,,0,0,0,,hello, you" in docs[2]
+    assert docs[1].count("\nStyle: ") == 2 and docs[2].count("\nStyle: ") == 3 and docs[1].count("\nFormat: ") == 2
+
+
 def test_patches_are_all_or_nothing(spark):
     segs = spark.createDataFrame([(1, "s1", 0, 0, 1, "a"), (1, "s2", 1, 2, 3, "b"), (2, "s1", 0, 0, 1, "a")], SEG)
     edits = spark.createDataFrame([(1, "s1", "A"), (2, "s1", "B"), (2, "s7", "C")], "project_id long, segment_id string, text string")
-    got = {(r.project_id, r.segment_id): (r.text, [e.before for e in r.edits]) for r in K.apply_patches(segs, edits).collect()}
+    got = {(r.project_id, r.segment_id): (r.text, [e.before for e in r.edits]) for r in K.apply_patches(segs, edits, "2025-05-05T00:00:00Z").collect()}
     assert got == {(1, "s1"): ("A", ["a"]), (1, "s2"): ("b", []), (2, "s1"): ("a", [])}
     assert {(r.project_id, r.problem) for r in K.check_patches(edits, segs).collect()} == {(2, "unknown id")}
 
