@@ -12,7 +12,7 @@ from fleetcut.operators import timeline as T
 from fleetcut.plans.fixtures import Fleet
 from fleetcut.plans.register import query
 from fleetcut.plans.speech_queries import _COV, _NEAR, _PHRASES, SPOKEN, phrases, reviewed, spoken
-from fleetcut.plans.text_queries import _SHIFTED, entries, flags, presets, shifted
+from fleetcut.plans.text_queries import _SHIFTED, MISSING, entries, flags, presets, shifted
 from fleetcut.plans.timeline_queries import merged, segments
 
 
@@ -96,7 +96,7 @@ def g13_telop_fields(f: Fleet) -> DataFrame:
     return keys(G.g13_telop_fields(t, f.projects))
 
 
-@query()
+@query(MISSING + " SELECT project_id, 'G14' AS gate, segment_id AS item_id, CAST(start_ms AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS threshold, 'entry not in the subtitle file' AS message FROM lost")
 def g14_missing_entries(f: Fleet) -> DataFrame:
     e = entries(f)
     srt = e.filter("(project_id + start_ms) % 9 <> 4").select("project_id", F.col("ord").alias("n"), "start_ms", "end_ms", "text")

