@@ -1,6 +1,10 @@
 """Every registered query of the fleet runs on the smallest tables and, where SQL can say it, gives the rows of DuckDB."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,7 +46,18 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() >= 0
 
 
-def test_entry_without_training_data_operators():
+def test_the_rest_works_without_training_data_operators(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline imports and has every query of the fleet and no other."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__")])
+    code = "import __spark_entry__ as e; from fleetcut.plans import registry as r; assert set(e.queries()) == set(r.queries()) and set(e.oracle_sql()) == set(r.oracle_sql()); print(len(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout) == len(registry.queries()), out.stderr
+
+
+def test_entry_holds_the_fleet():
     import __spark_entry__
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
