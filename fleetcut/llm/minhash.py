@@ -201,7 +201,17 @@ def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
         return labels
     members = C.stage(open_.select("m", "comp").distinct().join(sets.select(F.col("doc_id").alias("m"), "n", "items"), "m"), "apart")
     keep = C.stage(_may_link(members, percent), "keep")
-    return _relabel(labels, _meet_in_blocks(open_.select("key", "m", "comp").join(keep, "m", "left_semi"), members, percent))
+    return _relabel(labels, _meet_in_blocks(_groups(open_).join(keep, "m", "left_semi"), members, percent))
+
+
+def _groups(open_: DataFrame) -> DataFrame:
+    """(key, m, comp) of mixed buckets, those with one largest component and the same members outside it as one: near copies share many
+    buckets, and with each outsider they need to meet once."""
+    per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("m")).alias("h"))
+    main = per.groupBy("key").agg(F.max_by(F.struct("comp", "h"), F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"), F.bit_xor("h").alias("all"))
+    group = F.xxhash64("main.comp", F.col("all").bitwiseXOR(F.col("main.h")), F.col("total") - F.col("most"))
+    named = C.lookup(open_.select("key", "m", "comp"), C.stage(main.select("key", group.alias("group"), "total"), "groups"), "key", "total", open_.count())
+    return C.stage(named.select(F.col("group").alias("key"), "m", "comp").distinct(), "grouped")
 
 
 def _may_link(members: DataFrame, percent: int) -> DataFrame:
@@ -223,9 +233,9 @@ def _may_link(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _meet_in_blocks(open_: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of members outside their bucket's largest component with members of other components.
+    """Links (a, b) of members outside their group's largest component with members of other components.
 
-    A bucket's outsiders are dealt into blocks of about BLOCK, its members into chunks of about CHUNK, within classes of lengths of which only
+    A group's outsiders are dealt into blocks of about BLOCK, its members into chunks of about CHUNK, within classes of lengths of which only
     neighbours can be similar; each block meets each chunk as one bounded group, in which the members' sets are looked up in the
     sorted items of the block. Of several links of an outsider with one component, one is returned.
     """
