@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import reduce
@@ -17,9 +18,11 @@ _CHUNK = 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one is set only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a local one is set only where that is unset and all tasks run in this process's JVM."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (master := spark.sparkContext.master).startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_fleetcut_scratch", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark._fleetcut_scratch = path
     return path.rstrip("/")
@@ -48,9 +51,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove all that this application has staged. Call it when no result of an operator will be read any more."""
-    _remove(spark, _session_dir(spark))
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Remove all that this application has staged but for the tables to keep. Call it when no other result of an operator will be read."""
+    kept = {os.path.basename(df._fleetcut_path) for df in keep}
+    p = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in fs.listStatus(p) if fs.exists(p) else []:
+        if x.getPath().getName() not in kept:
+            fs.delete(x.getPath(), True)
 
 
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:

@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,11 +178,10 @@ def _dictionary(rows: DataFrame) -> frozenset[str]:
     return frozenset(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect())
 
 
-def find_candidates(docs: DataFrame, dictionary: frozenset[str]) -> DataFrame:
-    """(doc_id, start, end, value_sha256, features, seed) of every candidate in columns (doc_id, text, path)."""
+def find_candidates(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """(doc_id, start, end, value_sha256, features, seed) of every candidate in columns (doc_id, text, path). words: the dictionary."""
     import pyarrow as pa
 
-    words = docs.sparkSession.sparkContext.broadcast(dictionary)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value_sha256", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("seed", T.IntegerType())])
 
     def run(batches):
@@ -220,7 +220,10 @@ def fit_forest(findings: DataFrame, train_findings: int = TRAIN_FINDINGS, trees:
 
 def _found(docs: DataFrame, path: Column | None, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (path if path is not None else F.lit("")).cast("string").alias("path"))
-    return C.stage(find_candidates(rows, _dictionary(rows)), "candidates")
+    words = docs.sparkSession.sparkContext.broadcast(_dictionary(rows))
+    found = C.stage(find_candidates(rows, words), "candidates")
+    words.destroy()
+    return found
 
 
 def _known(found: DataFrame, labelled: DataFrame | None) -> tuple[DataFrame, DataFrame]:

@@ -45,6 +45,77 @@ def test_language_evidence(spark):
     assert tuple(page.select(L.markup_language(F.col("h")), L.suffix_of(F.col("u")), L.host_of(F.col("u"))).first()) == ("de-AT", ".de", "m.example.de")
 
 
+def test_wrong_tags_are_corrected_and_posteriors_are_exact(spark):
+    """A tenth of the declared languages are wrong; labels come from another column. The posterior equals one computed in plain Python."""
+    import math
+
+    random.seed(4)
+    vocabulary = {"en": "the and of that with this from have".split(), "fr": "les des une dans avec pour sur pas".split(), "de": "der die und nicht mit auf ein ist".split()}
+    rows = []
+    for i in range(120):
+        lang = ("en", "fr", "de")[i % 3]
+        tag = lang if i % 10 else ("fr", "de", "en")[i % 3]
+        host = f"{'ab'[i % 2]}.{lang}.example.com" if i % 7 else None
+        url = f"https://{host}/{tag}/{i}" if host else None
+        rows.append((i, " ".join(random.choice(vocabulary[lang]) for _ in range(random.randint(1, 12))), tag, url, lang if i % 4 == 0 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string, url string, label string").withColumn("host", F.lit("clash")).withColumn("declared", F.lit(3))
+    got = {r.doc_id: r for r in L.identify_languages(df, declared=F.col("tag"), url=F.col("url"), label=F.col("label")).collect()}
+    assert sum(got[i].language == ("en", "fr", "de")[i % 3] for i in got) >= 117
+
+    names = sorted(vocabulary)
+    grams = lambda t: L.trigrams([t])[0].tolist()
+    like = {}
+    for n in names:
+        c = Counter(g for i, t, _, _, lab in rows if lab == n for g in grams(t))
+        like[n] = (c, sum(c.values()) + 0.5 * L.GRAMS)
+    fit = {i: [sum(math.log((like[n][0][g] + 0.5) / like[n][1]) for g in grams(t)) / len(grams(t)) for n in names] for i, t, *_ in rows}
+    guess = {i: max(range(3), key=lambda k: (fit[i][k], -k)) for i in fit}
+    cell = lambda pick: Counter((pick(r), guess[r[0]]) for r in rows if pick(r) is not None)
+    host = lambda r: r[3] and r[3].split("/")[2]
+    domain = lambda r: r[3] and ".".join(host(r).split(".")[-2:])
+    suffix = lambda r: r[3] and "/" + r[3].split("/")[3]
+    every, kappa = Counter(guess.values()), 20.0
+    base = [(every[k] + 1) / (len(rows) + 3) for k in range(3)]
+    hosts, domains, tags, ends = cell(host), cell(domain), cell(lambda r: r[2]), cell(suffix)
+
+    def evidence(counts, value, k):
+        if value is None:
+            return 0.0
+        kinds, total = len({v for v, _ in counts}) + 1, sum(n for (_, g), n in counts.items() if g == k)
+        return math.log((counts[value, k] + 1) / (total + kinds))
+
+    def prior(r, k):
+        if host(r) is None:
+            return math.log(base[k])
+        n_d, n_h = (sum(c[v, x] for x in range(3)) for c, v in ((domains, domain(r)), (hosts, host(r))))
+        smooth = (domains[domain(r), k] + kappa * base[k]) / (n_d + kappa)
+        return math.log((hosts[host(r), k] + kappa * smooth) / (n_h + kappa))
+
+    for r in rows:
+        lp = [fit[r[0]][k] * min(len(grams(r[1])), L.EVIDENCE) + prior(r, k) + evidence(tags, r[2], k) + evidence(ends, suffix(r), k) for k in range(3)]
+        best = max(range(3), key=lambda k: (lp[k], -k))
+        assert got[r[0]].language == names[best]
+        assert abs(got[r[0]].posterior - 1 / sum(math.exp(x - lp[best]) for x in lp)) < 1e-4
+
+
+def test_languages_beyond_a_block_and_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 2)
+    words = ["aaa bbb", "ccc ddd", "eee fff", "ggg hhh", "iii jjj"]
+    rows = [(i, " ".join([words[i % 5]] * 5), f"x{'abcde'[i % 5]}") for i in range(50)] + [(None, None, None), (7, "aaa bbb", "xa"), (7, "aaa bbb", "xa"), (8, "x" * 200_000, "xb"), (9, "", "xa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit(1)).withColumn("fit", F.lit(1)).withColumn("label", F.lit("zz"))
+    out = L.identify_languages(df, declared=F.col("lang")).collect()
+    assert len(out) == len(rows) and all(r.language == f"x{'abcde'[r.doc_id % 5]}" for r in out if r.doc_id is not None and r.doc_id not in (7, 8, 9))
+    assert {(r.kept, r.reason) for r in out if r.doc_id is None} == {(False, "no text")}
+
+
+def test_documents_take_the_evidence_of_their_pages(spark):
+    docs = spark.createDataFrame([(1, "Some text\tof a page.", "en", "s"), (2, "Some text of a page.", "en", "s"), (3, "other", "fr", "s"), (4, None, None, None)], "doc_id long, text string, lang string, source string")
+    page = lambda text: f'<html lang="de"><body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{text}</p></article></body></html>'
+    pages = spark.createDataFrame([(1, "https://b.example.com/de/1", page("Some text of a page.")), (2, "https://a.example.com/de/2", page("Some text of a page.")), (3, None, None)], "page_id long, url string, html string")
+    got = {r.doc_id: (r.url, r.markup) for r in L.with_pages(docs, pages).collect()}
+    assert got == {1: ("https://a.example.com/de/2", "de"), 2: ("https://a.example.com/de/2", "de"), 3: (None, None), 4: (None, None)}
+
+
 def test_binomial_bounds():
     for n, k, a in ((20, 0, 0.05), (50, 3, 0.01), (400, 10, 0.001)):
         p = Q.upper_bound(k, n, a)
