@@ -41,7 +41,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of 5-word shingle similarity 0.8 or more."""
+    """Keeps the document of smallest id of each group of 5-word shingle similarity 0.8 or more; rows that share an id are one
+    document and stay or go together."""
     return _only(docs, near_groups(docs).filter("not kept").select("doc_id"), "doc_id", False)
 
 
@@ -66,10 +67,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over all that the stage before it kept, each result staged as Parquet in the shared folder."""
+    """Every stage over all that the stage before it kept, each result staged as Parquet in the shared folder; what a stage has staged for
+    itself goes when its result is there, so a session holds one run of this function's tables at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = C.stage(docs, name)
+            C.sweep(spark, docs)
     return docs
