@@ -73,24 +73,47 @@ def cer_rate(reference: Column, hypothesis: Column) -> Column:
 EDITS = T.StructType([T.StructField(c, T.LongType()) for c in ("substitutions", "deletions", "insertions")])
 
 
+def edit_script(a: str, b: str) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of one minimal edit script (substitutions first on ties, then deletions).
+
+    Rows of the distance table are kept as the bits of their steps, one number each for up and down, and made a row at a time by
+    bit-parallel arithmetic; the script is read off backwards from the steps alone.
+    """
+    m, full = len(b), (1 << len(b)) - 1
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    up, down = full, 0  # steps along b in the current row
+    along, across = [(up, down)], [(0, 0)]
+    for x in a:
+        eq = places.get(x, 0)
+        same = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = (down | ~(same | up)) & full, same & up
+        across.append((rise, fall))
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = (fall | ~(same | rise)) & full, rise & same
+        along.append((up, down))
+    i, j, subs, dels, ins = len(a), m, 0, 0, 0
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            continue
+        bit = 1 << (j - 1)
+        v = bool(across[i][0] & bit) - bool(across[i][1] & bit)
+        h = bool(along[i - 1][0] & bit) - bool(along[i - 1][1] & bit)
+        if v + h == 1:
+            subs, i, j = subs + 1, i - 1, j - 1
+        elif v == 1:
+            dels, i = dels + 1, i - 1
+        else:
+            ins, j = ins + 1, j - 1
+    return subs, dels + i, ins + j
+
+
 @F.pandas_udf(EDITS)
 def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """Substitutions, deletions and insertions of one minimal edit script (substitutions first on ties)."""
-
-    def one(a: str, b: str) -> tuple[int, int, int]:
-        row = [(j, 0, 0, j) for j in range(len(b) + 1)]
-        for i, x in enumerate(a, 1):
-            last, row = row, [(i, 0, i, 0)]
-            for j, y in enumerate(b, 1):
-                if x == y:
-                    row.append(last[j - 1])
-                    continue
-                s, d, n = last[j - 1], last[j], row[j - 1]
-                row.append(min((s[0] + 1, s[1] + 1, s[2], s[3]), (d[0] + 1, d[1], d[2] + 1, d[3]), (n[0] + 1, n[1], n[2], n[3] + 1), key=lambda t: t[0]))
-        return row[-1][1:]
-
-    rows = [one(a or "", b or "") for a, b in zip(reference, hypothesis, strict=True)]
-    return pd.DataFrame(rows, columns=[f.name for f in EDITS])
+    """edit_script of each pair; null counts as empty."""
+    return pd.DataFrame([edit_script(a or "", b or "") for a, b in zip(reference, hypothesis, strict=True)], columns=[f.name for f in EDITS])
 
 
 HUNK = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("text", T.StringType())])

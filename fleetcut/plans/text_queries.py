@@ -22,12 +22,6 @@ def ascii_text(column: str = "text"):
     return F.regexp_replace(column, "[^a-zA-Z ]", "")
 
 
-def pairs(f: Fleet) -> DataFrame:
-    """The first two runs of 60 letters and spaces of each document, as a reference and what was heard: the pair that the SQL names."""
-    t = f.table("documents").select("doc_id", ascii_text().alias("t"))
-    return t.select("doc_id", F.substring("t", 1, 60).alias("reference"), F.substring("t", 61, 60).alias("hypothesis"))
-
-
 def runs(f: Fleet) -> DataFrame:
     """Every run of 60 letters and spaces of each document with the next one, over the whole text; a text of one run has one row."""
     pieces = F.coalesce(F.regexp_extract_all(ascii_text(), F.lit(r"[\s\S]{1,60}"), F.lit(0)), F.expr("cast(array() as array<string>)"))
@@ -144,10 +138,11 @@ def h11_readability(f: Fleet) -> DataFrame:
     return U.readability(entries(f))
 
 
-@query(f"""+ p AS (SELECT doc_id, {_ASCII} AS t FROM documents), q AS (SELECT doc_id, lower(replace(substr(t, 1, 60), ' ', '')) AS a, lower(replace(substr(t, 61, 60), ' ', '')) AS b FROM p)
- SELECT doc_id, round(CASE WHEN length(a) > 0 THEN CAST(levenshtein(a, b) AS DOUBLE) / length(a) END, 9) AS cer FROM q""")
+@query(f"""+ p AS (SELECT doc_id, regexp_extract_all({_ASCII}, '[\\s\\S]{{1,60}}') AS p FROM documents), r AS (SELECT doc_id, p, unnest(range(0, greatest(len(p) - 1, 1))) AS run FROM p),
+ q AS (SELECT doc_id, run, lower(replace(coalesce(p[run + 1], ''), ' ', '')) AS a, lower(replace(coalesce(p[run + 2], ''), ' ', '')) AS b FROM r)
+ SELECT doc_id, CAST(run AS BIGINT) AS run, round(CASE WHEN length(a) > 0 THEN CAST(levenshtein(a, b) AS DOUBLE) / length(a) END, 9) AS cer FROM q""")
 def h12_cer(f: Fleet) -> DataFrame:
-    return V.cer(pairs(f), ascii_only=True).select("doc_id", F.round("cer", 9).alias("cer"))
+    return V.cer(runs(f), ascii_only=True).select("doc_id", "run", F.round("cer", 9).alias("cer"))
 
 
 @query()

@@ -234,3 +234,25 @@ def test_heard_texts_are_whole(spark, monkeypatch):
     monkeypatch.setattr(Q, "expected", lambda f: rows)
     r = Q.heard(None).collect()[0]
     assert r.expected == said and r.actual == said[:40] + said[45:-1] + "k"
+
+
+def test_edit_scripts_equal_the_table():
+    """Against the plain table of (cost, substitutions, deletions, insertions), and quick on long texts."""
+    def table(a, b):
+        row = [(j, 0, 0, j) for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row = row, [(i, 0, i, 0)]
+            for j, y in enumerate(b, 1):
+                if x == y:
+                    row.append(last[j - 1])
+                    continue
+                s, d, n = last[j - 1], last[j], row[j - 1]
+                row.append(min((s[0] + 1, s[1] + 1, s[2], s[3]), (d[0] + 1, d[1], d[2] + 1, d[3]), (n[0] + 1, n[1], n[2], n[3] + 1), key=lambda t: t[0]))
+        return row[-1][1:]
+
+    random.seed(19)
+    for _ in range(2000):
+        a, b = ("".join(random.choice("abc"[: random.randint(1, 3)]) for _ in range(random.randint(0, 14))) for _ in range(2))
+        assert sum(X.edit_script(a, b)) == sum(table(a, b)) and X.edit_script(a, b) == table(a, b), (a, b)
+    long = "".join(random.choice("abcdefgh") for _ in range(6000))
+    assert X.edit_script(long, long[:3000] + "zz" + long[3000:]) == (0, 0, 2)
