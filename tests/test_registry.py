@@ -41,9 +41,10 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_runs(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+@pytest.mark.parametrize("name", ["h16_without_fillers", "j27_filler_spans", "j28_trim_candidates", "j29_filler_candidates"])
+def test_fillers_have_rows(spark, name):
+    """Their results are compared on small tables in test_text.py."""
+    assert registry.queries()[name](spark, SF).count() > 0
 
 
 def test_the_rest_works_without_training_data_operators(tmp_path):
