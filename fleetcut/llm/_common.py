@@ -116,8 +116,11 @@ def _mask(h: Column) -> Column:
 
 
 def filter_words(n_keys: int, bits_per_key: int = 16) -> int:
+    """64-bit words of a filter for n_keys, at most MAX_WORDS or what the session's spark.fleetcut.bloom.words says."""
+    session = SparkSession.getActiveSession()
+    most = int(session.conf.get("spark.fleetcut.bloom.words", str(MAX_WORDS))) if session else MAX_WORDS
     need = max(1, n_keys * bits_per_key // 64)
-    return min(MAX_WORDS, 1 << max(10, (need - 1).bit_length()))
+    return min(most, 1 << max(10, (need - 1).bit_length()))
 
 
 def _pack(cells: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ def normalised(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Pass one counts the cells of a Bloom filter (combined before the shuffle), pass two probes a filter of the cells
-    seen twice. Only rows that it flags shuffle, as (id, hash); all others pass straight through as groups of one.
+    Pass one counts the cells (word, mask) of a Bloom filter, combined in each task before they shuffle: a cell of each row at
+    most, without text, hash or id. Pass two probes a filter of the cells seen twice. Only rows that it flags shuffle, as
+    (id, hash); all others pass straight through as groups of one.
     Null text counts as empty. The smallest id stays; a null id sorts last; of rows that repeat an id, one stays.
     An empty table gives no rows. Other columns are ignored.
     """
