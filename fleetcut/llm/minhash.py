@@ -201,7 +201,8 @@ def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
         return labels
     members = C.stage(open_.select("m", "comp").distinct().join(sets.select(F.col("doc_id").alias("m"), "n", "items"), "m"), "apart")
     keep = C.stage(_may_link(members, percent), "keep")
-    return _relabel(labels, _meet_in_blocks(_groups(open_).join(keep, "m", "left_semi"), members, percent))
+    meeting = C.stage(_groups(open_).join(keep, "m", "left_semi"), "meeting")
+    return _relabel(labels, _meet_in_blocks(meeting, members, percent))
 
 
 def _groups(open_: DataFrame) -> DataFrame:
