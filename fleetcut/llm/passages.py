@@ -16,9 +16,9 @@ from fleetcut.llm.words import WordHashes, shingles
 
 #: Words of a seed. Seeds whose hash is a multiple of SAMPLE are taken wherever they stand, and the smallest of any WINDOW seeds in a
 #: row, so any K + WINDOW - 1 equal words share one, and edited passages share a SAMPLE-th of their equal runs' seeds.
-K, WINDOW, SAMPLE = 5, 24, 5
+K, WINDOW, SAMPLE = 5, 24, 6
 #: Seeds that a document must share with a source to be aligned with it; seeds over which equal runs are told apart.
-ANCHORS, AHEAD = 3, 256
+ANCHORS, AHEAD = 2, 256
 #: A source that is broadcast to its users has so many words at most, and there are so many of them at most: 32 MiB.
 HOT_WORDS, HOT_SOURCES = 1 << 14, 500
 #: A gap between two seeds costs so many words for each word of it, and for each word that the two sides differ in length.
@@ -309,9 +309,13 @@ def _open_windows(seeds: DataFrame, known: DataFrame, texts: DataFrame, found: D
     seed: the window's first own seed, `ahead` words behind its start."""
     import pyarrow as pa
 
-    told = known.filter("source_id < doc_id").select("doc_id", "seed", "place", F.lit(True).alias("earlier"))
-    some = seeds.join(told.select("doc_id").distinct(), "doc_id", "left_semi").join(told, ["doc_id", "seed", "place"], "left")
-    mine = some.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "seed", F.coalesce("earlier", F.lit(False)).alias("earlier")))).alias("seeds"))
+    told = known.filter("source_id < doc_id").select("doc_id", "place", "seed")
+    ids = C.stage(told.select(F.xxhash64("doc_id").alias("h")).distinct(), "told")
+    words = C.filter_words(ids.count())
+    bloom = C.stage(C.bloom_of(ids, "h", words), "bloom")
+    own = C.probe(seeds.select("doc_id", "place", "seed"), F.xxhash64("doc_id"), bloom, words, "maybe").filter("maybe").drop("maybe")
+    both = own.withColumn("earlier", F.lit(False)).unionByName(told.withColumn("earlier", F.lit(True)))
+    mine = both.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "earlier", "seed"))).alias("seeds"))
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     sizes = texts.select("doc_id", (F.length("words") / 4).cast("int").alias("n"))
     rows = mine.join(sizes, "doc_id").join(spans, "doc_id", "left")
@@ -323,6 +327,8 @@ def _open_windows(seeds: DataFrame, known: DataFrame, texts: DataFrame, found: D
                 seeds_, spans_ = part.column("seeds")[0].values, part.column("spans")[0].values
                 places, hashes = seeds_.field("place").to_numpy().astype(np.int64), seeds_.field("seed").to_numpy().view(np.uint64)
                 earlier = seeds_.field("earlier").to_numpy(zero_copy_only=False)
+                last = np.r_[places[1:] != places[:-1], True][: len(places)]  # of a place's two rows that which says it is an earlier one
+                places, hashes, earlier = places[last], hashes[last], earlier[last]
                 covered = [] if spans_ is None else list(zip(spans_.field("start_word").to_pylist(), spans_.field("end_word").to_pylist(), strict=True))
                 start, place = open_windows(part.column("n")[0].as_py(), least, places, hashes, earlier, covered)
                 seed = hashes[np.searchsorted(places, place)].view(np.int64)
@@ -396,6 +402,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     bloom = C.stage(C.bloom_of(shared.select("seed"), "seed", words), "bloom")
     maybe = C.stage(C.probe(seeds, F.col("seed"), bloom, words, "maybe").filter("maybe").drop("maybe"), "maybe")
     known = C.stage(C.lookup(maybe, shared, "seed", "n", maybe.count()).drop("n"), "known")
+    for table in (keyed, maybe, shared):
+        C.unstage(table)
     uses = known.filter("doc_id <> source_id").groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     pairs = uses.filter(F.size("places") >= ANCHORS)
     pairs = C.stage(pairs, "pairs")
