@@ -58,16 +58,51 @@ def g01_intervals(rows: DataFrame, projects: DataFrame, item: str) -> DataFrame:
     return violations(out, "G01", F.col(item), F.col("end_ms"), F.col("duration_ms"), "interval: not 0 <= start < end <= duration")
 
 
-def g02_fields(cuts: DataFrame) -> DataFrame:
-    """Patterns, enumerations and bounds of cuts; every broken constraint is named in the message."""
-    checks = {
-        "cut_id: pattern": F.col("cut_id").rlike(r"^c\d{4}$"),
-        "status: one of approved, proposed, rejected": F.col("status").isin("approved", "proposed", "rejected"),
-        "confidence: between 0 and 1": F.col("confidence").isNull() | F.col("confidence").between(0, 1),
-        "reason: not empty": F.length("reason") > 0,
-    }
+def _rules(table: str) -> tuple[Column, dict[str, Column]]:
+    """What a row of a table is called, and its fields' patterns, enumerations and bounds; null where a field may be absent passes."""
+    c, least = F.col, lambda name, low, strict=False: c(name) > low if strict else c(name) >= low
+    pattern = lambda name, p: c(name).rlike(p)
+    if table == "cuts":
+        return c("cut_id"), {
+            "cut_id: pattern": pattern("cut_id", r"^c\d{4}$"), "status: one of approved, proposed, rejected": c("status").isin("approved", "proposed", "rejected"),
+            "confidence: between 0 and 1": c("confidence").isNull() | c("confidence").between(0, 1), "reason: not empty": F.length("reason") > 0,
+        }
+    if table == "segments":
+        return c("segment_id"), {"segment_id: pattern": pattern("segment_id", r"^s\d{4}$"), "start: not negative": least("start_ms", 0), "text: missing": c("text").isNotNull()}
+    if table == "telops":
+        return c("idx"), {
+            "segment_id: pattern": c("segment_id").isNull() | pattern("segment_id", r"^s\d{4}$"), "text: missing": c("text").isNotNull(),
+            "start: not negative": c("start_ms").isNull() | least("start_ms", 0), "duration: positive": c("duration_ms").isNull() | least("duration_ms", 0, True),
+        }
+    if table == "styles":
+        field = lambda k: F.try_element_at("fields", F.lit(k))
+        number = lambda k, ok: field(k).isNull() | F.coalesce(ok(F.expr(f"try_cast(fields['{k}'] as double)")), F.lit(False))
+        colours = ("primary_colour", "secondary_colour", "outline_colour", "back_colour")
+        return c("preset"), {
+            "preset: comma or line break": pattern("preset", r"^[^,\r\n]+$"), "fontsize: positive": number("fontsize", lambda x: x > 0), "alignment: between 1 and 9": number("alignment", lambda x: x.between(1, 9)),
+            **{f"{k}: colour": field(k).isNull() | field(k).rlike(r"^&[Hh](?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$") for k in colours},
+            **{f"{k}: not negative": number(k, lambda x: x >= 0) for k in ("outline", "shadow", "spacing", "margin_l", "margin_r", "margin_v")},
+        }
+    if table == "projects":
+        return c(PID), {
+            "sha256: pattern": pattern("sha256", "^[0-9a-f]{64}$"), "duration: not negative": least("duration_ms", 0), "fps: pattern": pattern("video.fps", r"^\d+/\d+$"),
+            **{f"{k}: positive": least(k, 0, True) for k in ("video.width", "video.height", "audio.sample_rate", "audio.channels")},
+        }
+    if table == "profiles":
+        return c(PID), {
+            "audio.highpass_hz: not negative": least("audio.highpass_hz", 0), "asr.backend: unknown": c("asr.backend").isin("whisper.cpp", "mlx-whisper"), "asr.vad: unknown": c("asr.vad") == "silero-v5",
+            **{f"{k}: not negative": least(k, 0) for k in ("silence.min_duration", "silence.pad_pre", "silence.pad_post", "silence.min_cut_duration", "filler.require_adjacent_silence", "render.boundary_fade", "subtitle.min_display")},
+            "render.crf: between 0 and 51": c("render.crf").between(0, 51), "render.verify_asr_mode: unknown": c("render.verify_asr_mode").isin("advisory", "gate"),
+            **{f"{k}: positive": least(k, 0, True) for k in ("subtitle.max_chars_per_line", "subtitle.max_lines", "subtitle.max_cps")},
+        }
+    raise ValueError(table)
+
+
+def g02_fields(rows: DataFrame, table: str = "cuts") -> DataFrame:
+    """Patterns, enumerations and bounds of cuts, segments, telops, styles, projects or profiles; every broken constraint is named in the message."""
+    item, checks = _rules(table)
     said = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])), "; ")
-    return violations(cuts.withColumn("__said", said).filter("__said <> ''"), "G02", F.col("cut_id"), F.lit(None), None, F.col("__said"))
+    return violations(rows.withColumn("__said", said).filter("__said <> ''"), "G02", item, F.lit(None), None, F.col("__said"))
 
 
 def g03_unique(df: DataFrame, item: str) -> DataFrame:
@@ -177,7 +212,8 @@ def g25_comparable(texts: DataFrame) -> DataFrame:
 def g26_artifacts(projects: DataFrame, segments: DataFrame, regions: DataFrame, cuts: DataFrame, telops: DataFrame) -> DataFrame:
     """Every schema gate of a project's tables at once, before any stage runs."""
     gates = [
-        g01_intervals(segments, projects, "segment_id"), g01_intervals(cuts, projects, "cut_id"), g02_fields(cuts), g03_unique(segments, "segment_id"),
+        g01_intervals(segments, projects, "segment_id"), g01_intervals(cuts, projects, "cut_id"), g02_fields(cuts), g02_fields(segments, "segments"),
+        g02_fields(telops, "telops"), g03_unique(segments, "segment_id"),
         g03_unique(cuts, "cut_id"), g04_approved_overlap(cuts), g05_regions(regions), g13_telop_fields(telops, projects),
     ]
     return reduce(lambda a, b: a.unionByName(b), gates)

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from fleetcut.functions.text import json_leaves
 from fleetcut.functions.time import round_half_even
 from fleetcut.operators.intervals import PID
+from fleetcut.operators.timeline import digest_length
+from fleetcut.operators.verify import cer
 
+LOUDNESS_TOLERANCE = 0.5
+LEVELS = "project_id string, source_lufs double, processed_lufs double, rendered_lufs double, processed_floor_db double, target_lufs double"
+ARTIFACTS = "project_id string, artifacts struct<boundaries_png:bigint,boundary_digest:string,boundary_digest_sec:double,boundary_digest_expected_sec:double>"
 REASONS, STATUSES = ("silence", "filler", "manual"), ("approved", "proposed", "rejected")
 # Fixed values of the data model: the stages whose output a stage consumes, and the profile sections that change a stage's output.
 UPSTREAM = {
@@ -59,12 +64,14 @@ def output_floor(lufs: Column, floor_db: Column) -> Column:
     return round_half_even(lufs - floor_db, 2)
 
 
-def transcribe_summary(regions: DataFrame, segments: DataFrame, projects: DataFrame) -> DataFrame:
+def transcribe_summary(regions: DataFrame, segments: DataFrame, projects: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per project: regions, segments, speech and the recogniser's time over the audio's (runs: project_id, elapsed_s; null without one)."""
     r = regions.groupBy(PID).agg(F.count(F.lit(1)).alias("regions"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
     s = segments.groupBy(PID).agg(F.count(F.lit(1)).alias("segments"))
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    out = projects.join(r, PID, "left").join(s, PID, "left")
-    return out.select(PID, z("regions").alias("regions"), z("segments").alias("segments"), F.round(z("ms") / 1000.0, 3).alias("speech_sec"), F.round(F.try_divide(z("ms"), F.col("duration_ms")), 4).alias("speech_ratio"))
+    out = projects.join(r, PID, "left").join(s, PID, "left").join(runs.select(PID, "elapsed_s"), PID, "left")
+    factor = round_half_even(F.try_divide(F.col("elapsed_s"), F.col("duration_ms") / 1000.0), 3).alias("realtime_factor")
+    return out.select(PID, z("regions").alias("regions"), z("segments").alias("segments"), F.round(z("ms") / 1000.0, 3).alias("speech_sec"), F.round(F.try_divide(z("ms"), F.col("duration_ms")), 4).alias("speech_ratio"), factor)
 
 
 def render_summary(renders: DataFrame, cuts: DataFrame, warnings: DataFrame) -> DataFrame:
@@ -74,14 +81,41 @@ def render_summary(renders: DataFrame, cuts: DataFrame, warnings: DataFrame) ->
     return out.select(PID, F.coalesce("cuts_applied", F.lit(0)).cast("bigint").alias("cuts_applied"), "duration_s", delta.alias("delta_ms"), "lufs", F.coalesce("warnings", F.lit(0)).cast("bigint").alias("warnings"))
 
 
-def project_report(projects: DataFrame, renders: DataFrame, cuts: DataFrame, noise: DataFrame, subtitles: DataFrame) -> DataFrame:
-    """One row of sections per project; a missing input gives a null section and never a failure."""
+def loudness_section(levels: DataFrame) -> DataFrame:
+    """levels (project_id, source_lufs, processed_lufs, rendered_lufs, processed_floor_db, target_lufs): the integrated loudness at three
+    points beside the target, and the floor of the processed audio, absolute and under the programme; null where a level is missing."""
+    lufs = F.struct(
+        *[round_half_even(F.col(f"{k}_lufs"), 2).alias(k) for k in ("source", "processed", "rendered")], F.col("target_lufs").alias("target"), F.lit(LOUDNESS_TOLERANCE).alias("tolerance"),
+    )
+    floor = F.struct(round_half_even(F.col("processed_floor_db"), 2).alias("rms_db"), output_floor(F.col("processed_lufs"), F.col("processed_floor_db")).alias("below_programme_db"))
+    return levels.select(PID, lufs.alias("loudness"), F.when(F.col("processed_floor_db").isNotNull() & F.col("processed_lufs").isNotNull(), floor).alias("output_floor"))
+
+
+def artifact_section(stills: DataFrame, digests: DataFrame, windows: DataFrame) -> DataFrame:
+    """Boundary stills (project_id, path) counted, the digest (project_id, path, length_ms) and the length that its windows make."""
+    n = stills.groupBy(PID).agg(F.count(F.lit(1)).alias("boundaries_png"))
+    out = n.join(digests.select(PID, F.col("path").alias("boundary_digest"), (F.col("length_ms") / 1000.0).alias("boundary_digest_sec")), PID, "full")
+    out = out.join(digest_length(windows).select(PID, (F.col("digest_ms") / 1000.0).alias("boundary_digest_expected_sec")), PID, "full")
+    cols = ("boundary_digest", "boundary_digest_sec", "boundary_digest_expected_sec")
+    return out.select(PID, F.struct(F.coalesce("boundaries_png", F.lit(0)).alias("boundaries_png"), *cols).alias("artifacts"))
+
+
+def project_report(
+    projects: DataFrame, renders: DataFrame, cuts: DataFrame, noise: DataFrame, subtitles: DataFrame, levels: DataFrame | None = None, artifacts: DataFrame | None = None,
+) -> DataFrame:
+    """One row of sections per project; a missing input gives a null section and never a failure.
+
+    levels: see loudness_section; artifacts: what artifact_section gives.
+    """
     r = renders.select(PID, F.struct("duration_s", "lufs").alias("render"))
     by = cuts_by_reason(cuts, projects).groupBy(PID).agg(F.array_sort(F.collect_list(F.struct("reason", "n", "sec", *STATUSES))).alias("cuts"))
     floor = floor_section(noise).select(PID, F.struct("delta_db", "improved").alias("noise_floor"))
     subs = subtitles.select(PID, F.struct(*[c for c in subtitles.columns if c != PID]).alias("subtitles"))
     out = projects.select(PID, "duration_ms")
-    for section in (r, by, floor, subs):
+    levels = projects.sparkSession.createDataFrame([], LEVELS) if levels is None else levels
+    artifacts = projects.sparkSession.createDataFrame([], ARTIFACTS) if artifacts is None else artifacts
+    empty = lambda df: df.withColumn(PID, F.col(PID).cast(projects.schema[PID].dataType))
+    for section in (r, by, floor, subs, empty(loudness_section(levels)), empty(artifacts)):
         out = out.join(section, PID, "left")
     seconds = F.col("duration_ms") / 1000.0
     return out.withColumn("duration", F.struct(seconds.alias("source_sec"), F.col("render.duration_s").alias("rendered_sec"), reduction(seconds, F.col("render.duration_s")).alias("reduction"))).drop("duration_ms")
@@ -168,6 +202,17 @@ def archive_labels(requests: DataFrame, used: DataFrame) -> DataFrame:
 # Benchmarks of recognisers
 
 
+def measure_runs(runs: DataFrame, segments: DataFrame, references: DataFrame, silences: DataFrame) -> DataFrame:
+    """Runs (candidate, run, project_id, wall_seconds, duration_s, peak_rss_bytes, unavailable) with the error rate of their segments' text (candidate,
+    run, project_id, ord, start_ms, end_ms, text) against the reference (project_id, reference), and the segments started in a silence."""
+    keys = ["candidate", "run", PID]
+    said = transcript_text(segments, *keys).withColumnRenamed("text", "hypothesis").join(references, PID)
+    rate = cer(said).select(*keys, "cer")
+    inside = segments.join(silences.select(F.col(PID).alias("q_pid"), F.col("start_ms").alias("q0"), F.col("end_ms").alias("q1")), (F.col(PID) == F.col("q_pid")) & (F.col("start_ms") >= F.col("q0")) & (F.col("start_ms") < F.col("q1")), "left_semi")
+    n = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("hallucinations"))
+    return runs.join(rate, keys, "left").join(n, keys, "left").withColumn("hallucinations", F.when(F.col("cer").isNotNull(), F.coalesce("hallucinations", F.lit(0).cast("bigint"))))
+
+
 def bench_rows(runs: DataFrame) -> DataFrame:
     """Each candidate's last run (candidate, run, cer, wall_seconds, duration_s, hallucinations, peak_rss_bytes, unavailable)."""
     last = F.max_by(F.struct("cer", "wall_seconds", "duration_s", "hallucinations", "peak_rss_bytes", "unavailable"), "run").alias("r")

@@ -30,9 +30,10 @@ def a03_approved_seconds(f: Fleet) -> DataFrame:
     return R.approved_seconds(f.cuts)
 
 
-@query("SELECT p.project_id, coalesce(r.n, 0) AS regions, coalesce(s.n, 0) AS segments, round(coalesce(r.ms, 0) / 1000.0, 3) AS speech_sec, round(coalesce(r.ms, 0) / CAST(p.duration_ms AS DOUBLE), 4) AS speech_ratio FROM projects p LEFT JOIN (SELECT project_id, count(*) AS n, sum(end_ms - start_ms) AS ms FROM speech_regions GROUP BY project_id) r ON r.project_id = p.project_id LEFT JOIN (SELECT project_id, count(*) AS n FROM segments GROUP BY project_id) s ON s.project_id = p.project_id")
+@query("SELECT p.project_id, coalesce(r.n, 0) AS regions, coalesce(s.n, 0) AS segments, round(coalesce(r.ms, 0) / 1000.0, 3) AS speech_sec, round(coalesce(r.ms, 0) / CAST(p.duration_ms AS DOUBLE), 4) AS speech_ratio, (10 + p.project_id % 30) / 100.0 AS realtime_factor FROM projects p LEFT JOIN (SELECT project_id, count(*) AS n, sum(end_ms - start_ms) AS ms FROM speech_regions GROUP BY project_id) r ON r.project_id = p.project_id LEFT JOIN (SELECT project_id, count(*) AS n FROM segments GROUP BY project_id) s ON s.project_id = p.project_id")
 def a07_transcribe_summary(f: Fleet) -> DataFrame:
-    return R.transcribe_summary(f.regions, f.segments, f.projects)
+    runs = f.projects.select("project_id", (F.col("duration_ms") / 100000.0 * (10 + F.col("project_id") % 30)).alias("elapsed_s"))
+    return R.transcribe_summary(f.regions, f.segments, f.projects, runs)
 
 
 @query("SELECT project_id, segment_id, count(*) AS n FROM patches GROUP BY project_id, segment_id HAVING count(*) > 1")

@@ -21,9 +21,27 @@ def project_of(path: Column) -> Column:
     return F.element_at(parts, -2)
 
 
-def read_json(spark: SparkSession, glob: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document with its project; a document that is broken or lacks a required field is an error."""
+def unknown_keys(found: T.DataType, known: T.DataType, path: str = "") -> list[str]:
+    """Paths of keys in documents of type `found` that `known` has no place for; a map takes any key."""
+    if isinstance(known, T.MapType) and isinstance(found, T.StructType):
+        return [x for f in found for x in unknown_keys(f.dataType, known.valueType, f"{path}{f.name}.")]
+    if isinstance(known, T.ArrayType) and isinstance(found, T.ArrayType):
+        return unknown_keys(found.elementType, known.elementType, path)
+    if isinstance(known, T.StructType) and isinstance(found, T.StructType):
+        names = set(known.fieldNames())
+        return [f"{path}{f.name}" for f in found if f.name not in names] + [x for f in found if f.name in names for x in unknown_keys(f.dataType, known[f.name].dataType, f"{path}{f.name}.")]
+    return []
+
+
+def read_json(spark: SparkSession, glob: str, schema: str, required: tuple[str, ...] = (), also: str = "version string", strict: bool = True) -> DataFrame:
+    """One row per document with its project; a document that is broken, lacks a required field or has a key that neither the schema nor
+    `also` (keys that are allowed but not read) knows is an error. The keys are those that Spark infers over all documents."""
     fields = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
+    if strict:
+        found = spark.read.option("multiLine", True).json(glob).schema
+        known = T.StructType([*fields, *[f for f in T.StructType.fromDDL(also) if f.name not in fields.fieldNames()]])
+        if strange := unknown_keys(found, known):
+            raise SourceError(f"unknown keys in {glob}: {', '.join(sorted(strange)[:20])}")
     df = spark.read.schema(fields).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
     df = df.select(project_of(F.col("_metadata.file_path")).alias(PID), "*")
     bad = F.col("_corrupt_record").isNotNull()
@@ -35,19 +53,27 @@ def read_json(spark: SparkSession, glob: str, schema: str, required: tuple[str,
     return df.withColumns(checked).drop("_corrupt_record")
 
 
-_STAGE = "struct<done_at:timestamp,params_sha256:string,tool_versions:map<string,string>>"
-MANIFEST = f"source struct<path:string,sha256:string,duration:double,video:struct<codec:string,width:int,height:int,fps:string>,audio:struct<codec:string,sample_rate:int,channels:int>>, created_at timestamp, stages map<string,{_STAGE}>"
+def instant(text: Column) -> Column:
+    """A moment from text that names its offset from UTC; without one it is an error."""
+    fail = F.raise_error(F.concat(F.lit("no offset in the time "), text)).cast("timestamp")
+    return F.when(text.isNull() | text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.to_timestamp(text)).otherwise(fail)
+
+
+_STAGE = "struct<done_at:string,params_sha256:string,tool_versions:map<string,string>>"
+MANIFEST = f"source struct<path:string,sha256:string,duration:double,video:struct<codec:string,width:int,height:int,fps:string>,audio:struct<codec:string,sample_rate:int,channels:int>>, created_at string, stages map<string,{_STAGE}>"
 
 
 def read_projects(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """(projects, stage_records) of manifests."""
     m = read_json(spark, glob, MANIFEST, ("source",))
-    projects = m.select(PID, "source.path", "source.sha256", to_ms(F.col("source.duration")).alias("duration_ms"), "source.video", "source.audio", "created_at")
-    return projects, m.select(PID, F.explode("stages").alias("stage", "r")).select(PID, "stage", "r.*")
+    projects = m.select(PID, "source.path", "source.sha256", to_ms(F.col("source.duration")).alias("duration_ms"), "source.video", "source.audio", instant(F.col("created_at")).alias("created_at"))
+    return projects, m.select(PID, F.explode("stages").alias("stage", "r")).select(PID, "stage", instant(F.col("r.done_at")).alias("done_at"), "r.params_sha256", "r.tool_versions")
 
 
 #: Leaves of a profile that the operators read, with their packaged defaults.
 PROFILE = {
+    "audio": {"denoise": ("string", "deepfilternet"), "highpass_hz": ("int", 80), "loudnorm": {"i": ("double", -14.0), "tp": ("double", -1.0), "lra": ("double", 11.0)}},
+    "asr": {"backend": ("string", "whisper.cpp"), "model": ("string", "large-v3-turbo"), "language": ("string", "ja"), "vad": ("string", "silero-v5")},
     "silence": {"threshold": ("string", "4%"), "min_duration": ("double", 0.6), "pad_pre": ("double", 0.3), "pad_post": ("double", 0.3), "min_cut_duration": ("double", 0.4)},
     "filler": {"enable_weak": ("boolean", False), "require_adjacent_silence": ("double", 0.2)},
     "render": {"crf": ("int", 18), "preset": ("string", "slow"), "boundary_fade": ("double", 0.01), "verify_asr_mode": ("string", "gate")},
@@ -57,10 +83,15 @@ PROFILE = {
 
 def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
     """Profiles with the default in place of every absent field."""
-    ddl = ", ".join(f"{s} struct<{','.join(f'{k}:{t}' for k, (t, _) in leaves.items())}>" for s, leaves in PROFILE.items())
-    df = read_json(spark, glob, ddl)
-    full = [F.struct(*[F.coalesce(F.col(f"{s}.{k}"), F.lit(d).cast(t)).alias(k) for k, (t, d) in leaves.items()]).alias(s) for s, leaves in PROFILE.items()]
-    return df.select(PID, *full)
+    kind = lambda x: f"struct<{','.join(f'{k}:{kind(v)}' for k, v in x.items())}>" if isinstance(x, dict) else x[0]
+
+    def full(x, path: str) -> Column:
+        if isinstance(x, dict):
+            return F.struct(*[full(v, f"{path}.{k}").alias(k) for k, v in x.items()])
+        return F.coalesce(F.col(path), F.lit(x[1]).cast(x[0]))
+
+    df = read_json(spark, glob, ", ".join(f"{s} {kind(x)}" for s, x in PROFILE.items()))
+    return df.select(PID, *[full(x, s).alias(s) for s, x in PROFILE.items()])
 
 
 def _listed(df: DataFrame, column: str, out: str = "ord") -> DataFrame:
@@ -74,14 +105,14 @@ def _ms(df: DataFrame, *names: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, glob: str) -> DataFrame:
-    """Segments in the document's order."""
+    """Segments in the document's order; words are the recogniser's, where it gave them."""
     edits = "array<struct<at:timestamp,tool:string,before:string>>"
-    df = read_json(spark, glob, f"segments array<struct<id:string,start:double,end:double,text:string,source:string,edits:{edits}>>", ("segments",))
+    df = read_json(spark, glob, f"segments array<struct<id:string,start:double,end:double,text:string,source:string,edits:{edits},words:array<struct<start:double,end:double,text:string>>>>", ("segments",), "version string, audio_source string, asr struct<backend:string,model:string,vad:string>")
     return _ms(_listed(df, "segments"), "start", "end").withColumnRenamed("id", "segment_id")
 
 
 def read_regions(spark: SparkSession, glob: str) -> DataFrame:
-    return _ms(_listed(read_json(spark, glob, "segments array<struct<start:double,end:double>>", ("segments",)), "segments"), "start", "end")
+    return _ms(_listed(read_json(spark, glob, "segments array<struct<start:double,end:double>>", ("segments",), "version string, backend string"), "segments"), "start", "end")
 
 
 def read_cuts(spark: SparkSession, glob: str, projects: DataFrame | None = None) -> DataFrame:
@@ -102,14 +133,16 @@ def read_styles(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_noise_floor(spark: SparkSession, glob: str) -> DataFrame:
-    df = read_json(spark, glob, "silence_sec double, before struct<rms_db:double>, after struct<rms_db:double>")
-    return df.select(PID, to_ms(F.col("silence_sec")).alias("silence_ms"), F.col("before.rms_db").alias("before_rms_db"), F.col("after.rms_db").alias("after_rms_db"))
+    """Levels before and after, as before_rms_db and after_rms_db or as rms_db of an object each."""
+    df = read_json(spark, glob, "silence_sec double, before_rms_db double, after_rms_db double, before struct<rms_db:double>, after struct<rms_db:double>")
+    level = lambda side: F.coalesce(f"{side}_rms_db", f"{side}.rms_db").alias(f"{side}_rms_db")
+    return df.select(PID, to_ms(F.col("silence_sec")).alias("silence_ms"), level("before"), level("after"))
 
 
 def read_raw_segments(spark: SparkSession, glob: str) -> DataFrame:
     """Recogniser output in either of two shapes: transcription[].offsets in ms, or segments[] in seconds."""
     ddl = "transcription array<struct<offsets:struct<from:bigint,to:bigint>,text:string>>, segments array<struct<start:double,end:double,text:string>>"
-    df = read_json(spark, glob, ddl)
+    df = read_json(spark, glob, ddl, strict=False)
     a = F.transform("transcription", lambda x: F.struct((x["offsets"]["from"] / 1000.0).alias("start_s"), (x["offsets"]["to"] / 1000.0).alias("end_s"), x["text"].alias("text")))
     b = F.transform("segments", lambda x: F.struct(x["start"].alias("start_s"), x["end"].alias("end_s"), x["text"].alias("text")))
     rows = F.coalesce(a, b)
@@ -120,7 +153,7 @@ def read_raw_segments(spark: SparkSession, glob: str) -> DataFrame:
 def read_edl(spark: SparkSession, glob: str) -> DataFrame:
     """Clips of version 3 edit lists: (track, ord, src, start, dur, offset, timebase)."""
     clip = "struct<name:string,src:string,start:bigint,dur:bigint,offset:bigint>"
-    df = read_json(spark, glob, f"version string, timebase string, v array<array<{clip}>>", ("timebase", "v"))
+    df = read_json(spark, glob, f"version string, timebase string, v array<array<{clip}>>", ("timebase", "v"), "version string, source string, background string, a array<array<string>>", strict=False)
     fail = F.raise_error(F.concat(F.lit("edit list is not of version 3 in project "), F.col(PID))).cast("string")
     df = df.withColumn("timebase", F.when(F.col("version") != "3", fail).otherwise(F.col("timebase")))
     tracks = df.select(PID, "timebase", F.posexplode("v").alias("track", "clips"))

@@ -73,7 +73,7 @@ def test_broken_documents_fail(spark, tmp_path):
     (tmp_path / "a" / "asr.json").write_text('{"other": 1}')
     (tmp_path / "a" / "edl.json").write_text('{"version": "1", "timebase": "30/1", "v": [[{"src": "a", "start": 0, "dur": 3, "offset": 6}]]}')
     for read, name in ((S.read_regions, "vad.json"), (S.read_raw_segments, "asr.json"), (S.read_projects, "asr.json")):
-        with pytest.raises(Exception, match="shape in project a"):
+        with pytest.raises(Exception, match="shape in project a|unknown keys in .*asr.json: other"):
             out = read(spark, glob(tmp_path, name))
             (out[0] if isinstance(out, tuple) else out).collect()
     with pytest.raises(Exception, match="version 3"):
@@ -98,6 +98,39 @@ def test_logs(spark):
         S.loudness_reports(log((1, '{"input_i":"-9"}'))).collect()
 
 
+def test_strange_documents_are_refused(spark, tmp_path):
+    def put(name, doc):
+        (tmp_path / "p1").mkdir(exist_ok=True)
+        (tmp_path / "p1" / name).write_text(json.dumps(doc), encoding="utf-8")
+        return f"{tmp_path}/*/{name}"
+
+    cut = {"id": "c0001", "start": 0, "end": 1, "reason": "manual"}
+    with pytest.raises(S.SourceError, match="cuts.stat"):
+        S.read_cuts(spark, put("cuts.json", {"version": "1", "cuts": [{**cut, "stat": "approved"}]}))
+    with pytest.raises(S.SourceError, match="silence.mindur"):
+        S.read_profiles(spark, put("profile.json", {"silence": {"mindur": 1}}))
+    with pytest.raises(S.SourceError, match="styles.json: preset$"):
+        S.read_styles(spark, put("styles.json", {"presets": {"a": {}}, "preset": 1}))
+    source = {"path": "m", "sha256": "a" * 64, "duration": 1.0, "video": {"codec": "h", "width": 1, "height": 0, "fps": "25"}, "audio": {"codec": "a", "sample_rate": 1, "channels": 1}}
+    naive, _ = S.read_projects(spark, put("manifest.json", {"version": "1", "created_at": "2024-01-01T00:00:00", "source": source}))
+    with pytest.raises(Exception, match="no offset"):
+        naive.collect()
+    good, stages = S.read_projects(spark, put("manifest.json", {"version": "1", "created_at": "2024-01-01T00:00:00+09:00", "source": source, "stages": {}}))
+    assert good.selectExpr("unix_seconds(created_at)").first()[0] == 1704034800
+    assert [r.message for r in G.g02_fields(good, "projects").collect()] == ["fps: pattern; video.height: positive"]
+    profile = S.read_profiles(spark, put("profile.json", {"version": "1", "audio": {"loudnorm": {"i": -16}}, "render": {"crf": 60}}))
+    r = profile.first()
+    assert (r.audio.loudnorm.i, r.audio.loudnorm.tp, r.audio.denoise, r.asr.vad) == (-16.0, -1.0, "deepfilternet", "silero-v5")
+    assert [r.message for r in G.g02_fields(profile, "profiles").collect()] == ["render.crf: between 0 and 51"]
+    words = put("transcript.json", {"version": "1", "audio_source": "x", "asr": {"backend": "b", "model": "m", "vad": "v"}, "segments": [{"id": "s1", "start": 0, "end": 1, "text": "t", "words": [{"start": 0, "end": 1, "text": "t"}]}]})
+    segments = S.read_transcripts(spark, words)
+    assert segments.first().words[0].text == "t" and [r.message for r in G.g02_fields(segments, "segments").collect()] == ["segment_id: pattern"]
+    styles = spark.createDataFrame([("p", "a,b", {"fontsize": "0", "primary_colour": "red"}), ("p", "ok", {"alignment": "9"})], "project_id string, preset string, fields map<string,string>")
+    assert [r.message for r in G.g02_fields(styles, "styles").collect()] == ["preset: comma or line break; fontsize: positive; primary_colour: colour"]
+    telops = spark.createDataFrame([("p", 0, "t", "s1", None, 0)], "project_id string, idx int, text string, segment_id string, start_ms long, duration_ms long")
+    assert [r.message for r in G.g02_fields(telops, "telops").collect()] == ["segment_id: pattern; duration: positive"]
+
+
 def test_publish_is_all_or_nothing(spark, tmp_path):
     cuts = "project_id long, cut_id string, start_ms long, end_ms long, status string"
     good = spark.createDataFrame([(1, "c0001", 0, 10, "approved")], cuts)

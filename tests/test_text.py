@@ -256,3 +256,29 @@ def test_edit_scripts_equal_the_table():
         assert sum(X.edit_script(a, b)) == sum(table(a, b)) and X.edit_script(a, b) == table(a, b), (a, b)
     long = "".join(random.choice("abcdefgh") for _ in range(6000))
     assert X.edit_script(long, long[:3000] + "zz" + long[3000:]) == (0, 0, 2)
+
+
+def test_report_sections(spark):
+    projects = spark.createDataFrame([(1, 10_000), (2, 20_000)], "project_id long, duration_ms long")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    cuts = none("project_id long, cut_id string, start_ms long, end_ms long, reason string, status string")
+    renders, noise, subs = none("project_id long, duration_s double, lufs double"), none("project_id long, before_rms_db double, after_rms_db double"), none("project_id long, entries long")
+    levels = spark.createDataFrame([(1, -22.241, -14.044, None, -69.571, -14.0)], R.LEVELS.replace("project_id string", "project_id long"))
+    windows = spark.createDataFrame([(1, "c0001", 0, 4000), (1, "c0002", 6000, 9000)], "project_id long, cut_id string, start_ms long, end_ms long")
+    artifacts = R.artifact_section(spark.createDataFrame([(1, "a.png"), (1, "b.png")], "project_id long, path string"), spark.createDataFrame([(1, "d.mp4", 8040)], "project_id long, path string, length_ms long"), windows)
+    rows = {r.project_id: r for r in R.project_report(projects, renders, cuts, noise, subs, levels, artifacts).collect()}
+    assert tuple(rows[1].loudness) == (-22.24, -14.04, None, -14.0, 0.5) and tuple(rows[1].output_floor) == (-69.57, 55.53)
+    assert tuple(rows[1].artifacts) == (2, "d.mp4", 8.04, 8.0) and rows[2].loudness is None and rows[2].artifacts is None
+    bare = R.project_report(projects, renders, cuts, noise, subs)
+    assert all(r.loudness is None and r.artifacts is None and r.render is None for r in bare.collect())
+    doc = R.statistics_documents(bare, "2025-01-01T00:00:00Z").first().document
+    assert '"loudness":null' in doc and '"artifacts":null' in doc
+
+
+def test_benchmark_rows_come_from_texts_and_silences(spark):
+    runs = spark.createDataFrame([("a", 1, 7, 50.0, 100.0, 9, False), ("a", 2, 7, 20.0, 100.0, 9, False), ("b", 1, 7, 1.0, 100.0, 9, True)], "candidate string, run int, project_id long, wall_seconds double, duration_s double, peak_rss_bytes long, unavailable boolean")
+    segments = spark.createDataFrame([("a", 2, 7, 1, 5000, 6000, "def"), ("a", 2, 7, 0, 0, 1000, "ABX "), ("a", 1, 7, 0, 0, 1000, "abcdef")], "candidate string, run int, project_id long, ord int, start_ms long, end_ms long, text string")
+    references = spark.createDataFrame([(7, "abc def.")], "project_id long, reference string")
+    silences = spark.createDataFrame([(7, 4900, 5500)], "project_id long, start_ms long, end_ms long")
+    got = {r.candidate: r for r in R.bench_rows(R.measure_runs(runs, segments, references, silences)).collect()}
+    assert (round(got["a"].cer, 6), got["a"].hallucinations, got["a"].rtf, got["b"].cer, got["b"].hallucinations) == (round(1 / 6, 6), 1, 0.2, None, None)
