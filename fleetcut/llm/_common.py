@@ -51,14 +51,18 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Remove all that this application has staged but for the tables to keep. Call it when no other result of an operator will be read."""
-    kept = {os.path.basename(df._fleetcut_path) for df in keep}
+def staged(spark: SparkSession) -> set[str]:
+    """The names of the tables that this application has staged."""
     p = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    for x in fs.listStatus(p) if fs.exists(p) else []:
-        if x.getPath().getName() not in kept:
-            fs.delete(x.getPath(), True)
+    return {x.getPath().getName() for x in fs.listStatus(p)} if fs.exists(p) else set()
+
+
+def sweep(spark: SparkSession, *keep: DataFrame, before: set[str] = frozenset()) -> None:
+    """Remove what this application has staged but for the tables to keep and those that were there before (names that staged() gave).
+    Call it when no other result of an operator that ran since will be read."""
+    for name in staged(spark) - before - {os.path.basename(df._fleetcut_path) for df in keep}:
+        _remove(spark, f"{_session_dir(spark)}/{name}")
 
 
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
