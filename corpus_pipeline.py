@@ -69,10 +69,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over all that the stage before it kept, each result staged as Parquet in the shared folder; what a stage has staged for
     itself goes when its result is there, so a session holds one run of this function's tables at a time."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), C.staged(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = C.stage(docs, name)
-            C.sweep(spark, docs)
+            C.sweep(spark, docs, before=before)
     return docs
