@@ -101,6 +101,14 @@ def trim() -> None:
         pass  # another C library
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that no table refers to any more; else they stay until the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "_fleetcut_path", None)

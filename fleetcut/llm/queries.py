@@ -18,6 +18,7 @@ from fleetcut.llm.passages import repeated_passages
 from fleetcut.llm.quality import quality_filter
 from fleetcut.llm.secrets import scan_secrets
 from fleetcut.llm.sharding import assign_shards, grid, grown
+from fleetcut.llm.suffixes import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,9 +74,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def queries() -> dict[str, Query]:
     ops = (
         op1_exact_dedup, op2_minhash, op3_bpe, op4_secrets, op5_language, op6_quality, op7_packing, op8_html, op9_sharding, op10_substring,
+        op12_suffix_array,
     )
     return {f.__name__: f for f in ops}
 
@@ -89,5 +95,27 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)
+""",
+        "op12_suffix_array": """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (SELECT doc_id, unnest(range((strlen(h) // 2 + 199) // 200)) AS c, h FROM bytes),
+parts AS (SELECT doc_id, c, substr(h, CAST(400 * c + 1 AS BIGINT), 498) AS h FROM chunks),
+places AS (SELECT doc_id, c, h, unnest(range(least(strlen(h) // 2 - 49, 200))) AS o FROM parts),
+windows AS (SELECT doc_id, 200 * c + o AS p, min(doc_id) OVER (PARTITION BY md5_number(substr(h, CAST(2 * o + 1 AS BIGINT), 100))) < doc_id AS gone FROM places),
+marks AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -51) > 50 AS fresh FROM windows WHERE gone),
+runs AS (SELECT doc_id, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marks),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM spans
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id
+),
+texts AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (coalesce(hi, strlen(h) // 2) - lo) AS BIGINT)), '' ORDER BY lo) AS h
+  FROM kept JOIN bytes USING (doc_id) GROUP BY doc_id
+),
+removed AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT b.doc_id, CAST(strlen(b.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t.h, b.h))) AS kept_sha256
+FROM bytes b LEFT JOIN texts t USING (doc_id) LEFT JOIN removed USING (doc_id)
 """,
     }
