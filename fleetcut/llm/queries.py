@@ -16,6 +16,7 @@ from fleetcut.llm.minhash import near_groups
 from fleetcut.llm.packing import pack_documents
 from fleetcut.llm.passages import repeated_passages
 from fleetcut.llm.quality import quality_filter
+from fleetcut.llm.repair import repair_conversations
 from fleetcut.llm.secrets import scan_secrets
 from fleetcut.llm.sharding import assign_shards, grid, grown
 from fleetcut.llm.suffixes import remove_repeats
@@ -74,6 +75,20 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """A twentieth each of the messages is dropped, emptied, loses its sentence ends, stands twice, or is said by the user; nulls are one space."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fate = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    changed = F.when(fate == 1, "").when(fate == 2, F.translate(text["text"], ".!?", "")).otherwise(text["text"])
+    times = F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return conversations.filter(fate != 0).select("conv_id", "turn", F.when(fate == 4, "user").otherwise(text["role"]).alias("role"), changed.alias("text"), times.alias("copy"))
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(rows), ids=rows.select("conv_id"))
+
+
 def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -81,13 +96,101 @@ def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     ops = (
         op1_exact_dedup, op2_minhash, op3_bpe, op4_secrets, op5_language, op6_quality, op7_packing, op8_html, op9_sharding, op10_substring,
-        op12_suffix_array,
+        op11_repair, op12_suffix_array,
     )
     return {f.__name__: f for f in ops}
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit, in DuckDB."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, y: {bit})"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, CAST(i AS BIGINT), 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """Dynamic programming over the messages, the states as texts of cost and audit, of which the least is the cheapest; then the audit is played back."""
+
+    def more(state: str, cost: str, edit: str) -> str:
+        return f"lpad(CAST(CAST(left({state}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{edit}'"
+
+    ins = [  # insertions before a message or at the end, twice, so that both places profit
+        f"q0, q1, least(q2, {more('q0', '2', 'I')}, {more('q1', '2', 'I')}, {more('q3', '2', 'I')}) AS q2, q3",
+        f"q0, q1, q2, least(q3, {more('q2', '2', 'I')}) AS q3",
+        f"q0, q1, least(q2, {more('q3', '2', 'I')}) AS q2, q3",
+    ]
+
+    def step(to: str, sources: list[str], initial: str, own: str) -> str:
+        out = [more(own, "3", "D")]
+        for q in sources:
+            out.append(f"CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = '{initial}' THEN {more(q, 'late', 'K')} END")
+            if initial != "s":
+                out.append(f"CASE WHEN fault NOT IN (1, 2) THEN {more(q, '2 + late', 'R')} END")
+        return f"least({', '.join(out)}) AS {to}"
+
+    moves = ", ".join([f"{more('q0', '3', 'D')} AS q0", step("q1", ["q0"], "s", "q1"), step("q2", ["q0", "q1", "q3"], "u", "q2"), step("q3", ["q2"], "a", "q3")])
+    says = "CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END"
+    return f"""
+WITH RECURSIVE original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+),
+fated AS (SELECT *, {_crc32("name")} % 20 AS fate FROM original),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fated WHERE fate <> 0
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) || left(role, 1) AS pair,
+         right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM numbered
+),
+faults AS (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN nth > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed
+),
+rows AS (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS late, count(*) OVER (PARTITION BY conv_id) AS n FROM faults),
+states AS (
+  SELECT conv_id, max(n) AS n, CAST(0 AS BIGINT) AS i, '000000000' AS q0, CAST(NULL AS VARCHAR) AS q1, CAST(NULL AS VARCHAR) AS q2, CAST(NULL AS VARCHAR) AS q3
+  FROM rows GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n, i + 1, {moves} FROM (
+    SELECT a.conv_id, a.n, a.i, role, fault, late, q0, q1, q2, q3
+    FROM (SELECT conv_id, n, i, {ins[2]} FROM (SELECT conv_id, n, i, {ins[1]} FROM (SELECT conv_id, n, i, {ins[0]} FROM states))) a
+    JOIN rows b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = a.i + 1
+  )
+),
+best AS (
+  SELECT conv_id, least(q0, q3, {more("q2", "2", "I")}, {more("q1", "4", "II")}) AS b FROM states WHERE i = n
+),
+played AS (
+  SELECT conv_id, substr(b, 10) AS audit, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i, 0 AS q, CAST([] AS VARCHAR[]) AS said FROM best
+  UNION ALL
+  SELECT p.conv_id, audit, k + 1, CASE WHEN e = 'I' THEN p.i ELSE p.i + 1 END,
+         CASE WHEN e = 'D' THEN q WHEN e = 'K' THEN CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN q = 2 THEN 3 ELSE 2 END,
+         CASE e WHEN 'D' THEN said WHEN 'I' THEN list_append(said, {says} || ':') WHEN 'K' THEN list_append(said, role || ':' || text)
+         ELSE list_append(said, {says} || ':' || text) END
+  FROM (SELECT *, substr(audit, k + 1, 1) AS e FROM played WHERE k < length(audit)) p
+  LEFT JOIN rows r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = p.i + 1
+),
+texts AS (SELECT conv_id, audit, array_to_string(said, chr(10)) AS repaired FROM played WHERE k = length(audit)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(left(b, 9) AS BIGINT), 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_repair": _repair_sql(),
         "op1_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
