@@ -20,6 +20,7 @@ from fleetcut.llm.repair import repair_conversations
 from fleetcut.llm.secrets import scan_secrets
 from fleetcut.llm.sharding import assign_shards, grid, grown
 from fleetcut.llm.suffixes import remove_repeats
+from fleetcut.llm.trie import prefix_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,10 +94,28 @@ def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """Each conversation with some first turns of the first of its hundred in place of its own: (conv_id, place, role, text). Nulls count as empty; turns are
+    in order of turn (null first), role and text."""
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")]
+    order = "row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)"
+    turns = conversations.filter("conv_id IS NOT NULL").select("conv_id", "turn", *text).withColumn("at", F.expr(order))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    own = turns.withColumn("heads", heads).filter("at > heads").select("conv_id", (F.col("at") + 6).alias("place"), "role", "text")
+    ids = turns.select("conv_id").distinct().select("conv_id", F.expr("conv_id - conv_id % 100").alias("first"), heads.alias("heads"))
+    first = turns.filter("at < 6 AND conv_id % 100 = 0").select(F.col("conv_id").alias("first"), F.col("at").alias("place"), "role", "text")
+    return own.unionByName(ids.join(first, "first").filter("place <= heads").select("conv_id", "place", "role", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return prefix_trie(rebuilt(rows), rows.select("conv_id"))
+
+
 def queries() -> dict[str, Query]:
     ops = (
         op1_exact_dedup, op2_minhash, op3_bpe, op4_secrets, op5_language, op6_quality, op7_packing, op8_html, op9_sharding, op10_substring,
-        op11_repair, op12_suffix_array,
+        op11_repair, op12_suffix_array, op13_prefix_trie,
     )
     return {f.__name__: f for f in ops}
 
@@ -198,6 +217,40 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)
+""",
+        "op13_prefix_trie": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS first, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS heads FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT i.conv_id, pos AS place, role, text FROM ids i JOIN turns t ON t.conv_id = i.first WHERE pos <= heads
+  UNION ALL SELECT conv_id, pos + 6, role, text FROM ids JOIN turns USING (conv_id) WHERE pos > heads
+),
+paths AS (
+  SELECT conv_id, coalesce(list(row(role, text) ORDER BY place) FILTER (place IS NOT NULL), []) AS path FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+),
+prefixes AS (SELECT conv_id, path, len(path) AS n, unnest(range(len(path) + 1)) AS depth FROM paths),
+members AS (SELECT conv_id, n, depth, path[1:depth] AS prefix FROM prefixes),
+nodes AS (
+  SELECT prefix, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256 FROM members GROUP BY prefix
+),
+family AS (
+  SELECT a.prefix, a.depth, a.conv_id, b.conv_id AS parent_conv_id, a.n_convs, a.ends_sha256, len(a.prefix) = 0 AS top,
+         coalesce((a.n_convs - 1) * length(a.prefix[-1][2]), 0) AS saved FROM nodes a LEFT JOIN nodes b ON a.depth > 0 AND b.prefix = a.prefix[1:a.depth - 1]
+),
+children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT DISTINCT a.prefix, b.prefix AS lower FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+),
+sums AS (
+  SELECT x.prefix, count(*) FILTER (c.prefix IS NULL) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM below x JOIN family f ON f.prefix = x.lower LEFT JOIN children c ON c.prefix = x.lower GROUP BY x.prefix
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM family JOIN sums USING (prefix) LEFT JOIN children USING (prefix)
 """,
         "op12_suffix_array": """
 WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
