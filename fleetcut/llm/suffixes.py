@@ -285,11 +285,27 @@ def _filter_cells(words: int):
     def run(batches):
         for batch in batches:
             w, m = _bits(batch.column(0).to_numpy().astype(np.uint64), words)
-            yield pa.record_batch([pa.array(w.astype(np.int64)), pa.array(m.view(np.int64))], ["w", "m"])
+            yield pa.record_batch([pa.array((w >> np.uint64(13)).astype(np.int32)), pa.array((w & np.uint64(8191)).astype(np.int32)), pa.array(m.view(np.int64))], ["chunk", "w", "m"])
 
     return run
 
 
+def _filter_chunks(batches):
+    """Cells sorted by chunk to the 8,192 words of each chunk."""
+    now, table = None, np.zeros(8192, np.uint64)
+    for batch in batches:
+        chunk, w, m = (c.to_numpy() for c in batch.columns)
+        edges = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(chunk) else []
+        for a, b in zip(edges, [*edges[1:], len(chunk)], strict=True):
+            if now is not None and chunk[a] != now:
+                yield pa.record_batch([pa.array([now], pa.int32()), pa.array([table.tobytes()])], ["chunk", "bits"])
+                table = np.zeros(8192, np.uint64)
+            now = int(chunk[a])
+            np.bitwise_or.at(table, w[a:b], m[a:b].view(np.uint64))
+    if now is not None:
+        yield pa.record_batch([pa.array([now], pa.int32()), pa.array([table.tobytes()])], ["chunk", "bits"])
+
+
 def _candidates(bloom, bits: int, words: int, span: int, with_bytes: bool):
     """Texts (did, mark, text) to the pieces whose anchor may be repeated: with their bytes, or with their places."""
 
@@ -441,9 +457,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = base.select("text").mapInArrow(_anchor_blocks(bits, span), "bucket int, keys binary")
     keys = C.stage(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "key bigint"), "anchors")
     words = C.filter_words(keys.count())
+    cells = keys.mapInArrow(_filter_cells(words), "chunk int, w int, m bigint").repartition("chunk").sortWithinPartitions("chunk")
     table = np.zeros(words, np.uint64)
-    for chunk, cells in C._pack(keys.mapInArrow(_filter_cells(words), "w bigint, m bigint")).toLocalIterator():  # MAX_WORDS at most
-        table[chunk * C._CHUNK : (chunk + 1) * C._CHUNK] = np.array(cells[: words - chunk * C._CHUNK], np.int64).view(np.uint64)
+    for chunk, packed in cells.mapInArrow(_filter_chunks, "chunk int, bits binary").collect():  # MAX_WORDS words at most
+        part = table[chunk * 8192 : (chunk + 1) * 8192]
+        part[:] = np.frombuffer(packed, np.uint64)[: len(part)]
     bloom = spark.sparkContext.broadcast(table)
     C.release(spark)
 
