@@ -53,6 +53,10 @@ _PART = re.compile(r"[a-z]+")
 _HEADING = re.compile("h[1-6]$")
 
 
+#: Elements inside one another, at most, as browsers have a bound; what is nested deeper counts as beside one another, its text stays.
+DEEPEST = 128
+
+
 class Block(NamedTuple):
     text: str
     tag: str
@@ -100,11 +104,12 @@ def _nearest(found: list[tuple[Block, list[tuple[str, int, int]]]]) -> list[Bloc
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Raw elements, comments and the head have none; a line break is white space;
-    unclosed and stray tags are taken as browsers do, roughly: a block element ends an open paragraph."""
+    unclosed and stray tags are taken as browsers do, roughly: a block element ends an open paragraph. No tag ends after the page's last `>`, so the search
+    for tags ends there, and time grows with the page's length whatever it holds; of what follows, only text before a comment is read."""
     out: list[tuple[Block, list[tuple[str, int, int]]]] = []
     stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    linked, links, serial, at = 0, 0, 0, 0
+    linked, links, serial, at, limit = 0, 0, 0, 0, page.rfind(">") + 1
 
     def flush() -> None:
         nonlocal linked
@@ -123,7 +128,7 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    while m := _TOKEN.search(page, at):
+    while m := _TOKEN.search(page, at, limit):
         say(page[at : m.start()])
         at = m.end()
         closing, name, attrs = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
@@ -147,7 +152,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/") or name not in ("svg", "object"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at, limit)
                 at = end.end() if end else len(page)
             continue
         if name == "body" or (name not in HEAD and name != "html"):
@@ -155,11 +160,12 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         while stack and stack[-1][0] in ("p", "dt", "dd") or (stack and name == "li" and stack[-1][0] == "li"):
             stack.pop()
-        if name not in VOID:
+        if name not in VOID and len(stack) < DEEPEST:
             serial += 1
             said = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(attrs)).lower() if "=" in attrs else ""
             stack.append((name, serial, _says(name, said.split(), any(t in CONTENT_TAGS for t, _, _ in stack))))
-    say(page[at:])
+    rest = page.find("<!--", at)
+    say(page[at : rest if rest >= 0 else len(page)])
     flush()
     return _nearest(out)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,8 @@ GROUP, GROUPS = 500, 20
 def _tokenizer(path: str, pattern: str, added_tokens: bool):
     """Encoding function of the byte-level BPE of a tokenizers JSON file, run by tiktoken's core, which gives the same ids several times
     as fast. A text that holds the string of an added token gets that token's id, as the library does unless its
-    encode_special_tokens is set (added_tokens false: such strings are ordinary text).
+    encode_special_tokens is set (added_tokens false: such strings are ordinary text). The core's split pattern gives up on very long white space; such a
+    text is split by the regex module, which has no limit, and its pieces are encoded one by one.
 
     In the file each byte is a printable character: itself if it is printable in Latin-1, else one counted from U+0100.
     """
@@ -33,7 +36,27 @@ def _tokenizer(path: str, pattern: str, added_tokens: bool):
         raise ValueError("added tokens that take their surroundings along are not supported")
     ranks = {bytes(byte_of[c] for c in token): i for token, i in doc["model"]["vocab"].items() if token not in added}
     encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-    return (lambda text: encoding.encode(text, allowed_special="all")) if added_tokens and added else encoding.encode_ordinary
+    special = added if added_tokens else {}
+    whole = (lambda text: encoding.encode(text, allowed_special="all")) if special else encoding.encode_ordinary
+    between, pieces = re.compile("(" + "|".join(map(re.escape, special)) + ")"), regex.compile(pattern)
+
+    def by_pieces(text: str) -> list[int]:
+        ids: list[int] = []
+        for part in between.split(text) if special else [text]:
+            if part in special:
+                ids.append(special[part])
+            else:
+                for m in pieces.finditer(part):
+                    ids += encoding._encode_single_piece(m.group())
+        return ids
+
+    def encode(text: str) -> list[int]:
+        try:
+            return whole(text)
+        except ValueError:
+            return by_pieces(text)
+
+    return encode
 
 
 def cut_documents(

@@ -389,7 +389,7 @@ def test_weights_move_rows_only_within_their_subtree(spark):
 
 def test_registered_queries(spark, small):
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle_sql()) <= set(names)
 
 
