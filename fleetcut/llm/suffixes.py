@@ -306,39 +306,64 @@ def _filter_chunks(batches):
         yield pa.record_batch([pa.array([now], pa.int32()), pa.array([table.tobytes()])], ["chunk", "bits"])
 
 
-def _candidates(bloom, bits: int, words: int, span: int, with_bytes: bool):
-    """Texts (did, mark, text) to the pieces whose anchor may be repeated: with their bytes, or with their places."""
+def _candidates(bloom, bits: int, words: int, span: int):
+    """Texts (did, mark, text) to the pieces (h, piece, did) whose anchor may be repeated."""
 
     def run(batches):
         table = bloom.value
         for batch in batches:
             for part in _texts(batch, 2):
-                out: list[list] = [[], [], [], [], [], []]
-                dids, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for i, text in enumerate(part.column(2)):
+                dids, hashes, raws = [], [], []
+                for did, text in zip(part.column(0).to_pylist(), part.column(2), strict=True):
                     text = text.as_py()
                     start, count, h = pieces(text, span)
                     w, m = _bits(_short(h, bits), words)
                     keep = np.flatnonzero((table[w] & m) == m)
-                    if not len(keep):
-                        continue
                     start, count = start[keep], count[keep]
-                    raw = [text[a:b] for a, b in zip(start.tolist(), (start + count + span - 1).tolist(), strict=True)]
-                    out[0].append(np.full(len(keep), dids[i]))
-                    out[1].append(h[keep].view(np.int64))
-                    if with_bytes:
-                        out[2] += raw
-                    else:
-                        out[2] += map(xxhash.xxh3_128_digest, raw)
-                        out[3].append(np.full(len(keep), marks[i]))
-                        out[4].append(start)
-                        out[5].append(count.astype(np.int32))
-                if out[0]:
-                    did, h, key = pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.binary())
-                    if with_bytes:
-                        yield pa.record_batch([h, key, did], ["h", "piece", "did"])
-                    else:
-                        yield pa.record_batch([key, did, *[pa.array(np.concatenate(x)) for x in out[3:]]], ["key", "did", "mark", "start", "windows"])
+                    raws += [text[a:b] for a, b in zip(start.tolist(), (start + count + span - 1).tolist(), strict=True)]
+                    hashes.append(h[keep].view(np.int64))
+                    dids.append(np.full(len(keep), did))
+                if raws:
+                    yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(raws, pa.binary()), pa.array(np.concatenate(dids))], ["h", "piece", "did"])
+        C.trim()
+
+    return run
+
+
+def _places(bloom, hot, bits: int, words: int, span: int):
+    """Texts to places of pieces (key, did, mark, start, windows, bits). What is known of a frequent piece is looked up here: of its places only those that
+    lose something stay, with null for the key, and runs that are lost whole are one place with bits -1."""
+
+    def run(batches):
+        table, known = bloom.value, hot.value
+        for batch in batches:
+            for part in _texts(batch, 2):
+                out: list[tuple] = []
+                for did, mark, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    text = text.as_py()
+                    start, count, h = pieces(text, span)
+                    w, m = _bits(_short(h, bits), words)
+                    keep = np.flatnonzero((table[w] & m) == m)
+                    begin, length = -1, 0
+                    for a, n in zip(start[keep].tolist(), count[keep].tolist(), strict=True):
+                        key = xxhash.xxh3_128_digest(text[a : a + n + span - 1])
+                        found = known.get(key)
+                        if found is None:
+                            out.append((key, did, mark, a, n, None))
+                        elif did > found[0]:
+                            if a == begin + length:
+                                length += n
+                            else:
+                                if length:
+                                    out.append((None, did, mark, begin, length, -1))
+                                begin, length = a, n
+                        elif found[1]:
+                            out.append((None, did, mark, a, n, found[1]))
+                    if length:
+                        out.append((None, did, mark, begin, length, -1))
+                if out:
+                    types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "did", "mark", "start", "windows", "bits"])
         C.trim()
 
     return run
@@ -389,12 +414,12 @@ def _kept(span: int):
                     text, gone = text.as_py(), found.as_py() or []
                     spans: list[list[int]] = []
                     for start, windows, bits in sorted((x["start"], x["windows"], x["bits"]) for x in gone):
-                        for o in range(windows):
-                            if bits >> o & 1:
-                                if spans and start + o <= spans[-1][1]:
-                                    spans[-1][1] = max(spans[-1][1], start + o + span)
-                                else:
-                                    spans.append([start + o, start + o + span])
+                        runs = [(0, windows - 1)] if bits == -1 else [(o, o) for o in range(windows) if bits >> o & 1]
+                        for a, b in runs:
+                            if spans and start + a <= spans[-1][1]:
+                                spans[-1][1] = max(spans[-1][1], start + b + span)
+                            else:
+                                spans.append([start + a, start + b + span])
                     digest, at = hashlib.sha256(), 0
                     for a, b in spans:
                         digest.update(text[at:a])
@@ -466,7 +491,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.release(spark)
 
     read = base.select("did", "mark", "text")
-    found = read.mapInArrow(_candidates(bloom, bits, words, span, True), "h bigint, piece binary, did bigint")
+    found = read.mapInArrow(_candidates(bloom, bits, words, span), "h bigint, piece binary, did bigint")
     distinct = C.stage(found.groupBy("h", "piece").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")), "pieces")
     C.release(spark)
     n_pieces = distinct.count()
@@ -481,12 +506,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         built = built.unionByName(C.stage(_hot_windows(hot, span), "built"))
     C.release(spark)
 
-    places = read.mapInArrow(_candidates(bloom, bits, words, span, False), "key binary, did bigint, mark bigint, start bigint, windows int")
     n_places = distinct.agg(F.sum("n")).first()[0] or 0
-    known = C.lookup(places, built, "key", "n", n_places)
-    every = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("windows")) - 1
-    gone = known.withColumn("bits", F.when(F.col("did") > F.col("first"), every).otherwise(F.col("bits"))).filter("bits <> 0")
+    often = F.col("n") > max(64, n_places // C.HOT_KEYS)  # fewer than HOT_KEYS pieces
+    hot = spark.sparkContext.broadcast({bytes(r["key"]): (r["first"], r["bits"]) for r in built.filter(often).select("key", "first", "bits").collect()})
+    places = C.stage(read.mapInArrow(_places(bloom, hot, bits, words, span), "key binary, did bigint, mark bigint, start bigint, windows int, bits bigint"), "places")
+    rest = places.filter("key IS NOT NULL").drop("bits").join(built.filter(~often).drop("n"), "key")
+    rest = rest.withColumn("bits", F.when(F.col("did") > F.col("first"), F.lit(-1).cast("bigint")).otherwise(F.col("bits"))).filter("bits <> 0")
+    columns = ["did", "mark", "start", "windows", "bits"]
+    gone = places.filter("key IS NULL").select(*columns).unionByName(rest.select(*columns))
     gone = C.stage(gone.groupBy("did", "mark").agg(F.collect_set(F.struct("start", "windows", "bits")).alias("gone")), "gone")
+    hot.destroy()
     bloom.destroy()
     C.release(spark)
     joined = base.join(gone, ["did", "mark"], "left").select("doc_id", "text", "gone")
