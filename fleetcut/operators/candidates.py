@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcut.functions.time import iou, overlap
-from fleetcut.operators.intervals import PID, range_join
+from fleetcut.functions.time import iou
+from fleetcut.operators.intervals import PID, covered_ms, range_join, weight_touching
 
 MERGE_IOU, MAX_CUTS, MAX_SPEECH_MS = 0.5, 9999, 200
 
@@ -40,27 +40,33 @@ def all_candidates(silence: DataFrame, filler: DataFrame) -> DataFrame:
     return both.withColumn("ord", n.cast("bigint")).drop("src")
 
 
-def _greedy(pairs: Column) -> Column:
-    """Pairs (-iou, candidate, existing) in order; each candidate and each existing cut is used once."""
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("c"), F.expr("cast(array() as array<string>)").alias("e"))
+def _first_free(batches):
+    """Pairs sorted by (project, reason, -iou, candidate, cut) to those whose candidate and cut no earlier pair has taken."""
+    import pyarrow as pa
 
-    def step(acc: Column, p: Column) -> Column:
-        free = ~F.array_contains(acc["c"], p["ord"]) & ~F.array_contains(acc["e"], p["cut_id"])
-        return F.struct(F.when(free, F.array_append(acc["c"], p["ord"])).otherwise(acc["c"]).alias("c"), F.when(free, F.array_append(acc["e"], p["cut_id"])).otherwise(acc["e"]).alias("e"))
-
-    return F.aggregate(pairs, start, step, lambda acc: F.arrays_zip(acc["c"].alias("ord"), acc["e"].alias("cut_id")))
+    now, used, taken = None, set(), set()
+    for batch in batches:
+        keep = []
+        for i, (p, reason, ord_, cut) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if (p, reason) != now:
+                now, used, taken = (p, reason), set(), set()
+            if ord_ not in used and cut not in taken:
+                used.add(ord_)
+                taken.add(cut)
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 2, 3)], [PID, "ord", "cut_id"])
 
 
 def pair_up(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(project_id, ord, cut_id): candidates matched one to one with cuts of the same reason, best intersection over hull first.
+    """(project_id, ord, cut_id): candidates matched one to one with cuts of the same reason, best intersection over hull first, then by order and id.
 
-    Pairs of a project and reason are at most a few for each of its 9,999 cuts, so the greedy pass over a sorted array is bounded.
+    The pairs are sorted once and stream past two sets of what is taken, which hold a project's candidates and cuts at most.
     """
     pairs = range_join(candidates.select(PID, "ord", "reason", "start_ms", "end_ms"), existing.select(PID, "cut_id", "reason", "start_ms", "end_ms")).filter("reason = b_reason")
     scored = pairs.withColumn("iou", iou(*map(F.col, ("start_ms", "end_ms", "b_start_ms", "b_end_ms")))).filter(F.col("iou") >= MERGE_IOU)
-    item = F.struct((-F.col("iou")).alias("k"), "ord", F.col("b_cut_id").alias("cut_id"))
-    found = scored.groupBy(PID, "reason").agg(_greedy(F.array_sort(F.collect_list(item))).alias("m"))
-    return found.select(PID, F.explode("m").alias("m")).select(PID, F.col("m.ord").alias("ord"), F.col("m.cut_id").alias("cut_id"))
+    ordered = scored.repartition(PID, "reason").sortWithinPartitions(PID, "reason", F.desc("iou"), "ord", "b_cut_id").select(PID, "reason", "ord", "b_cut_id")
+    kinds = dict(ordered.dtypes)
+    return ordered.mapInArrow(_first_free, f"{PID} {kinds[PID]}, ord {kinds['ord']}, cut_id string")
 
 
 def merge_cuts(existing: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -93,28 +99,61 @@ def merge_counts(existing: DataFrame, candidates: DataFrame, merged: DataFrame)
     return out.select(PID, z("matched").alias("matched"), z("kept").alias("kept"), z("added").alias("added"), (z("existing") - z("matched") - z("kept")).alias("dropped"))
 
 
-def resolve_overlaps(cuts: DataFrame) -> DataFrame:
-    """Approved cuts in the order (new, start, end): one that overlaps an accepted one goes back to proposed (`demoted`).
+def _clashes(batches):
+    """Approved cuts sorted by (project, new, start, end, id) to those that overlap one accepted before. Accepted cuts are disjoint, so only neighbours are
+    compared: for old cuts the last one, for new ones also the old cuts on both sides."""
+    from bisect import bisect_right
+
+    import pyarrow as pa
+
+    now, starts, ends, last = None, [], [], 0
+    for batch in batches:
+        keep = []
+        for i, (p, fresh, s, e) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+            if (p, fresh) != now:
+                if now is None or p != now[0]:
+                    starts, ends = [], []
+                now, last = (p, fresh), None
+            if s >= e:
+                continue
+            clash = last is not None and s < last
+            if fresh and not clash:
+                k = bisect_right(starts, s)
+                clash = (k > 0 and ends[k - 1] > s) or (k < len(starts) and starts[k] < e)
+            if clash:
+                keep.append(i)
+                continue
+            last = e
+            if not fresh:
+                starts.append(s)
+                ends.append(e)
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 4)], [PID, "cut_id"])
 
-    Sequential by nature, so it folds over one project's approved cuts (9,999 at most).
-    """
-    new = (F.col("origin") == "added").alias("fresh") if "origin" in cuts.columns else F.lit(False).alias("fresh")
-    item = F.struct(new, "start_ms", "end_ms", "cut_id")
-    start = F.struct(F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("ok"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        clash = F.exists(acc["ok"], lambda o: F.least(o["e"], c["end_ms"]) > F.greatest(o["s"], c["start_ms"]))
-        return F.struct(
-            F.when(clash, acc["ok"]).otherwise(F.array_append(acc["ok"], F.struct(c["start_ms"].alias("s"), c["end_ms"].alias("e")))).alias("ok"),
-            F.when(clash, F.array_append(acc["out"], c["cut_id"])).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = cuts.filter("status = 'approved'").groupBy(PID).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda acc: acc["out"]).alias("ids"))
-    down = folded.select(PID, F.explode("ids").alias("cut_id"), F.lit(True).alias("down"))
+
+def resolve_overlaps(cuts: DataFrame) -> DataFrame:
+    """Approved cuts in the order (new, start, end): one that overlaps an accepted one goes back to proposed (`demoted`)."""
+    fresh = (F.col("origin") == "added") if "origin" in cuts.columns else F.lit(False)
+    approved = cuts.filter("status = 'approved'").select(PID, fresh.alias("fresh"), "start_ms", "end_ms", "cut_id")
+    ordered = approved.repartition(PID).sortWithinPartitions(PID, "fresh", "start_ms", "end_ms", "cut_id")
+    down = ordered.mapInArrow(_clashes, f"{PID} {dict(cuts.dtypes)[PID]}, cut_id string").withColumn("down", F.lit(True))
     out = cuts.join(down, [PID, "cut_id"], "left").withColumn("demoted", F.coalesce("down", F.lit(False))).drop("down")
     return out.withColumn("status", F.when(F.col("demoted"), "proposed").otherwise(F.col("status")))
 
 
+def speech_overlaps(cuts: DataFrame, spoken: DataFrame) -> DataFrame:
+    """Speech that each silence cut would remove."""
+    return covered_ms(cuts.filter("reason = 'silence'"), spoken, PID, "cut_id", out="speech_ms").select(PID, "cut_id", "speech_ms")
+
+
+def segments_over_silence(segments: DataFrame, cuts: DataFrame, spoken: DataFrame) -> DataFrame:
+    """Segments that claim over 0.2 s more of the silence cuts than the speech that touches them."""
+    quiet = cuts.filter("reason = 'silence'").select(PID, "start_ms", "end_ms")
+    claimed = covered_ms(segments.select(PID, "segment_id", "start_ms", "end_ms"), quiet, PID, "segment_id", out="claimed").filter("claimed > 0")
+    real = covered_ms(spoken.select(PID, "start_ms", "end_ms"), quiet, PID, "start_ms", "end_ms", out="real_ms")
+    both = weight_touching(claimed, real, "real_ms", PID, "segment_id", out="real_ms")
+    return both.select(PID, "segment_id", (F.col("claimed") - F.col("real_ms")).alias("over_ms")).filter(F.col("over_ms") > MAX_SPEECH_MS)
+
+
 def speech_overlaps(cuts: DataFrame, spoken: DataFrame) -> DataFrame:
     """Speech that each silence cut would remove."""
     c = cuts.filter("reason = 'silence'")

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcut.functions.matching import match_words
 from fleetcut.operators.intervals import PID
 
 #: Tokens of a reading run, at most.
 MAX_RUN = 8
 
 
-def apply_surface(segments: DataFrame, entries: list[tuple[str, list[str], str]], keep_pieces: bool = False) -> DataFrame:
-    """Replace misrecognised surfaces: (correct, misrecognised, confidence) in dictionary order, a short list.
+def apply_surface(segments: DataFrame, dictionary: DataFrame, keep_pieces: bool = False) -> DataFrame:
+    """Replace misrecognised surfaces by a dictionary table (ord, correct, misrecognized, confidence; with project_id each project has its own).
 
-    Leftmost, longest, earlier entries first on ties. `always` is replaced; `context` is only reported; a correct form that is already
-    there is consumed without a hit. Adds new_text and hits (matched, correct, applied), and pieces (was, now) if asked.
+    Leftmost, longest, earlier entries first on ties. `always` is replaced; `context` is only reported. A correct form is a pattern only if an entry
+    lists it. Adds new_text and hits (matched, correct, applied), and pieces (was, now) if asked.
     """
-    first: dict[str, tuple[str, bool]] = {}
-    for correct, wrong, confidence in entries:
-        for w in wrong:
-            first.setdefault(w, (correct, confidence == "always"))
-        first.setdefault(correct, (correct, False))
-    surfaces = sorted(first, key=lambda w: -len(w))
-    pieces = F.regexp_extract_all("text", F.lit("(?s)" + "|".join(re.escape(s) for s in surfaces) + "|."), F.lit(0))
-    swap = F.create_map(*[F.lit(x) for w, (c, always) in first.items() if always for x in (w, c)]) if any(a for _, a in first.values()) else None
-    named = F.create_map(*[F.lit(x) for w, (c, _) in first.items() if w != c for x in (w, c)])
-    always = F.array(*[F.lit(w) for w, (c, a) in first.items() if a and w != c]).cast("array<string>")
-    df = segments.withColumn("__p", pieces)
-    now = lambda p: F.coalesce(F.try_element_at(swap, p), p) if swap is not None else p
-    new = F.array_join(F.transform("__p", now), "")
+    own = [PID] if PID in dictionary.columns else []
+    words = dictionary.select(*own, "ord", "correct", "confidence", F.posexplode("misrecognized").alias("k", "word"))
+    words = words.select(*own, "word", F.col("correct").alias("value"), (F.col("confidence") == "always").alias("flag"), F.struct("ord", "k").alias("rank"))
+    df = match_words(segments, words, out="__p")
+    now = lambda p: F.when(p["flag"], p["value"]).otherwise(p["was"])
     if keep_pieces:
-        df = df.withColumn("pieces", F.transform("__p", lambda p: F.struct(p.alias("was"), now(p).alias("now"))))
-    found = F.transform(F.filter("__p", lambda p: F.map_contains_key(named, p)), lambda p: F.struct(p.alias("matched"), F.element_at(named, p).alias("correct"), F.array_contains(always, p).alias("applied")))
-    return df.withColumn("new_text", new).withColumn("hits", found).drop("__p")
+        df = df.withColumn("pieces", F.transform("__p", lambda p: F.struct(p["was"].alias("was"), now(p).alias("now"))))
+    hits = F.filter("__p", lambda p: p["value"].isNotNull() & (p["value"] != p["was"]))
+    found = F.transform(hits, lambda p: F.struct(p["was"].alias("matched"), p["value"].alias("correct"), p["flag"].alias("applied")))
+    return df.withColumn("new_text", F.array_join(F.transform("__p", now), "")).withColumn("hits", found).drop("__p")
 
 
 def apply_readings(tokens: DataFrame, readings: DataFrame) -> DataFrame:
@@ -52,7 +44,7 @@ def apply_readings(tokens: DataFrame, readings: DataFrame) -> DataFrame:
     part = F.slice("a", F.col("i"), F.col("n"))
     runs = runs.withColumn("p", part).filter(F.element_at("p", -1)["r"] != "")
     runs = runs.select(PID, "segment_id", "i", "n", F.array_join(F.transform("p", lambda x: x["r"]), "").alias("reading"), F.col("p")[0]["begin"].alias("begin"), F.element_at("p", -1)["end"].alias("end"))
-    hits = runs.join(F.broadcast(one), "reading")
+    hits = runs.join(one, "reading")
     best = F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("m"), "begin", "end", "correct")))
     start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<first:int,last:int,begin:int,end:int,correct:string>>)").alias("out"))
 
@@ -97,18 +89,18 @@ def _moved(tokens: DataFrame, surfaced: DataFrame, readings: DataFrame) -> DataF
     shift = F.aggregate(F.filter("edits", lambda e: e["e"] <= F.col("begin")), F.lit(0), lambda acc, e: acc + size(e["to"]) - (e["e"] - e["b"]))
     kept = t.filter(~F.exists("edits", lambda e: (e["b"] < F.col("end")) & (e["e"] > F.col("begin"))))
     kept = kept.select(PID, "segment_id", (F.col("begin") + shift).cast("int").alias("begin"), (F.col("end") + shift).cast("int").alias("end"), "surface", "reading")
-    known = F.broadcast(readings.groupBy(F.col("correct").alias("surface")).agg(F.min_by("reading", "rank").alias("reading")))
+    known = readings.groupBy(F.col("correct").alias("surface")).agg(F.min_by("reading", "rank").alias("reading"))
     fresh = edits.select(PID, "segment_id", F.explode("edits").alias("x")).select(PID, "segment_id", F.col("x.at").alias("begin"), (F.col("x.at") + size(F.col("x.to"))).cast("int").alias("end"), F.col("x.to").alias("surface"))
     both = kept.unionByName(fresh.join(known, "surface", "left").select(*kept.columns))
     return both.withColumn("ord", F.row_number().over(Window.partitionBy(PID, "segment_id").orderBy("begin", "end")).cast("bigint"))
 
 
-def correct_segments(segments: DataFrame, entries: list[tuple[str, list[str], str]], tokens: DataFrame, readings: DataFrame) -> DataFrame:
+def correct_segments(segments: DataFrame, dictionary: DataFrame, tokens: DataFrame, readings: DataFrame) -> DataFrame:
     """By surface, then by reading over the texts that the surface pass leaves; tokens are those of the given texts.
 
     hits: the surface pass's, then the reading pass's, each in order; a run that already has the correct form is none.
     """
-    surfaced = apply_surface(segments, entries, keep_pieces=True)
+    surfaced = apply_surface(segments, dictionary, keep_pieces=True)
     runs = apply_readings(_moved(tokens, surfaced, readings), readings)
     texts = surfaced.drop("pieces").withColumnRenamed("new_text", "surface_text")
     found = runs.join(texts.select(PID, "segment_id", "surface_text"), [PID, "segment_id"])

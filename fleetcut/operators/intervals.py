@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcut.functions.time import overlap
-
 PID = "project_id"
 
 
@@ -39,24 +37,60 @@ def keeps(cuts: DataFrame, projects: DataFrame) -> DataFrame:
     return complement(cuts, projects)
 
 
-def range_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Pairs of overlapping spans of a project; b's columns get the prefix b_."""
-    named = b.select(F.col(PID).alias("b_pid"), *[F.col(c).alias(f"b_{c}") for c in b.columns if c != PID])
-    on = (F.col(PID) == F.col("b_pid")) & (F.col("start_ms") < F.col("b_end_ms")) & (F.col("b_start_ms") < F.col("end_ms"))
-    return a.join(named, on, how).drop("b_pid")
+#: Width of the time bins that spread a project's spans over tasks.
+BIN_MS = 60_000
+
 
+def range_join(a: DataFrame, b: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
+    """Pairs of overlapping spans of a project; b's columns get the prefix b_.
 
-def bin_join(a: DataFrame, b: DataFrame, bin_ms: int = 60_000) -> DataFrame:
-    """range_join for projects with very many spans: both sides go to time bins, and a pair is kept only in its first common bin."""
-    def binned(df: DataFrame, out: str) -> DataFrame:
-        first, last = F.floor(F.col("start_ms") / bin_ms), F.floor((F.greatest(F.col("end_ms") - 1, F.col("start_ms"))) / bin_ms)
+    Both sides go to time bins, so a project is not one group and spans meet only near one another; a pair is kept in its first common bin. Sums over pairs
+    need none of them: covered_ms and weight_touching.
+    """
+    def binned(df: DataFrame, start: str, end: str, out: str) -> DataFrame:
+        first, last = F.floor(F.col(start) / bin_ms), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / bin_ms)
         return df.withColumn(out, F.explode(F.sequence(first, last)))
 
-    one = binned(a, "bin")
-    two = binned(b, "bin").select(F.col(PID).alias("b_pid"), F.col("bin").alias("b_bin"), *[F.col(c).alias(f"b_{c}") for c in b.columns if c != PID])
-    on = (F.col(PID) == F.col("b_pid")) & (F.col("bin") == F.col("b_bin")) & (F.col("start_ms") < F.col("b_end_ms")) & (F.col("b_start_ms") < F.col("end_ms"))
+    one = binned(a, "start_ms", "end_ms", "__bin")
+    two = binned(b.select(F.col(PID).alias("__pid"), *[F.col(c).alias(f"b_{c}") for c in b.columns if c != PID]), "b_start_ms", "b_end_ms", "__b_bin")
+    on = (F.col(PID) == F.col("__pid")) & (F.col("__bin") == F.col("__b_bin")) & (F.col("start_ms") < F.col("b_end_ms")) & (F.col("b_start_ms") < F.col("end_ms"))
     first = F.greatest(F.floor(F.col("start_ms") / bin_ms), F.floor(F.col("b_start_ms") / bin_ms))
-    return one.join(two, on).filter(F.col("bin") == first).drop("bin", "b_bin", "b_pid")
+    return one.join(two, on).filter(F.col("__bin") == first).drop("__bin", "__b_bin", "__pid")
+
+
+def bin_join(a: DataFrame, b: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
+    """range_join with bins of another width, for projects with very many spans a minute."""
+    return range_join(a, b, bin_ms)
+
+
+def inside(points: DataFrame, spans: DataFrame, at: str, out: str = "inside", bin_ms: int = BIN_MS) -> DataFrame:
+    """Points with a boolean: whether a span of their project holds them, start included and end not.
+
+    No pairs: the spans are merged and cut at the borders of time bins, points and spans of a bin are sorted once, and each point looks at the last span
+    that has begun. A project of any length spreads over its bins. A point without a time is in no span.
+    """
+    whole = merge_spans(spans.filter("start_ms < end_ms"))
+    first, last = F.floor(F.col("start_ms") / bin_ms), F.floor((F.col("end_ms") - 1) / bin_ms)
+    cut = whole.withColumn("__bin", F.explode(F.sequence(first, last)))
+    marks = cut.select(PID, "__bin", F.greatest(F.col("start_ms"), F.col("__bin") * bin_ms).alias("__t"), F.least(F.col("end_ms"), (F.col("__bin") + 1) * bin_ms).alias("__end"))
+    names = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != PID else F.col(PID) for f in points.schema]
+    rows = points.select("*", F.floor(F.col(at) / bin_ms).alias("__bin"), F.col(at).alias("__t"), F.lit(None).cast("bigint").alias("__end"), F.lit(True).alias("__point"))
+    both = rows.unionByName(marks.select(*names, "__bin", "__t", "__end", F.lit(False).alias("__point")))
+    by = Window.partitionBy(PID, "__bin").orderBy("__t", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__end", F.last("__end", ignorenulls=True).over(by)).filter("__point")
+    return found.select(*points.columns, F.coalesce(F.col("__t") < F.col("__end"), F.lit(False)).alias(out))
+
+
+def _ends(a: DataFrame, keys: tuple[str, ...], events: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """Both ends of each a (keys, __row, __t, __sign -1 or 1) with the running sums of the events' measures: one union, one sort. An event has __o: 0 if it
+    counts for a point of the same time, 2 if only for later ones."""
+    row = F.struct(*[F.col(c) for c in a.columns]).alias("__row")
+    end = lambda c, sign: F.struct(F.col(c).alias("__t"), F.lit(sign).alias("__sign"))
+    points = a.select(*keys, row, F.explode(F.array(end("start_ms", -1), end("end_ms", 1))).alias("__p")).select(*keys, "__row", "__p.*", F.lit(1).alias("__o"), *[F.lit(0).cast("bigint").alias(m) for m in measures])
+    nulls = [F.lit(None).cast(a.schema[k].dataType).alias(k) if k != PID else F.col(PID) for k in keys]
+    marks = events.select(*nulls, F.lit(None).cast(points.schema["__row"].dataType).alias("__row"), "__t", F.lit(0).alias("__sign"), "__o", *measures)
+    by = Window.partitionBy(PID).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    return points.unionByName(marks).select("*", *[F.sum(m).over(by).alias(f"__sum_{m}") for m in measures]).filter("__sign <> 0")
 
 
 def subtract(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
@@ -90,10 +124,37 @@ def asof(points: DataFrame, marks: DataFrame, at: str, mark_at: str, take: list[
 
 
 def covered_ms(a: DataFrame, b: DataFrame, *keys: str, out: str = "covered_ms") -> DataFrame:
-    """a with the summed overlap of all b with each of its rows."""
-    pairs = range_join(a.select(*keys, "start_ms", "end_ms"), b.select(PID, "start_ms", "end_ms"))
-    sums = pairs.groupBy(*keys).agg(F.sum(overlap(*map(F.col, ("start_ms", "end_ms", "b_start_ms", "b_end_ms")))).alias(out))
-    return a.join(sums, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
+    """a with the summed overlap of all b with each of its rows, which the keys (project_id first) tell apart.
+
+    What lies before a moment, of all b together, is a running sum over their starts and ends; a row's overlap is the difference between its ends.
+    No pairs are made, however many spans overlap.
+    """
+    one = lambda t, n, m: F.struct(F.col(t).alias("__t"), F.lit(n).cast("bigint").alias("n"), m.alias("m"))
+    events = b.filter("start_ms < end_ms").select(PID, F.explode(F.array(one("start_ms", 1, F.col("start_ms")), one("end_ms", -1, -F.col("end_ms")))).alias("e")).select(PID, "e.*", F.lit(0).alias("__o"))
+    before = F.col("__t") * F.col("__sum_n") - F.col("__sum_m")
+    sums = _ends(a, keys, events, ("n", "m")).groupBy(*keys).agg(F.greatest(F.sum(F.col("__sign") * before), F.lit(0)).cast("bigint").alias("__sum"), F.first("__row").alias("__row"))
+    return sums.select("__row.*", F.col("__sum").alias(out))
+
+
+def weight_touching(a: DataFrame, b: DataFrame, weight: str, *keys: str, out: str) -> DataFrame:
+    """a with the summed weight of all b that overlap each of its rows: those that begin before its end, less those that are over at its start."""
+    one = lambda t, o, x, y: F.struct(F.col(t).alias("__t"), F.lit(o).alias("__o"), x.cast("bigint").alias("begun"), y.cast("bigint").alias("over"))
+    none, w = F.lit(0), F.col(weight)
+    events = b.select(PID, F.explode(F.array(one("start_ms", 2, w, none), one("end_ms", 0, none, w))).alias("e")).select(PID, "e.*")
+    part = F.when(F.col("__sign") > 0, F.col("__sum_begun")).otherwise(-F.col("__sum_over"))
+    return _ends(a, keys, events, ("begun", "over")).groupBy(*keys).agg(F.sum(part).cast("bigint").alias("__sum"), F.first("__row").alias("__row")).select("__row.*", F.col("__sum").alias(out))
+
+
+def intersect_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What the spans of both sides cover, as disjoint spans (touching ones merged): one sweep over all ends."""
+    one = lambda t, x, y: F.struct(F.col(t).alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    ends = lambda df, x, y: df.filter("start_ms < end_ms").select(PID, F.explode(F.array(one("start_ms", x, y), one("end_ms", -x, -y))).alias("e")).select(PID, "e.*")
+    moments = ends(a, 1, 0).unionByName(ends(b, 0, 1)).repartition(PID).groupBy(PID, "t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    by = Window.partitionBy(PID).orderBy("t")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    on = moments.select(PID, "t", ((F.sum("x").over(so_far) > 0) & (F.sum("y").over(so_far) > 0)).alias("on"))
+    turns = on.withColumn("was", F.lag("on", 1, False).over(by)).filter("on <> was").withColumn("end_ms", F.lead("t").over(by))
+    return turns.filter("on").select(PID, F.col("t").alias("start_ms"), "end_ms")
 
 
 def is_frame_rate(fps: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcut.operators.intervals import PID, asof, covered_ms, merge_spans, range_join
+from fleetcut.functions.matching import has_match
+from fleetcut.operators.intervals import PID, asof, covered_ms, inside, intersect_spans, merge_spans, range_join
 
 #: How far outside a region a start still counts as spoken; the share of a segment that speech has to cover.
 START_TOLERANCE_MS, MIN_COVERAGE = 100, 0.5
@@ -59,8 +60,7 @@ def edl_spans(clips: DataFrame) -> DataFrame:
 
 def spoken_spans(segments: DataFrame, regions: DataFrame) -> DataFrame:
     """What transcript and detector both take for speech."""
-    both = range_join(segments.select(PID, "start_ms", "end_ms"), regions.select(PID, "start_ms", "end_ms"))
-    return merge_spans(both.select(PID, F.greatest("start_ms", "b_start_ms").alias("start_ms"), F.least("end_ms", "b_end_ms").alias("end_ms")))
+    return intersect_spans(segments, regions)
 
 
 def coverage(segments: DataFrame, regions: DataFrame) -> DataFrame:
@@ -68,43 +68,37 @@ def coverage(segments: DataFrame, regions: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.coalesce(F.try_divide(F.col("covered_ms"), F.col("end_ms") - F.col("start_ms")), F.lit(0.0)))
 
 
-def _near(tolerance_ms: int) -> Column:
-    return (F.col(PID) == F.col("r_pid")) & (F.col("start_ms") >= F.col("r0") - tolerance_ms) & (F.col("start_ms") <= F.col("r1") + tolerance_ms)
-
-
-def _regions(regions: DataFrame) -> DataFrame:
-    return regions.select(F.col(PID).alias("r_pid"), F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1"))
+def _starts_spoken(segments: DataFrame, regions: DataFrame, tolerance_ms: int, out: str) -> DataFrame:
+    near = regions.select(PID, (F.col("start_ms") - tolerance_ms).alias("start_ms"), (F.col("end_ms") + tolerance_ms + 1).alias("end_ms"))
+    return inside(segments, near, "start_ms", out)
 
 
 def starts_in_speech(segments: DataFrame, regions: DataFrame, tolerance_ms: int = START_TOLERANCE_MS) -> DataFrame:
-    return segments.join(_regions(regions), _near(tolerance_ms), "left_semi")
+    return _starts_spoken(segments, regions, tolerance_ms, "__in").filter("__in").drop("__in")
 
 
 def outside_speech(segments: DataFrame, regions: DataFrame, tolerance_ms: int = START_TOLERANCE_MS) -> DataFrame:
-    return segments.join(_regions(regions), _near(tolerance_ms), "left_anti")
+    return _starts_spoken(segments, regions, tolerance_ms, "__in").filter("not __in").drop("__in")
 
 
 def anchor_starts(segments: DataFrame, regions: DataFrame) -> DataFrame:
     """Segments that start outside speech but are mostly spoken start with their first region; `anchored` says which."""
-    covered = coverage(segments, regions)
-    late = outside_speech(segments, regions).select(PID, "segment_id", F.lit(True).alias("outside"))
+    placed = _starts_spoken(coverage(segments, regions), regions, START_TOLERANCE_MS, "spoken")
     first = range_join(segments.select(PID, "segment_id", "start_ms", "end_ms"), regions.select(PID, "start_ms", "end_ms")).groupBy(PID, "segment_id").agg(F.min("b_start_ms").alias("first_ms"))
-    out = covered.join(late, [PID, "segment_id"], "left").join(first, [PID, "segment_id"], "left")
-    move = F.coalesce(F.col("outside"), F.lit(False)) & (F.col("coverage") >= MIN_COVERAGE) & F.col("first_ms").isNotNull()
-    return out.withColumn("anchored", move).withColumn("start_ms", F.when(move, F.col("first_ms")).otherwise(F.col("start_ms"))).drop("outside", "first_ms", "covered_ms", "coverage")
+    move = ~F.col("spoken") & (F.col("coverage") >= MIN_COVERAGE) & F.col("first_ms").isNotNull()
+    out = placed.join(first, [PID, "segment_id"], "left").withColumn("anchored", move)
+    return out.withColumn("start_ms", F.when(F.col("anchored"), F.col("first_ms")).otherwise(F.col("start_ms"))).drop("spoken", "first_ms", "covered_ms", "coverage")
 
 
 def hallucinations(segments: DataFrame, regions: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Segments with a known invented phrase (a short, fixed list: broadcast) that speech covers less than half of."""
-    said = segments.join(F.broadcast(phrases.select("phrase")), F.contains(F.col("text"), F.col("phrase")), "left_semi")
+    """Segments with a known invented phrase that speech covers less than half of; phrases may differ by project (a column project_id)."""
+    said = has_match(segments, phrases.withColumnRenamed("phrase", "word"))
     return coverage(said, regions).filter(F.col("coverage") < MIN_COVERAGE).drop("covered_ms", "coverage")
 
 
 def count_started_in_silence(segments: DataFrame, silences: DataFrame) -> DataFrame:
     """Per project, segments whose start lies in a silence [start, end)."""
-    s = silences.select(F.col(PID).alias("q_pid"), F.col("start_ms").alias("q0"), F.col("end_ms").alias("q1"))
-    on = (F.col(PID) == F.col("q_pid")) & (F.col("start_ms") >= F.col("q0")) & (F.col("start_ms") < F.col("q1"))
-    return segments.join(s, on, "left_semi").groupBy(PID).agg(F.count(F.lit(1)).alias("hallucinated"))
+    return inside(segments, silences, "start_ms").filter("inside").groupBy(PID).agg(F.count(F.lit(1)).alias("hallucinated"))
 
 
 def quiet(segments: DataFrame, regions: DataFrame, projects: DataFrame) -> DataFrame:
@@ -134,8 +128,7 @@ def regions_in(segments: DataFrame, regions: DataFrame) -> DataFrame:
 
 def noise_floor(frames: DataFrame, silences: DataFrame, projects: DataFrame) -> DataFrame:
     """Level in dB of the frames (project_id, t_ms, power) inside guarded silences, of every project; null without frames or power."""
-    s = silences.select(F.col(PID).alias("q_pid"), F.col("start_ms").alias("q0"), F.col("end_ms").alias("q1"))
-    inside = frames.join(s, (F.col(PID) == F.col("q_pid")) & (F.col("t_ms") >= F.col("q0")) & (F.col("t_ms") < F.col("q1")), "left_semi")
+    within = inside(frames, silences, "t_ms").filter("inside")
     mean = F.avg("power")
-    levels = inside.groupBy(PID).agg(F.when(mean > 0, 10 * F.log10(mean)).alias("level_db"), F.count(F.lit(1)).alias("n_frames"))
+    levels = within.groupBy(PID).agg(F.when(mean > 0, 10 * F.log10(mean)).alias("level_db"), F.count(F.lit(1)).alias("n_frames"))
     return projects.select(PID).join(levels, PID, "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0).cast("bigint")))

@@ -123,12 +123,38 @@ STYLE_FIELDS = {
     "Bold": "0", "Italic": "0", "Underline": "0", "StrikeOut": "0", "ScaleX": "100", "ScaleY": "100", "Spacing": "0", "Angle": "0", "BorderStyle": "1",
     "Outline": "2", "Shadow": "0", "Alignment": "2", "MarginL": "10", "MarginR": "10", "MarginV": "10", "Encoding": "1",
 }
+#: The fields by which styles.json and merge_styles name a style, with their types; numbers and switches of an ASS line are written as it writes them.
+STYLE_TYPES = {
+    "fontname": "string", "fontsize": "int", "bold": "boolean", "italic": "boolean", "alignment": "int", "primary_colour": "string", "secondary_colour": "string",
+    "outline_colour": "string", "back_colour": "string", "outline": "double", "shadow": "double", "spacing": "double", "margin_l": "int", "margin_r": "int", "margin_v": "int",
+}
+#: What a preset's fields are that neither the project nor the package states.
+STYLE_DEFAULTS = {
+    "fontname": "Hiragino Sans W6", "fontsize": "64", "bold": "false", "italic": "false", "alignment": "8", "primary_colour": "&H00FFFFFF", "secondary_colour": "&H000000FF",
+    "outline_colour": "&H00000000", "back_colour": "&H00000000", "outline": "3.0", "shadow": "0.0", "spacing": "0.0", "margin_l": "40", "margin_r": "40", "margin_v": "60",
+}
 EVENT_FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
 
 
+def _stated(name: str) -> Column:
+    """A style field of an ASS line, from the project's name for it or from the line's own."""
+    key = "".join(k for k in STYLE_TYPES if k.replace("_", "") == name.lower())
+    own = F.try_element_at("fields", F.lit(name))
+    if not key:
+        return own
+    value = F.try_element_at("fields", F.lit(key))
+    if STYLE_TYPES[key] == "boolean":
+        value = F.when(value == "true", "-1").when(value == "false", "0").otherwise(value)
+    elif STYLE_TYPES[key] == "double":
+        value = F.regexp_replace(value, r"\.0+$", "")
+    elif key.endswith("colour"):
+        value = F.concat(F.lit("&H"), F.lpad(F.upper(F.regexp_replace(value, "^&[Hh]", "")), 8, "0"))
+    return F.coalesce(value, own)
+
+
 def style_lines(presets: DataFrame) -> DataFrame:
-    """(project_id, preset, line): an ASS style line of each preset, from its fields map by the names of STYLE_FIELDS."""
-    fields = [F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(default)) for name, default in STYLE_FIELDS.items()]
+    """(project_id, preset, line): an ASS style line of each preset from its fields map, by the names of STYLE_TYPES or of STYLE_FIELDS."""
+    fields = [F.coalesce(_stated(name), F.lit(default)) for name, default in STYLE_FIELDS.items()]
     return presets.select(PID, "preset", F.concat(F.lit("Style: "), F.concat_ws(",", "preset", *fields)).alias("line"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcut.operators.speech import build_segments, edl_spans, shift_segments
 from fleetcut.plans.fixtures import Fleet
 from fleetcut.plans.register import query
+from fleetcut.plans.stored import stored
 from fleetcut.plans.timeline_queries import islands
 from fleetcut.sources import tables as S
 
@@ -79,7 +80,141 @@ def p06_edl_spans(f: Fleet) -> DataFrame:
     return edl_spans(f.regions.select("project_id", start.alias("offset"), (end - start).alias("dur"), F.lit("30/1").alias("timebase")))
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS found FROM documents")
+# Documents: written as a file per project, read back by the strict readers
+
+
+def _number(df: DataFrame) -> DataFrame:
+    return df.withColumn("project_id", F.col("project_id").cast("bigint"))
+
+
+def _documents(rows: DataFrame, order: list[str], item, name: str, *more) -> DataFrame:
+    """One document per project: a list of items in order under a name, and further fields."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, item.alias("x")))), lambda r: r["x"])
+    return rows.groupBy("project_id").agg(F.to_json(F.struct(F.lit("1").alias("version"), listed.alias(name), *more), {"ignoreNullFields": "false"}).alias("document"))
+
+
+@query("SELECT project_id, duration_ms, fps, CAST(1920 AS INT) AS width, CAST(2 AS INT) AS stages, CAST(1704034800 + project_id AS BIGINT) AS created FROM projects")
+def s01_manifests(f: Fleet) -> DataFrame:
+    video = F.struct(F.lit("h264").alias("codec"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.col("fps").alias("fps"))
+    audio = F.struct(F.lit("aac").alias("codec"), F.lit(48000).alias("sample_rate"), F.lit(2).alias("channels"))
+    source = F.struct(F.concat(F.lit("m/"), "project_id").alias("path"), F.sha2(F.col("project_id").cast("string"), 256).alias("sha256"), (F.col("duration_ms") / 1000.0).alias("duration"), video.alias("video"), audio.alias("audio"))
+    at = F.concat(F.date_format(F.timestamp_seconds(F.lit(1704034800) + F.col("project_id")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    record = F.struct(at.alias("done_at"), F.lit("0" * 64).alias("params_sha256"), F.create_map(F.lit("tool"), F.lit("1")).alias("tool_versions"))
+    stages = F.create_map(F.concat(F.lit("stage "), "project_id"), record, F.lit("detect"), record)
+    docs = f.projects.select("project_id", F.to_json(F.struct(F.lit("1").alias("version"), source.alias("source"), at.alias("created_at"), stages.alias("stages"))).alias("document"))
+    projects, records = S.read_projects(f.spark, stored(f, "manifest", docs))
+    n = records.groupBy("project_id").agg(F.count(F.lit(1)).cast("int").alias("stages"))
+    return _number(projects.join(n, "project_id").select("project_id", "duration_ms", "video.fps", "video.width", "stages", F.unix_seconds("created_at").alias("created")))
+
+
+@query("SELECT project_id, CASE WHEN project_id % 2 = 0 THEN CAST(0.5 + project_id % 7 AS DOUBLE) ELSE 0.6 END AS min_duration, CAST(CASE WHEN project_id % 3 = 0 THEN project_id % 50 ELSE 18 END AS INT) AS crf, 'large-v3-turbo' AS model FROM projects")
+def s02_profiles(f: Fleet) -> DataFrame:
+    silence = F.when(F.col("project_id") % 2 == 0, F.struct((F.lit(0.5) + F.col("project_id") % 7).alias("min_duration")))
+    render = F.when(F.col("project_id") % 3 == 0, F.struct((F.col("project_id") % 50).cast("int").alias("crf")))
+    docs = f.projects.select("project_id", F.to_json(F.struct(F.lit("1").alias("version"), silence.alias("silence"), render.alias("render"))).alias("document"))
+    return _number(S.read_profiles(f.spark, stored(f, "profile", docs)).select("project_id", "silence.min_duration", "render.crf", "asr.model"))
+
+
+@query("SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY turn) - 1 AS INT) AS ord, segment_id, start_ms, end_ms, text, CAST(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS INT) AS words, CAST(CASE WHEN turn % 3 = 0 THEN 1704034800 END AS BIGINT) AS edited FROM segments")
+def s03_transcripts(f: Fleet) -> DataFrame:
+    s = lambda c: (F.col(c) / 1000.0)
+    word = F.struct(s("start_ms").alias("start"), s("end_ms").alias("end"), F.lit("w").alias("text"), F.lit(0.5).alias("probability"), F.struct(F.lit(1).alias("a")).alias("more"))
+    edit = F.struct(F.lit("2024-01-01T00:00:00+09:00").alias("at"), F.lit("dict").alias("tool"), F.lit("x").alias("before"))
+    item = F.struct(
+        F.col("segment_id").alias("id"), s("start_ms").alias("start"), s("end_ms").alias("end"), "text", F.lit("asr").alias("source"),
+        F.when(F.col("turn") % 3 == 0, F.array(edit)).otherwise(F.expr("cast(array() as array<struct<at:string,tool:string,before:string>>)")).alias("edits"), F.when(F.col("turn") % 2 == 0, F.array(word)).alias("words"),
+    )
+    out = _number(S.read_transcripts(f.spark, stored(f, "transcript", _documents(f.segments, ["turn"], item, "segments", F.lit("a").alias("audio_source")))))
+    return out.select("project_id", F.col("ord").cast("int").alias("ord"), "segment_id", "start_ms", "end_ms", "text", F.coalesce(F.size(F.when(F.col("words").isNotNull(), F.col("words"))), F.lit(0)).alias("words"), F.unix_seconds(F.try_element_at("edits", F.lit(1))["at"]).alias("edited"))
+
+
+@query("SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY start_ms, end_ms) - 1 AS INT) AS ord, start_ms, end_ms FROM speech_regions")
+def s04_regions(f: Fleet) -> DataFrame:
+    item = F.struct((F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
+    out = _number(S.read_regions(f.spark, stored(f, "regions", _documents(f.regions, ["start_ms", "end_ms"], item, "segments"))))
+    return out.select("project_id", F.col("ord").cast("int").alias("ord"), "start_ms", "end_ms")
+
+
+@query("SELECT project_id, cut_id, start_ms, end_ms, reason, status FROM cuts")
+def s05_cuts(f: Fleet) -> DataFrame:
+    item = F.struct(F.col("cut_id").alias("id"), (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "reason", F.lit(0.5).alias("confidence"), "status", F.lit(None).cast("string").alias("note"))
+    return _number(S.read_cuts(f.spark, stored(f, "cuts", _documents(f.cuts, ["cut_id"], item, "cuts")))).select("project_id", "cut_id", "start_ms", "end_ms", "reason", "status")
+
+
+@query("""SELECT project_id, 'own ' || project_id AS preset, v.field, CASE v.field WHEN 'fontsize' THEN CAST(20 + project_id % 40 AS VARCHAR) ELSE v.value END AS value
+ FROM projects, (VALUES ('fontname', 'Own'), ('fontsize', ''), ('bold', 'true'), ('outline', '2.5'), ('primary_colour', '&H00112233')) v(field, value)""")
+def s06_styles(f: Fleet) -> DataFrame:
+    preset = F.struct(F.lit("Own").alias("fontname"), (F.lit(20) + F.col("project_id") % 40).cast("int").alias("fontsize"), F.lit(True).alias("bold"), F.lit(2.5).alias("outline"), F.lit("&H00112233").alias("primary_colour"))
+    docs = f.projects.select("project_id", F.to_json(F.struct(F.create_map(F.concat(F.lit("own "), "project_id"), preset).alias("presets"))).alias("document"))
+    return _number(S.read_styles(f.spark, stored(f, "styles", docs)).select("project_id", "preset", F.explode("fields").alias("field", "value")))
+
+
+@query("SELECT project_id, idx, text, style_preset, segment_id, start_ms, duration_ms FROM telops")
+def s06_telops(f: Fleet) -> DataFrame:
+    item = F.struct("text", "style_preset", "segment_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("duration_ms") / 1000.0).alias("duration"), "idx")
+    rows = _documents(f.telops, ["idx"], item.dropFields("idx"), "telops")
+    back = _number(S.read_telops(f.spark, stored(f, "telops", rows)))
+    number = f.telops.select("project_id", "idx", (F.row_number().over(Window.partitionBy("project_id").orderBy("idx")) - 1).alias("k"))
+    return back.withColumnRenamed("idx", "k").join(number, ["project_id", "k"]).select("project_id", "idx", "text", "style_preset", "segment_id", "start_ms", "duration_ms")
+
+
+@query("SELECT project_id, CASE WHEN project_id % 2 = 0 THEN CAST(-60.5 - project_id % 9 AS DOUBLE) ELSE CAST(-50.25 AS DOUBLE) END AS before_rms_db, CASE WHEN project_id % 3 <> 0 THEN CAST(-70.5 AS DOUBLE) END AS after_rms_db, duration_ms AS silence_ms FROM projects")
+def s07_noise_floors(f: Fleet) -> DataFrame:
+    """Both shapes of the document: flat in even projects, an object each in odd ones."""
+    even, after = F.col("project_id") % 2 == 0, F.when(F.col("project_id") % 3 != 0, F.lit(-70.5))
+    flat = F.struct((F.col("duration_ms") / 1000.0).alias("silence_sec"), (F.lit(-60.5) - F.col("project_id") % 9).alias("before_rms_db"), after.alias("after_rms_db"))
+    nested = F.struct((F.col("duration_ms") / 1000.0).alias("silence_sec"), F.struct(F.lit(-50.25).alias("rms_db")).alias("before"), F.struct(after.alias("rms_db")).alias("after"))
+    docs = f.projects.select("project_id", F.when(even, F.to_json(flat)).otherwise(F.to_json(nested)).alias("document"))
+    return _number(S.read_noise_floor(f.spark, stored(f, "noise_floor", docs)).select("project_id", "before_rms_db", "after_rms_db", "silence_ms"))
+
+
+@query("SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY turn) - 1 AS INT) AS ord, start_ms / 1000.0 AS start_s, end_ms / 1000.0 AS end_s, text FROM segments".replace("start_ms / 1000.0", "CAST(start_ms AS DOUBLE) / 1000.0").replace("end_ms / 1000.0", "CAST(end_ms AS DOUBLE) / 1000.0"))
+def s08_recogniser_output(f: Fleet) -> DataFrame:
+    """Both shapes: offsets in milliseconds in even projects, seconds in odd ones."""
+    a = F.struct(F.struct(F.col("start_ms").alias("from"), F.col("end_ms").alias("to")).alias("offsets"), "text")
+    b = F.struct((F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text")
+    even = _documents(f.segments.filter("project_id % 2 = 0"), ["turn"], a, "transcription")
+    odd = _documents(f.segments.filter("project_id % 2 <> 0"), ["turn"], b, "segments", F.lit("other").alias("engine"))
+    out = _number(S.read_raw_segments(f.spark, stored(f, "recogniser", even.unionByName(odd))))
+    return out.select("project_id", F.col("ord").cast("int").alias("ord"), "start_s", "end_s", "text")
+
+
+@query("SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY start_ms, end_ms) - 1 AS INT) AS ord, start_ms // 30 AS \"offset\", end_ms // 30 - start_ms // 30 AS dur FROM speech_regions")
+def s09_edit_lists(f: Fleet) -> DataFrame:
+    start, end = F.expr("start_ms div 30"), F.expr("end_ms div 30")
+    clip = F.struct(F.lit("audio").alias("name"), F.lit("a.wav").alias("src"), F.lit(0).alias("start"), (end - start).alias("dur"), start.alias("offset"), F.lit(0).alias("stream"))
+    clips = F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", clip.alias("x")))), lambda r: r["x"])
+    none = F.expr("cast(array() as array<array<string>>)")
+    doc = F.struct(F.lit("3").alias("version"), F.lit("30/1").alias("timebase"), F.lit("#000").alias("background"), F.array(F.lit(1920), F.lit(1080)).alias("resolution"), F.lit(48000).alias("samplerate"), F.lit("stereo").alias("layout"), none.alias("v"), F.array(F.col("c")).alias("a"))
+    docs = f.regions.groupBy("project_id").agg(clips.alias("c")).select("project_id", F.to_json(doc).alias("document"))
+    return _number(S.read_edl(f.spark, stored(f, "edl", docs)).select("project_id", F.col("ord").cast("int").alias("ord"), "offset", "dur"))
+
+
+@query("SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY ord, segment_id) - 1 AS INT) AS ord, segment_id, text FROM patches")
+def s17_patches(f: Fleet) -> DataFrame:
+    docs = _documents(f.patches, ["ord", "segment_id"], F.struct("segment_id", "text"), "edits")
+    return _number(S.read_patches(f.spark, stored(f, "patch", docs)).select("project_id", F.col("ord").cast("int").alias("ord"), "segment_id", "text"))
+
+
+@query("SELECT project_id, CAST(CASE WHEN project_id % 4 = 1 THEN 2 ELSE 0 END AS INT) AS warnings, CASE WHEN project_id % 4 = 1 THEN 'late ' || project_id END AS first, CASE WHEN project_id % 2 = 0 THEN CAST(project_id AS VARCHAR) END AS cer FROM projects")
+def s18_run_archives(f: Fleet) -> DataFrame:
+    warnings = F.when(F.col("project_id") % 4 == 1, F.array(F.concat(F.lit("late "), "project_id"), F.lit("b")))
+    check = F.when(F.col("project_id") % 2 == 0, F.struct(F.col("project_id").alias("cer")))
+    stages = F.struct(F.struct(F.struct(check.alias("verify_asr")).alias("result")).alias("render"))
+    docs = f.projects.select("project_id", F.to_json(F.struct(F.struct(warnings.alias("warnings")).alias("run"), stages.alias("stages"))).alias("document"))
+    runs = S.read_runs(f.spark, stored(f, "runs", docs))
+    return runs.select(F.regexp_extract("run", r"(\d+)$", 1).cast("bigint").alias("project_id"), F.size("warnings").alias("warnings"), F.try_element_at("warnings", F.lit(1)).alias("first"), F.get_json_object("verify_asr", "$.cer").alias("cer"))
+
+
+@query("SELECT project_id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text FROM segments GROUP BY project_id")
+def s19_reference_texts(f: Fleet) -> DataFrame:
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "\n")
+    return _number(S.read_texts(f.spark, stored(f, "texts", f.segments.groupBy("project_id").agg(listed.alias("document")))))
+
+
+@query("SELECT project_id, sha256(encode(string_agg(text, chr(10) ORDER BY turn) || chr(10))) AS found FROM segments GROUP BY project_id")
 def s21_fingerprints(f: Fleet) -> DataFrame:
-    """The digest that the media reader computes, here over the bytes of each document."""
-    return f.table("documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("found"))
+    """Digests of a file per project, read by blocks."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "\n")
+    files = S.source_hashes(f.spark, stored(f, "media", f.segments.groupBy("project_id").agg(listed.alias("document"))))
+    return _number(files.select(S.project_of(F.col("path")).alias("project_id"), "found"))

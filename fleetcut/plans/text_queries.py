@@ -13,7 +13,9 @@ from fleetcut.operators import verify as V
 from fleetcut.plans.fixtures import Fleet
 from fleetcut.plans.register import query
 from fleetcut.plans.speech_queries import words
+from fleetcut.plans.stored import stored
 from fleetcut.plans.timeline_queries import FILED, MAPPED, MERGED, filed, merged, segments
+from fleetcut.sources import tables as S
 
 _ASCII = "regexp_replace(text, '[^a-zA-Z ]', '', 'g')"
 
@@ -57,20 +59,38 @@ def h03_normalise_reading(f: Fleet) -> DataFrame:
 
 #: Letter groups of the generated prose in place of misheard names: (correct, misheard, confidence).
 DICTIONARY = [("THE", ["thea", "thed"], "always"), ("tion", ["tian"], "always"), ("and", ["ond", "annd"], "context"), ("oui", ["ou"], "always")]
-_TOKENS = "regexp_extract_all(text, 'annd|thea|thed|tian|tion|THE|and|ond|oui|ou|[\\s\\S]')"
+_TOKENS = "regexp_extract_all(text, 'annd|thea|thed|tian|ond|ou|[\\s\\S]')"
+
+
+def dictionary(f: Fleet) -> DataFrame:
+    """The entries as a document of each project, written and read again; every third project has one entry less."""
+    rows = f.spark.createDataFrame([(i, *e) for i, e in enumerate(DICTIONARY)], "ord int, correct string, misrecognized array<string>, confidence string")
+    own = f.projects.select("project_id").join(rows, F.expr("project_id % 3 <> 0 OR ord <> 3"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("ord", "correct", "misrecognized", "confidence"))), lambda e: e.dropFields("ord"))
+    docs = own.groupBy("project_id").agg(F.to_json(F.struct(entries.alias("entries"))).alias("document"))
+    return S.read_asr_dict(f.spark, stored(f, "asr_dict", docs)).withColumn("project_id", F.col("project_id").cast("bigint"))
+
+
+#: Pieces of each project's texts by its own dictionary: where a project lacks the last entry, its word is two letters.
+_PIECES = f"t AS (SELECT project_id, segment_id, text, CASE WHEN project_id % 3 = 0 THEN regexp_extract_all(text, 'annd|thea|thed|tian|ond|[\\s\\S]') ELSE {_TOKENS} END AS p FROM segments)"
 
 
 @query(
-    f"""+ t AS (SELECT project_id, segment_id, text, {_TOKENS} AS p FROM segments)
+    f"""+ {_PIECES}
  SELECT project_id, segment_id, array_to_string(list_transform(p, lambda x: CASE x WHEN 'thea' THEN 'THE' WHEN 'thed' THEN 'THE' WHEN 'tian' THEN 'tion' WHEN 'ou' THEN 'oui' ELSE x END), '') AS new_text,
  CAST(len(list_filter(p, lambda x: x IN ('thea', 'thed', 'tian', 'ou'))) AS BIGINT) AS applied, CAST(len(list_filter(p, lambda x: x IN ('annd', 'ond'))) AS BIGINT) AS reported FROM t"""
 )
 def h05_surface(f: Fleet) -> DataFrame:
-    out = K.apply_surface(f.segments, DICTIONARY)
+    out = K.apply_surface(f.segments, dictionary(f))
     n = lambda ok: F.size(F.filter("hits", lambda h: h["applied"] == ok)).cast("bigint")
     return out.select("project_id", "segment_id", "new_text", n(True).alias("applied"), n(False).alias("reported"))
 
 
+@query("SELECT project_id, CAST(v.ord AS INT) AS ord, correct, confidence, CAST(v.n AS INT) AS n FROM projects, (VALUES (0, 'THE', 'always', 2), (1, 'tion', 'always', 1), (2, 'and', 'context', 2), (3, 'oui', 'always', 1)) v(ord, correct, confidence, n) WHERE project_id % 3 <> 0 OR v.ord <> 3")
+def s15_dictionaries(f: Fleet) -> DataFrame:
+    return dictionary(f).select("project_id", F.col("ord").cast("int").alias("ord"), "correct", "confidence", F.size("misrecognized").alias("n"))
+
+
 def tokens(f: Fleet) -> DataFrame:
     """Words and gaps of each segment with a made-up reading: a word's lower-case letters; gaps have none."""
     parts = F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0))
@@ -91,18 +111,18 @@ def h06_readings(f: Fleet) -> DataFrame:
 
 @query()
 def h07_correct(f: Fleet) -> DataFrame:
-    return K.correct_segments(f.segments, DICTIONARY, tokens(f), readings(f)).select("project_id", "segment_id", "new_text", F.size("hits").cast("bigint").alias("hits"))
+    return K.correct_segments(f.segments, dictionary(f), tokens(f), readings(f)).select("project_id", "segment_id", "new_text", F.size("hits").cast("bigint").alias("hits"))
 
 
 @query()
 def a15_correction_summary(f: Fleet) -> DataFrame:
-    return K.correction_summary(K.correct_segments(f.segments, DICTIONARY, tokens(f), readings(f)))
+    return K.correction_summary(K.correct_segments(f.segments, dictionary(f), tokens(f), readings(f)))
 
 
-@query(f"""+ t AS (SELECT project_id, segment_id, text, {_TOKENS} AS p FROM segments), u AS (SELECT *, array_to_string(list_transform(p, lambda x: CASE x WHEN 'thea' THEN 'THE' WHEN 'thed' THEN 'THE' WHEN 'tian' THEN 'tion' WHEN 'ou' THEN 'oui' ELSE x END), '') AS n FROM t)
+@query(f"""+ {_PIECES}, u AS (SELECT *, array_to_string(list_transform(p, lambda x: CASE x WHEN 'thea' THEN 'THE' WHEN 'thed' THEN 'THE' WHEN 'tian' THEN 'tion' WHEN 'ou' THEN 'oui' ELSE x END), '') AS n FROM t)
  SELECT project_id, segment_id, CAST(len(list_filter(p, lambda x: x IN ('thea', 'thed', 'tian', 'ou') OR (x IN ('annd', 'ond') AND contains(n, x)))) AS BIGINT) AS pending FROM u""")
 def h20_pending(f: Fleet) -> DataFrame:
-    return K.pending_hits(K.apply_surface(f.segments, DICTIONARY)).select("project_id", "segment_id", F.size("hits").cast("bigint").alias("pending"))
+    return K.pending_hits(K.apply_surface(f.segments, dictionary(f))).select("project_id", "segment_id", F.size("hits").cast("bigint").alias("pending"))
 
 
 @query(f"SELECT doc_id, CAST(0.5 AS DOUBLE) * (length(text) + length(regexp_replace({_WITH_KANA}, '[^{_KANA}]', '', 'g'))) AS width FROM documents")
@@ -227,13 +247,13 @@ def s20_srt_entries(f: Fleet) -> DataFrame:
     return U.parse_srt(U.srt_documents(entries(f)))
 
 
-_PRESETS = {"default": {"font": "Sans", "size": "48"}, "emphasis": {"size": "64", "bold": "-1"}, "chapter": {"alignment": "8"}}
+_PRESETS = {"default": {"fontname": "Sans", "fontsize": "48"}, "emphasis": {"fontsize": "64", "bold": "-1"}, "chapter": {"alignment": "8"}}
 
 
-_DEFAULTS = {"font": "Serif", "size": "40", "bold": "0"}
+_DEFAULTS = {"fontname": "Serif", "fontsize": "40", "bold": "0"}
 #: What projects say of their own styles: every third changes a packaged preset, every fourth adds one of its own, which telops name.
-_OWN = """SELECT project_id, 'default' AS preset, 'size' AS field, CAST(20 + project_id % 40 AS STRING) AS value FROM {projects} WHERE project_id % 3 = 1
- UNION ALL SELECT project_id, 'missing', 'font', concat('Own', CAST(project_id AS STRING)) FROM {projects} WHERE project_id % 4 = 0"""
+_OWN = """SELECT project_id, 'default' AS preset, 'fontsize' AS field, CAST(20 + project_id % 40 AS STRING) AS value FROM {projects} WHERE project_id % 3 = 1
+ UNION ALL SELECT project_id, 'missing', 'fontname', concat('Own', CAST(project_id AS STRING)) FROM {projects} WHERE project_id % 4 = 0"""
 
 
 def presets(f: Fleet) -> DataFrame:
@@ -241,34 +261,45 @@ def presets(f: Fleet) -> DataFrame:
     return U.merge_styles(_PRESETS, own, f.projects, _DEFAULTS)
 
 
-@query(MAPPED + """, ok AS (SELECT project_id, v.preset FROM projects, (VALUES ('default'), ('emphasis'), ('chapter')) v(preset) UNION SELECT project_id, 'missing' FROM projects WHERE project_id % 4 = 0), tot AS (SELECT p.project_id, p.duration_ms - coalesce(sum(m.end_ms - m.start_ms), 0) AS cd FROM projects p LEFT JOIN merged m ON m.project_id = p.project_id GROUP BY p.project_id, p.duration_ms),
- r AS (SELECT t.project_id, t.idx, t.segment_id, EXISTS (SELECT 1 FROM ok WHERE ok.project_id = t.project_id AND ok.preset = t.style_preset) AS styled, e.start_ms AS m0, e.end_ms AS m1, tot.cd, t.duration_ms,
+_TELOPS = MAPPED + """, ok AS (SELECT project_id, v.preset FROM projects, (VALUES ('default'), ('emphasis'), ('chapter')) v(preset) UNION SELECT project_id, 'missing' FROM projects WHERE project_id % 4 = 0), tot AS (SELECT p.project_id, p.duration_ms - coalesce(sum(m.end_ms - m.start_ms), 0) AS cd FROM projects p LEFT JOIN merged m ON m.project_id = p.project_id GROUP BY p.project_id, p.duration_ms),
+ r AS (SELECT t.project_id, t.idx, t.segment_id, t.text, t.style_preset, EXISTS (SELECT 1 FROM ok WHERE ok.project_id = t.project_id AND ok.preset = t.style_preset) AS styled, e.start_ms AS m0, e.end_ms AS m1, tot.cd, t.duration_ms,
  t.start_ms - coalesce((SELECT sum(greatest(0, least(m.end_ms, t.start_ms) - m.start_ms)) FROM merged m WHERE m.project_id = t.project_id AND m.start_ms < t.start_ms), 0) AS f0
  FROM telops t JOIN tot ON tot.project_id = t.project_id LEFT JOIN entries e ON e.project_id = t.project_id AND e.segment_id = t.segment_id)
- SELECT project_id, idx, CAST(CASE WHEN segment_id IS NOT NULL THEN m0 ELSE f0 END AS BIGINT) AS show_ms, CAST(CASE WHEN segment_id IS NOT NULL THEN m1 ELSE least(f0 + duration_ms, cd) END AS BIGINT) AS hide_ms,
- CASE WHEN NOT styled THEN 'unknown preset' WHEN segment_id IS NOT NULL AND m0 IS NULL THEN 'removed by cut' WHEN segment_id IS NULL AND f0 >= least(f0 + duration_ms, cd) THEN 'nothing to show' END AS problem FROM r""")
+"""
+_SHOWN = """CAST(CASE WHEN segment_id IS NOT NULL THEN m0 ELSE f0 END AS BIGINT) AS show_ms, CAST(CASE WHEN segment_id IS NOT NULL THEN m1 ELSE least(f0 + duration_ms, cd) END AS BIGINT) AS hide_ms,
+ CASE WHEN NOT styled THEN 'unknown preset' WHEN segment_id IS NOT NULL AND m0 IS NULL THEN 'removed by cut' WHEN segment_id IS NULL AND f0 >= least(f0 + duration_ms, cd) THEN 'nothing to show' END AS problem"""
+_TELOPS_SHOWN = f"{_TELOPS}, shown AS (SELECT project_id, idx, text, style_preset, {_SHOWN} FROM r)"
+
+
+@query(f"{_TELOPS} SELECT project_id, idx, {_SHOWN} FROM r")
 def j35_resolve_telops(f: Fleet) -> DataFrame:
     mapped, _ = T.map_segments(segments(f), T.approved(f.cuts))
     return U.resolve_telops(f.telops, mapped, f.segments, presets(f), merged(f), f.projects).select("project_id", "idx", "show_ms", "hide_ms", "problem")
 
 
 @query("""+ own AS (""" + _OWN.format(projects="projects") + """), p AS (SELECT project_id, v.* FROM projects, (VALUES ('default', '48', 'Sans', NULL), ('emphasis', '64', NULL, '-1'), ('chapter', NULL, NULL, NULL)) v(preset, size, font, bold))
- SELECT coalesce(p.project_id, o.project_id) AS project_id, coalesce(p.preset, o.preset) AS preset, coalesce(CASE WHEN o.field = 'size' THEN o.value END, p.size, '40') AS size,
- coalesce(CASE WHEN o.field = 'font' THEN o.value END, p.font, 'Serif') AS font, coalesce(p.bold, '0') AS bold FROM p FULL JOIN own o ON o.project_id = p.project_id AND o.preset = p.preset""")
+ SELECT coalesce(p.project_id, o.project_id) AS project_id, coalesce(p.preset, o.preset) AS preset, coalesce(CASE WHEN o.field = 'fontsize' THEN o.value END, p.size, '40') AS size,
+ coalesce(CASE WHEN o.field = 'fontname' THEN o.value END, p.font, 'Serif') AS font, coalesce(p.bold, '0') AS bold FROM p FULL JOIN own o ON o.project_id = p.project_id AND o.preset = p.preset""")
 def j36_merge_styles(f: Fleet) -> DataFrame:
-    return presets(f).select("project_id", "preset", *[F.col("fields")[k].alias(k) for k in ("size", "font", "bold")])
+    return presets(f).select("project_id", "preset", F.col("fields")["fontsize"].alias("size"), F.col("fields")["fontname"].alias("font"), F.col("fields")["bold"].alias("bold"))
 
 
-def ass_styles(f: Fleet) -> DataFrame:
-    names = {"font": "Fontname", "size": "Fontsize", "bold": "Bold"}
-    return presets(f).withColumn("fields", F.map_from_arrays(F.array(*map(F.lit, names.values())), F.array(*[F.col("fields")[k] for k in names])))
+_ASS_TIME = "CAST({t} // 3600000 AS VARCHAR) || ':' || lpad(CAST(({t} // 60000) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({t} // 1000) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(({t} % 1000) // 10 AS VARCHAR), 2, '0')"
 
 
-@query()
+@query(_TELOPS_SHOWN + f""", own AS ({_OWN.format(projects="projects")}), packed AS (SELECT project_id, v.* FROM projects, (VALUES ('default', '48', 'Sans', '0', '2'), ('emphasis', '64', 'Serif', '-1', '2'), ('chapter', '40', 'Serif', '0', '8')) v(preset, size, font, bold, alignment)),
+ styles AS (SELECT coalesce(p.project_id, o.project_id) AS project_id, coalesce(p.preset, o.preset) AS preset, 'Style: ' || coalesce(p.preset, o.preset) || ',' || coalesce(CASE WHEN o.field = 'fontname' THEN o.value END, p.font, 'Serif') || ','
+  || coalesce(CASE WHEN o.field = 'fontsize' THEN o.value END, p.size, '40') || ',&H00FFFFFF,&H000000FF,&H00000000,&H00000000,' || coalesce(p.bold, '0') || ',0,0,0,100,100,0,0,1,2,0,' || coalesce(p.alignment, '2') || ',10,10,10,1' AS line
+  FROM packed p FULL JOIN own o ON o.project_id = p.project_id AND o.preset = p.preset),
+ events AS (SELECT project_id, idx, 'Dialogue: ' || idx || ',' || {_ASS_TIME.format(t="show_ms")} || ',' || {_ASS_TIME.format(t="hide_ms")} || ',' || style_preset || ',,0,0,0,,' || text AS line FROM shown WHERE problem IS NULL)
+ SELECT project_id, '[Script Info]' || chr(10) || 'ScriptType: v4.00+' || chr(10) || 'PlayResX: 1920' || chr(10) || 'PlayResY: 1080' || chr(10) || chr(10) || '[V4+ Styles]' || chr(10)
+ || 'Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding' || chr(10)
+ || (SELECT string_agg(line, chr(10) ORDER BY preset) FROM styles s WHERE s.project_id = p.project_id) || chr(10) || chr(10) || '[Events]' || chr(10) || 'Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text' || chr(10)
+ || coalesce((SELECT string_agg(line, chr(10) ORDER BY idx) FROM events e WHERE e.project_id = p.project_id), '') AS document FROM projects p""")
 def k03_ass_documents(f: Fleet) -> DataFrame:
     mapped, _ = T.map_segments(segments(f), T.approved(f.cuts))
     shown = U.resolve_telops(f.telops, mapped, f.segments, presets(f), merged(f), f.projects).filter("problem is null")
-    return U.ass_documents(shown, ass_styles(f), f.projects.select("project_id", F.lit(1920).alias("width"), F.lit(1080).alias("height")))
+    return U.ass_documents(shown, presets(f), f.projects.select("project_id", F.lit(1920).alias("width"), F.lit(1080).alias("height")))
 
 
 # The re-transcription check

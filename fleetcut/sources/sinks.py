@@ -1,7 +1,8 @@
-"""Writers: gated tables in versions, subtitle files and documents, archived runs."""
+"""Writers: gated tables and documents in versions that only one writer can add, archived runs."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,52 +14,116 @@ from fleetcut.operators.intervals import PID
 _CURRENT = "_current"
 
 
+class PublishConflict(RuntimeError):
+    """Somebody else has published since this writer looked."""
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a local one only where all tasks run on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = getattr(spark, "_fleetcut_stored", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark._fleetcut_stored = path
+    return f"{path.rstrip('/')}/fleetcut-stored-{spark.sparkContext.applicationId}"
+
+
+def _marks(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The switches of a published table, (number, version) in order. One whose writer has not yet said its version counts for no reader."""
+    fs, at = _fs(spark, path)
+    found = sorted((int(name.split(".")[1]), x.getPath(), x.getLen()) for x in (fs.listStatus(at(path)) if fs.exists(at(path)) else []) if (name := x.getPath().getName()).startswith(f"{_CURRENT}."))
+    out = []
+    for number, p, size in found:
+        version = ""
+        if size:
+            stream = fs.open(p)
+            try:
+                version = bytes(stream.readNBytes(200)).decode()
+            finally:
+                stream.close()
+        out.append((number, version))
+    return out
+
+
+def current_number(spark: SparkSession, path: str) -> int:
+    """How often the table has been published; a writer that builds on what it reads gives this number to publish."""
+    return max([0, *(n for n, _ in _marks(spark, path))])
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The version that readers of a published table see; null before the first."""
-    fs, at = _fs(spark, path)
-    names = sorted(x.getPath().getName() for x in fs.listStatus(at(path))) if fs.exists(at(path)) else []
-    done = [n for n in names if n.startswith(_CURRENT)]
-    return done[-1].split(".", 2)[2] if done else None
+    done = [v for _, v in _marks(spark, path) if v]
+    return done[-1] if done else None
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a published table."""
+    """The current version of a published table or of published documents."""
     version = current_version(spark, path)
     if version is None:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.text(f"{path}/{version}", wholetext=True) if version.startswith("documents") else spark.read.parquet(f"{path}/{version}")
 
 
-def publish(df: DataFrame, path: str, *gates: DataFrame, partition_by: str | None = None, mode: str = "gate") -> None:
-    """Write a table only if its gates are empty, as a new version beside the old one, then switch to it.
+def _commit(spark: SparkSession, path: str, kind: str, write, base: int | None) -> None:
+    """Write a version and switch to it, if nobody has switched since number `base`.
 
-    The switch is one empty file, _current.<number>.<version>, made when all data are in place: readers take the highest number, so they see
-    the old version whole or the new one whole, also if a job fails half-way. Versions before the last two are removed.
+    The switch is the file _current.<base + 1>, which can be made only once and holds the version's name: of two writers that saw the same number the
+    second is refused, and its version removed. Readers take the highest number, so they see one version whole or the next whole. The store must
+    create files exclusively, as HDFS and local disks do. Versions before the last two are removed.
     """
+    fs, at = _fs(spark, path)
+    number = (current_number(spark, path) if base is None else base) + 1
+    version = f"{kind}-{uuid.uuid4().hex}"
+    try:
+        write(f"{path}/{version}")
+        if current_number(spark, path) >= number:
+            raise PublishConflict(f"{path}: version {number} is there already")
+        try:
+            out = fs.create(at(f"{path}/{_CURRENT}.{number:010d}"), False)
+        except Exception as e:  # the gateway has one type for all of Java's exceptions
+            if fs.exists(at(f"{path}/{_CURRENT}.{number:010d}")):
+                raise PublishConflict(f"{path}: version {number} is there already") from e
+            raise
+        out.write(bytearray(version.encode()))
+        out.close()
+    except BaseException:
+        fs.delete(at(f"{path}/{version}"), True)
+        raise
+    for n, old in _marks(spark, path)[:-2]:
+        if old:
+            fs.delete(at(f"{path}/{old}"), True)
+        fs.delete(at(f"{path}/{_CURRENT}.{n:010d}"), False)
+
+
+def publish(df: DataFrame, path: str, *gates: DataFrame, partition_by: str | None = None, mode: str = "gate", base: int | None = None) -> None:
+    """Write a table only if its gates are empty, as a new version beside the old one, then switch to it; a writer that somebody has overtaken since it read
+    number `base` (or since it began) gets PublishConflict and leaves nothing behind."""
+    if base is None:
+        base = current_number(df.sparkSession, path)
     if gates:
         assert_gates(*gates, mode=mode)
-    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{path}/{version}")
-    fs, at = _fs(spark, path)
-    marks = sorted(x.getPath().getName() for x in fs.listStatus(at(path)) if x.getPath().getName().startswith(_CURRENT))
-    number = int(marks[-1].split(".", 2)[1]) + 1 if marks else 1
-    fs.create(at(f"{path}/{_CURRENT}.{number:010d}.{version}"), False).close()
-    for old in marks[:-1]:
-        fs.delete(at(f"{path}/{old}"), False)
-        fs.delete(at(f"{path}/{old.split('.', 2)[2]}"), True)
+    _commit(df.sparkSession, path, "version", (writer.partitionBy(partition_by) if partition_by else writer).parquet, base)
+
+
+def publish_documents(documents: DataFrame, path: str, *gates: DataFrame, mode: str = "gate", base: int | None = None) -> None:
+    """publish for documents (project_id, document): a version has one text file per project under project_id=..."""
+    if base is None:
+        base = current_number(documents.sparkSession, path)
+    if gates:
+        assert_gates(*gates, mode=mode)
+    _commit(documents.sparkSession, path, "documents", lambda at: write_documents(documents, at), base)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One text file per project under project_id=..., each from one row (project_id, document)."""
-    documents.select(PID, F.col("document").alias("value")).write.mode("overwrite").partitionBy(PID).text(path)
+    """One text file per project under project_id=..., each from one row (project_id, document), into a folder that is not there yet."""
+    documents.select(PID, F.col("document").alias("value")).write.mode("errorifexists").partitionBy(PID).text(path)
 
 
 def archive_run(documents: DataFrame, path: str) -> None:
