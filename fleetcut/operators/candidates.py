@@ -154,26 +154,6 @@ def segments_over_silence(segments: DataFrame, cuts: DataFrame, spoken: DataFram
     return both.select(PID, "segment_id", (F.col("claimed") - F.col("real_ms")).alias("over_ms")).filter(F.col("over_ms") > MAX_SPEECH_MS)
 
 
-def speech_overlaps(cuts: DataFrame, spoken: DataFrame) -> DataFrame:
-    """Speech that each silence cut would remove."""
-    c = cuts.filter("reason = 'silence'")
-    pairs = range_join(c, spoken, "left")
-    part = F.when(F.col("b_start_ms").isNotNull(), overlap(*map(F.col, ("start_ms", "end_ms", "b_start_ms", "b_end_ms"))))
-    over = F.coalesce(F.sum(part), F.lit(0)).cast("bigint")
-    return pairs.groupBy(PID, "cut_id").agg(over.alias("speech_ms"))
-
-
-def segments_over_silence(segments: DataFrame, cuts: DataFrame, spoken: DataFrame) -> DataFrame:
-    """Segments that claim over 0.2 s more of the silence cuts than speech is found there."""
-    quiet = cuts.filter("reason = 'silence'").select(PID, "start_ms", "end_ms")
-    s = segments.select(PID, "segment_id", "start_ms", "end_ms")
-    claimed = range_join(s, quiet).groupBy(PID, "segment_id").agg(F.sum(overlap(*map(F.col, ("start_ms", "end_ms", "b_start_ms", "b_end_ms")))).alias("claimed"))
-    touching = range_join(s, spoken).select(PID, "segment_id", F.col("b_start_ms").alias("start_ms"), F.col("b_end_ms").alias("end_ms"))
-    real = range_join(touching, quiet).groupBy(PID, "segment_id").agg(F.sum(overlap(*map(F.col, ("start_ms", "end_ms", "b_start_ms", "b_end_ms")))).alias("real"))
-    over = F.col("claimed") - F.coalesce("real", F.lit(0))
-    return claimed.join(real, [PID, "segment_id"], "left").select(PID, "segment_id", over.cast("bigint").alias("over_ms")).filter(F.col("over_ms") > MAX_SPEECH_MS)
-
-
 def detect_summary(existing: DataFrame, candidates: DataFrame, merged: DataFrame, resolved: DataFrame, spoken: DataFrame) -> DataFrame:
     """Per project: what was found, in all and by reason, what became of it, the range of ids in use and the next one, and the most speech that a
     silence cut takes."""

@@ -64,7 +64,8 @@ def strange_keys(value: Column, kind: T.DataType, path: str = "", free: tuple[st
 
 def checked_documents(spark: SparkSession, glob: str, shape: Shape) -> DataFrame:
     """One row per document: its project, path, the fields that are read, and `problem`, null if it is as its shape says. One scan; what a document holds
-    never becomes part of the plan, so a fleet may have as many names of presets or stages as it likes."""
+    never becomes part of the plan, so a fleet may have as many names of presets or stages as it likes. A file of no bytes is not there for Spark's file
+    index and counts as missing."""
     fields = T.StructType.fromDDL(shape.schema).add("_corrupt_record", T.StringType())
     raw = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     doc = raw.select(project_of(F.col("path")).alias(PID), "path", F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"), F.try_parse_json("value").alias("v"))

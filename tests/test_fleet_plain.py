@@ -157,7 +157,7 @@ def test_readings_and_corrections(spark, fleet):
 
 def test_every_query_is_compared():
     here = {
-        "j22_resolve_overlaps", "a04_detect_summary", "g26_artifacts", "k03_ass_documents", "k04_statistics_documents", "h10_wrap", "h13_missing_hunks", "h14_alignment_cer",
+        "j22_resolve_overlaps", "a04_detect_summary", "g26_artifacts", "k04_statistics_documents", "h10_wrap", "h13_missing_hunks", "h14_alignment_cer",
         "j32_flag_boundaries", "a20_verify_summary", "g22_flags", "h06_readings", "h07_correct", "a15_correction_summary",
     }
     elsewhere = {"h12_edit_counts", "h16_without_fillers", "j27_filler_spans", "j28_trim_candidates", "j29_filler_candidates"}  # tests/test_text.py

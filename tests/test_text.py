@@ -16,6 +16,12 @@ from fleetcut.operators import verify as V
 SEG = "project_id long, segment_id string, ord long, start_ms long, end_ms long, text string"
 
 
+def entries(spark, rows, project=None):
+    kind = "ord int, correct string, misrecognized array<string>, confidence string"
+    listed = [(i, *r) for i, r in enumerate(rows)]
+    return spark.createDataFrame(listed, kind) if project is None else spark.createDataFrame([(project, *r) for r in listed], f"project_id long, {kind}")
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "t string").select(f(F.col("t"))).collect()[0][0]
 
@@ -72,11 +78,60 @@ def test_filler_cuts(spark):
 
 def test_surface_keeps_what_is_right_and_reports_context(spark):
     df = spark.createDataFrame([(1, "s1", 0, 0, 1, "クロードコードとクラウド、クロード コード")], SEG)
-    r = K.apply_surface(df, [("CC", ["クロードコード", "クロード コード"], "always"), ("C", ["クラウド", "クロード"], "context")]).collect()[0]
+    r = K.apply_surface(df, entries(spark, [("CC", ["クロードコード", "クロード コード"], "always"), ("C", ["クラウド", "クロード"], "context")])).collect()[0]
     assert r.new_text == "CCとクラウド、CC"
     assert [(h.matched, h.applied) for h in r.hits] == [("クロードコード", True), ("クラウド", False), ("クロード コード", True)]
 
 
+def surface_plain(text, rows):
+    """Left to right, the longest misheard spelling at each place, earlier entries first; nothing is scanned again."""
+    patterns = sorted(((w, correct, sure) for correct, wrong, sure in rows for w in wrong if w), key=lambda x: -len(x[0]))
+    out, hits, i = "", [], 0
+    while i < len(text):
+        w, correct, sure = next((x for x in patterns if text.startswith(x[0], i)), (text[i], text[i], "always"))
+        out += correct if sure == "always" else w
+        if w != correct:
+            hits.append((w, correct, sure == "always"))
+        i += len(w)
+    return out, hits
+
+
+def test_correct_spellings_are_no_patterns(spark):
+    for rows, text, want in (([("abc", ["bcd"], "always")], "abcd", "aabc"), ([("ノート", ["ノオト"], "always"), ("note", ["ノート"], "always")], "ノートを書く", "noteを書く")):
+        r = K.apply_surface(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), entries(spark, rows)).first()
+        assert r.new_text == want == surface_plain(text, rows)[0] and len(r.hits) == 1
+
+
+def test_dictionaries_of_projects_and_of_many_entries(spark, monkeypatch):
+    from fleetcut.functions import matching as M
+
+    random.seed(13)
+    word = lambda: "".join(random.choice("abcd") for _ in range(random.randint(1, 5)))
+    texts = ["".join(word() for _ in range(random.randint(0, 12))) for _ in range(120)] + ["", "a" * 5000]
+    small = [(word().upper() if random.random() < 0.8 else word(), [word() for _ in range(random.randint(0, 3))] + [""] * (i % 4 == 0), random.choice(["always", "context"])) for i in range(12)]
+    other = [("X", ["ab", "abc"], "always"), ("Y", ["abc"], "always"), ("ab", ["ab"], "context")]
+    rows = [(i % 3, f"s{i}", i, 0, 1, t) for i, t in enumerate(texts)] + [(1, "null", 0, 0, 1, None)]
+    df = spark.createDataFrame(rows, SEG)
+
+    def check(out, of):
+        for r in out.collect():
+            if r.text is None:
+                assert r.new_text is None or r.new_text == ""
+                continue
+            assert (r.new_text, [tuple(h) for h in r.hits or []]) == surface_plain(r.text, of(r.project_id)), r.text
+
+    check(K.apply_surface(df, entries(spark, small)), lambda p: small)
+    both = entries(spark, small, 0).unionByName(entries(spark, other, 1))
+    check(K.apply_surface(df, both), lambda p: {0: small, 1: other}.get(p, []))
+    monkeypatch.setattr(M, "MAX_WORDS", 3)
+    check(K.apply_surface(df, entries(spark, small)), lambda p: small)
+    monkeypatch.undo()
+    many = [(f"<{i}>", [f"w{i:05d}"], "always") for i in range(10_000)]
+    r = K.apply_surface(spark.createDataFrame([(1, "s", 0, 0, 1, "w00007 and w09999w1")], SEG), entries(spark, many)).first()
+    assert r.new_text == "<7> and <9999>w1"
+    assert M.has_match(df, spark.createDataFrame([("aaaaa",), ("",)], "word string")).count() == sum("aaaaa" in t for t in texts)
+
+
 def test_reading_runs_are_longest_from_the_left(spark):
     toks = [("ク", "ク"), ("ロード", "ロード"), (" ", None), ("コード", "コード"), ("を", "ヲ"), ("クロード", "クロード")]
     rows, at = [], 0
@@ -101,10 +156,10 @@ def test_readings_follow_the_surface_pass(spark):
         at += len(w)
     t = spark.createDataFrame(rows, "project_id long, segment_id string, ord int, begin int, end int, surface string, reading string")
     d = spark.createDataFrame([("inthe", "IN-THE", 0), ("ofthe", "OF-THE", 1)], "reading string, correct string, rank int")
-    r = K.correct_segments(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), [("THE END", ["thea"], "always"), ("HOUSE", ["house"], "context")], t, d).first()
+    r = K.correct_segments(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), entries(spark, [("THE END", ["thea"], "always"), ("HOUSE", ["house"], "context")]), t, d).first()
     assert r.new_text == "THE END IN-THE house OF-THE IN-THE"
     assert [(h.matched, h.correct, h.applied) for h in r.hits] == [("thea", "THE END", True), ("house", "HOUSE", False), ("in the", "IN-THE", True), ("of the", "OF-THE", True), ("inthe", "IN-THE", True)]
-    plain = K.correct_segments(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), [("x", ["y"], "always")], t, d).first()
+    plain = K.correct_segments(spark.createDataFrame([(1, "s1", 0, 0, 1, text)], SEG), entries(spark, [("x", ["y"], "always")]), t, d).first()
     assert plain.new_text == "thea IN-THE house OF-THE IN-THE" and len(plain.hits) == 3
 
 
@@ -123,6 +178,21 @@ def test_styles_and_documents_are_each_project_s_own(spark):
     assert docs[1].count("\nStyle: ") == 2 and docs[2].count("\nStyle: ") == 3 and docs[1].count("\nFormat: ") == 2
 
 
+def test_stored_styles_reach_the_style_line(spark, tmp_path):
+    import json
+
+    from fleetcut.sources import tables as S
+
+    (tmp_path / "p1").mkdir()
+    own = {"fontname": "Own", "fontsize": 99, "bold": True, "primary_colour": "&H112233", "outline": 2.5, "shadow": 1.0, "spacing": 0, "margin_v": 7, "alignment": 9}
+    (tmp_path / "p1" / "styles.json").write_text(json.dumps({"version": "1", "presets": {"default": own, "bare": {}}}))
+    projects = spark.createDataFrame([("p1",)], "project_id string")
+    styles = U.merge_styles({"default": {"italic": "true"}}, S.read_styles(spark, f"{tmp_path}/*/styles.json"), projects, U.STYLE_DEFAULTS)
+    lines = {r.preset: r.line for r in U.style_lines(styles).collect()}
+    assert lines["default"] == "Style: default,Own,99,&H00112233,&H000000FF,&H00000000,&H00000000,-1,-1,0,0,100,100,0,0,1,2.5,1,9,40,40,7,1"
+    assert lines["bare"] == "Style: bare,Hiragino Sans W6,64,&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,3,0,8,40,40,60,1"
+
+
 def test_patches_are_all_or_nothing(spark):
     segs = spark.createDataFrame([(1, "s1", 0, 0, 1, "a"), (1, "s2", 1, 2, 3, "b"), (2, "s1", 0, 0, 1, "a")], SEG)
     edits = spark.createDataFrame([(1, "s1", "A"), (2, "s1", "B"), (2, "s7", "C")], "project_id long, segment_id string, text string")
@@ -223,7 +293,7 @@ def test_registered_queries_read_whole_texts(spark):
             want[d, r] = levenshtein(a, b)
     got = {(r.doc_id, r.run): r.substitutions + r.deletions + r.insertions for r in Q.h12_edit_counts(Tables()).collect()}
     assert got == want and max(r for _, r in got) == 6
-    assert {r.doc_id: len(r.reading or "") for r in Q.h03_normalise_reading(Tables()).collect()}[1] == sum(c in "abcdef" for c in texts[1])
+    assert {r.doc_id: len(r.reading or "") for r in Q.h03_normalise_reading(Tables()).collect()}[1] == sum(c in "aeiouAEIOU" for c in texts[1])
 
 
 def test_heard_texts_are_whole(spark, monkeypatch):
