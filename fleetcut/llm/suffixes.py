@@ -27,41 +27,66 @@ CHUNK, KEYS, BUCKET = 1 << 19, 1 << 21, 1 << 21
 COLLECTION, BLOCK, SPOOL = 12 << 20, 1 << 19, 4 << 20
 #: The place of a null id in the order of ids: the last.
 LAST = (1 << 63) - 1
-_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_A, _B, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _minima(raw: bytes, span: int) -> np.ndarray:
+    """For each window of `span` bytes the smallest hash of its k-mers."""
+    n = len(raw)
+    eights = np.ascontiguousarray(np.lib.stride_tricks.as_strided(np.frombuffer(raw + bytes(8), np.uint8), (n, 8), (1, 1))).view(np.uint64).ravel()
+    m = n - K + 1
+    h = eights[:m] * _A
+    for i in range(8, K, 8):
+        h ^= h >> np.uint64(29)
+        h += eights[i : i + m]
+        h *= _A
+    h ^= h >> np.uint64(32)
+    h *= _B
+    width, have = span - K + 1, 1
+    while have * 2 <= width:
+        h, have = np.minimum(h[:-have], h[have:]), have * 2
+    return np.minimum(h[: len(h) - width + have], h[width - have :]) if have < width else h
+
+
+def _runs(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows with the same anchor in a text: the text, the first window's place there, the number of windows (span - K + 1 at most), the
+    anchor's hash. All texts are hashed as one; windows across their borders do not count."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    if not len(texts) or ends[-1] < span:
+        none = np.empty(0, np.int64)
+        return none, none, none, none.view(np.uint64)
+    h = _minima(b"".join(texts), span)
+    fresh = np.empty(len(h), bool)
+    fresh[0] = True
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    borders = np.concatenate((ends - lengths, ends - span + 1))  # where the windows of a text begin, and those that cross its end
+    fresh[borders[(borders >= 0) & (borders < len(h))]] = True
+    at = np.flatnonzero(fresh)
+    count = np.diff(at, append=len(h))
+    which = np.searchsorted(ends, at, "right")
+    own = at + span <= ends[which]
+    at, count, which = at[own], count[own], which[own]
+    width = span - K + 1
+    if len(count) and count.max() > width:  # equal anchors in a row, as in white space: further pieces
+        n = -(-count // width)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, which, count = np.repeat(at, n) + width * step, np.repeat(which, n), np.minimum(np.repeat(count, n) - width * step, width)
+    return which, at - (ends - lengths)[which], count, h[at]
 
 
 def pieces(text: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with the same anchor: the first window's place, the number of windows (span - K + 1 at most), the anchor's hash. What anchor a
-    window has depends on its own bytes only; so long texts may be hashed in chunks."""
-    starts, counts, hashes = [], [], []
-    for lo in range(0, len(text) - span + 1, CHUNK):
-        part = text[lo : lo + CHUNK + span - 1]
-        n = len(part)
-        raw = np.frombuffer(part + bytes(8), np.uint8)
-        eights = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw, (n, 8), (1, 1))).view(np.uint64).ravel()
-        m = n - K + 1
-        h = eights[:m] * _A
-        for i in range(8, K, 8):
-            h ^= h >> np.uint64(29)
-            h += eights[i : i + m]
-            h *= _A
-        h ^= h >> np.uint64(32)
-        h *= _B
-        width, have = span - K + 1, 1
-        while have * 2 <= width:
-            h, have = np.minimum(h[:-have], h[have:]), have * 2
-        if have < width:
-            h = np.minimum(h[: len(h) - width + have], h[width - have :])
-        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        long = (np.diff(at, append=len(h)) - 1) // width  # equal anchors in a row, as in white space: further pieces
-        if long.any():
-            at = np.repeat(at, long + 1) + width * (np.arange(len(at) + long.sum()) - np.repeat(np.cumsum(long) - long + np.arange(len(at)), long + 1))
-        starts.append(at + lo)
-        counts.append(np.diff(at, append=len(h)))
-        hashes.append(h[at])
-    if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
+    """Place, windows and anchor's hash of each piece of a text. What anchor a window has depends on its own bytes only; so long texts are hashed in chunks."""
+    parts = [(lo, _runs([text[lo : lo + CHUNK + span - 1]], span)) for lo in range(0, max(1, len(text) - span + 1), CHUNK)]
+    return tuple(np.concatenate(x) for x in zip(*((at + lo, count, h) for lo, (_, at, count, h) in parts), strict=True))
+
+
+def anchored(texts: list[bytes], span: int):
+    """(text number, place, windows, anchor's hash) of the pieces of some texts: those of a slice together, long texts alone and in chunks."""
+    if sum(map(len, texts)) <= CHUNK:
+        return _runs(texts, span)
+    parts = [(i, pieces(t, span)) for i, t in enumerate(texts)]
+    return tuple(np.concatenate(x) for x in zip(*((np.full(len(p[0]), i), *p) for i, p in parts), strict=True))
 
 
 def _short(h: np.ndarray, bits: int) -> np.ndarray:
@@ -228,8 +253,7 @@ def earlier_windows(strings: list[bytes], first: np.ndarray, span: int = SPAN, b
 
 
 def _texts(batch: pa.RecordBatch, column: int):
-    for part in C.slices(batch, column, rows=4096, limit=4 << 20):
-        yield part
+    return C.slices(batch, column, rows=4096, limit=CHUNK)
 
 
 def _anchor_blocks(bits: int, span: int):
@@ -246,11 +270,12 @@ def _anchor_blocks(bits: int, span: int):
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                keys = np.unique(_short(pieces(text.as_py(), span)[2], bits))
-                if len(keys):
-                    held.append(keys)
-                    n += len(keys)
+            for part in _texts(batch, 0):
+                which, _, _, h = anchored(part.column(0).to_pylist(), span)
+                if len(h):
+                    _, once = np.unique(mix(h + which.astype(np.uint64) * _G), return_index=True)  # once for each text
+                    held.append(_short(h[once], bits))
+                    n += len(once)
                 if n >= KEYS:
                     yield out(held)
                     held, n = [], 0
@@ -313,18 +338,14 @@ def _candidates(bloom, bits: int, words: int, span: int):
         table = bloom.value
         for batch in batches:
             for part in _texts(batch, 2):
-                dids, hashes, raws = [], [], []
-                for did, text in zip(part.column(0).to_pylist(), part.column(2), strict=True):
-                    text = text.as_py()
-                    start, count, h = pieces(text, span)
-                    w, m = _bits(_short(h, bits), words)
-                    keep = np.flatnonzero((table[w] & m) == m)
-                    start, count = start[keep], count[keep]
-                    raws += [text[a:b] for a, b in zip(start.tolist(), (start + count + span - 1).tolist(), strict=True)]
-                    hashes.append(h[keep].view(np.int64))
-                    dids.append(np.full(len(keep), did))
-                if raws:
-                    yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(raws, pa.binary()), pa.array(np.concatenate(dids))], ["h", "piece", "did"])
+                texts = part.column(2).to_pylist()
+                which, start, count, h = anchored(texts, span)
+                w, m = _bits(_short(h, bits), words)
+                keep = np.flatnonzero((table[w] & m) == m)
+                if len(keep):
+                    which, start, end = which[keep], start[keep], start[keep] + count[keep] + span - 1
+                    raws = [texts[i][a:b] for i, a, b in zip(which.tolist(), start.tolist(), end.tolist(), strict=True)]
+                    yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(raws, pa.binary()), part.column(0).take(pa.array(which))], ["h", "piece", "did"])
         C.trim()
 
     return run
@@ -338,32 +359,33 @@ def _places(bloom, hot, bits: int, words: int, span: int):
         table, known = bloom.value, hot.value
         for batch in batches:
             for part in _texts(batch, 2):
+                texts, dids = part.column(2).to_pylist(), part.column(0).to_pylist()
+                which, start, count, h = anchored(texts, span)
+                w, m = _bits(_short(h, bits), words)
+                keep = np.flatnonzero((table[w] & m) == m)
                 out: list[tuple] = []
-                for did, mark, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    text = text.as_py()
-                    start, count, h = pieces(text, span)
-                    w, m = _bits(_short(h, bits), words)
-                    keep = np.flatnonzero((table[w] & m) == m)
-                    begin, length = -1, 0
-                    for a, n in zip(start[keep].tolist(), count[keep].tolist(), strict=True):
-                        key = xxhash.xxh3_128_digest(text[a : a + n + span - 1])
-                        found = known.get(key)
-                        if found is None:
-                            out.append((key, did, mark, a, n, None))
-                        elif did > found[0]:
-                            if a == begin + length:
-                                length += n
-                            else:
-                                if length:
-                                    out.append((None, did, mark, begin, length, -1))
-                                begin, length = a, n
-                        elif found[1]:
-                            out.append((None, did, mark, a, n, found[1]))
-                    if length:
-                        out.append((None, did, mark, begin, length, -1))
+                last, begin, length = -1, -1, 0
+                for i, a, n in zip(which[keep].tolist(), start[keep].tolist(), count[keep].tolist(), strict=True):
+                    if length and (i != last or a > begin + length):
+                        out.append((None, last, begin, length, -1))
+                        length = 0
+                    key = xxhash.xxh3_128_digest(texts[i][a : a + n + span - 1])
+                    found = known.get(key)
+                    if found is None:
+                        out.append((key, i, a, n, None))
+                    elif dids[i] > found[0]:
+                        if not length:
+                            last, begin = i, a
+                        length += n
+                    elif found[1]:
+                        out.append((None, i, a, n, found[1]))
+                if length:
+                    out.append((None, last, begin, length, -1))
                 if out:
-                    types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "did", "mark", "start", "windows", "bits"])
+                    key, i, *more = zip(*out, strict=True)
+                    i, types = pa.array(i), (pa.int64(), pa.int32(), pa.int64())
+                    columns = [pa.array(key, pa.binary()), part.column(0).take(i), part.column(1).take(i), *[pa.array(c, t) for c, t in zip(more, types, strict=True)]]
+                    yield pa.record_batch(columns, ["key", "did", "mark", "start", "windows", "bits"])
         C.trim()
 
     return run
@@ -506,7 +528,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         built = built.unionByName(C.stage(_hot_windows(hot, span), "built"))
     C.release(spark)
 
-    n_places = distinct.agg(F.sum("n")).first()[0] or 0
+    n_places = built.agg(F.sum("n")).first()[0] or 0
+    C.unstage(distinct)
     often = F.col("n") > max(64, n_places // C.HOT_KEYS)  # fewer than HOT_KEYS pieces
     hot = spark.sparkContext.broadcast({bytes(r["key"]): (r["first"], r["bits"]) for r in built.filter(often).select("key", "first", "bits").collect()})
     places = C.stage(read.mapInArrow(_places(bloom, hot, bits, words, span), "key binary, did bigint, mark bigint, start bigint, windows int, bits bigint"), "places")
@@ -516,6 +539,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = places.filter("key IS NULL").select(*columns).unionByName(rest.select(*columns))
     gone = C.stage(gone.groupBy("did", "mark").agg(F.collect_set(F.struct("start", "windows", "bits")).alias("gone")), "gone")
     hot.destroy()
+    C.unstage(places)
     bloom.destroy()
     C.release(spark)
     joined = base.join(gone, ["did", "mark"], "left").select("doc_id", "text", "gone")
