@@ -134,22 +134,3 @@ def align_texts(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
         return hunks, errors
 
     return pd.DataFrame([one(a or "", b or "") for a, b in zip(expected, actual, strict=True)], columns=["hunks", "errors"])
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType()), T.StructField("number", T.DoubleType())])))
-def json_leaves(doc: pd.Series) -> pd.Series:
-    """Dotted paths of a document's leaves: a list gives its length, a truth value 0 or 1; generated_at is left out."""
-    import json
-
-    def walk(x, path: str, out: list[dict]) -> list[dict]:
-        if isinstance(x, dict):
-            for k, v in x.items():
-                if k != "generated_at":
-                    walk(v, f"{path}.{k}" if path else k, out)
-        else:
-            v = len(x) if isinstance(x, list) else int(x) if isinstance(x, bool) else x
-            number = float(v) if isinstance(v, (int, float)) else None
-            out.append({"path": path, "value": None if v is None else str(v), "number": number})
-        return out
-
-    return doc.map(lambda d: walk(json.loads(d), "", []) if d else [])

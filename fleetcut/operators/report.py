@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetcut.functions.text import json_leaves
+from fleetcut.functions.canonical import canonical_json, double_text
 from fleetcut.functions.time import round_half_even
 from fleetcut.operators.intervals import PID
 from fleetcut.operators.timeline import digest_length
@@ -136,9 +139,15 @@ def run_outcome(stages: DataFrame, planned: list[str]) -> DataFrame:
     return out.select(PID, F.array_join("ran", ",").alias("ran"), F.array_join(skipped, ",").alias("skipped"), "warnings", "first_failed")
 
 
-def params_hash(*sections: Column) -> Column:
-    """SHA-256 of the canonical JSON of sections given as structs whose fields are in the order of the alphabet."""
-    return F.sha2(F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}), 256)
+def params_hash(rows: DataFrame, *sections: str) -> Column:
+    """SHA-256 of the canonical JSON of some columns of a table, as one object."""
+    return F.sha2(canonical_json(T.StructType([rows.schema[n] for n in sections])), 256)
+
+
+def stage_hashes(profiles: DataFrame) -> DataFrame:
+    """(project_id, stage, params_sha256): of each stage the hash of the profile sections that decide its output."""
+    stages = [F.struct(F.lit(stage).alias("stage"), params_hash(profiles, *names).alias("params_sha256")) for stage, names in SECTIONS.items()]
+    return profiles.select(PID, F.inline(F.array(*stages)))
 
 
 def stale(records: DataFrame, current: DataFrame) -> DataFrame:
@@ -170,8 +179,47 @@ def missing_inputs(projects: DataFrame, tables: dict[str, DataFrame]) -> DataFra
 
 
 def flatten_runs(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Dotted paths of each document's leaves: (keys, path, value, number). A list gives its length, a truth value 0 or 1; generated_at is left out.
+
+    A document is parsed once, to VARIANT. How deep the deepest goes is counted first; then each level of objects is exploded, so leaves stream as rows and
+    no document's leaves are gathered.
+    """
     keys = [c for c in docs.columns if c != doc]
-    return docs.select(*keys, F.inline(json_leaves(doc)))
+    bare = F.regexp_replace(F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]+", "")
+    steps = F.aggregate(
+        F.regexp_extract_all(bare, F.lit("."), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, c: F.struct((acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")), lambda acc: acc["most"],
+    )
+    depth = docs.agg(F.max(steps)).first()[0] or 0
+    members = lambda: F.try_variant_get("v", "$", "map<string,variant>")
+    level = docs.filter(F.col(doc).isNotNull()).select(*keys, F.lit("").alias("path"), F.parse_json(doc).alias("v"))
+    found = None
+    for _ in range(depth + 1):
+        level = level.withColumn("m", members())
+        leaves = level.filter("m IS NULL").select(*keys, "path", "v")
+        found = leaves if found is None else found.unionByName(leaves)
+        level = level.select(*keys, "path", F.explode("m").alias("k", "v")).filter("k <> 'generated_at'")
+        level = level.select(*keys, F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k")).alias("path"), "v")
+    kind = F.schema_of_variant("v")
+    items = F.size(F.try_variant_get("v", "$", "array<variant>")).cast("double")
+    number = F.when(kind.startswith("ARRAY"), items).when(kind == "BOOLEAN", F.variant_get("v", "$", "boolean").cast("double")).when(~kind.isin("STRING", "VOID"), F.try_variant_get("v", "$", "double"))
+    leaves = found.withColumn("number", number)
+    long = kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")  # integers beyond 64 bits
+    value = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(kind.startswith("ARRAY") | (kind == "BOOLEAN"), F.col("number").cast("bigint").cast("string"))
+    value = value.when(kind == "BIGINT", F.try_variant_get("v", "$", "bigint").cast("string")).when(long, F.try_variant_get("v", "$", "decimal(38,0)").cast("string")).otherwise(double_text("number"))
+    return leaves.select(*keys, "path", value.alias("value"), "number")
+
+
+def all_paths(*runs: DataFrame) -> DataFrame:
+    """The paths that any of the flattened runs of a project has."""
+    rows = [r.select(PID, "path") for r in runs]
+    return reduce(lambda a, b: a.unionByName(b), rows).distinct()
+
+
+def order_warnings(*warnings: DataFrame) -> DataFrame:
+    """Warnings (project_id, segment_id, kind) of several sources in the order in which they are shown: by segment, then kind; `place` counts from 1."""
+    rows = reduce(lambda a, b: a.unionByName(b), [w.select(PID, "segment_id", "kind") for w in warnings])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(PID).orderBy("segment_id", "kind")).cast("bigint"))
 
 
 def recent_runs(runs: DataFrame, n: int = 2) -> DataFrame:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcut.operators import gates as G
 from fleetcut.operators import report as R
 from fleetcut.operators import timeline as T
+from fleetcut.operators.speech import outside_speech
 from fleetcut.plans.fixtures import Fleet
 from fleetcut.plans.register import query
+from fleetcut.plans.stored import stored
+from fleetcut.sources import tables as S
+
+
+def _number(df: DataFrame) -> DataFrame:
+    return df.withColumn("project_id", F.col("project_id").cast("bigint"))
+
 
 _BY_REASON = """(SELECT coalesce(c.project_id, f.project_id) AS project_id, coalesce(c.reason, f.reason) AS reason, coalesce(n, 0) AS n, round(coalesce(sec, 0), 3) AS sec, coalesce(approved, 0) AS approved, coalesce(proposed, 0) AS proposed, coalesce(rejected, 0) AS rejected
  FROM (SELECT project_id, reason, count(*) AS n, sum((end_ms - start_ms) / 1000.0) AS sec, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'proposed') AS proposed, count(*) FILTER (WHERE status = 'rejected') AS rejected FROM cuts GROUP BY project_id, reason) c
@@ -123,18 +132,35 @@ def a18_run_outcome(f: Fleet) -> DataFrame:
     return R.run_outcome(stages(f), _STAGES)
 
 
-@query("SELECT project_id, sha256('{\"adjacent\":' || CAST(project_id % 5 AS VARCHAR) || ',\"weak\":' || CASE WHEN project_id % 2 = 0 THEN 'true' ELSE 'false' END || '}') AS params_sha256 FROM projects")
+def _profiles(f: Fleet, *changes: str) -> DataFrame:
+    """Profiles written and read again, with a name beyond ASCII and numbers of every size; `changes`: sections that every third project has otherwise."""
+    p, model = F.col("project_id"), F.concat(F.lit("モデル😀 \"q\" "), F.col("project_id").cast("string"))
+    other = lambda r, now, then: F.when(p % 3 == r, then).otherwise(now) if changes else now
+    pad = F.when(p % 2 == 0, F.lit(0.00001)).when(p % 5 == 1, F.lit(1e-7)).otherwise(F.lit(1234567.25)) * 1.0
+    doc = F.struct(
+        F.struct(other(0, F.lit(80), F.lit(81)).alias("highpass_hz")).alias("audio"), F.struct(F.when(p % 4 != 0, other(2, model, F.lit("old"))).otherwise(other(2, F.lit("a"), F.lit("old"))).alias("model")).alias("asr"),
+        F.struct(other(0, F.lit(0.6), F.lit(0.7)).alias("min_duration"), pad.alias("pad_pre")).alias("silence"), F.struct(other(2, F.lit(18), F.lit(19)).alias("crf")).alias("render"),
+    )
+    return _number(S.read_profiles(f.spark, stored(f, "profile", f.projects.select("project_id", F.to_json(doc).alias("document")))))
+
+
+_HASHES = """(SELECT project_id, 'audio_fix' AS stage, '{"audio":{"denoise":"deepfilternet","highpass_hz":80,"loudnorm":{"i":-14.0,"lra":11.0,"tp":-1.0}}}' AS doc FROM projects
+ UNION ALL SELECT project_id, 'transcribe', '{"asr":{"backend":"whisper.cpp","language":"ja","model":"' || CASE WHEN project_id % 4 <> 0 THEN '\\u30e2\\u30c7\\u30eb\\ud83d\\ude00 \\"q\\" ' || project_id ELSE 'a' END || '","vad":"silero-v5"}}' FROM projects
+ UNION ALL SELECT project_id, 'correct', '{}' FROM projects UNION ALL SELECT project_id, 'report', '{}' FROM projects
+ UNION ALL SELECT project_id, 'detect', '{"filler":{"enable_weak":false,"require_adjacent_silence":0.2},"silence":{"min_cut_duration":0.4,"min_duration":0.6,"pad_post":0.3,"pad_pre":' || CASE WHEN project_id % 2 = 0 THEN '1e-05' WHEN project_id % 5 = 1 THEN '1e-07' ELSE '1234567.25' END || ',"threshold":"4%"}}' FROM projects
+ UNION ALL SELECT project_id, 'render', '{"render":{"boundary_fade":0.01,"crf":18,"preset":"slow","verify_asr_mode":"gate"},"subtitle":{"max_chars_per_line":20,"max_cps":8.0,"max_lines":2,"min_display":0.8}}' FROM projects)"""
+
+
+@query(f"SELECT project_id, stage, sha256(doc) AS params_sha256 FROM {_HASHES} h")
 def h15_params_hash(f: Fleet) -> DataFrame:
-    return f.projects.select("project_id", R.params_hash((F.col("project_id") % 5).alias("adjacent"), (F.col("project_id") % 2 == 0).alias("weak")).alias("params_sha256"))
+    """Of every stage the hash of its profile sections, beyond ASCII and with small numbers."""
+    return R.stage_hashes(_profiles(f))
 
 
 def records(f: Fleet) -> tuple[DataFrame, DataFrame]:
-    """Recorded and current parameter hashes of the stages: every third record is of other parameters, some are absent."""
-    base = f.projects.select("project_id", F.posexplode(F.array(*map(F.lit, _STAGES))).alias("ord", "stage"))
-    text = F.concat("stage", (F.col("project_id") % 4).cast("string"))
-    current = base.select("project_id", "stage", F.sha2(text, 256).alias("params_sha256"))
-    old = F.when((F.col("project_id") + F.col("ord")) % 3 == 0, F.concat(text, F.lit("x"))).otherwise(text)
-    return base.filter("(project_id * 2 + ord) % 5 <> 4").select("project_id", "stage", F.sha2(old, 256).alias("params_sha256")), current
+    """Recorded and current parameter hashes of the stages, from profiles: every third record is of other parameters, some are absent."""
+    ord_ = F.array_position(F.array(*map(F.lit, _STAGES)), F.col("stage")) - 1
+    return R.stage_hashes(_profiles(f, "changed")).filter((F.col("project_id") * 2 + ord_) % 5 != 4), R.stage_hashes(_profiles(f))
 
 
 _DAG = "(VALUES ('transcribe', 'audio_fix'), ('correct', 'transcribe'), ('detect', 'audio_fix'), ('detect', 'transcribe'), ('render', 'audio_fix'), ('render', 'transcribe'), ('render', 'detect'), ('report', 'detect'), ('report', 'render'))"
@@ -185,7 +211,8 @@ def j42_compare_runs(f: Fleet) -> DataFrame:
 
 @query("+ n AS (SELECT project_id FROM cuts WHERE status = 'approved' GROUP BY project_id) SELECT project_id, path FROM n, (VALUES ('cuts.applied'), ('cuts.ok'), ('warnings'), ('name'), ('floor'), ('extra.flags')) v(path)")
 def u05_all_paths(f: Fleet) -> DataFrame:
-    return R.flatten_runs(run_docs(f).select("project_id", "doc")).select("project_id", "path").distinct()
+    runs = R.flatten_runs(run_docs(f).select("project_id", "run", "doc"))
+    return R.all_paths(runs.filter("run = 'run'"), runs.filter("run = 'run-02'"))
 
 
 @query("SELECT user_id AS project_id, run, CAST(place AS BIGINT) AS place FROM (SELECT user_id, concat('r', lpad(CAST(event_id AS VARCHAR), 8, '0')) AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, concat('r', lpad(CAST(event_id AS VARCHAR), 8, '0')) DESC) AS place FROM events) z WHERE place <= 2")
@@ -250,16 +277,10 @@ def t05_best_by(f: Fleet) -> DataFrame:
 
 @query("SELECT project_id, array_to_string(list_slice(list(segment_id ORDER BY segment_id), 1, 5), ',') AS sample, count(*) AS n FROM segments s WHERE NOT EXISTS (SELECT 1 FROM speech_regions r WHERE r.project_id = s.project_id AND s.start_ms >= r.start_ms - 100 AND s.start_ms <= r.end_ms + 100) GROUP BY project_id")
 def t02_sample_violations(f: Fleet) -> DataFrame:
-    from fleetcut.operators.speech import outside_speech
-
-    bad = outside_speech(f.segments, f.regions)
-    return bad.groupBy("project_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("segment_id")), 1, 5), ",").alias("sample"), F.count(F.lit(1)).alias("n"))
+    return G.first_violators(outside_speech(f.segments, f.regions), "segment_id")
 
 
 @query("SELECT project_id, segment_id, kind, CAST(row_number() OVER (PARTITION BY project_id ORDER BY segment_id, kind) AS BIGINT) AS place FROM (SELECT project_id, segment_id, 'short' AS kind FROM segments WHERE end_ms - start_ms < 2500 UNION ALL SELECT project_id, segment_id, 'empty' FROM segments WHERE (project_id + turn) % 11 = 0) z")
 def t04_order_warnings(f: Fleet) -> DataFrame:
     short = f.segments.filter("end_ms - start_ms < 2500").select("project_id", "segment_id", F.lit("short").alias("kind"))
-    rows = short.unionByName(f.segments.filter("(project_id + turn) % 11 = 0").select("project_id", "segment_id", F.lit("empty").alias("kind")))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("segment_id", "kind")).cast("bigint"))
-
-
+    return R.order_warnings(short, f.segments.filter("(project_id + turn) % 11 = 0").select("project_id", "segment_id", F.lit("empty").alias("kind")))
