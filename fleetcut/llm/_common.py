@@ -33,10 +33,10 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+def stage(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing. codec: of the files, if not the session's."""
     path = f"{_session_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fleetcut_path = path
     return out

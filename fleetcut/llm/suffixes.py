@@ -514,14 +514,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     read = base.select("did", "mark", "text")
     found = read.mapInArrow(_candidates(bloom, bits, words, span), "h bigint, piece binary, did bigint")
-    distinct = C.stage(found.groupBy("h", "piece").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")), "pieces")
+    distinct = C.stage(found.groupBy("h", "piece").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")), "pieces", "zstd")
     C.release(spark)
     n_pieces = distinct.count()
     anchors = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > C.hot_limit(n_pieces)).select("h")
     anchors = C.stage(anchors, "hot")  # HOT_KEYS at most
     some = distinct.join(F.broadcast(anchors), "h", "left_anti").select("h", "piece", "first", "n")
     built = C.stage(
-        some.repartition("h").sortWithinPartitions("h").mapInArrow(_collections(span), "key binary, first bigint, n bigint, bits bigint"), "built"
+        some.repartition("h").sortWithinPartitions("h").mapInArrow(_collections(span), "key binary, first bigint, n bigint, bits bigint"), "built", "zstd"
     )
     if not anchors.isEmpty():
         hot = distinct.join(F.broadcast(anchors), "h", "left_semi").select("piece", "first", "n")
@@ -532,7 +532,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.unstage(distinct)
     often = F.col("n") > max(64, n_places // C.HOT_KEYS)  # fewer than HOT_KEYS pieces
     hot = spark.sparkContext.broadcast({bytes(r["key"]): (r["first"], r["bits"]) for r in built.filter(often).select("key", "first", "bits").collect()})
-    places = C.stage(read.mapInArrow(_places(bloom, hot, bits, words, span), "key binary, did bigint, mark bigint, start bigint, windows int, bits bigint"), "places")
+    places = C.stage(read.mapInArrow(_places(bloom, hot, bits, words, span), "key binary, did bigint, mark bigint, start bigint, windows int, bits bigint"), "places", "zstd")
     rest = places.filter("key IS NOT NULL").drop("bits").join(built.filter(~often).drop("n"), "key")
     rest = rest.withColumn("bits", F.when(F.col("did") > F.col("first"), F.lit(-1).cast("bigint")).otherwise(F.col("bits"))).filter("bits <> 0")
     columns = ["did", "mark", "start", "windows", "bits"]
