@@ -24,7 +24,8 @@ def packaged_words(spark) -> DataFrame:
 
 def filler_words(projects: DataFrame, packaged: DataFrame, own: DataFrame, enable_weak: bool = False) -> DataFrame:
     """Words of each project: the packaged ones and its own; strong wins over weak; longest first, then by the alphabet."""
-    every = projects.select(PID).join(F.broadcast(packaged)).select(PID, "word", "tier").unionByName(own.select(PID, "word", "tier"))
+    shipped = F.array(*[F.struct(F.lit(r["word"]).alias("word"), F.lit(r["tier"]).alias("tier")) for r in packaged.collect()])  # a short, fixed list
+    every = projects.select(PID, F.inline(shipped)).unionByName(own.select(PID, "word", "tier"))
     every = every.filter("word <> ''") if enable_weak else every.filter("word <> '' and tier = 'strong'")
     first = every.groupBy(PID, "word").agg(F.min("tier").alias("tier"))
     place = F.row_number().over(Window.partitionBy(PID).orderBy(F.length("word").desc(), "word"))

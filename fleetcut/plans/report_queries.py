@@ -91,17 +91,41 @@ def u03_extra_reasons(f: Fleet) -> DataFrame:
     return R.extra_reasons(f.cuts.withColumn("reason", F.when(F.col("project_id") % 6 == 1, "breath").otherwise(F.col("reason"))))
 
 
+def levels(f: Fleet) -> DataFrame:
+    """Integrated loudness at three points, the target and the floor of the processed audio; one talk in five has no floor, one in seven no measurement."""
+    p = F.col("project_id")
+    return f.projects.filter("project_id % 7 <> 4").select(
+        "project_id", (F.lit(-20.0) - p % 16 / 4.0).alias("source_lufs"), (F.lit(-14.5) - p % 8 / 8.0).alias("processed_lufs"), F.when(p % 3 != 2, F.lit(-14.0) - p % 8 / 8.0).alias("rendered_lufs"),
+        F.when(p % 5 != 1, F.lit(-63.0) + p % 29 / 4.0).alias("processed_floor_db"), F.lit(-14.0).alias("target_lufs"),
+    )
+
+
+def artifacts(f: Fleet) -> DataFrame:
+    """A still of both edges of each approved cut, and a digest clip of the talks that have one."""
+    cuts = T.approved(f.cuts)
+    stills = cuts.select("project_id", F.explode(F.array(F.lit("in"), F.lit("out"))).alias("edge"), "cut_id").select("project_id", F.concat("cut_id", F.lit("-"), "edge", F.lit(".png")).alias("path"))
+    digests = f.projects.filter("project_id % 2 = 0").select("project_id", F.lit("digest.mp4").alias("path"), (F.col("duration_ms") % 10000).alias("length_ms"))
+    return R.artifact_section(stills, digests, T.review_windows(cuts, f.projects))
+
+
 def report(f: Fleet) -> DataFrame:
     subtitles = f.segments.groupBy("project_id").agg(F.count(F.lit(1)).alias("entries"))
-    return R.project_report(f.projects, renders(f).filter("duration_s is not null"), f.cuts, noise(f), subtitles)
+    return R.project_report(f.projects, renders(f).filter("duration_s is not null"), f.cuts, noise(f), subtitles, levels(f), artifacts(f))
 
 
-@query(f"""SELECT p.project_id, round(p.duration_ms / 1000.0, 3) AS source_sec, r.duration_s AS rendered_sec, round_even(1 - r.duration_s / (p.duration_ms / 1000.0), 3) AS reduction, s.n AS entries, c.n AS cuts, round_even(n.after_rms_db - n.before_rms_db, 2) AS delta_db
- FROM projects p JOIN {_RENDERS} r ON r.project_id = p.project_id JOIN (SELECT project_id, count(*) AS n FROM segments GROUP BY project_id) s ON s.project_id = p.project_id LEFT JOIN (SELECT project_id, count(*) AS n FROM cuts GROUP BY project_id) c ON c.project_id = p.project_id JOIN {_NOISE} n ON n.project_id = p.project_id""".replace("c.n AS cuts", "coalesce(c.n, 0) AS cuts"))
+@query(f"""SELECT p.project_id, round(p.duration_ms / 1000.0, 3) AS source_sec, r.duration_s AS rendered_sec, round_even(1 - r.duration_s / (p.duration_ms / 1000.0), 3) AS reduction, s.n AS entries, c.n AS cuts, round_even(n.after_rms_db - n.before_rms_db, 2) AS delta_db,
+ CASE WHEN p.project_id % 7 <> 4 THEN round_even(-20.0 - (p.project_id % 16) / 4.0, 2) END AS source_lufs, CASE WHEN p.project_id % 7 <> 4 AND p.project_id % 3 <> 2 THEN round_even(-14.0 - (p.project_id % 8) / 8.0, 2) END AS rendered_lufs,
+ CASE WHEN p.project_id % 7 <> 4 AND p.project_id % 5 <> 1 THEN round_even(-14.5 - (p.project_id % 8) / 8.0 - (-63.0 + (p.project_id % 29) / 4.0), 2) END AS below_programme_db,
+ CASE WHEN a.n IS NOT NULL OR p.project_id % 2 = 0 THEN coalesce(2 * a.n, 0) END AS boundaries_png, CASE WHEN p.project_id % 2 = 0 THEN (p.duration_ms % 10000) / 1000.0 END AS digest_sec
+ FROM projects p JOIN {_RENDERS} r ON r.project_id = p.project_id JOIN (SELECT project_id, count(*) AS n FROM segments GROUP BY project_id) s ON s.project_id = p.project_id LEFT JOIN (SELECT project_id, count(*) AS n FROM cuts GROUP BY project_id) c ON c.project_id = p.project_id JOIN {_NOISE} n ON n.project_id = p.project_id
+ LEFT JOIN (SELECT project_id, count(*) AS n FROM cuts WHERE status = 'approved' GROUP BY project_id) a ON a.project_id = p.project_id""".replace("c.n AS cuts", "coalesce(c.n, 0) AS cuts"))
 def a16_project_report(f: Fleet) -> DataFrame:
     r = report(f)
     total = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    return r.select("project_id", F.round("duration.source_sec", 3).alias("source_sec"), "duration.rendered_sec", "duration.reduction", "subtitles.entries", total.alias("cuts"), "noise_floor.delta_db")
+    return r.select(
+        "project_id", F.round("duration.source_sec", 3).alias("source_sec"), "duration.rendered_sec", "duration.reduction", "subtitles.entries", total.alias("cuts"), "noise_floor.delta_db",
+        F.col("loudness.source").alias("source_lufs"), F.col("loudness.rendered").alias("rendered_lufs"), "output_floor.below_programme_db", "artifacts.boundaries_png", F.col("artifacts.boundary_digest_sec").alias("digest_sec"),
+    )
 
 
 @query()
