@@ -123,6 +123,20 @@ def asof(points: DataFrame, marks: DataFrame, at: str, mark_at: str, take: list[
     return found.select(*points.columns, *[F.col(f"__mark.{c}").alias(f"mark_{c}") for c in take])
 
 
+def asof_ends(a: DataFrame, marks: DataFrame, keys: tuple[str, ...], mark_at: str, take: list[str]) -> DataFrame:
+    """a with the last marks at or before both ends of each of its rows, as structs at_start and at_end; the keys (project_id first) tell the rows apart.
+    One union and one window serve both ends."""
+    kind = marks.select(F.struct(*take)).schema[0].dataType
+    row, end = F.struct(*a.columns).alias("__row"), lambda c, last: F.struct(F.col(c).alias("__t"), F.lit(last).alias("__last"))
+    points = a.select(*keys, row, F.explode(F.array(end("start_ms", False), end("end_ms", True))).alias("__p")).select(*keys, "__row", "__p.*", F.lit(None).cast(kind).alias("__mark"))
+    nulls = [F.lit(None).cast(a.schema[k].dataType).alias(k) if k != PID else F.col(PID) for k in keys]
+    rows = marks.select(*nulls, F.lit(None).cast(points.schema["__row"].dataType).alias("__row"), F.col(mark_at).alias("__t"), F.lit(None).cast("boolean").alias("__last"), F.struct(*take).alias("__mark"))
+    by = Window.partitionBy(PID).orderBy("__t", F.col("__last").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = points.unionByName(rows).withColumn("__mark", F.last("__mark", ignorenulls=True).over(by)).filter("__last IS NOT NULL")
+    both = found.groupBy(*keys).agg(F.first("__row").alias("__row"), F.max(F.when(~F.col("__last"), F.col("__mark"))).alias("at_start"), F.max(F.when(F.col("__last"), F.col("__mark"))).alias("at_end"))
+    return both.select("__row.*", "at_start", "at_end")
+
+
 def covered_ms(a: DataFrame, b: DataFrame, *keys: str, out: str = "covered_ms") -> DataFrame:
     """a with the summed overlap of all b with each of its rows, which the keys (project_id first) tell apart.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcut.operators.intervals import PID, asof, merge_spans, range_join, removed_prefix
+from fleetcut.operators.intervals import PID, asof, asof_ends, merge_spans, range_join, removed_prefix
 
 #: Milliseconds between entries that would touch; the display time below which an entry is reported.
 SEPARATION_MS, MIN_DISPLAY_MS = 1, 800
@@ -74,14 +74,14 @@ def separate(entries: DataFrame) -> DataFrame:
 
 def _images(segments: DataFrame, merged: DataFrame) -> DataFrame:
     """Both ends less what is removed before them, from the cuts' running sum; a start and an end inside one cut are dropped with it."""
-    marks = removed_prefix(merged)
-    s = segments
-    for end in ("start_ms", "end_ms"):
-        found = asof(s, marks, end, "start_ms", ["start_ms", "end_ms", "removed_before"])
-        gone = F.coalesce(F.col("mark_removed_before") + F.least(F.col("mark_end_ms"), F.col(end)) - F.col("mark_start_ms"), F.lit(0))
-        s = found.select(*s.columns, (F.col(end) - gone).cast("bigint").alias(f"i_{end}"), F.col("mark_end_ms").alias(f"c_{end}"))
-    dropped = F.coalesce(F.col("c_start_ms") >= F.col("end_ms"), F.lit(False))
-    return s.select(PID, "segment_id", "ord", F.col("i_start_ms").alias("start_ms"), F.col("i_end_ms").alias("end_ms"), dropped.alias("dropped"))
+    found = asof_ends(segments, removed_prefix(merged), (PID, "segment_id", "ord"), "start_ms", ["start_ms", "end_ms", "removed_before"])
+
+    def image(end: str, mark: str) -> Column:
+        m = F.col(mark)
+        return (F.col(end) - F.coalesce(m["removed_before"] + F.least(m["end_ms"], F.col(end)) - m["start_ms"], F.lit(0))).cast("bigint").alias(end)
+
+    dropped = F.coalesce(F.col("at_start.end_ms") >= F.col("end_ms"), F.lit(False))
+    return found.select(PID, "segment_id", "ord", image("start_ms", "at_start"), image("end_ms", "at_end"), dropped.alias("dropped"))
 
 
 def map_segments(segments: DataFrame, cuts: DataFrame, min_display_ms: int = MIN_DISPLAY_MS) -> tuple[DataFrame, DataFrame]:
