@@ -151,6 +151,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         texts = C.probe(base.filter("doc_id is not null"), F.xxhash64("doc_id"), ids, words, "maybe").filter("maybe").select("doc_id", "text")
         sets = _map_sets(texts, size, True).filter("n > 0").join(ends, "doc_id", "left_semi")
         sets = C.stage(sets.dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "sets")
+        C.release(docs.sparkSession)  # plans and shuffles of the steps so far; many follow
         best = C.stage(star.groupBy("m").agg(F.max_by("c", F.struct("bands", "c")).alias("c")), "best")
         labels = _relabel(None, _similar(best.select(F.col("c").alias("a"), F.col("m").alias("b")), sets, percent))
         apart = _with_comp(_with_comp(star, labels, "c", "kc"), labels, "m", "km").filter("kc <> km")
@@ -193,6 +194,7 @@ def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     two = open_.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"), F.col("centre").alias("cb"))
     met = (F.col("k1") == F.col("key")) & (F.col("ka") != F.col("kb")) & near & (~F.col("cb") | (F.col("a") < F.col("b")))
     pairs = C.stage(one.join(two, met).select("a", "b").distinct(), "pairs")
+    C.release(full.sparkSession)
     if not pairs.isEmpty():
         labels = _relabel(labels, _similar(pairs, sets, percent))
     C.unstage(open_)
@@ -202,6 +204,7 @@ def _finish(full: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     members = C.stage(open_.select("m", "comp").distinct().join(sets.select(F.col("doc_id").alias("m"), "n", "items"), "m"), "apart")
     keep = C.stage(_may_link(members, percent), "keep")
     meeting = C.stage(_groups(open_).join(keep, "m", "left_semi"), "meeting")
+    C.release(full.sparkSession)
     return _relabel(labels, _meet_in_blocks(meeting, members, percent))
 
 
