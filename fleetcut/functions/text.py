@@ -1,8 +1,7 @@
-"""Column functions for Japanese and plain text: normalisation, width, edit distance, alignment, JSON leaves."""
+"""Column functions for Japanese and plain text: normalisation, width, edit distance."""
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 from functools import cache
 
@@ -114,23 +113,3 @@ def edit_script(a: str, b: str) -> tuple[int, int, int]:
 def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """edit_script of each pair; null counts as empty."""
     return pd.DataFrame([edit_script(a or "", b or "") for a, b in zip(reference, hypothesis, strict=True)], columns=[f.name for f in EDITS])
-
-
-HUNK = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("text", T.StringType())])
-ALIGNMENT = T.StructType([T.StructField("hunks", T.ArrayType(HUNK)), T.StructField("errors", T.LongType())])
-
-
-@F.pandas_udf(ALIGNMENT)
-def align_texts(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
-    """Runs of two or more expected characters that are missing, and the errors of the same alignment."""
-
-    def one(a: str, b: str) -> tuple[list[dict], int]:
-        hunks, errors = [], 0
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag != "equal":
-                errors += max(j - i, m - k)
-            if tag == "delete" and j - i >= 2:
-                hunks.append({"index": i, "text": a[i:j]})
-        return hunks, errors
-
-    return pd.DataFrame([one(a or "", b or "") for a, b in zip(expected, actual, strict=True)], columns=["hunks", "errors"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcut.functions.text import align_texts, cer_rate, edit_counts, normalise
+from fleetcut.functions.alignment import align_texts
+from fleetcut.functions.text import cer_rate, edit_counts, normalise
 from fleetcut.functions.time import round_half_even
 from fleetcut.operators.fillers import scan
 from fleetcut.operators.intervals import PID, asof, range_join
@@ -90,8 +91,9 @@ def flag_boundaries(located: DataFrame, cuts: DataFrame, merged: DataFrame, proj
     u = F.rint(F.least(F.greatest(F.col("at_ms"), F.lit(0.0)), F.col("cut_duration_ms").cast("double"))).cast("bigint")
     points = located.join(total, PID).select(PID, "index", F.col("text").alias("hunk"), u.alias("u_ms"))
     back = inverse(points, merged, projects)
-    e = cut_edges(cuts).select(F.col(PID).alias("e_pid"), "cut_id", "side", "edge_ms")
-    near = back.join(e, (F.col(PID) == F.col("e_pid")) & (F.abs(F.col("edge_ms") - F.col("source_ms")) <= WINDOW_MS))
+    around = back.withColumn("start_ms", F.col("source_ms") - WINDOW_MS).withColumn("end_ms", F.col("source_ms") + WINDOW_MS + 1)
+    edges = cut_edges(cuts).select(PID, "cut_id", "side", "edge_ms", F.col("edge_ms").alias("start_ms"), (F.col("edge_ms") + 1).alias("end_ms"))
+    near = range_join(around, edges).select(PID, "index", "hunk", "source_ms", *[F.col(f"b_{c}").alias(c) for c in ("cut_id", "side", "edge_ms")])
     best = F.min_by(F.struct("cut_id", "edge_ms"), F.struct(F.abs(F.col("edge_ms") - F.col("source_ms")), "cut_id", "side")).alias("b")
     return near.groupBy(PID, "index", "hunk", "source_ms").agg(best).select(PID, "index", "hunk", "source_ms", F.col("b.cut_id").alias("cut_id"))
 

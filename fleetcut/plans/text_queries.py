@@ -345,14 +345,16 @@ def h16_without_fillers(f: Fleet) -> DataFrame:
     return V.without_fillers(segments(f), f.cuts, words(f)).select("project_id", "segment_id", "said")
 
 
-_LOCATED = _EXPECTED + """, pts AS (SELECT project_id, CAST(k * 37 AS BIGINT) AS i FROM projects, range(0, 8) t(k)), loc AS (SELECT p.project_id, p.i, max_by(y.segment_id, y.off) AS segment_id, max_by(y.start_ms, y.off) AS s, max_by(y.end_ms, y.off) AS e, max(y.off) AS o, max_by(length(y.said), y.off) AS n
- FROM pts p JOIN y ON y.project_id = p.project_id AND y.off <= p.i GROUP BY p.project_id, p.i)"""
+_LOCATED = _EXPECTED + """, pts AS (SELECT project_id, unnest(range(0, CAST(max(off + length(said)) AS BIGINT), 37)) AS i FROM y GROUP BY project_id), loc AS (SELECT p.project_id, p.i, y.segment_id, y.start_ms AS s, y.end_ms AS e, y.off AS o, length(y.said) AS n
+ FROM pts p ASOF JOIN y ON y.project_id = p.project_id AND y.off <= p.i)"""
 
 
 @query(_LOCATED + ' SELECT project_id, i AS "index", segment_id, round(s + least(1.0, greatest(0.0, (i - o) / CAST(n AS DOUBLE))) * (e - s), 3) AS at_ms FROM loc')
 def j33_locate(f: Fleet) -> DataFrame:
-    points = f.projects.select("project_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("project_id", (F.col("k") * 37).cast("bigint").alias("index"))
-    return V.locate(points, expected(f)).select("project_id", "index", "segment_id", F.round("at_ms", 3).alias("at_ms"))
+    e = expected(f)
+    end = e.groupBy("project_id").agg(F.max(F.col("offset") + F.length("said")).alias("n"))
+    points = end.select("project_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(37).cast("bigint"))).alias("index"))
+    return V.locate(points, e).select("project_id", "index", "segment_id", F.round("at_ms", 3).alias("at_ms"))
 
 
 def flags(f: Fleet) -> DataFrame:

@@ -352,3 +352,32 @@ def test_benchmark_rows_come_from_texts_and_silences(spark):
     silences = spark.createDataFrame([(7, 4900, 5500)], "project_id long, start_ms long, end_ms long")
     got = {r.candidate: r for r in R.bench_rows(R.measure_runs(runs, segments, references, silences)).collect()}
     assert (round(got["a"].cer, 6), got["a"].hallucinations, got["a"].rtf, got["b"].cer, got["b"].hallucinations) == (round(1 / 6, 6), 1, 0.2, None, None)
+
+
+def test_alignment_equals_the_standard_matcher():
+    """Blocks, ties and gaps on few letters, where ties abound; a talk of ten hours and texts of one unit repeated end soon."""
+    from fleetcut.functions.alignment import gaps
+
+    rnd = random.Random(31)
+    for n in range(6000):
+        letters = ("ab", "abc", "abcdefgh", "あい𠮷é")[n % 4]
+        a = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 45)))
+        b = "".join(c for c in a if rnd.random() > 0.2) if n % 3 else "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 45)))
+        want = [(i, j, k, m) for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+        assert gaps(a, b) == want, (a, b)
+    assert gaps("ab" * 40_000, "ac" * 40_000) == [(2 * i + 1, 2 * i + 2, 2 * i + 1, 2 * i + 2) for i in range(40_000)]
+    assert gaps("a" * 90_000, "a" * 60_000) == [(60_000, 90_000, 60_000, 60_000)]
+    talk = "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(150_000))
+    assert gaps(talk, talk[:70_000] + talk[70_400:]) == [(70_000, 70_400, 70_000, 70_000)]
+
+
+def test_flags_are_the_nearest_edges_on_both_sides_of_time_bins(spark):
+    """A hunk is flagged within two seconds of an edge, at exactly two as well, also where the window begins before zero or crosses a bin."""
+    from fleetcut.operators import verify as V
+
+    cuts = spark.createDataFrame([(1, "c0001", 60_000, 61_000, "approved"), (2, "c0001", 0, 500, "approved"), (3, "c0001", 90_000, 95_000, "approved")], "project_id long, cut_id string, start_ms long, end_ms long, status string")
+    projects = spark.createDataFrame([(p, 200_000) for p in (1, 2, 3)], "project_id long, duration_ms long")
+    at = {(1, 0): 58_000.0, (1, 1): 57_999.0, (1, 2): 62_000.0, (1, 3): 62_001.0, (2, 0): 100.0, (2, 1): 2_000.0, (2, 2): 2_001.0, (3, 0): 10.0}
+    located = spark.createDataFrame([(p, i, "xx", t) for (p, i), t in at.items()], "project_id long, index int, text string, at_ms double")
+    got = {(r.project_id, r["index"]): r.source_ms for r in V.flag_boundaries(located, cuts, cuts.select("project_id", "start_ms", "end_ms"), projects).collect()}
+    assert got == {(1, 0): 58_000, (1, 2): 63_000, (2, 0): 600, (2, 1): 2_500}
