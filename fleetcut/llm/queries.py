@@ -47,10 +47,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose text stands on a page take the page's markup language and address as evidence, all others only their own columns."""
+    """Documents whose text stands on a page take the page's markup language and address as evidence. The label is never evidence too: others have their
+    text and the host prior of their source alone."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     return identify_languages(
-        with_pages(docs, pages), declared=F.coalesce("markup", "lang"), url=F.col("url"), host=F.col("source"), label=F.col("lang"),
+        with_pages(docs, pages), declared=F.col("markup"), url=F.col("url"), host=F.col("source"), label=F.col("lang"),
     )
 
 

@@ -414,3 +414,14 @@ def test_pipeline(spark, small):
     odd = docs.limit(20).withColumn("a.b", F.lit(1)).withColumn("kept", F.lit("x"))
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, odd, small).columns == odd.columns, name
+
+
+def test_registered_language_query_hides_its_label_from_the_evidence(spark):
+    """Languages of a third of the documents are withheld as labels; what page, source and text say names them right all the same."""
+    from fleetcut.llm import queries as Q
+
+    docs, pages = (Q.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "pages"))
+    hidden = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    out = L.identify_languages(L.with_pages(docs, pages), declared=F.col("markup"), url=F.col("url"), host=F.col("source"), label=F.when(~hidden, F.col("lang")))
+    r = out.join(docs.filter(hidden).select("doc_id", "lang"), "doc_id").filter("lang is not null and language is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("right")).first()
+    assert r.n > 10 and r.right >= 0.97 * r.n
