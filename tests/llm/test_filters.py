@@ -425,3 +425,31 @@ def test_registered_language_query_hides_its_label_from_the_evidence(spark):
     out = L.identify_languages(L.with_pages(docs, pages), declared=F.col("markup"), url=F.col("url"), host=F.col("source"), label=F.when(~hidden, F.col("lang")))
     r = out.join(docs.filter(hidden).select("doc_id", "lang"), "doc_id").filter("lang is not null and language is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("right")).first()
     assert r.n > 10 and r.right >= 0.97 * r.n
+
+
+def test_shards_equal_a_plain_descent(spark, docs_of):
+    """Every draw of every node on the way, taken in plain Python over the same hash; ids may be null or negative."""
+    import math
+
+    import xxhash
+
+    def descend(key, tree):
+        weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
+        path, node = "", tree
+        while isinstance(node, dict):
+            kids = {f"{path}/{name}" if path else str(name): below for name, below in node.items()}
+
+            def draw(name):
+                h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+                return math.log(((h >> 11) + 1.0) / (1 << 53)) / weight(kids[name])
+
+            path = max(kids, key=draw)
+            node = kids[path]
+        return int(path.rsplit("/", 1)[1])
+
+    uneven = {"a": {"x": {0: 1.0, 1: 3.0}, "y": {2: 0.5}}, "b": {"x": {3: 2.0}}}
+    rows = [(i, "t") for i in [None, -7, *range(400)]]
+    for tree, bigger in ((grid(40), grown(grid(40), 40)), (uneven, grown(uneven, 9, 2.5))):
+        for r in assign_shards(docs_of(rows), tree, bigger).collect():
+            key = "\0null" if r.doc_id is None else str(r.doc_id)
+            assert (r.shard, r.grown_shard) == (descend(key, tree), descend(key, bigger))
