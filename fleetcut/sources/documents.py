@@ -38,6 +38,13 @@ def project_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(parts, -2), "^project_id=", "")
 
 
+def raw_documents(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(path, value, written_at): whole files that a pattern of paths names, or a pack as it is (sinks.pack_documents)."""
+    if isinstance(source, DataFrame):
+        return source.select("path", "value", "written_at")
+    return spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_modification_time").alias("written_at"))
+
+
 _NONE = "cast(array() as array<string>)"
 
 
@@ -62,12 +69,12 @@ def strange_keys(value: Column, kind: T.DataType, path: str = "", free: tuple[st
     return F.expr(_NONE)
 
 
-def checked_documents(spark: SparkSession, glob: str, shape: Shape) -> DataFrame:
+def checked_documents(spark: SparkSession, glob: str | DataFrame, shape: Shape) -> DataFrame:
     """One row per document: its project, path, the fields that are read, and `problem`, null if it is as its shape says. One scan; what a document holds
     never becomes part of the plan, so a fleet may have as many names of presets or stages as it likes. A file of no bytes is not there for Spark's file
     index and counts as missing."""
     fields = T.StructType.fromDDL(shape.schema).add("_corrupt_record", T.StringType())
-    raw = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = raw_documents(spark, glob).select("path", "value")
     doc = raw.select(project_of(F.col("path")).alias(PID), "path", F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"), F.try_parse_json("value").alias("v"))
     wrong = F.col("d").isNull() | F.col("d._corrupt_record").isNotNull() | F.col("v").isNull() | (F.col("v").isNotNull() & F.try_variant_get("v", "$", "map<string,variant>").isNull())
     problem = F.when(wrong, "document of the wrong shape")
@@ -81,12 +88,12 @@ def checked_documents(spark: SparkSession, glob: str, shape: Shape) -> DataFrame
     return doc.select(PID, "path", problem.alias("problem"), *[F.col("d").getField(f.name).alias(f.name) for f in fields if f.name != "_corrupt_record"])
 
 
-def bad_documents(spark: SparkSession, glob: str, shape: Shape) -> DataFrame:
+def bad_documents(spark: SparkSession, glob: str | DataFrame, shape: Shape) -> DataFrame:
     """(project_id, path, problem) of the documents that a reader of this shape refuses: the fleet's quarantine."""
     return checked_documents(spark, glob, shape).filter("problem IS NOT NULL").select(PID, "path", "problem")
 
 
-def read_json(spark: SparkSession, glob: str, shape: Shape, good_only: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, glob: str | DataFrame, shape: Shape, good_only: bool = False) -> DataFrame:
     """One row per document with its project. A document that is not as its shape says is an error when any of its fields is read, or is left out if only
     good ones are asked for (bad_documents names it)."""
     df = checked_documents(spark, glob, shape)

@@ -1,14 +1,15 @@
-"""Readers: directories of many projects' JSON, SRT, log and media files to tables, one job for the fleet."""
+"""Readers: directories of many projects' JSON, SRT, log and media files, or packs of them, to tables, one job for the fleet."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetcut.functions.batches import small_batches
 from fleetcut.functions.time import to_ms
 from fleetcut.operators.intervals import PID
 from fleetcut.operators.subtitles import STYLE_TYPES, parse_srt
-from fleetcut.sources.documents import Shape, SourceError, bad_documents, project_of, read_json
+from fleetcut.sources.documents import Shape, SourceError, bad_documents, project_of, raw_documents, read_json
 
 __all__ = ["SourceError", "bad_documents"]
 
@@ -63,14 +64,14 @@ SHAPES = {
 }
 
 
-def read_projects(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+def read_projects(spark: SparkSession, glob: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(projects, stage_records) of manifests."""
     m = read_json(spark, glob, SHAPES["manifest"])
     projects = m.select(PID, "source.path", "source.sha256", to_ms(F.col("source.duration")).alias("duration_ms"), "source.video", "source.audio", instant(F.col("created_at")).alias("created_at"))
     return projects, m.select(PID, F.explode("stages").alias("stage", "r")).select(PID, "stage", instant(F.col("r.done_at")).alias("done_at"), "r.params_sha256", "r.tool_versions")
 
 
-def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
+def read_profiles(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Profiles with the default in place of every absent field."""
     def full(x, path: str) -> Column:
         if isinstance(x, dict):
@@ -91,44 +92,44 @@ def _ms(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def read_transcripts(spark: SparkSession, glob: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Segments in the document's order; words are the recogniser's, where it gave them."""
     df = read_json(spark, glob, SHAPES["transcript"])
     dated = F.transform("edits", lambda e: F.struct(instant(e["at"]).alias("at"), e["tool"].alias("tool"), e["before"].alias("before")))
     return _ms(_listed(df, "segments"), "start", "end").withColumnRenamed("id", "segment_id").withColumn("edits", dated)
 
 
-def read_regions(spark: SparkSession, glob: str) -> DataFrame:
+def read_regions(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     return _ms(_listed(read_json(spark, glob, SHAPES["regions"]), "segments"), "start", "end")
 
 
-def read_cuts(spark: SparkSession, glob: str, projects: DataFrame | None = None) -> DataFrame:
+def read_cuts(spark: SparkSession, glob: str | DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Cuts in file order; a project without the file has none."""
     df = read_json(spark, glob, SHAPES["cuts"])
     out = _ms(_listed(df, "cuts"), "start", "end").withColumnRenamed("id", "cut_id")
     return out if projects is None else out.join(projects.select(F.col(PID).cast("string").alias(PID)), PID, "left_semi")
 
 
-def read_telops(spark: SparkSession, glob: str) -> DataFrame:
+def read_telops(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     df = read_json(spark, glob, SHAPES["telops"])
     return _ms(_listed(df, "telops", "idx"), "start", "duration")
 
 
-def read_styles(spark: SparkSession, glob: str) -> DataFrame:
+def read_styles(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """A project's presets, the fields that it states as text."""
     df = read_json(spark, glob, SHAPES["styles"]).select(PID, F.explode("presets").alias("preset", "p"))
     stated = F.map_from_arrays(F.array(*map(F.lit, STYLE_TYPES)), F.array(*[F.col("p").getField(k).cast("string") for k in STYLE_TYPES]))
     return df.select(PID, "preset", F.map_filter(stated, lambda k, v: v.isNotNull()).alias("fields"))
 
 
-def read_noise_floor(spark: SparkSession, glob: str) -> DataFrame:
+def read_noise_floor(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Levels before and after, as before_rms_db and after_rms_db or as rms_db of an object each."""
     df = read_json(spark, glob, SHAPES["noise_floor"])
     level = lambda side: F.coalesce(f"{side}_rms_db", f"{side}.rms_db").alias(f"{side}_rms_db")
     return df.select(PID, to_ms(F.col("silence_sec")).alias("silence_ms"), level("before"), level("after"))
 
 
-def read_raw_segments(spark: SparkSession, glob: str) -> DataFrame:
+def read_raw_segments(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Recogniser output in either of two shapes: transcription[].offsets in ms, or segments[] in seconds."""
     df = read_json(spark, glob, SHAPES["recogniser"])
     a = F.transform("transcription", lambda x: F.struct((x["offsets"]["from"] / 1000.0).alias("start_s"), (x["offsets"]["to"] / 1000.0).alias("end_s"), x["text"].alias("text")))
@@ -138,7 +139,7 @@ def read_raw_segments(spark: SparkSession, glob: str) -> DataFrame:
     return _listed(df.withColumn("rows", F.when(rows.isNull(), none.cast("array<struct<start_s:double,end_s:double,text:string>>")).otherwise(rows)), "rows")
 
 
-def read_edl(spark: SparkSession, glob: str) -> DataFrame:
+def read_edl(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Clips of version 3 edit lists: (list: v or a, track, ord, src, start, dur, offset, timebase). Unknown keys are refused."""
     df = read_json(spark, glob, SHAPES["edl"])
     lists = df.select(PID, "timebase", F.explode(F.create_map(F.lit("v"), F.col("v"), F.lit("a"), F.col("a"))).alias("list", "tracks"))
@@ -201,23 +202,23 @@ def time_reports(logs: DataFrame) -> DataFrame:
 # Dictionaries, patches, runs, texts, subtitles, media
 
 
-def read_asr_dict(spark: SparkSession, glob: str) -> DataFrame:
+def read_asr_dict(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Correction dictionaries in their order: (project_id, ord, correct, misrecognized, yomi, confidence, note), as apply_surface takes them."""
     return _listed(read_json(spark, glob, SHAPES["asr_dict"]), "entries")
 
 
-def read_filler_words(spark: SparkSession, glob: str) -> DataFrame:
+def read_filler_words(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     df = read_json(spark, glob, SHAPES["fillers"])
     return df.select(PID, F.explode(F.create_map(F.lit("strong"), F.col("strong"), F.lit("weak"), F.col("weak"))).alias("tier", "words")).select(PID, F.explode("words").alias("word"), "tier")
 
 
-def read_patches(spark: SparkSession, glob: str) -> DataFrame:
+def read_patches(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     return _listed(read_json(spark, glob, SHAPES["patch"]), "edits")
 
 
-def read_runs(spark: SparkSession, glob: str) -> DataFrame:
+def read_runs(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     """Archived runs: the directory's name is the run, the file's time its age; the warnings that the run ended with are listed."""
-    df = spark.read.text(glob, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("written_at"))
+    df = raw_documents(spark, glob).select(F.col("value").alias("doc"), F.col("path").alias("p"), "written_at")
     warnings = F.coalesce(F.from_json(F.get_json_object("doc", "$.run.warnings"), "array<string>"), F.expr("cast(array() as array<string>)"))
     return df.select(
         F.element_at(F.split("p", "/"), -3).alias(PID), F.element_at(F.split("p", "/"), -2).alias("run"), "written_at", "doc",
@@ -225,12 +226,11 @@ def read_runs(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def read_texts(spark: SparkSession, glob: str) -> DataFrame:
-    df = spark.read.text(glob, wholetext=True)
-    return df.select(project_of(F.col("_metadata.file_path")).alias(PID), F.col("value").alias("text"))
+def read_texts(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
+    return raw_documents(spark, glob).select(project_of(F.col("path")).alias(PID), F.col("value").alias("text"))
 
 
-def read_srt(spark: SparkSession, glob: str) -> DataFrame:
+def read_srt(spark: SparkSession, glob: str | DataFrame) -> DataFrame:
     return parse_srt(read_texts(spark, glob).withColumnRenamed("text", "document"))
 
 
@@ -264,3 +264,36 @@ def source_hashes(spark: SparkSession, glob: str, block: int = 4 << 20) -> DataF
 
     files = spark.read.format("binaryFile").load(glob).select("path", "length")
     return files.repartition("path").mapInArrow(run, "path string, length bigint, found string")
+
+
+def packed_hashes(blocks: DataFrame) -> DataFrame:
+    """(path, length, found): SHA-256 of media in a pack of blocks (sinks.pack_media), of any length and number. A file's blocks come to one task in their
+    order and are let go as they are read; that all are there is checked by the file's length."""
+    import pyarrow as pa
+
+    def run(batches):
+        import hashlib
+
+        now, length, seen, digest = None, 0, 0, None
+
+        def done():
+            if seen != length:
+                raise SourceError(f"{now}: blocks of {seen} bytes of {length}")
+            return now, length, digest.hexdigest()
+
+        for batch in batches:
+            out = []
+            for path, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if path != now:
+                    if digest:
+                        out.append(done())
+                    now, length, seen, digest = path, size, 0, hashlib.sha256()
+                digest.update(data.as_buffer())
+                seen += len(data.as_buffer())
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "length", "found"])
+        if digest:
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(done(), (pa.string(), pa.int64(), pa.string()), strict=True)], ["path", "length", "found"])
+
+    small_batches(blocks.sparkSession)
+    rows = blocks.select("path", "length", "n", "data").repartition("path").sortWithinPartitions("path", "n")
+    return rows.mapInArrow(run, "path string, length bigint, found string")
