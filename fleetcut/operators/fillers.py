@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcut.functions.matching import match_words
 from fleetcut.functions.text import filler_normalise
 from fleetcut.operators.candidates import longest_piece
 from fleetcut.operators.intervals import PID, subtract
@@ -32,10 +33,6 @@ def filler_words(projects: DataFrame, packaged: DataFrame, own: DataFrame, enabl
     return first.select(PID, "word", "tier", place.cast("bigint").alias("place"))
 
 
-def _quoted(pattern_words: Column) -> Column:
-    return F.array_join(F.transform(pattern_words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
-
-
 def _hits(df: DataFrame, alternation: Column) -> DataFrame:
     """Hits (word, start, end) in t from left to right, longest at each place, from the pieces of t."""
     pieces = F.regexp_extract_all("t", F.concat(F.lit("(?s)"), alternation, F.lit("|.")), F.lit(0))
@@ -70,14 +67,18 @@ def scan_fixed(segments: DataFrame, words: list[str], ascii_only: bool = False)
 def scan(segments: DataFrame, words: DataFrame) -> DataFrame:
     """Scan each segment with its project's words: t, hits, is_whole, leading, trailing, inside and the tier of the hits
     (strong if any hit is strong)."""
-    lists = words.groupBy(PID).agg(F.array_sort(F.collect_list(F.struct("place", "word", "tier"))).alias("w"))
-    df = segments.join(lists, PID, "left").withColumn("w", F.coalesce("w", F.expr("cast(array() as array<struct<place:bigint,word:string,tier:string>>)")))
-    df = df.withColumn("known", F.transform("w", lambda x: x["word"])).withColumn("t", filler_normalise(F.col("text")))
-    none = F.lit("(?!)")
-    df = _placed(_hits(df, F.when(F.size("known") > 0, _quoted(F.col("known"))).otherwise(none)))
-    strong = F.transform(F.filter("w", lambda x: x["tier"] == "strong"), lambda x: x["word"])
-    any_strong = F.exists("hits", lambda h: F.array_contains(strong, h["word"]))
-    return df.withColumn("tier", F.when(any_strong, "strong").when(F.size("hits") > 0, "weak")).drop("w", "known")
+    listed = words.select(PID, "word", F.col("tier").alias("value"), F.when(F.col("tier") == "strong", 0).otherwise(1).alias("rank"))
+    df = match_words(segments.withColumn("t", filler_normalise(F.col("text"))), listed, "t", "__pieces")
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<word:string,start:int,end:int>>)").alias("h"))
+
+    def step(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.length(p["was"])
+        hit = F.array_append(acc["h"], F.struct(p["was"].alias("word"), acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(p["flag"], hit).otherwise(acc["h"]).alias("h"))
+
+    any_strong = F.exists("__pieces", lambda p: p["value"] == "strong")
+    df = _placed(df.withColumn("hits", F.aggregate("__pieces", start, step, lambda acc: acc["h"])))
+    return df.withColumn("tier", F.when(any_strong, "strong").when(F.size("hits") > 0, "weak")).drop("__pieces")
 
 
 def filler_confidence(placement: Column, tier: Column) -> Column:

@@ -36,10 +36,14 @@ def without_fillers(segments: DataFrame, cuts: DataFrame, words: DataFrame) -> D
         )
 
     ranges = F.flatten(F.transform("cuts", taken))
-    places = F.when(F.length("t") > 0, F.sequence(F.lit(0), F.length("t") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    s = s.withColumn("__r", ranges)
-    left = F.filter(places, lambda i: ~F.exists("__r", lambda r: (r["s"] <= i) & (i < r["e"])))
-    said = s.select(PID, "segment_id", F.array_join(F.transform(left, lambda i: F.substring(F.col("t"), i + 1, F.lit(1))), "").alias("said"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    # one pass over the ranges in order, each evaluated once; what stands between them is taken whole
+    kept = F.aggregate(
+        F.array_sort(ranges), start,
+        lambda acc, r: F.struct(F.greatest(acc["at"], r["e"]).alias("at"), F.when(r["s"] > acc["at"], F.array_append(acc["out"], F.substring(F.col("t"), acc["at"] + 1, r["s"] - acc["at"]))).otherwise(acc["out"]).alias("out")),
+        lambda acc: F.array_join(F.array_append(acc["out"], F.substring(F.col("t"), acc["at"] + 1, F.length("t"))), ""),
+    )
+    said = s.select(PID, "segment_id", F.coalesce(kept, F.lit("")).alias("said"))
     return segments.join(said, [PID, "segment_id"], "left").withColumn("said", F.coalesce("said", "text"))
 
 
