@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcut.functions.alignment import align_texts
+from fleetcut.functions.batches import small_batches
 from fleetcut.functions.text import cer_rate, edit_counts, normalise
 from fleetcut.functions.time import round_half_even
 from fleetcut.operators.fillers import scan
@@ -67,6 +68,7 @@ def expected_text(expected: DataFrame) -> DataFrame:
 
 def compare(texts: DataFrame) -> DataFrame:
     """texts (project_id, expected, actual) with the hunks that are missing and the errors of the alignment."""
+    small_batches(texts.sparkSession)
     return texts.withColumn("alignment", align_texts("expected", "actual"))
 
 
