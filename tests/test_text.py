@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -381,3 +382,55 @@ def test_flags_are_the_nearest_edges_on_both_sides_of_time_bins(spark):
     located = spark.createDataFrame([(p, i, "xx", t) for (p, i), t in at.items()], "project_id long, index int, text string, at_ms double")
     got = {(r.project_id, r["index"]): r.source_ms for r in V.flag_boundaries(located, cuts, cuts.select("project_id", "start_ms", "end_ms"), projects).collect()}
     assert got == {(1, 0): 58_000, (1, 2): 63_000, (2, 0): 600, (2, 1): 2_500}
+
+
+def test_long_segments_are_read_in_one_pass(spark, monkeypatch):
+    """Tokens of a segment were copied into each of its runs, so a long one took their square; a dictionary too long to broadcast gives the same. Checked by brute force."""
+    random.seed(4)
+    dictionary = {"inthe": "IN-THE", "the": "THE", "theof": "THE-OF"}
+    d = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(dictionary.items())], "reading string, correct string, rank int")
+    surface = {"thea": "THE", "ou": "oui"}
+
+    def tokens(text):
+        return [(m.start(), m.end(), m.group(), m.group().lower() if m.group().strip() else None) for m in re.finditer(r"\S+|\s+", text)]
+
+    def plain(text):
+        pieces, at, moved, edits = re.findall(r"thea|ou|.", text), 0, 0, []
+        for p in pieces:
+            if p in surface:
+                edits.append((at, at + len(p), moved, surface[p]))
+            at, moved = at + len(p), moved + len(surface.get(p, p))
+        now = "".join(surface.get(p, p) for p in pieces)
+        inverse = {v: k for k, v in dictionary.items()}
+        after = [(m, m + len(to), inverse.get(to, "")) for _, _, m, to in edits]
+        for b, e, _, r in tokens(text):
+            if not any(x < e and y > b for x, y, _, _ in edits):
+                by = sum(len(to) - (y - x) for x, y, _, to in edits if y <= b)
+                after.append((b + by, e + by, r or ""))
+        after.sort()
+        out, done, i, hits = "", 0, 0, len(edits)
+        while i < len(after):
+            found = [n for n in range(1, 9) if i + n <= len(after) and after[i][2] and after[i + n - 1][2] and "".join(r for _, _, r in after[i : i + n]) in dictionary]
+            if found:
+                n = max(found)
+                b, e, to = after[i][0], after[i + n - 1][1], dictionary["".join(r for _, _, r in after[i : i + n])]
+                hits += now[b:e] != to
+                out, done = out + now[done:b] + to, e
+            i += max(found, default=1)
+        return out + now[done:], hits
+
+    texts = [" ".join(random.choice(["thea", "the", "of", "in", "house", "you", "-"]) for _ in range(n)) for n in (0, 1, 2, 40, 40, 40, 8000)]
+    want = {i: plain(t) for i, t in enumerate(texts[:-1])}
+
+    def got(texts):
+        seg = spark.createDataFrame([(1, f"s{i}", i, 0, 1, t) for i, t in enumerate(texts)], SEG)
+        t = spark.createDataFrame([(1, f"s{i}", k, *x) for i, text in enumerate(texts) for k, x in enumerate(tokens(text))], "project_id long, segment_id string, ord int, begin int, end int, surface string, reading string")
+        rows = K.correct_segments(seg, entries(spark, [("THE", ["thea"], "always"), ("oui", ["ou"], "always")]), t, d).collect()
+        return {int(r.segment_id[1:]): (r.new_text, len(r.hits)) for r in rows}, sorted(map(tuple, K.apply_readings(t, d).collect()))
+
+    start = time.time()
+    most, runs = got(texts)
+    assert {i: most[i] for i in want} == want and most[6][0].count("THE") > 1000 and time.time() - start < 60
+    few, short = got(texts[:-1])
+    monkeypatch.setattr(K, "MAX_WORDS", 0)
+    assert got(texts[:-1]) == (few, short) == (want, [r for r in runs if r[1] != "s6"])
