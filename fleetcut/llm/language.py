@@ -13,6 +13,8 @@ from fleetcut.llm.html_text import extract_main_text
 
 #: Hashed byte trigrams; labelled documents of a language that train its likelihoods, at most.
 GRAMS, TRAIN_DOCS = 1 << 16, 4000
+#: Trigrams whose counts one row holds, between tasks.
+CELL = 1 << 12
 #: Languages whose counts a task or the driver holds at once; all languages are learned, in blocks.
 BLOCK = 64
 #: Text evidence counts as that of so many independent trigrams at most: neighbouring trigrams are not independent.
@@ -33,15 +35,9 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[real], starts
 
 
-def _train(rows: DataFrame, train_docs: int) -> tuple[list[str], list[np.ndarray]]:
-    """All labelled languages by name, and log likelihoods of the trigrams in blocks of BLOCK languages, from whole texts of a bounded
-    sample for each."""
-    counts = C.stage(rows.filter("label is not null and text <> ''").groupBy("label").count(), "labels")
-    names = [r["label"] for r in counts.orderBy("label").collect()]  # a row a language
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.broadcast(counts.select("label", F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("count")).alias("share")))
-    sample = rows.select("label", "text").join(share, "label").filter(draw < F.col("share")).select("label", "text")
-
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """Counts of trigrams (label, cell, grams, n) of texts (label, text): a task gives one row at most for each language and CELL trigrams that it holds at
+    once, however many trigrams its texts have."""
     def run(batches):
         import pyarrow as pa
 
@@ -50,7 +46,10 @@ def _train(rows: DataFrame, train_docs: int) -> tuple[list[str], list[np.ndarray
         def flush():
             for name, c in total.items():
                 used = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(c[used], pa.int64())], ["label", "gram", "n"])
+                for part in np.split(used, np.searchsorted(used, np.arange(CELL, GRAMS, CELL))):
+                    if len(part):
+                        row = [pa.array([x], kind) for x, kind in ((name, pa.string()), (int(part[0]) // CELL, pa.int32()), ((part % CELL).astype("<u2").tobytes(), pa.binary()), (c[part].astype("<i8").tobytes(), pa.binary()))]
+                        yield pa.RecordBatch.from_arrays(row, ["label", "cell", "grams", "n"])
             total.clear()
 
         for batch in batches:
@@ -65,21 +64,34 @@ def _train(rows: DataFrame, train_docs: int) -> tuple[list[str], list[np.ndarray
         yield from flush()
         C.trim()
 
-    def pack(table):
+    return texts.mapInArrow(run, "label string, cell int, grams binary, n binary")
+
+
+def _train(rows: DataFrame, train_docs: int) -> tuple[list[str], list[np.ndarray]]:
+    """All labelled languages by name, and log likelihoods of the trigrams in blocks of BLOCK languages, from whole texts of a bounded
+    sample for each."""
+    counts = C.stage(rows.filter("label is not null and text <> ''").groupBy("label").count(), "labels")
+    names = [r["label"] for r in counts.orderBy("label").collect()]  # a row a language
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.broadcast(counts.select("label", F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("count")).alias("share")))
+    sample = rows.select("label", "text").join(share, "label").filter(draw < F.col("share")).select("label", "text")
+
+    def add(table):
         import pyarrow as pa
 
-        dense = np.zeros(GRAMS, "<i8")
-        dense[table.column("gram").to_numpy()] = table.column("n").to_numpy()
-        return pa.table({"label": table.column("label").slice(0, 1), "counts": pa.array([dense.tobytes()], pa.binary())})
+        dense = np.zeros(CELL, "<i8")
+        for grams, n in zip(table.column("grams").to_pylist(), table.column("n").to_pylist(), strict=True):
+            dense[np.frombuffer(grams, "<u2")] += np.frombuffer(n, "<i8")
+        return pa.table({"label": table.column("label").slice(0, 1), "cell": table.column("cell").slice(0, 1), "counts": pa.array([dense.tobytes()], pa.binary())})
 
-    grams = sample.mapInArrow(run, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    packed = C.stage(grams.groupBy("label").applyInArrow(pack, "label string, counts binary"), "grams")
+    cells = trigram_counts(sample).groupBy("label", "cell").applyInArrow(add, "label string, cell int, counts binary")
+    packed = C.stage(cells, "grams")
     blocks = []
     for lo in range(0, len(names), BLOCK):
         block = names[lo : lo + BLOCK]
         table = np.full((len(block), GRAMS), 0.5)
-        for r in packed.filter((F.col("label") >= block[0]) & (F.col("label") <= block[-1])).collect():  # BLOCK rows of 512 KiB at most
-            table[block.index(r["label"])] += np.frombuffer(r["counts"], "<i8")
+        for r in packed.filter((F.col("label") >= block[0]) & (F.col("label") <= block[-1])).collect():  # BLOCK times 512 KiB at most
+            table[block.index(r["label"]), r["cell"] * CELL : (r["cell"] + 1) * CELL] += np.frombuffer(r["counts"], "<i8")
         blocks.append(np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
     C.unstage(packed)
     return names, blocks

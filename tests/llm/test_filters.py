@@ -98,6 +98,20 @@ def test_wrong_tags_are_corrected_and_posteriors_are_exact(spark):
         assert abs(got[r[0]].posterior - 1 / sum(math.exp(x - lp[best]) for x in lp)) < 1e-4
 
 
+def test_trigram_counts_are_a_row_for_a_cell(spark):
+    """Rows between tasks do not grow with the texts' trigrams, and the counts are the texts', however they are dealt."""
+    random.seed(9)
+    rows = [(f"l{i % 2}", "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000))) for i in range(24)]
+    df = spark.createDataFrame(rows, "label string, text string")
+    for tasks in (1, 8):
+        got, seen = Counter(), L.trigram_counts(df.repartition(tasks)).collect()
+        assert len(seen) <= tasks * 2 * L.GRAMS // L.CELL
+        for r in seen:
+            for gram, n in zip(memoryview(bytes(r.grams)).cast("H"), memoryview(bytes(r.n)).cast("q"), strict=True):
+                got[r.label, r.cell * L.CELL + gram] += n
+        assert got == Counter((name, int(g)) for name, text in rows for g in L.trigrams([text])[0])
+
+
 def test_languages_beyond_a_block_and_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 2)
     words = ["aaa bbb", "ccc ddd", "eee fff", "ggg hhh", "iii jjj"]
