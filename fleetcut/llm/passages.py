@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fleetcut.llm import _common as C
 from fleetcut.llm.exact_dedup import normalised
-from fleetcut.llm.words import WordHashes, shingles
+from fleetcut.llm.words import WordHashes, mix, shingles
 
 #: Words of a seed. Seeds whose hash is a multiple of SAMPLE are taken wherever they stand, and the smallest of any WINDOW seeds in a
 #: row, so any K + WINDOW - 1 equal words share one, and edited passages share a SAMPLE-th of their equal runs' seeds.
@@ -27,6 +27,27 @@ GAP, SHIFT = 0.05, 0.5
 STOP, IDENTITY = 8, 0.8
 
 
+def first_smallest(values: np.ndarray, size: int) -> np.ndarray:
+    """Place of the smallest value of each window of `size` values, the first on ties; windows of twice the width come from two of the width before."""
+    at, best, wide = np.arange(len(values)), values, 1
+    while wide < size:
+        step = min(wide, size - wide)
+        later = best[step:] < best[:-step]
+        at, best = np.where(later, at[step:], at[:-step]), np.where(later, best[step:], best[:-step])
+        wide += step
+    return at
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of `size` words, from hashes of runs of half its width."""
+    out, wide = mix(words + np.uint64(size)), 1
+    while wide < size:
+        step = min(wide, size - wide)
+        out = mix(mix(out[:-step]) + out[step:])
+        wide += step
+    return out
+
+
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the sampled seeds and of the smallest seed of every window of WINDOW seeds (the first on ties), in order."""
     if len(words) < K:
@@ -36,8 +57,7 @@ def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(seeds) <= WINDOW:
         taken[seeds.argmin()] = True
     else:
-        view = np.lib.stride_tricks.sliding_window_view(seeds, WINDOW)
-        taken[view.argmin(1) + np.arange(len(view))] = True
+        taken[first_smallest(seeds, WINDOW)] = True
     at = np.flatnonzero(taken)
     return seeds[at], at
 
@@ -150,6 +170,8 @@ def chains(segments: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
     """
     segs = sorted(segments)
     n = len(segs)
+    if n == 1:
+        return [segs]
     ends = sorted({s[1] + s[2] for s in segs})
     diagonals = sorted({s[0] - s[1] for s in segs})
     up, down = Fenwick2(len(diagonals), len(ends)), Fenwick(len(diagonals))
@@ -291,7 +313,7 @@ def open_windows(n: int, least: int, places: np.ndarray, hashes: np.ndarray, ear
     dense = np.full(n - K + 1, ~np.uint64(0))
     dense[places] = hashes
     size = min(WINDOW, wide)
-    smallest = np.lib.stride_tricks.sliding_window_view(dense, size).argmin(1) + np.arange(len(dense) - size + 1)
+    smallest = first_smallest(dense, size)
     start = np.arange(n - least + 1)
     first, last = smallest[start], smallest[start + wide - size]
     chosen, known = np.zeros(len(dense) + 1, np.int64), np.zeros(len(dense) + 1, np.int64)
@@ -351,7 +373,7 @@ def _window_keys(places: DataFrame, texts: DataFrame, least: int, id_type: str)
                 words = np.frombuffer(part.column("words")[0].as_buffer(), "<u4").astype(np.uint64)
                 starts = part.column("starts")[0].values.to_numpy()
                 starts = starts[(starts >= 0) & (starts + least <= len(words))]
-                keys = shingles(words, least)[starts].view(np.int64) if len(starts) else np.empty(0, np.int64)
+                keys = window_hashes(words, least)[starts].view(np.int64) if len(starts) else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([0] * len(starts), pa.int64())), pa.array(starts, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "start", "window"])
 
     rows = places.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).join(texts, "doc_id")

@@ -356,3 +356,19 @@ def test_mixed_buckets_meet_by_rare_shingles(spark):
     got = {tuple(sorted((r.a, r.b))) for r in M._meet_in_blocks(bucket, rows, 80).collect()}
     want = {(a[0], b[0]) for a in members for b in members if a[0] < b[0] and 100 * len(set(a[2]) & set(b[2])) >= 80 * len(set(a[2]) | set(b[2]))}
     assert got == want == {(3, 500)}
+
+
+def test_window_minima_and_hashes_by_doubling():
+    """The same places as by looking at every window whole, and equal hashes for equal windows only."""
+    from fleetcut.llm import passages as P
+
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 23, 24, 50):
+        for n in (size, size + 1, 200):
+            v = rng.integers(0, 9, n).astype(np.uint64)
+            view = np.lib.stride_tricks.sliding_window_view(v, size)
+            assert P.first_smallest(v, size).tolist() == (view.argmin(1) + np.arange(len(view))).tolist()
+            v = rng.integers(0, 2, n).astype(np.uint64)
+            keys = [tuple(x) for x in np.lib.stride_tricks.sliding_window_view(v, size).tolist()]
+            pairs = set(zip(keys, P.window_hashes(v, size).tolist(), strict=True))
+            assert len(pairs) == len(set(keys)) == len({h for _, h in pairs})
