@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,12 @@ class Matcher:
         return out
 
 
-def _arrow(batch, column: int, matcher: Matcher, out: str):
+def _column(found: list):
+    """Pieces of many texts as an Arrow column."""
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("was", pa.string()), ("value", pa.string()), ("flag", pa.bool_())]))
-    found = [None if t is None else [{"was": w, "value": v, "flag": f} for w, v, f in matcher.pieces(t)] for t in batch.column(column).to_pylist()]
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
+    return pa.array([None if pieces is None else [{"was": w, "value": v, "flag": f} for w, v, f in pieces] for pieces in found], kind)
 
 
 def _schema(rows: DataFrame, out: str) -> T.StructType:
@@ -109,9 +110,12 @@ def match_words(rows: DataFrame, words: DataFrame, text: str = "text", out: str
         listed = spark.sparkContext.broadcast([(r["word"], r["value"], r["flag"]) for r in table.orderBy("rank").collect()])
 
         def run(batches):
+            import pyarrow as pa
+
             matcher = Matcher(listed.value)
             for batch in batches:
-                yield _arrow(batch, at, matcher, out)
+                found = [None if t is None else matcher.pieces(t) for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, _column(found)], [*batch.schema.names, out])
 
         return rows.mapInArrow(run, _schema(rows, out))
     row = F.struct(*rows.columns)
@@ -124,30 +128,27 @@ def match_words(rows: DataFrame, words: DataFrame, text: str = "text", out: str
     def stream(batches):
         import pyarrow as pa
 
+        # projects with the same short list share a matcher, and a batch gives one batch however many projects it holds
+        shared = lru_cache(maxsize=64)(Matcher)
         now, held, matcher = None, [], None
         for batch in batches:
             project, salt, r, w = (batch.column(batch.schema.get_field_index(c)) for c in (PID, "salt", "r", "w"))
-            keys, entries, lo = list(zip(project.to_pylist(), salt.to_pylist(), strict=True)), w.to_pylist(), 0
-
-            def flush(lo: int, hi: int):
-                part = r.slice(lo, hi - lo)
-                plain = pa.RecordBatch.from_arrays(part.flatten(), [f.name for f in part.type])
-                return _arrow(plain, at, matcher or Matcher([]), out)
-
-            for i, (key, entry) in enumerate(zip(keys, entries, strict=True)):
-                if key != now or entry is not None:
-                    if i > lo:
-                        yield flush(lo, i)
-                    lo = i
+            entries = w.to_pylist()
+            part = r.take(pa.array([i for i, entry in enumerate(entries) if entry is None], pa.int64()))
+            columns, found = part.flatten(), []
+            texts = iter(columns[at].to_pylist())
+            for key, entry in zip(zip(project.to_pylist(), salt.to_pylist(), strict=True), entries, strict=True):
                 if key != now:
                     now, held, matcher = key, [], None
                 if entry is not None:
                     held.append((entry["word"], entry["value"], entry["flag"]))
-                    lo = i + 1
-                elif matcher is None and held:
-                    matcher, held = Matcher(held), []
-            if lo < len(keys):
-                yield flush(lo, len(keys))
+                    continue
+                if matcher is None:
+                    matcher, held = (shared(tuple(held)) if len(held) <= 1000 else Matcher(held)), []
+                t = next(texts)
+                found.append(None if t is None else matcher.pieces(t))
+            if found:
+                yield pa.RecordBatch.from_arrays([*columns, _column(found)], [*(f.name for f in part.type), out])
 
     return both.select(PID, "salt", "r", "w").repartition(PID, "salt").sortWithinPartitions(*order).mapInArrow(stream, _schema(rows, out))
 

@@ -434,3 +434,19 @@ def test_long_segments_are_read_in_one_pass(spark, monkeypatch):
     few, short = got(texts[:-1])
     monkeypatch.setattr(K, "MAX_WORDS", 0)
     assert got(texts[:-1]) == (few, short) == (want, [r for r in runs if r[1] != "s6"])
+
+
+def test_words_of_many_projects_make_few_batches(spark):
+    """A batch gives one batch however many projects it holds; each project still meets its own words only."""
+    from fleetcut.functions import matching as M
+
+    rows = spark.createDataFrame([(i, f"s{i}", None if i % 50 == 7 else f"a{i % 3} b{i} a1") for i in range(3000)], "project_id long, segment_id string, text string")
+    words = spark.createDataFrame([(i, f"a{i % 2}") for i in range(3000)] + [(i, f"b{i}") for i in range(0, 3000, 3)], "project_id long, word string")
+    out = M.match_words(rows, words).cache()
+    for r in out.collect():
+        known = {f"a{r.project_id % 2}", *([f"b{r.project_id}"] if r.project_id % 3 == 0 else [])}
+        if r.text is None:
+            assert r.pieces is None
+            continue
+        assert "".join(p.was for p in r.pieces) == r.text
+        assert [p.was for p in r.pieces if p.flag] == re.findall("|".join(sorted(known, key=len, reverse=True)), r.text)
