@@ -56,9 +56,10 @@ def expected_segments(segments: DataFrame, cuts: DataFrame, words: DataFrame | N
     entries, _ = map_segments(segments, approved(cuts), MIN_DISPLAY_MS)
     said = without_fillers(segments, cuts, words) if words is not None else segments.withColumn("said", F.col("text"))
     text = normalise(F.col("said"), ascii_only)
-    rows = entries.join(said.select(PID, "segment_id", text.alias("said")), [PID, "segment_id"]).filter("said <> ''")
+    rows = entries.join(said.select(PID, "segment_id", text.alias("said")), [PID, "segment_id"])
     by = Window.partitionBy(PID).orderBy("start_ms", "end_ms", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.length("said")).over(by), F.lit(0)).cast("bigint"))
+    placed = rows.withColumn("offset", F.coalesce(F.sum(F.length("said")).over(by), F.lit(0)).cast("bigint"))
+    return placed.filter("said <> ''")  # behind the window, as before it Spark would normalise each text a second time for the filter
 
 
 def expected_text(expected: DataFrame) -> DataFrame:
@@ -68,12 +69,17 @@ def expected_text(expected: DataFrame) -> DataFrame:
 
 def compare(texts: DataFrame) -> DataFrame:
     """texts (project_id, expected, actual) with the hunks that are missing and the errors of the alignment."""
-    small_batches(texts.sparkSession)
-    return texts.withColumn("alignment", align_texts("expected", "actual"))
+    spark = texts.sparkSession
+    small_batches(spark)
+    # few bytes but much work a text: dealt out to a fixed number of partitions, which adaptive execution does not merge into a few tasks; by project, Spark
+    # would drop the step where texts come from a grouping by project
+    spread = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.withColumn("alignment", align_texts("expected", "actual"))
 
 
 def missing_hunks(texts: DataFrame) -> DataFrame:
-    return compare(texts).select(PID, F.inline("alignment.hunks"))
+    # inner, Spark would put a filter on the hunks before the generator and align each text a second time for it
+    return compare(texts).select(PID, F.inline_outer("alignment.hunks")).filter(F.col("index").isNotNull())
 
 
 def alignment_cer(texts: DataFrame) -> DataFrame:

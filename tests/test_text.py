@@ -372,6 +372,41 @@ def test_alignment_equals_the_standard_matcher():
     assert gaps(talk, talk[:70_000] + talk[70_400:]) == [(70_000, 70_400, 70_000, 70_000)]
 
 
+def test_long_blocks_need_no_automaton(monkeypatch):
+    """Texts that share long blocks are aligned by pieces; blocks, ties and repeats are those of the automaton and of the standard matcher."""
+    from fleetcut.functions import alignment as A
+
+    rnd = random.Random(32)
+    for n in range(1500):
+        letters = ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz", "あい𠮷éabcd")[n % 4]
+        a = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 200)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randint(0, len(b))
+            b[at : at + rnd.randint(0, 5)] = rnd.choice([[], [rnd.choice(letters)], b[: rnd.randint(0, 40)]])
+        b = "".join(b)
+        want = [(i, j, k, m) for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+        assert A.gaps(a, b) == want, (a, b)
+    monkeypatch.setattr(A, "_automaton", None)
+    talk = "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(20_000))
+    assert A.gaps(talk, talk[:7_000] + talk[7_400:]) == [(7_000, 7_400, 7_000, 7_000)]
+
+
+def test_texts_are_aligned_once_and_by_many_tasks(spark):
+    """Few bytes from a grouping by project stay spread, and no filter on the hunks aligns or normalises a text a second time."""
+    rows = spark.range(40).select(F.col("id").alias("project_id"), F.concat(F.lit("abcdefgh-"), F.col("id").cast("string")).alias("expected"))
+    texts = rows.groupBy("project_id").agg(F.max("expected").alias("expected")).withColumn("actual", F.expr("substring(expected, 4)"))
+    assert V.missing_hunks(texts)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert V.compare(texts).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.project_id, r["index"], r.text) for r in V.missing_hunks(texts).collect()) == [(p, 0, "abc") for p in range(40)]
+    segs = spark.createDataFrame([(1, "s0001", 0, 0, 2000, "A b."), (1, "s0002", 1, 3000, 5000, " ?!"), (1, "s0003", 2, 6000, 8000, "Cd")], SEG)
+    cuts = spark.createDataFrame([], "project_id long, cut_id string, start_ms long, end_ms long, reason string, status string")
+    placed = V.expected_segments(segs, cuts, ascii_only=True).select("segment_id", "said", "offset")
+    assert sorted(map(tuple, placed.collect())) == [("s0001", "ab", 0), ("s0003", "cd", 2)]
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(regexp_replace(") == 1, plan
+
+
 def test_flags_are_the_nearest_edges_on_both_sides_of_time_bins(spark):
     """A hunk is flagged within two seconds of an edge, at exactly two as well, also where the window begins before zero or crosses a bin."""
     from fleetcut.operators import verify as V
