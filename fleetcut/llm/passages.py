@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fleetcut.llm import _common as C
 from fleetcut.llm.exact_dedup import normalised
-from fleetcut.llm.words import WordHashes, mix, shingles
+from fleetcut.llm.words import WordSums, mix
 
 #: Words of a seed. Seeds whose hash is a multiple of SAMPLE are taken wherever they stand, and the smallest of any WINDOW seeds in a
 #: row, so any K + WINDOW - 1 equal words share one, and edited passages share a SAMPLE-th of their equal runs' seeds.
@@ -27,6 +27,20 @@ GAP, SHIFT = 0.05, 0.5
 STOP, IDENTITY = 8, 0.8
 
 
+_FACTORS = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def seeds_of(words: np.ndarray) -> np.ndarray:
+    """Hash of each run of K words, one finaliser for a run; words are hashes already."""
+    n = len(words) - K + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out = words[:n] * _FACTORS[0]
+    for i in range(1, K):
+        out += words[i : n + i] * _FACTORS[i]
+    return mix(out)
+
+
 def first_smallest(values: np.ndarray, size: int) -> np.ndarray:
     """Place of the smallest value of each window of `size` values, the first on ties; windows of twice the width come from two of the width before."""
     at, best, wide = np.arange(len(values)), values, 1
@@ -52,7 +66,7 @@ def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the sampled seeds and of the smallest seed of every window of WINDOW seeds (the first on ties), in order."""
     if len(words) < K:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    seeds = shingles(words, K)
+    seeds = seeds_of(words)
     taken = seeds % np.uint64(SAMPLE) == 0
     if len(seeds) <= WINDOW:
         taken[seeds.argmin()] = True
@@ -66,7 +80,7 @@ class Places:
     """Where each run of K words stands in a text."""
 
     def __init__(self, words: np.ndarray):
-        self.runs = shingles(words.astype(np.uint64), K) if len(words) >= K else np.empty(0, np.uint64)
+        self.runs = seeds_of(words.astype(np.uint64))
 
     @cached_property
     def order(self) -> np.ndarray:
@@ -285,7 +299,7 @@ def _map_words(docs: DataFrame, what: str) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *more])
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = WordSums()
         for batch in batches:
             for part in C.slices(batch):
                 texts = [hashes.of(t) for t in part.column(1).to_pylist()]

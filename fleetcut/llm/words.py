@@ -1,4 +1,4 @@
-"""Words and hashed word shingles of texts, vectorised per document; shared by the shingle operators."""
+"""Words and hashed word shingles of texts, vectorised per document; shared by the operators on words."""
 
 from __future__ import annotations
 
@@ -40,6 +40,49 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_WORD = bytes(c not in b" \t\n\v\f\r" for c in range(256))
+_VALUE = mix(np.frombuffer(_LOWER, np.uint8).astype(np.uint64) + _G)
+_VALUE[~np.frombuffer(_WORD, np.bool_)] = 0
+
+
+class WordSums:
+    """64-bit hashes of lower-cased words by array arithmetic over a text's bytes, with no object for a word.
+
+    A byte's value times a power of an odd number for its place is summed over a word; the power of the word's start is then divided out. Work goes by blocks
+    of about BLOCK bytes that end between words, so the tables of powers grow with the longest word only.
+    """
+
+    BLOCK, BASE = 1 << 16, 0x9E6C63D0876A9A35
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, min(2 * n, self.BLOCK))
+            power = lambda x: np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)].cumprod(dtype=np.uint64)
+            self.up, self.down = power(self.BASE), power(pow(self.BASE, -1, 1 << 64))
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Hashes of the words [^\\x20\\x09-\\x0D]+ in order, A-Z lower-cased."""
+        data = (" " + (text or "")).encode("utf-8", "replace")
+        raw, word = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_WORD), np.bool_)
+        starts = np.flatnonzero(word[1:] > word[:-1]) + 1
+        out, k = np.empty(len(starts), np.uint64), 0
+        while k < len(starts):
+            lo = int(starts[k])
+            end = int(np.searchsorted(starts, lo + self.BLOCK))
+            hi = int(starts[end]) if end < len(starts) else len(raw)
+            self._reach(hi - lo)
+            first = starts[k:end] - lo
+            out[k:end] = np.add.reduceat(_VALUE.take(raw[lo:hi]) * self.up[: hi - lo], first) * self.down[first]
+            k = end
+        return mix(out)
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` words; of the whole sequence if it is shorter, of nothing if it is empty."""
     n = min(size, len(words))

@@ -372,3 +372,26 @@ def test_window_minima_and_hashes_by_doubling():
             keys = [tuple(x) for x in np.lib.stride_tricks.sliding_window_view(v, size).tolist()]
             pairs = set(zip(keys, P.window_hashes(v, size).tolist(), strict=True))
             assert len(pairs) == len(set(keys)) == len({h for _, h in pairs})
+
+
+def test_words_are_hashed_by_array_arithmetic():
+    """Equal words have equal hashes wherever they stand, different ones do not; over blocks, long words, white space of all kinds, letters of any case."""
+    from fleetcut.llm import passages as P
+    from fleetcut.llm.words import WordSums
+
+    rnd, sums = random.Random(41), WordSums()
+    for block in (7, 64, 1 << 16):
+        sums.BLOCK = block
+        known: dict[str, int] = {}
+        for _ in range(300):
+            words = ["".join(rnd.choice("abAB\x00é𠮷 \ud800") for _ in range(rnd.randint(1, 9 if rnd.random() < 0.95 else 300))) for _ in range(rnd.randint(0, 40))]
+            text = "".join(w + rnd.choice([" ", "\t", "\n ", "\x0b", "\f\r"]) for w in words)
+            got = sums.of(text if rnd.random() < 0.5 else text.strip(" \t\n\x0b\f\r")).tolist()
+            keys = [w.translate({65: 97, 66: 98}).replace("\ud800", "?") for w in words]
+            assert len(got) == len(keys) and all(known.setdefault(k, h) == h for k, h in zip(keys, got, strict=True))
+        assert len(set(known.values())) == len(known)
+    assert [len(sums.of(t)) for t in (None, "", " \n")] == [0, 0, 0]
+    words = sums.of(" ".join(rnd.choice("abc") for _ in range(3000)))
+    runs = [tuple(words[i : i + P.K].tolist()) for i in range(len(words) - P.K + 1)]
+    pairs = set(zip(runs, P.seeds_of(words).tolist(), strict=True))
+    assert len(pairs) == len({r for r, _ in pairs}) == len({h for _, h in pairs})
