@@ -434,15 +434,24 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     seeds = C.stage(_map_words(reps, "seeds"), "seeds")
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("source_id <> last")
     shared = C.stage(shared.drop("last"), "shared")
-    words = C.filter_words(shared.count())
+    C.release(docs.sparkSession)
+    n_shared, n_rows = shared.agg(F.count(F.lit(1)), F.sum("n")).first()
+    words = C.filter_words(n_shared)
     bloom = C.stage(C.bloom_of(shared.select("seed"), "seed", words), "bloom")
-    maybe = C.stage(C.probe(seeds, F.col("seed"), bloom, words, "maybe").filter("maybe").drop("maybe"), "maybe")
-    known = C.stage(C.lookup(maybe, shared, "seed", "n", maybe.count()).drop("n"), "known")
+    hot = F.col("n") > C.hot_limit(n_rows or 0)  # HOT_KEYS at most; their sources come to each seed once, as it is read
+    firsts = F.broadcast(shared.filter(hot).select(F.col("seed").alias("__k"), F.col("source_id").alias("first")))
+    marked = seeds.join(firsts, F.col("seed") == F.col("__k"), "left").drop("__k")
+    maybe = C.stage(C.probe(marked, F.col("seed"), bloom, words, "maybe").filter("maybe").drop("maybe"), "maybe")
+    told = maybe.filter("first IS NOT NULL").withColumnRenamed("first", "source_id")
+    rest = maybe.filter("first IS NULL").drop("first").join(shared.filter(~hot).drop("n"), "seed")
+    known = C.stage(told.unionByName(rest), "known")
     for table in (keyed, maybe, shared):
         C.unstage(table)
+    C.release(docs.sparkSession)
     uses = known.filter("doc_id <> source_id").groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     pairs = uses.filter(F.size("places") >= ANCHORS)
     pairs = C.stage(pairs, "pairs")
+    C.release(docs.sparkSession)
 
     ends = pairs.select("doc_id").unionByName(pairs.select(F.col("source_id").alias("doc_id"))).distinct()
     ends = C.stage(ends, "ends")
@@ -452,6 +461,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     texts = C.stage(_map_words(some, "words").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "words")
     by_source = pairs.groupBy("source_id").agg(F.count(F.lit(1)).alias("uses"))
     sources = C.stage(by_source.join(texts.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id"), "sources")
+    C.release(docs.sparkSession)
     small = F.length("source_words") <= 4 * HOT_WORDS
     joined = C.lookup(pairs.join(texts, "doc_id"), sources, "source_id", "uses", pairs.count(), most=HOT_SOURCES, small=small)
     id_type = dict(docs.dtypes)[id_col]
@@ -482,15 +492,18 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     schema = f"doc_id {id_type}, start_word long, end_word long, source_id {id_type}, source_start long, source_end long, n_equal long"
     cols = ["doc_id", "source_id", "places", "words", "source_words"]
     star = C.stage(joined.select(*cols).mapInArrow(run, schema), "star")
+    C.release(docs.sparkSession)
     # a window shared with an earlier document has its first seed there at the same distance from its start
     gaps = C.stage(_open_windows(seeds, known, texts, star, least, id_type), "open")
     C.unstage(seeds)
+    C.release(docs.sparkSession)
     asked = C.stage(gaps.groupBy("seed").agg(F.collect_set("ahead").alias("aheads")), "asked")
     words = C.filter_words(asked.count())
     bloom = C.stage(C.bloom_of(asked.select("seed"), "seed", words), "bloom")
     holders = C.probe(known, F.col("seed"), bloom, words, "maybe").filter("maybe").join(asked, "seed")
     starts = holders.select("doc_id", F.explode(F.transform("aheads", lambda x: (F.col("place") - x).cast("bigint"))).alias("start")).distinct()
     windows = C.stage(_window_keys(starts, texts, least, id_type), "windows")
+    C.release(docs.sparkSession)
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("f"))
     wanted = windows.join(gaps.select("doc_id", "start").distinct(), ["doc_id", "start"], "left_semi").join(first, "window").filter("f.doc_id < doc_id")
     steps = F.array(*[F.lit(k) for k in sorted({*range(0, least - K + 1, K), max(0, least - K)})])

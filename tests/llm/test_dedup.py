@@ -395,3 +395,28 @@ def test_words_are_hashed_by_array_arithmetic():
     runs = [tuple(words[i : i + P.K].tolist()) for i in range(len(words) - P.K + 1)]
     pairs = set(zip(runs, P.seeds_of(words).tolist(), strict=True))
     assert len(pairs) == len({r for r, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_frequent_seeds_get_their_source_as_they_are_read(docs_of, monkeypatch):
+    """Each seed row is kept once, a frequent seed's row with its first document beside it; the passages are those of a plain lookup."""
+    rnd = random.Random(17)
+    some = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage = some(60)
+    rows = [(i, " ".join(some(12) + passage + some(9))) for i in range(9)] + [(20, " ".join(some(70)))]
+    plain = sorted(repeated_passages(docs_of(rows)).collect())
+    staged, stage = {}, C.stage
+
+    def seen(df, tag, codec=None):
+        out = stage(df, tag, codec)
+        if tag == "maybe":
+            staged["rows"] = out.collect()
+        return out
+
+    monkeypatch.setattr(C, "stage", seen)
+    monkeypatch.setattr(C, "hot_limit", lambda total: 3)
+    assert sorted(repeated_passages(docs_of(rows)).collect()) == plain and {r.doc_id for r in plain} == set(range(1, 9))
+    held = defaultdict(list)
+    for r in staged["rows"]:
+        held[r.seed].append(r)
+    assert any(len(x) == 9 for x in held.values())
+    assert all(r.first == (min(y.doc_id for y in x) if len(x) > 3 else None) for x in held.values() for r in x)
