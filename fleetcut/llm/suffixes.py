@@ -12,6 +12,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -423,6 +424,26 @@ def _collections(span: int):
     return run
 
 
+def _spans(lengths: np.ndarray, found, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each maximal removed run of some texts, in order: the text, begin and end there. All texts stand in one row, a place apart, so runs of two never meet."""
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    flat = found.flatten()
+    start, windows, bits = (flat.field(c).to_numpy() for c in ("start", "windows", "bits"))
+    base = np.cumsum(lengths + 1) - lengths - 1
+    at = np.repeat(base, counts) + start
+    whole = bits == -1
+    width = np.arange(windows[~whole].max(initial=0))
+    which, o = np.nonzero((bits[~whole, None] >> width & 1).astype(bool) & (width < windows[~whole, None]))
+    single = at[~whole][which] + o
+    begin, end = np.concatenate((at[whole], single)), np.concatenate((at[whole] + windows[whole], single + 1)) + (span - 1)
+    by = np.argsort(begin, kind="stable")
+    begin, end = begin[by], np.maximum.accumulate(end[by])
+    first = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1]))[: len(begin)])
+    begin, end = begin[first], end[np.append(first[1:], len(end)) - 1] if len(first) else end
+    of = np.searchsorted(base, begin, "right") - 1
+    return of, begin - base[of], end - base[of]
+
+
 def _kept(span: int):
     """Texts with their removed windows to what is left of them."""
 
@@ -431,26 +452,23 @@ def _kept(span: int):
 
         for batch in batches:
             for part in C.slices(batch, 1, rows=4096, limit=4 << 20):
-                ids, out = part.column(0), []
-                for text, found in zip(part.column(1), part.column(2), strict=True):
-                    text, gone = text.as_py(), found.as_py() or []
-                    spans: list[list[int]] = []
-                    for start, windows, bits in sorted((x["start"], x["windows"], x["bits"]) for x in gone):
-                        runs = [(0, windows - 1)] if bits == -1 else [(o, o) for o in range(windows) if bits >> o & 1]
-                        for a, b in runs:
-                            if spans and start + a <= spans[-1][1]:
-                                spans[-1][1] = max(spans[-1][1], start + b + span)
-                            else:
-                                spans.append([start + a, start + b + span])
+                texts = part.column(1).to_pylist()
+                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+                of, begin, end = _spans(lengths, part.column(2), span)
+                n_spans = np.bincount(of, minlength=len(texts))
+                edges = np.concatenate(([0], np.cumsum(n_spans)))
+                gone = np.concatenate(([0], np.cumsum(end - begin)))[edges]
+                removed = np.stack((begin, end), 1).ravel()
+                cuts, digests = removed.tolist(), []
+                for text, a, b in zip(texts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     digest, at = hashlib.sha256(), 0
-                    for a, b in spans:
-                        digest.update(text[at:a])
-                        at = b
-                    digest.update(text[at:])
-                    out.append((len(text), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [x for s in spans for x in s]))
-                a, b, c, d, e = (list(x) for x in zip(*out, strict=True))
+                    for k in range(2 * a, 2 * b, 2):
+                        digest.update(text[at : cuts[k]])
+                        at = cuts[k + 1]
+                    digest.update(text[at:] if at else text)
+                    digests.append(digest.hexdigest())
                 yield pa.record_batch(
-                    [ids, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d), pa.array(e, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(lengths), pa.array(np.diff(gone)), pa.array(n_spans), pa.array(digests), pa.ListArray.from_arrays(pa.array(2 * edges, pa.int32()), pa.array(removed))],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
                 )
         C.trim()

@@ -257,3 +257,29 @@ def test_pages_of_unclosed_tags_end(spark):
     pages.append((99, "u", "<html><body><article><p>" + "A sentence of some words here. " * 20 + "</p></article><a "))
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert time.time() - start < 60 and got[99].startswith("A sentence") and len(got) == 8
+
+
+def test_removed_runs_of_a_slice_are_found_at_once():
+    """The runs of many texts by array arithmetic equal those of a loop over every removed window; what is left and its digest follow."""
+    import pyarrow as pa
+
+    rnd, span = random.Random(19), 50
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int32()), ("bits", pa.int64())]))
+    rows = [(1, b"", None), (2, b"x" * 30, None), (3, b"y" * 50, [{"start": 0, "windows": 1, "bits": -1}])]
+    for i in range(4, 300):
+        text, at, gone = bytes(rnd.choices(b"abc", k=rnd.randint(50, 700))), 0, []
+        while (room := len(text) - span + 1 - at) > 0:
+            n = min(room, rnd.randint(1, 27))
+            if rnd.random() < 0.5:
+                gone.append({"start": at, "windows": n, "bits": rnd.choice((-1, rnd.getrandbits(n)))})
+            at += n + rnd.choice((0, 0, 0, 60))
+        rnd.shuffle(gone)
+        rows.append((i, text, gone or None))
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), kind), strict=True)], ["doc_id", "text", "gone"])
+    got = [r for out in S._kept(span)([batch.slice(0, 7), batch.slice(7), batch.slice(0, 2)]) for r in out.to_pylist()]
+    assert len(got) == len(rows) + 2
+    for (doc, text, gone), r in zip([*rows, *rows[:2]], got, strict=True):
+        lost = {x["start"] + o + k for x in gone or () for o in range(x["windows"]) if x["bits"] == -1 or x["bits"] >> o & 1 for k in range(span)}
+        ends = [k for k in range(len(text) + 1) if (k in lost) != (k - 1 in lost)]
+        left = bytes(c for k, c in enumerate(text) if k not in lost)
+        assert r == {"doc_id": doc, "n_bytes": len(text), "n_removed": len(lost), "n_spans": len(ends) // 2, "kept_sha256": hashlib.sha256(left).hexdigest(), "removed": ends}
