@@ -458,7 +458,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     words = C.filter_words(ends.count())
     bloom = C.stage(C.bloom_of(ends.select(F.xxhash64("doc_id").alias("h")), "h", words), "bloom")
     some = C.probe(reps, F.xxhash64("doc_id"), bloom, words, "maybe").filter("maybe").select("doc_id", "text")
-    texts = C.stage(_map_words(some, "words").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "words")
+    texts = C.stage(_map_words(some, "words").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "words", "zstd")
     by_source = pairs.groupBy("source_id").agg(F.count(F.lit(1)).alias("uses"))
     sources = C.stage(by_source.join(texts.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id"), "sources")
     C.release(docs.sparkSession)
@@ -492,6 +492,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     schema = f"doc_id {id_type}, start_word long, end_word long, source_id {id_type}, source_start long, source_end long, n_equal long"
     cols = ["doc_id", "source_id", "places", "words", "source_words"]
     star = C.stage(joined.select(*cols).mapInArrow(run, schema), "star")
+    for table in (pairs, sources):
+        C.unstage(table)
     C.release(docs.sparkSession)
     # a window shared with an earlier document has its first seed there at the same distance from its start
     gaps = C.stage(_open_windows(seeds, known, texts, star, least, id_type), "open")
